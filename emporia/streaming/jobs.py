@@ -1 +1,189 @@
-"""Streaming jobs (registered into the same registry)."""
+"""Streaming jobs (J1-J9, A1), registered next to the batch jobs.
+
+Each job is ``transform(streaming DataFrame) -> streaming DataFrame``; the
+registered query stages its input from the driver tables, drains the stream
+with ``AvailableNow`` and returns the sink table, so its result can be
+compared with the batch form and the oracle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from ..functions.scalars import STATUS_COMPLETED, STATUS_FAILED, STATUS_PAYMENT_FAILED, STATUS_PENDING, \
+    PAYMENT_DECLINED_REASON, fmt_ts, not_enough_stock_reason, status_message
+from ..operators import orders as O
+from ..operators import reservation as R
+from ..operators import status as S
+from ..plans import fixtures as FX
+from ..plans.fixtures_sql import with_ctes
+from ..plans.registry import (CART_SESSIONS_SQL, NOTIFY_SQL, ORACLES, TS, _changes, _ctes_sql, _CHANGES, _REQ,
+                              _walk_sql, register)
+from ..session import scratch_path
+from ..sources.tables import table
+from . import processors as P
+from .harness import latest_per_key, read_staged, run_to_table, stage_ordered
+
+
+# --- transforms (streaming DataFrame -> streaming DataFrame) -----------------
+
+def stream_stock(changes: DataFrame) -> DataFrame:
+    """Clamped stock per SKU, re-keyed by SKU (the groupBy is the shuffle)."""
+    return changes.groupBy("sku").applyInPandasWithState(
+        P.stock_fold, P.STOCK_OUT, P.STOCK_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def stream_reservation(unified: DataFrame) -> DataFrame:
+    """Reservation sharing the stock state with the change fold."""
+    return unified.groupBy("sku").applyInPandasWithState(
+        P.reserve_fold, P.RESERVE_OUT, P.RESERVE_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_outcome(results: DataFrame, order_items: DataFrame, expire_ms: int | None = P.SAGA_TTL_MS) -> DataFrame:
+    """Results joined with the saga record (stream-static), gathered per
+    order; the record expires ``expire_ms`` after creation (None: never)."""
+    j = results.join(order_items, "order_number", "left")
+    timeout = GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return j.groupBy("order_number").applyInPandasWithState(
+        P.make_gather(expire_ms), P.GATHER_OUT, P.GATHER_STATE, "update", timeout)
+
+
+def stream_payment_gate(events: DataFrame) -> DataFrame:
+    """Payments (side 0) and status changes (side 1) of one order."""
+    return events.groupBy("order_number").applyInPandasWithState(
+        P.payment_gate, P.GATE_OUT, P.GATE_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_status(events: DataFrame) -> DataFrame:
+    """Status machine, one output row per accepted transition."""
+    return events.groupBy("order_number").applyInPandasWithState(
+        P.status_machine, P.MACHINE_OUT, P.MACHINE_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_cart_sessions(adds: DataFrame, gap: str = "24 hours") -> DataFrame:
+    """Idle-expiry sessions; the watermark bounds the session state.
+    Event time must be a zoned timestamp for a watermark, so a wall-clock
+    ``ts`` is read in the session time zone."""
+    if dict(adds.dtypes)["ts"] == "timestamp_ntz":
+        adds = adds.withColumn("ts", F.col("ts").cast("timestamp"))
+    return (adds.withWatermark("ts", gap)
+            .groupBy("user_id", F.session_window("ts", gap).alias("w"))
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n_adds"), F.sum("qty").cast("bigint").alias("qty")))
+
+
+# --- registered runs ---------------------------------------------------------
+
+def _stage(spark: SparkSession, df: DataFrame, name: str, col: str = "ts", slices: int = 4) -> DataFrame:
+    path = scratch_path(spark, f"{name}-in")
+    stage_ordered(df, path, col, slices)
+    return read_staged(spark, path, df.schema)
+
+
+@register("stream_events_scan", "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
+def q_stream_events_scan(spark, sf):
+    """A1: topic scan from the earliest offset in bounded polls (one file per trigger here)."""
+    ev = table(spark, sf, "events")
+    src = (spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet")
+           .option("maxFilesPerTrigger", 1).parquet(sf))
+    agg = src.groupBy("event_type").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return latest_per_key(run_to_table(agg, "events_scan", "update"), ["event_type"])
+
+
+@register("stream_stock", with_ctes("SELECT sku, stock FROM stock_final", "stock_final"))
+def q_stream_stock(spark, sf):
+    src = _stage(spark, _changes(spark, sf), "changes")
+    return latest_per_key(run_to_table(stream_stock(src), "stream_stock", "update"), ["sku"])
+
+
+@register("stream_stock_lookup", with_ctes("SELECT sku, stock AS quantity FROM stock_final", "stock_final"))
+def q_stream_stock_lookup(spark, sf):
+    """Read the current stock straight from the stream's state store."""
+    src = _stage(spark, _changes(spark, sf), "changes")
+    ckpt = scratch_path(spark, "stream_stock-ckpt")
+    run_to_table(stream_stock(src), "stream_stock", "update", checkpoint=ckpt)
+    st = spark.read.format("statestore").load(ckpt)
+    return st.select(F.col("key.sku").alias("sku"), F.col("value.groupState.stock").cast("bigint").alias("quantity"))
+
+
+@register("stream_reservation", _ctes_sql(_walk_sql(f"{_REQ} UNION ALL {_CHANGES}"), "lines", "changes"))
+def q_stream_reservation(spark, sf):
+    u = R._unified(_changes(spark, sf), None, FX.lines(spark, sf))
+    out = run_to_table(stream_reservation(_stage(spark, u, "reserve")), "stream_reservation", "append")
+    return out.select("order_number", "sku", "qty", fmt_ts(F.col("ts")).alias("ts"), "l_orderkey", "l_linenumber",
+                      "l_suppkey", "success",
+                      F.when(~F.col("success"), not_enough_stock_reason(F.col("sku"), F.col("qty"),
+                                                                        F.col("stock_before"))).alias("reason"),
+                      "stock_after")
+
+
+@register("stream_outcome", with_ctes("""SELECT * FROM outcome
+    WHERE order_number IN (SELECT order_number FROM results)""", "outcome", "results"))
+def q_stream_outcome(spark, sf):
+    res = FX.results(spark, sf)
+    src = _stage(spark, res, "results", col="l_linenumber", slices=4)
+    out = run_to_table(stream_outcome(src, FX.order_items(spark, sf), expire_ms=None), "stream_outcome", "update")
+    return latest_per_key(out, ["order_number"])
+
+
+@register("stream_payment_gate", ORACLES["payment_gate"])
+def q_stream_payment_gate(spark, sf):
+    log = FX.status_log(spark, sf)
+    trans = S.transitions(S.status_summary(log, FX.placed(spark, sf)))
+    pay = log.filter(F.col("kind") == "PAID").select("order_number", "ts", F.lit(0).alias("side"),
+                                                    F.lit(None).cast("string").alias("status"))
+    st = trans.select("order_number", "ts", F.lit(1).alias("side"), "status")
+    out = run_to_table(stream_payment_gate(_stage(spark, pay.unionByName(st), "gate")), "stream_gate", "append")
+    return out.select("order_number", fmt_ts(F.col("pay_ts")).alias("paid_at"), "status_at_arrival")
+
+
+@register("stream_status", ORACLES["status_transitions"])
+def q_stream_status(spark, sf):
+    placed = FX.placed(spark, sf).select("order_number", F.lit("PLACED").alias("kind"), "ts", F.lit(0).alias("rank"))
+    log = FX.status_log(spark, sf).select("order_number", "kind", "ts", F.lit(1).alias("rank"))
+    out = run_to_table(stream_status(_stage(spark, placed.unionByName(log), "status")), "stream_status", "append")
+    return out.select("order_number", "status", fmt_ts(F.col("ts")).alias("ts"))
+
+
+STREAM_SESSIONS_SQL = with_ctes(f"""SELECT * FROM ({CART_SESSIONS_SQL.replace(
+    "strftime(max(ts) + INTERVAL 24 HOUR, ", "strftime(max(ts) + INTERVAL 24 HOUR, ", 1)}) s
+    WHERE strptime(s.session_end, '%Y-%m-%d %H:%M:%S') <= (SELECT max(ts) - INTERVAL 24 HOUR FROM cart_ev
+                                                          WHERE kind = 'add')""", "cart_ev")
+
+
+@register("stream_cart_sessions", STREAM_SESSIONS_SQL)
+def q_stream_cart_sessions(spark, sf):
+    """J5 streaming: a session is emitted (append) once it has expired, i.e.
+    when the watermark (latest add - 24 h) has passed its end; sessions
+    still open when the input ends are not emitted yet."""
+    adds = FX.cart_ev(spark, sf).filter(F.col("kind") == "add").select("user_id", "ts", "event_id", "qty")
+    out = run_to_table(stream_cart_sessions(_stage(spark, adds, "adds")), "stream_sessions", "append")
+    return out.select("user_id", fmt_ts(F.col("w.start").cast("timestamp_ntz")).alias("session_start"),
+                      fmt_ts(F.col("w.end").cast("timestamp_ntz")).alias("session_end"), "n_adds", "qty")
+
+
+@register("stream_notification_feed", with_ctes(NOTIFY_SQL, "placed", "status_log", "outcome"))
+def q_stream_notification_feed(spark, sf):
+    """Four topic streams fanned into one (order, status, message) feed."""
+    log = FX.status_log(spark, sf)
+    outcome = O.order_outcome(FX.results(spark, sf), FX.order_items(spark, sf))
+    none = F.lit(None).cast("string")
+    sources = [
+        (FX.placed(spark, sf).select("order_number", "ts", F.lit(STATUS_PENDING).alias("status"), none.alias("r")),
+         "placed"),
+        (log.filter(F.col("kind") == "PAID").select("order_number", "ts", F.lit(STATUS_COMPLETED).alias("status"),
+                                                   none.alias("r")), "paid"),
+        (outcome.filter(F.col("outcome") == STATUS_FAILED).select(
+            "order_number", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
+            F.lit(STATUS_FAILED).alias("status"), F.col("reason").alias("r")), "failed"),
+        (log.filter(F.col("kind") == "PAY_FAILED").select(
+            "order_number", "ts", F.lit(STATUS_PAYMENT_FAILED).alias("status"),
+            F.lit(PAYMENT_DECLINED_REASON).alias("r")), "payfailed"),
+    ]
+    streams = [_stage(spark, df, name, slices=2) for df, name in sources]
+    u = streams[0]
+    for s in streams[1:]:
+        u = u.unionByName(s)
+    feed = u.select("order_number", "status", status_message(F.col("status"), F.col("r")).alias("message"))
+    return run_to_table(feed, "notify", "append").select("order_number", "status", "message")
