@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.scalars import STATUS_COMPLETED, STATUS_FAILED, STATUS_PAYMENT_FAILED, STATUS_PENDING, \
     PAYMENT_DECLINED_REASON, fmt_ts, not_enough_stock_reason, status_message
@@ -31,35 +30,32 @@ from .harness import latest_per_key, read_staged, run_to_table, stage_ordered
 
 def stream_stock(changes: DataFrame) -> DataFrame:
     """Clamped stock per SKU, re-keyed by SKU (the groupBy is the shuffle)."""
-    return changes.groupBy("sku").applyInPandasWithState(
-        P.stock_fold, P.STOCK_OUT, P.STOCK_STATE, "update", GroupStateTimeout.NoTimeout)
+    return changes.groupBy("sku").transformWithState(P.StockFold(), P.STOCK_OUT, "Update", "None")
 
 
 def stream_reservation(unified: DataFrame) -> DataFrame:
     """Reservation sharing the stock state with the change fold."""
-    return unified.groupBy("sku").applyInPandasWithState(
-        P.reserve_fold, P.RESERVE_OUT, P.RESERVE_STATE, "append", GroupStateTimeout.NoTimeout)
+    return unified.groupBy("sku").transformWithState(P.ReserveFold(), P.RESERVE_OUT, "Append", "None")
 
 
 def stream_outcome(results: DataFrame, order_items: DataFrame, expire_ms: int | None = P.SAGA_TTL_MS) -> DataFrame:
     """Results joined with the saga record (stream-static), gathered per
-    order; the record expires ``expire_ms`` after creation (None: never)."""
+    order; the record expires ``expire_ms`` after creation (None: never, for
+    a bounded replay, where a pending processing-time timer would keep the
+    run from finishing)."""
     j = results.join(order_items, "order_number", "left")
-    timeout = GroupStateTimeout.NoTimeout if expire_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return j.groupBy("order_number").applyInPandasWithState(
-        P.make_gather(expire_ms), P.GATHER_OUT, P.GATHER_STATE, "update", timeout)
+    mode = "None" if expire_ms is None else "ProcessingTime"
+    return j.groupBy("order_number").transformWithState(P.Gather(expire_ms), P.GATHER_OUT, "Update", mode)
 
 
 def stream_payment_gate(events: DataFrame) -> DataFrame:
     """Payments (side 0) and status changes (side 1) of one order."""
-    return events.groupBy("order_number").applyInPandasWithState(
-        P.payment_gate, P.GATE_OUT, P.GATE_STATE, "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("order_number").transformWithState(P.PaymentGate(), P.GATE_OUT, "Append", "None")
 
 
 def stream_status(events: DataFrame) -> DataFrame:
     """Status machine, one output row per accepted transition."""
-    return events.groupBy("order_number").applyInPandasWithState(
-        P.status_machine, P.MACHINE_OUT, P.MACHINE_STATE, "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("order_number").transformWithState(P.StatusMachine(), P.MACHINE_OUT, "Append", "None")
 
 
 def stream_cart_sessions(adds: DataFrame, gap: str = "24 hours") -> DataFrame:
@@ -103,8 +99,8 @@ def q_stream_stock_lookup(spark, sf):
     src = _stage(spark, _changes(spark, sf), "changes")
     ckpt = scratch_path(spark, "stream_stock-ckpt")
     run_to_table(stream_stock(src), "stream_stock", "update", checkpoint=ckpt)
-    st = spark.read.format("statestore").load(ckpt)
-    return st.select(F.col("key.sku").alias("sku"), F.col("value.groupState.stock").cast("bigint").alias("quantity"))
+    st = spark.read.format("statestore").option("stateVarName", "stock").load(ckpt)
+    return st.select(F.col("key.sku").alias("sku"), F.col("value.stock").cast("bigint").alias("quantity"))
 
 
 @register("stream_reservation", _ctes_sql(_walk_sql(f"{_REQ} UNION ALL {_CHANGES}"), "lines", "changes"))

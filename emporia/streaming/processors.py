@@ -1,147 +1,182 @@
-"""Per-key stateful processors for ``applyInPandasWithState``.
-
-Spark hands each function all rows of one key in one micro-batch (bounded by
-the trigger size), plus that key's state. Rows are sorted by the job's total
-order inside the batch; batches arrive in order (see ``harness``).
+"""Per-key stateful processors (state API v2, ``transformWithState``).
+
+Spark calls ``handleInputRows`` with the rows of one key in one micro-batch
+(bounded by the trigger size) and the key's state variables. Rows are sorted
+by the job's total order inside the batch; batches arrive in order (see
+``harness``). State is a ``ValueState`` per key, kept in the RocksDB state
+store and partitioned by the grouping key, so it scales out with the key
+space and survives executor loss through the checkpoint.
 """
 
 from __future__ import annotations
 
 from typing import Iterator
 
-import pandas as pd
+from pyspark.sql import Row
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalars import (INT_MAX, STATUS_COMPLETED, STATUS_FAILED, STATUS_PAYMENT_FAILED, STATUS_PENDING,
                                  STATUS_VALIDATED)
 
-CHANGE_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_suppkey", "chg"]
-UNIFIED_ORDER = ["ts", "kind", "l_orderkey", "l_linenumber", "l_suppkey", "amount"]
-RESULT_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "qty"]
 
-STOCK_STATE = "stock long"
+def _change_key(r):
+    return (r.ts, r.l_orderkey, r.l_linenumber, r.l_suppkey, r.chg)
+
+
+def _unified_key(r):
+    return (r.ts, r.kind, r.l_orderkey, r.l_linenumber, r.l_suppkey, r.amount)
+
+
+def _result_key(r):
+    return (r.l_linenumber, r.l_partkey, r.l_suppkey, r.qty)
+
+
 STOCK_OUT = "sku string, stock long"
 
 
-def stock_fold(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+class StockFold(StatefulProcessor):
     """Clamped stock per SKU; ValueState = current stock."""
-    s = int(state.get[0]) if state.exists else 0
-    pdf = pd.concat(list(pdfs)).sort_values(CHANGE_ORDER, kind="mergesort")
-    for c in pdf["chg"].to_numpy():
-        s = min(INT_MAX, max(0, s + int(c)))
-    state.update((s,))
-    yield pd.DataFrame({"sku": [key[0]], "stock": [s]})
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stock = handle.getValueState("stock", "stock long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        cur = self.stock.get()
+        s = cur[0] if cur is not None else 0
+        for r in sorted(rows, key=_change_key):
+            s = min(INT_MAX, max(0, s + r.chg))
+        self.stock.update((s,))
+        yield Row(sku=key[0], stock=s)
+
+    def close(self) -> None:
+        pass
 
 
-RESERVE_STATE = "stock long"
 RESERVE_OUT = ("order_number string, sku string, qty int, ts timestamp_ntz, l_orderkey long, l_linenumber int, "
                "l_suppkey long, success boolean, stock_before long, stock_after long")
 
 
-def reserve_fold(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+class ReserveFold(StatefulProcessor):
     """J2 (with J1): one processor over the tagged union of stock changes
-    (kind 0) and requests (kind 1) -- the same state serves both, as in the
-    reference's shared store."""
-    s = int(state.get[0]) if state.exists else 0
-    pdf = pd.concat(list(pdfs)).sort_values(UNIFIED_ORDER, kind="mergesort")
-    kinds = pdf["kind"].to_numpy()
-    amt = pdf["amount"].to_numpy()
-    ok, before, after = [], [], []
-    for k, a in zip(kinds, amt):
-        a = int(a)
-        b = s
-        if k == 0:
-            s = min(INT_MAX, max(0, s + a))
-            granted = True
-        elif s < a:
-            granted = False
-        else:
-            s -= a
-            granted = True
-        ok.append(granted)
-        before.append(b)
-        after.append(s)
-    state.update((s,))
-    pdf = pdf.assign(success=ok, stock_before=before, stock_after=after)
-    req = pdf[pdf["kind"] == 1]
-    yield pd.DataFrame({
-        "order_number": req["order_number"], "sku": req["sku"], "qty": req["amount"].astype("int32"),
-        "ts": req["ts"], "l_orderkey": req["l_orderkey"], "l_linenumber": req["l_linenumber"],
-        "l_suppkey": req["l_suppkey"], "success": req["success"], "stock_before": req["stock_before"],
-        "stock_after": req["stock_after"]})
-
-
-GATHER_STATE = "received long, total long, failed boolean, reason string"
-GATHER_OUT = "order_number string, outcome string, reason string, received long, total_items long"
+    (kind 0) and requests (kind 1); the same state serves both, as in the
+    reference's shared store (a state store cannot be shared by two operators)."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stock = handle.getValueState("stock", "stock long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        cur = self.stock.get()
+        s = cur[0] if cur is not None else 0
+        out = []
+        for r in sorted(rows, key=_unified_key):
+            a, before = r.amount, s
+            if r.kind == 0:
+                s = min(INT_MAX, max(0, s + a))
+                continue
+            ok = s >= a
+            if ok:
+                s -= a
+            out.append(Row(order_number=r.order_number, sku=r.sku, qty=int(a), ts=r.ts, l_orderkey=r.l_orderkey,
+                           l_linenumber=r.l_linenumber, l_suppkey=r.l_suppkey, success=ok, stock_before=before,
+                           stock_after=s))
+        self.stock.update((s,))
+        return iter(out)
+
+    def close(self) -> None:
+        pass
 
 
+GATHER_OUT = "order_number string, outcome string, reason string, received long, total_items long"
 SAGA_TTL_MS = 10 * 60 * 1000
 
 
-def make_gather(expire_ms: int | None = SAGA_TTL_MS):
-    """J3 processor. With ``expire_ms`` the saga record expires that long
-    (processing time) after it is created: the state is dropped and nothing
-    is emitted (the order simply stays PENDING). Needs
-    ``GroupStateTimeout.ProcessingTimeTimeout``; a bounded replay
-    (``AvailableNow``) passes ``None`` because a pending processing-time
-    timeout keeps asking for another batch."""
-
-    def fn(key, pdfs, state):
-        return _gather(key, pdfs, state, expire_ms)
-
-    return fn
-
-
-def _gather(key, pdfs: Iterator[pd.DataFrame], state, expire_ms) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    if state.exists:
-        received, total, failed, reason = state.get
-    else:
-        received, total, failed, reason = 0, None, False, None
-        if expire_ms is not None:
-            state.setTimeoutDuration(expire_ms)
-    pdf = pd.concat(list(pdfs)).drop_duplicates(["order_number", *RESULT_ORDER]).sort_values(RESULT_ORDER,
-                                                                                          kind="mergesort")
-    for ok, why, tot in zip(pdf["success"], pdf["reason"], pdf["total_items"]):
-        received += 1
-        total = int(tot)
-        if not failed and not ok:
-            failed, reason = True, why
-    state.update((received, total, failed, reason))
-    if failed:
-        outcome = STATUS_FAILED
-    elif received >= 1 and received == total:
-        outcome = STATUS_VALIDATED
-    else:
-        outcome = STATUS_PENDING
-    yield pd.DataFrame({"order_number": [key[0]], "outcome": [outcome], "reason": [reason if failed else None],
-                        "received": [received], "total_items": [total]})
-
-
-GATE_STATE = "status string"
+class Gather(StatefulProcessor):
+    """Gather line results into one order outcome.
+
+    With ``expire_ms`` the saga record expires that long (processing time)
+    after it is created (a processing-time timer; timeMode "ProcessingTime"):
+    the state is cleared and nothing is emitted, so the order simply stays
+    PENDING, as in the reference. A repeated result (same line key) is
+    counted once (ListState of seen line keys).
+    """
+
+    def __init__(self, expire_ms: int | None = SAGA_TTL_MS):
+        self.expire_ms = expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.saga = handle.getValueState("saga", "received long, total long, failed boolean, reason string")
+        self.seen = handle.getListState("seen", "l_linenumber int, l_partkey long, l_suppkey long, qty int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        cur = self.saga.get()
+        if cur is None:
+            received, total, failed, reason = 0, None, False, None
+            seen = set()
+            if self.expire_ms is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.expire_ms)
+        else:
+            received, total, failed, reason = cur
+            seen = {tuple(x) for x in self.seen.get()}
+        fresh = []
+        for r in sorted(rows, key=_result_key):
+            k = _result_key(r)
+            if k in seen:
+                continue
+            seen.add(k)
+            fresh.append(k)
+            received += 1
+            total = r.total_items
+            if not failed and not r.success:
+                failed, reason = True, r.reason
+        if fresh:
+            self.seen.appendList(fresh)
+        self.saga.update((received, total, failed, reason))
+        if failed:
+            outcome = STATUS_FAILED
+        elif received >= 1 and received == total:
+            outcome = STATUS_VALIDATED
+        else:
+            outcome = STATUS_PENDING
+        yield Row(order_number=key[0], outcome=outcome, reason=reason if failed else None, received=received,
+                  total_items=total)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.saga.clear()
+        self.seen.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
 GATE_OUT = "order_number string, pay_ts timestamp_ntz, status_at_arrival string"
 
 
-def payment_gate(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Stream-table join; the table side (status) is this key's state.
-    At equal time a payment sees the status *before* it (side 0 first)."""
-    status = state.get[0] if state.exists else None
-    pdf = pd.concat(list(pdfs)).sort_values(["ts", "side"], kind="mergesort")
-    out_ts, out_st = [], []
-    for side, ts, st in zip(pdf["side"], pdf["ts"], pdf["status"]):
-        if side == 1:
-            status = st
-        elif status in (STATUS_PENDING, STATUS_VALIDATED):
-            out_ts.append(ts)
-            out_st.append(status)
-    if status is not None:
-        state.update((status,))
-    yield pd.DataFrame({"order_number": [key[0]] * len(out_ts), "pay_ts": pd.Series(out_ts, dtype="datetime64[us]"),
-                        "status_at_arrival": out_st})
-
-
-MACHINE_STATE = "status string"
+class PaymentGate(StatefulProcessor):
+    """Stream-table join; the table side (latest status) is this key's
+    ValueState. At equal time a payment sees the status *before* it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.status = handle.getValueState("status", "status string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        cur = self.status.get()
+        status = cur[0] if cur is not None else None
+        out = []
+        for r in sorted(rows, key=lambda r: (r.ts, r.side)):
+            if r.side == 1:
+                status = r.status
+            elif status in (STATUS_PENDING, STATUS_VALIDATED):
+                out.append(Row(order_number=key[0], pay_ts=r.ts, status_at_arrival=status))
+        if status is not None:
+            self.status.update((status,))
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
 MACHINE_OUT = "order_number string, status string, ts timestamp_ntz"
 _NEXT = {
     ("PLACED", None): STATUS_PENDING,
@@ -154,19 +189,25 @@ _NEXT = {
 }
 
 
-def status_machine(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Order status machine; emits one row per accepted transition.
+class StatusMachine(StatefulProcessor):
+    """Order status machine; one output row per accepted transition.
     Events of an order that was never placed are ignored (not found)."""
-    status = state.get[0] if state.exists else None
-    pdf = pd.concat(list(pdfs)).sort_values(["ts", "rank", "kind"], kind="mergesort")
-    out_s, out_t = [], []
-    for kind, ts in zip(pdf["kind"], pdf["ts"]):
-        nxt = _NEXT.get((kind, status))
-        if nxt is not None:
-            status = nxt
-            out_s.append(nxt)
-            out_t.append(ts)
-    if status is not None:
-        state.update((status,))
-    yield pd.DataFrame({"order_number": [key[0]] * len(out_s), "status": out_s,
-                        "ts": pd.Series(out_t, dtype="datetime64[us]")})
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.status = handle.getValueState("status", "status string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        cur = self.status.get()
+        status = cur[0] if cur is not None else None
+        out = []
+        for r in sorted(rows, key=lambda r: (r.ts, r.rank, r.kind)):
+            nxt = _NEXT.get((r.kind, status))
+            if nxt is not None:
+                status = nxt
+                out.append(Row(order_number=key[0], status=nxt, ts=r.ts))
+        if status is not None:
+            self.status.update((status,))
+        return iter(out)
+
+    def close(self) -> None:
+        pass
