@@ -41,11 +41,21 @@ def price_lines(lines: DataFrame, latest: DataFrame) -> DataFrame:
             .withColumn("found", F.coalesce(F.col("found"), F.lit(False))))
 
 
+def order_line_summary(priced: DataFrame) -> DataFrame:
+    """Per order, in one partial aggregate: line count, total of the priced
+    lines, and how many lines have no product row (the D2 reject signal)."""
+    missing = ~F.col("found")
+    return priced.groupBy("order_number").agg(
+        F.count(F.lit(1)).alias("line_count"),
+        F.sum(F.when(missing, 1).otherwise(0)).alias("missing_lines"),
+        F.min(F.when(missing, F.col("sku"))).alias("first_missing_sku"),
+        F.sum(line_amount(F.col("price"), F.col("qty"))).alias("total"))
+
+
 def rejected_orders(priced: DataFrame) -> DataFrame:
     """D2 rejects: orders with at least one SKU not in the product cache."""
-    return (priced.filter(~F.col("found"))
-            .groupBy("order_number")
-            .agg(F.count(F.lit(1)).alias("missing_lines"), F.min("sku").alias("first_missing_sku")))
+    return (order_line_summary(priced).filter(F.col("missing_lines") > 0)
+            .select("order_number", "missing_lines", "first_missing_sku"))
 
 
 def accepted_lines(priced: DataFrame) -> DataFrame:
@@ -61,13 +71,15 @@ def accepted_lines(priced: DataFrame) -> DataFrame:
 
 def order_totals(orders_placed: DataFrame, priced: DataFrame) -> DataFrame:
     """E1 + C1: order total = sum(price x qty), exact decimal; 0 for no lines;
-    orders with an unknown SKU are not saved (D2)."""
-    good = accepted_lines(priced)
-    per_order = (good.groupBy("order_number")
-                 .agg(F.count(F.lit(1)).alias("line_count"), F.sum("line_amount").alias("total")))
-    bad = priced.filter(~F.col("found")).select("order_number")
-    saved = orders_placed.select("order_number").join(bad, "order_number", "left_anti")
-    return (saved.join(per_order, "order_number", "left")
+    orders with an unknown SKU are not saved (D2).
+
+    One scan of the lines, one aggregate per order (map-side partial), one
+    join with the placed orders: a rejected order is recognised from the
+    same aggregate that totals it.
+    """
+    summary = order_line_summary(priced)
+    j = orders_placed.select("order_number").join(summary, "order_number", "left")
+    return (j.filter(F.coalesce(F.col("missing_lines"), F.lit(0)) == 0)
             .select("order_number",
                     F.coalesce(F.col("line_count"), F.lit(0)).cast("bigint").alias("line_count"),
                     F.coalesce(F.col("total"), F.lit(0)).cast(MONEY).alias("total_price")))
