@@ -88,4 +88,22 @@ def catalog_feed(product: DataFrame, variant: DataFrame, initial_quantity: int =
     return cache.unionByName(created)
 
 
+def merge_feed(merged: DataFrame, product: DataFrame) -> DataFrame:
+    """I2 after a D7 merge: the product's variants after the save each send a
+    cache row and a stock-created row with 0 (which *adds* 0, despite the
+    intent to reset). A product whose request had a null variant list sends
+    nothing, so a base-price change leaves cached prices stale (KEEP rows)."""
+    kept = merged.filter(F.col("action").isin("UPDATE", "INSERT"))
+    p = product.select("product_id", "name", F.col("image_url").alias("p_image"))
+    j = kept.join(p, "product_id")
+    cache = j.select(F.lit("cache").alias("feed"), "sku", "name", F.col("price").cast(MONEY).alias("price"),
+                     image_fallback(F.col("image_url"), F.col("p_image")).alias("image_url"), "color", "size",
+                     F.lit(None).cast("int").alias("initial_quantity"))
+    created = j.select(F.lit("created").alias("feed"), "sku", F.lit(None).cast("string").alias("name"),
+                       F.lit(None).cast(MONEY).alias("price"), F.lit(None).cast("string").alias("image_url"),
+                       F.lit(None).cast("string").alias("color"), F.lit(None).cast("string").alias("size"),
+                       F.lit(UPDATE_INITIAL_QUANTITY).cast("int").alias("initial_quantity"))
+    return cache.unionByName(created)
+
+
 __all__ = ["catalog_document", "variant_merge", "duplicate_sku", "catalog_feed", "UPDATE_INITIAL_QUANTITY"]

@@ -457,7 +457,7 @@ def q_catalog_document(spark, sf):
     return K.catalog_document(FX.product(spark, sf), FX.variant(spark, sf), FX.image(spark, sf))
 
 
-@register("variant_merge", with_ctes("""WITH pr AS (SELECT product_id, product_id % 10 <> 0 AS has_list,
+DERIVED["merged"] = ("SELECT * FROM (" + """WITH pr AS (SELECT product_id, product_id % 10 <> 0 AS has_list,
       base_price, image_url AS p_image FROM product),
     s AS (SELECT * FROM variant WHERE product_id IN (SELECT product_id FROM pr)),
     r AS (SELECT * FROM variant_req WHERE product_id IN (SELECT product_id FROM pr)),
@@ -478,15 +478,25 @@ def q_catalog_document(spark, sf):
         AS price,
       CASE WHEN action IN ('UPDATE', 'INSERT') THEN p_image ELSE o_image END AS image_url,
       CASE WHEN action IN ('UPDATE', 'INSERT') THEN true ELSE o_active END AS is_active,
-      (CASE WHEN action = 'INSERT' THEN 0 ELSE coalesce(old_gallery, 0) END)::BIGINT AS gallery_size FROM k"""
-                                     .replace("WITH pr AS", "SELECT * FROM (WITH pr AS", 1) + ")",
-                                     "product", "variant", "variant_req", "image"))
+      (CASE WHEN action = 'INSERT' THEN 0 ELSE coalesce(old_gallery, 0) END)::BIGINT AS gallery_size FROM k""" + ")", ("product", "variant", "variant_req", "image"))
+
+
+@register("variant_merge", with_ctes("SELECT * FROM merged", "merged"))
 def q_variant_merge(spark, sf):
     product = FX.product(spark, sf)
     preq = product.select("product_id", (F.col("product_id") % 10 != 0).alias("has_list"))
     return K.variant_merge(product, preq, FX.variant(spark, sf), FX.variant_req(spark, sf), FX.image(spark, sf))
 
 
+@register("variant_merge_feed", with_ctes("""SELECT 'cache' AS feed, m.sku, p.name, m.price,
+    coalesce(m.image_url, p.image_url) AS image_url, m.color, m.size, NULL::INTEGER AS initial_quantity
+    FROM merged m JOIN product p USING (product_id) WHERE m.action IN ('UPDATE', 'INSERT')
+    UNION ALL SELECT 'created', m.sku, NULL, NULL, NULL, NULL, NULL, 0 FROM merged m JOIN product p
+    USING (product_id) WHERE m.action IN ('UPDATE', 'INSERT')""", "merged", "product"))
+def q_variant_merge_feed(spark, sf):
+    return K.merge_feed(q_variant_merge(spark, sf), FX.product(spark, sf))
+
+
 @register("duplicate_sku", with_ctes("""SELECT product_id, sku, count(*)::BIGINT AS n FROM (
     SELECT * FROM variant UNION ALL SELECT * FROM variant WHERE product_id % 50 = 0)
     GROUP BY product_id, sku HAVING count(*) > 1""", "variant"))

@@ -69,6 +69,15 @@ def stream_cart_sessions(adds: DataFrame, gap: str = "24 hours") -> DataFrame:
             .agg(F.count(F.lit(1)).cast("bigint").alias("n_adds"), F.sum("qty").cast("bigint").alias("qty")))
 
 
+def stream_dedup_first(placed: DataFrame, key: str = "order_number", delay: str = "2 hours") -> DataFrame:
+    """G4 streaming: a replayed event (same unique key) is dropped. Keys are
+    kept in state only until the watermark passes ``delay``, which bounds the
+    state; a replay arriving later than that is late data and dropped too."""
+    if dict(placed.dtypes)["ts"] == "timestamp_ntz":
+        placed = placed.withColumn("ts", F.col("ts").cast("timestamp"))
+    return placed.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+
+
 # --- registered runs ---------------------------------------------------------
 
 def _stage(spark: SparkSession, df: DataFrame, name: str, col: str = "ts", slices: int = 4) -> DataFrame:
@@ -87,6 +96,18 @@ def q_stream_events_scan(spark, sf):
     return latest_per_key(run_to_table(agg, "events_scan", "update"), ["event_type"])
 
 
+@register("stream_dedup_orders", ORACLES["dedup_orders"])
+def q_stream_dedup_orders(spark, sf):
+    """G4 streaming: originals arrive first (in time slices), replays after."""
+    from ..plans.registry import _placed_with_replays
+    ev = _placed_with_replays(spark, sf)
+    path = scratch_path(spark, "placed-in")
+    stage_ordered(ev.filter(F.col("attempt") == 0), path, slices=3)
+    stage_ordered(ev.filter(F.col("attempt") > 0), path, slices=2)
+    out = run_to_table(stream_dedup_first(read_staged(spark, path, ev.schema)), "dedup", "append")
+    return out.select("order_number", "user_id", fmt_ts(F.col("ts").cast("timestamp_ntz")).alias("ts"), "attempt")
+
+
 @register("stream_stock", with_ctes("SELECT sku, stock FROM stock_final", "stock_final"))
 def q_stream_stock(spark, sf):
     src = _stage(spark, _changes(spark, sf), "changes")

@@ -143,3 +143,35 @@ def test_lenient_decode(spark):
     raw = spark.createDataFrame([(1, 'xx{"k": 3}'), (2, None), (3, "no brace")], "event_id long, raw string")
     got = {r.event_id: (r.cleaned, r.k) for r in EV.decode_payload(raw).collect()}
     assert got == {1: ('{"k": 3}', 3), 2: ("", None), 3: ("no brace", None)}
+
+
+def test_feed_size_and_repeated_warmup_adds(spark):
+    from emporia.operators import catalog as K
+    product = spark.createDataFrame([(1, "p", "1.00", "img/p1"), (2, "q", "2.00", "img/p2")],
+                                    "product_id long, name string, base_price string, image_url string") \
+        .withColumn("base_price", F.col("base_price").cast("decimal(18,2)"))
+    variant = spark.createDataFrame([(1, "S1", "c", "m", None, None, None), (1, "S2", "c", "l", None, "v2", True)],
+                                    "product_id long, sku string, color string, size string, price decimal(18,2), "
+                                    "image_url string, is_active boolean")
+    feed = K.catalog_feed(product, variant)
+    assert feed.count() == 4  # E10: 2 variants sent; product 2 has none and sends nothing (B7)
+    cache = {r.sku: (str(r.price), r.image_url) for r in feed.filter("feed = 'cache'").collect()}
+    assert cache == {"S1": ("1.00", "img/p1"), "S2": ("1.00", "v2")}
+    created = feed.filter("feed = 'created'").select("sku", F.col("initial_quantity").alias("q"))
+    twice = created.unionByName(created).select(
+        "sku", F.col("q").cast("bigint").alias("chg"), F.lit(T0).cast("timestamp_ntz").alias("ts"),
+        F.monotonically_increasing_id().alias("l_orderkey"), F.lit(0).alias("l_linenumber"),
+        F.lit(0).cast("bigint").alias("l_suppkey"), F.lit("created").alias("source"))
+    assert {r.sku: r.stock for r in ST.stock_level(twice).collect()} == {"S1": 2000, "S2": 2000}
+
+
+def test_null_variant_list_sends_no_feed(spark):
+    from emporia.operators import catalog as K
+    merged = spark.createDataFrame([(1, "S1", "KEEP"), (2, "S2", "UPDATE"), (2, "S3", "DELETE"), (2, "S4", "INSERT")],
+                                   "product_id long, sku string, action string") \
+        .select("*", F.lit("c").alias("color"), F.lit("m").alias("size"),
+                F.lit("1.00").cast("decimal(18,2)").alias("price"), F.lit(None).cast("string").alias("image_url"))
+    product = spark.createDataFrame([(1, "p", "img/p1"), (2, "q", "img/p2")],
+                                    "product_id long, name string, image_url string")
+    got = sorted((r.feed, r.sku, r.initial_quantity) for r in K.merge_feed(merged, product).collect())
+    assert got == [("cache", "S2", None), ("cache", "S4", None), ("created", "S2", 0), ("created", "S4", 0)]
