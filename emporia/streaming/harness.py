@@ -45,10 +45,23 @@ def read_staged(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def ensure_rocksdb(spark: SparkSession) -> None:
+    """State API v2 (``transformWithState``) needs the RocksDB state store;
+    set it for this session's new streams when nothing is configured."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    current = spark.conf.get(key, None)
+    if not current or "HDFSBackedStateStoreProvider" in current:
+        spark.conf.set(key, ROCKSDB)
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None,
                  out: str | None = None) -> DataFrame:
     """Drain ``stream`` with AvailableNow into an idempotent per-batch table."""
     spark = stream.sparkSession
+    ensure_rocksdb(spark)
     out = out or scratch_path(spark, f"{name}-out")
     ckpt = checkpoint or scratch_path(spark, f"{name}-ckpt")
 
