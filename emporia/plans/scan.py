@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import default_partitions
 
 
 def _kernel(keys: Sequence[str], sums: Sequence[str], extrema: Sequence[str], lags: Sequence[str]):
@@ -122,12 +121,24 @@ def _kernel(keys: Sequence[str], sums: Sequence[str], extrema: Sequence[str], la
     return run
 
 
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None) -> DataFrame:
+    """Range partitioning by (keys, order), sorted inside each partition.
+
+    Without an explicit count the exchange starts at
+    ``spark.sql.shuffle.partitions`` and AQE may coalesce neighbouring range
+    partitions by measured size; coalescing keeps the range order, and the
+    carry bound (two edge rows per partition) only gets smaller.
+    """
+    ranged = (df.repartitionByRange(partitions, *keys, *order) if partitions
+              else df.repartitionByRange(*keys, *order))
+    return ranged.sortWithinPartitions(*keys, *order)
+
+
 def local_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Iterable[str] = (),
                extrema: Iterable[str] = (), lags: Iterable[str] = (), partitions: int | None = None) -> DataFrame:
     """Range-partition by (keys, order) and add the local running columns."""
     sums, extrema, lags = list(sums), list(extrema), list(lags)
-    n = partitions or default_partitions(df.sparkSession)
-    ranged = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+    ranged = _ranged(df, keys, order, partitions)
     fields = list(df.schema.fields)
     fields.append(T.StructField("_cnt", T.LongType()))
     for c in sums:
@@ -276,8 +287,7 @@ def clamped_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], co
                     out_col: str = "value", partitions: int | None = None) -> DataFrame:
     """Per row, the value of the fold ``s <- min(hi, max(lo, s + col))`` from
     s = 0 over the key's rows in ``order`` (inclusive of the row)."""
-    n = partitions or default_partitions(df.sparkSession)
-    ranged = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+    ranged = _ranged(df, keys, order, partitions)
     schema = T.StructType(list(df.schema.fields) + [
         T.StructField("_S", T.LongType()), T.StructField("_L", T.LongType()), T.StructField("_H", T.LongType()),
         T.StructField("_first", T.BooleanType()), T.StructField("_part", T.IntegerType()),

@@ -29,6 +29,23 @@ BASE_CONF = {
 }
 
 
+# Suggested starting point for a large cluster (~100 TB inputs, ~1000
+# executors). Shuffle partitions start high and AQE coalesces them to the
+# advisory size; skewed join partitions are split; input splits are large
+# enough to keep the task count sane.
+CLUSTER_CONF = {
+    **BASE_CONF,
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app_name: str = "emporia", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)

@@ -56,3 +56,19 @@ def test_hot_key_is_split_across_partitions(spark):
     parts = local_scan(df, ["k"], ["seq"], sums=["c"], partitions=6).filter("k = 'HOT'") \
         .select("_part").distinct().count()
     assert parts >= 4
+
+
+def test_aqe_sized_range_partitions(spark):
+    rows = _rows(3, n=3000)
+    df = spark.createDataFrame(rows, "k string, seq long, c long")
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "2k")
+    try:
+        got_r = {r.seq: (r.row_number, r.run_c, r.prev_seq)
+                 for r in keyed_running(df, ["k"], ["seq"], sums=["c"], lags=["seq"]).collect()}
+        got_c = {r.seq: r.v for r in clamped_running(df, ["k"], ["seq"], "c", 0, INT_MAX, out_col="v").collect()}
+    finally:
+        spark.conf.set(key, old)
+    exp_r, exp_c = _brute(rows)
+    assert got_r == exp_r and got_c == exp_c
