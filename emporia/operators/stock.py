@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import (ERR_INVALID_JSON, ERR_NEGATIVE, ERR_QTY_REQUIRED, ERR_SKU_REQUIRED, ERR_ZERO,
                                  INT_MAX, fmt_ts, floor_zero, tolerant_int)
-from ..plans.scan import clamped_running
+from ..plans.scan import clamped_final, clamped_running
 
 CHANGE_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_suppkey", "chg"]
 
@@ -34,12 +34,10 @@ def stock_running(changes: DataFrame, order=CHANGE_ORDER) -> DataFrame:
 
 
 def stock_level(changes: DataFrame, order=CHANGE_ORDER) -> DataFrame:
-    """Final stock per SKU = last step of the fold (partial ``max_by``)."""
-    run = stock_running(changes, order)
-    seq = F.struct(*[F.col(c) for c in order])
-    return (run.groupBy("sku")
-            .agg(F.max_by("stock", seq).cast("bigint").alias("stock"),
-                 F.count(F.lit(1)).cast("bigint").alias("n_changes")))
+    """Final stock per SKU: one range-partitioned pass composing each
+    SKU's clamp steps (no per-row output, no join)."""
+    f = clamped_final(changes, ["sku"], list(order), "chg", 0, INT_MAX, out_col="stock")
+    return f.select("sku", F.col("stock").cast("bigint").alias("stock"), F.col("n").alias("n_changes"))
 
 
 def adjustment_validate(raw: DataFrame) -> DataFrame:

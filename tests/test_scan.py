@@ -72,3 +72,25 @@ def test_aqe_sized_range_partitions(spark):
         spark.conf.set(key, old)
     exp_r, exp_c = _brute(rows)
     assert got_r == exp_r and got_c == exp_c
+
+
+def test_results_do_not_depend_on_exchange_reuse(spark):
+    from emporia.plans.scan import clamped_final
+    rows = _rows(5, n=2500)
+    df = spark.createDataFrame(rows, "k string, seq long, c long")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        final = {r.k: (r.v, r.n) for r in clamped_final(df, ["k"], ["seq"], "c", 0, INT_MAX, out_col="v",
+                                                        partitions=6).collect()}
+        run_c = {r.seq: r.v for r in clamped_running(df, ["k"], ["seq"], "c", 0, INT_MAX, out_col="v",
+                                                     partitions=6).collect()}
+        run_k = {r.seq: r.row_number for r in keyed_running(df, ["k"], ["seq"], partitions=6).collect()}
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", "true")
+    running, clamped = _brute(rows)
+    assert run_c == clamped
+    assert run_k == {s: v[0] for s, v in running.items()}
+    last = {}
+    for k, seq, _ in sorted(rows, key=lambda r: r[1]):
+        last[k] = (clamped[seq], last.get(k, (0, 0))[1] + 1)
+    assert final == last
