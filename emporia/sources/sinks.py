@@ -10,11 +10,16 @@ from ..session import default_partitions
 
 def write_keyed(df: DataFrame, key: str, path: str, buckets: int | None = None) -> None:
     """Keyed sink; the key decides the partition (as a topic partitioner
-    would). Rows are hash-partitioned by key and each bucket lands in its
-    own directory, so a reader of one key scans one bucket."""
+    would): each key's rows land in the directory of its hash bucket, so a
+    reader of one key scans one bucket. Writers are range-partitioned by
+    (bucket, key), so a hot bucket or key is written by several tasks into
+    the same directory instead of one task holding it all."""
     n = buckets or default_partitions(df.sparkSession)
     b = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
-    (df.withColumn("bucket", b).repartition(n, "bucket").sortWithinPartitions(key)
+    # a deterministic row hash breaks ties, so even one hot key spreads over tasks
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    (df.withColumn("bucket", b).withColumn("_tie", tie)
+     .repartitionByRange("bucket", key, "_tie").sortWithinPartitions("bucket", key).drop("_tie")
      .write.mode("overwrite").partitionBy("bucket").parquet(path))
 
 
