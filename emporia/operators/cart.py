@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MONEY, fmt_ts, unknown_product_name, unknown_product_price
-from ..plans.scan import keyed_running
+from ..plans.scan import gap_sessions, keyed_running
 
 SEQ = ("ts", "event_id")
 
@@ -91,15 +91,21 @@ def items_text(items: F.Column, with_price: bool = True) -> F.Column:
     return F.array_join(F.transform(items, f), ";")
 
 
-def cart_sessions(ev: DataFrame, gap: str = "24 hours") -> DataFrame:
+CART_TTL_SECONDS = 24 * 3600
+
+
+def cart_sessions(ev: DataFrame, gap_seconds: int = CART_TTL_SECONDS) -> DataFrame:
     """J5 (batch form): a cart expires ``gap`` after the user's last add
-    (every add renews it, a remove does not); one row per cart session.
+    (every add renews it, a remove does not); one row per cart session, its
+    end being the expiry time (last add + gap).
 
-    ``session_window`` is Spark's built-in: sessions are merged locally per
-    partition before the shuffle, then finally per user.
+    Built on the skew-safe gap sessionizer: Spark's batch ``session_window``
+    would send all of a user's adds to one task; here a hot user's adds are
+    split by range over many tasks and the sessions are stitched at the
+    partition edges.
     """
-    adds = ev.filter(F.col("kind") == "add")
-    s = adds.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_adds"), F.sum("qty").cast("bigint").alias("qty"))
-    return s.select("user_id", fmt_ts(F.col("w.start")).alias("session_start"),
-                    fmt_ts(F.col("w.end")).alias("session_end"), "n_adds", "qty")
+    adds = ev.filter(F.col("kind") == "add").select("user_id", "ts", "event_id", F.col("qty").cast("bigint"))
+    s = gap_sessions(adds, "user_id", "ts", ["event_id"], gap_seconds, sums=["qty"])
+    end = F.col("end") + F.expr(f"INTERVAL {gap_seconds} SECONDS")
+    return s.select("user_id", fmt_ts(F.col("start")).alias("session_start"), fmt_ts(end).alias("session_end"),
+                    F.col("n").cast("bigint").alias("n_adds"), F.col("qty").cast("bigint").alias("qty"))

@@ -368,3 +368,103 @@ def materialize(df: DataFrame) -> DataFrame:
 
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# ---------------------------------------------------------------------------
+# Gap sessions per key, skew-safe: a new session starts when the time since
+# the key's previous row exceeds ``gap``. Each partition emits the sessions of
+# its runs; only a session touching the first or last row of a run in its
+# partition can continue into a neighbour (at most two per partition), so the
+# stitching works on a table bounded by twice the partition count.
+# ---------------------------------------------------------------------------
+
+def _session_kernel(key: str, ts: str, gap_us: int, sums: Sequence[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        ctx = TaskContext.get()
+        part = ctx.partitionId() if ctx is not None else 0
+        open_s = None          # the last session seen, maybe continued by the next batch
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            k = pdf[key].to_numpy()
+            t = pdf[ts].to_numpy().astype("datetime64[us]").astype("int64")
+            new_run = np.zeros(n, dtype=bool)
+            new_run[1:] = k[1:] != k[:-1]
+            brk = np.zeros(n, dtype=bool)
+            brk[1:] = (t[1:] - t[:-1]) > gap_us
+            if open_s is None:
+                new_run[0] = True
+            else:
+                new_run[0] = k[0] != open_s["k"]
+                brk[0] = (not new_run[0]) and (t[0] - open_s["end"]) > gap_us
+            new_s = new_run | brk
+            sid = np.cumsum(new_s)                       # 0 = continues the open session
+            grp = pd.DataFrame({"sid": sid, "t": t, **{c: pdf[c].to_numpy() for c in sums}}).groupby("sid")
+            agg = grp.agg(start=("t", "min"), end=("t", "max"), n=("t", "size"),
+                          **{c: (c, "sum") for c in sums})
+            firsts = np.flatnonzero(new_s)
+            sess_keys = list(k[firsts]) if len(firsts) else []
+            first_in_run = list(new_run[firsts]) if len(firsts) else []
+            rows = []
+            ids = list(agg.index)
+            for pos, s_id in enumerate(ids):
+                a = agg.loc[s_id]
+                if s_id == 0:
+                    open_s["end"] = int(a["end"])
+                    open_s["n"] += int(a["n"])
+                    for c in sums:
+                        open_s[c] += a[c]
+                    continue
+                j = s_id - 1                              # index into firsts
+                cur = {"k": sess_keys[j], "start": int(a["start"]), "end": int(a["end"]), "n": int(a["n"]),
+                       "first": bool(first_in_run[j]), **{c: a[c] for c in sums}}
+                if open_s is not None:
+                    open_s["last"] = bool(new_run[firsts[j]])
+                    rows.append(open_s)
+                open_s = cur
+            if rows:
+                yield _sessions_frame(rows, key, ts, sums, part)
+        if open_s is not None:
+            open_s["last"] = True
+            yield _sessions_frame([open_s], key, ts, sums, part)
+
+    return run
+
+
+def _sessions_frame(rows, key, ts, sums, part) -> pd.DataFrame:
+    return pd.DataFrame({
+        key: [r["k"] for r in rows], "_part": part,
+        "start": pd.to_datetime([r["start"] for r in rows], unit="us"),
+        "end": pd.to_datetime([r["end"] for r in rows], unit="us"),
+        "n": [r["n"] for r in rows], **{c: [r[c] for r in rows] for c in sums},
+        "_first": [r["first"] for r in rows], "_last": [r["last"] for r in rows]})
+
+
+def gap_sessions(df: DataFrame, key: str, ts: str, tiebreak: Sequence[str], gap_seconds: int,
+                 sums: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """Sessions per ``key``: (key, start, end = last row's ts, n, sum of each
+    ``sums`` column). Rows are ordered by (ts, *tiebreak); a gap of exactly
+    ``gap_seconds`` continues the session."""
+    sums = list(sums)
+    ranged = _ranged(df, [key], [ts, *tiebreak], partitions)
+    tstype = df.schema[ts].dataType
+    schema = T.StructType([df.schema[key], T.StructField("_part", T.IntegerType()),
+                           T.StructField("start", tstype), T.StructField("end", tstype),
+                           T.StructField("n", T.LongType())]
+                          + [T.StructField(c, T.LongType()) for c in sums]
+                          + [T.StructField("_first", T.BooleanType()), T.StructField("_last", T.BooleanType())])
+    sess = materialize(ranged.select(key, ts, *tiebreak, *sums)
+                       .mapInPandas(_session_kernel(key, ts, gap_seconds * 1_000_000, sums), schema))
+    inner = sess.filter(~F.col("_first") & ~F.col("_last")).select(key, "start", "end", "n", *sums)
+    edge = sess.filter(F.col("_first") | F.col("_last"))
+    w = Window.partitionBy(key).orderBy("_part", "start")
+    cont = (F.lag("_last").over(w) & F.col("_first") & (F.lag("_part").over(w) < F.col("_part"))
+            & (F.col("start") <= F.lag("end").over(w) + F.expr(f"INTERVAL {gap_seconds} SECONDS")))
+    marked = edge.withColumn("_new", F.when(F.coalesce(cont, F.lit(False)), 0).otherwise(1))
+    marked = marked.withColumn("_sid", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    stitched = marked.groupBy(key, "_sid").agg(F.min("start").alias("start"), F.max("end").alias("end"),
+                                               F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums])
+    return inner.unionByName(stitched.select(key, "start", "end", "n", *sums))

@@ -94,3 +94,33 @@ def test_results_do_not_depend_on_exchange_reuse(spark):
     for k, seq, _ in sorted(rows, key=lambda r: r[1]):
         last[k] = (clamped[seq], last.get(k, (0, 0))[1] + 1)
     assert final == last
+
+
+def test_gap_sessions_match_brute_force_with_hot_key(spark):
+    import datetime as dt
+    from emporia.plans.scan import gap_sessions
+    rnd = random.Random(9)
+    t0 = dt.datetime(2024, 1, 1)
+    rows, clock = [], {}
+    for i in range(3000):
+        u = 1 if rnd.random() < 0.5 else rnd.randint(2, 15)
+        step = rnd.choice([0, 3600, 86400, 86400, 86401, 200000])   # includes gaps of exactly 24 h
+        clock[u] = clock.get(u, 0) + step
+        rows.append((u, t0 + dt.timedelta(seconds=clock[u]), i, rnd.randint(1, 3)))
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, event_id long, qty long")
+    got = sorted((r.user_id, r.start, r.end, r.n, r.qty)
+                 for r in gap_sessions(df, "user_id", "ts", ["event_id"], 86400, sums=["qty"],
+                                       partitions=7).collect())
+    exp = []
+    for u in sorted(clock):
+        rs = sorted((r for r in rows if r[0] == u), key=lambda r: (r[1], r[2]))
+        cur = None
+        for _, ts, _, q in rs:
+            if cur and (ts - cur[2]).total_seconds() <= 86400:
+                cur = [u, cur[1], ts, cur[3] + 1, cur[4] + q]
+            else:
+                if cur:
+                    exp.append(tuple(cur))
+                cur = [u, ts, ts, 1, q]
+        exp.append(tuple(cur))
+    assert got == sorted(exp)
