@@ -15,6 +15,7 @@ session's shared folder (``spark.checkpoint.dir``).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -27,18 +28,24 @@ def stage_ordered(df: DataFrame, path: str, ts_col: str = "ts", slices: int = 4)
     dtype = dict(df.dtypes)[ts_col]
     num = (F.unix_micros(F.col(ts_col).cast("timestamp")) if dtype.startswith("timestamp")
            else F.col(ts_col).cast("bigint"))
-    probs = [i / slices for i in range(1, slices)]
-    qs = df.select(num.alias("n")).approxQuantile("n", probs, 0.001) if probs else []
-    bounds = sorted({int(q) for q in qs})
-    edges = [None, *bounds, None]
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (num >= lo)
-        if hi is not None:
-            cond = cond & (num < hi)
-        # one file per slice: the file source orders files by modification time
-        df.filter(cond).repartition(1).write.mode("append").parquet(path)
+    # the slices are written one after another; keep the derived input for
+    # the duration of the staging instead of deriving it once per slice
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        probs = [i / slices for i in range(1, slices)]
+        qs = df.select(num.alias("n")).approxQuantile("n", probs, 0.001) if probs else []
+        bounds = sorted({int(q) for q in qs})
+        edges = [None, *bounds, None]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            cond = F.lit(True)
+            if lo is not None:
+                cond = cond & (num >= lo)
+            if hi is not None:
+                cond = cond & (num < hi)
+            # one file per slice: the file source orders files by modification time
+            df.filter(cond).repartition(1).write.mode("append").parquet(path)
+    finally:
+        df.unpersist()
 
 
 def read_staged(spark: SparkSession, path: str, schema) -> DataFrame:
