@@ -105,5 +105,3 @@ def merge_feed(merged: DataFrame, product: DataFrame) -> DataFrame:
                        F.lit(UPDATE_INITIAL_QUANTITY).cast("int").alias("initial_quantity"))
     return cache.unionByName(created)
 
-
-__all__ = ["catalog_document", "variant_merge", "duplicate_sku", "catalog_feed", "UPDATE_INITIAL_QUANTITY"]

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import (MSG_ORDER_PLACED, PAYMENT_DECLINED_REASON, STATUS_COMPLETED, STATUS_FAILED,
+from ..functions.scalars import (PAYMENT_DECLINED_REASON, STATUS_COMPLETED, STATUS_FAILED,
                                  STATUS_PAYMENT_FAILED, STATUS_PENDING, STATUS_VALIDATED, compensation_reason,
                                  fmt_ts, status_message)
 
@@ -124,6 +124,3 @@ def notification_feed(placed: DataFrame, log: DataFrame, outcomes: DataFrame) ->
     u = a.unionByName(b).unionByName(c).unionByName(d)
     return u.select("order_number", "status", status_message(F.col("status"), F.col("r")).alias("message"))
 
-
-__all__ = ["status_summary", "final_status", "transitions", "orders_processed", "payment_gate",
-           "restock_compensation", "orphan_events", "notification_feed", "MSG_ORDER_PLACED"]

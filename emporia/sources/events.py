@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import PAYMENT_DECLINED_REASON, cut_to_brace, replay_safe_id
 
-# Topics the order listener handles, and what each one triggers.
+# ---------------------------------------------------------------------------
+# Topic names must equal the reference's. The topics the order
+# listener handles, and what each one triggers; any other topic is dropped.
+# ---------------------------------------------------------------------------
 HANDLED_TOPICS = {
     "order-placed-topic": "placement",
     "order-failed-topic": "failure",
