@@ -26,3 +26,78 @@ def test_restart_and_replay_match_batch(spark):
     n_batches = read_output(spark, out, None).select("batch_id").distinct().count()
     run_to_table(J.stream_stock(read_staged(spark, src, changes.schema)), "j8", "update", checkpoint=ck, out=out)
     assert read_output(spark, out, None).select("batch_id").distinct().count() == n_batches
+
+
+
+class _Value:
+    def __init__(self):
+        self.v = None
+
+    def get(self):
+        return self.v
+
+    def update(self, v):
+        self.v = v
+
+    def clear(self):
+        self.v = None
+
+
+class _List:
+    def __init__(self):
+        self.v = []
+
+    def get(self):
+        return iter(self.v)
+
+    def appendList(self, xs):
+        self.v.extend(xs)
+
+    def clear(self):
+        self.v = []
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getValueState(self, name, schema):
+        return _Value()
+
+    def getListState(self, name, schema):
+        return _List()
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class _Clock:
+    def getCurrentProcessingTimeInMs(self):
+        return 1000
+
+
+def test_saga_expiry_clears_state():
+    """J3 processor: the saga registers a timer at creation + TTL; when it
+    fires the record is dropped, so a late result starts over (stays PENDING)."""
+    from pyspark.sql import Row
+
+    from emporia.streaming.processors import Gather
+
+    def res(sku, line, ok=True):
+        return Row(order_number="o1", sku=sku, success=ok, reason=None, l_linenumber=line, l_partkey=line,
+                   l_suppkey=1, qty=1, total_items=2)
+
+    g = Gather(expire_ms=600_000)
+    h = _Handle()
+    g.init(h)
+    out = list(g.handleInputRows(("o1",), iter([res("A", 1)]), _Clock()))
+    assert h.timers == [601_000] and out[0].outcome == "PENDING"
+    assert list(g.handleExpiredTimer(("o1",), _Clock(), None)) == []
+    out = list(g.handleInputRows(("o1",), iter([res("B", 2)]), _Clock()))
+    assert (out[0].outcome, out[0].received) == ("PENDING", 1)
+    # without expiry the same two results validate the order, and a repeat is counted once
+    g2 = Gather(expire_ms=None)
+    g2.init(_Handle())
+    list(g2.handleInputRows(("o1",), iter([res("A", 1)]), _Clock()))
+    out = list(g2.handleInputRows(("o1",), iter([res("B", 2), res("A", 1)]), _Clock()))
+    assert (out[0].outcome, out[0].received) == ("VALIDATED", 2)
