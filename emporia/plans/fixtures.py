@@ -92,6 +92,15 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
+def line_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines without the order date: lineitem only, for jobs that end in
+    a join with the orders anyway (no lineitem x orders join up front)."""
+    li = table(spark, sf, "lineitem")
+    return li.select(
+        F.col("l_orderkey").cast("string").alias("order_number"), sku_of(F.col("l_partkey")).alias("sku"),
+        F.col("l_quantity").cast("int").alias("qty"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
 LINE_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "qty"]
 
 

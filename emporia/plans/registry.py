@@ -135,10 +135,17 @@ def _priced(spark, sf):
     return O.price_lines(FX.lines(spark, sf), O.product_latest(FX.product_feed(spark, sf)))
 
 
+def _priced_items(spark, sf):
+    """Priced lines without the order date. Totals end in a left join from
+    the placed orders, so joining lineitem with orders up front (only for a
+    date the totals never use) would be a second large join for nothing."""
+    return O.price_lines(FX.line_items(spark, sf), O.product_latest(FX.product_feed(spark, sf)))
+
+
 @register("order_totals", with_ctes("SELECT * FROM order_totals_q", "order_totals_q"))
 def q_order_totals(spark, sf):
     """E1 + D2 + C1 (the flagship)."""
-    return O.order_totals(FX.placed(spark, sf), _priced(spark, sf))
+    return O.order_totals(FX.placed(spark, sf), _priced_items(spark, sf))
 
 
 @register("product_latest", with_ctes(
@@ -221,7 +228,7 @@ def q_line_quality(spark, sf):
 def q_order_document(spark, sf):
     priced = _priced(spark, sf)
     placed = FX.placed(spark, sf)
-    totals = O.order_totals(placed, priced)
+    totals = O.order_totals(placed, _priced_items(spark, sf))
     fs = S.final_status(S.status_summary(FX.status_log(spark, sf), placed))
     return O.order_document(totals, placed, fs, O.enriched_lines(priced))
 
