@@ -175,3 +175,39 @@ def test_null_variant_list_sends_no_feed(spark):
                                     "product_id long, name string, image_url string")
     got = sorted((r.feed, r.sku, r.initial_quantity) for r in K.merge_feed(merged, product).collect())
     assert got == [("cache", "S2", None), ("cache", "S4", None), ("created", "S2", 0), ("created", "S4", 0)]
+
+
+def test_upsert_latest_replaces_keys_with_the_batch_latest(spark):
+    from emporia.session import scratch_path
+    from emporia.sources import sinks as SK
+    base = scratch_path(spark, "t-upsert-base")
+    spark.createDataFrame([("A", 1, "a1"), ("B", 1, "b1")], "sku string, seq long, name string") \
+        .write.parquet(base)
+    batch = spark.createDataFrame([("B", 3, "b3"), ("B", 2, "b2"), ("C", 2, "c2")], "sku string, seq long, name string")
+    out = SK.upsert_latest(spark, base, batch, "sku", "seq", scratch_path(spark, "t-upsert-v2"))
+    assert sorted(tuple(r) for r in out.collect()) == [("A", 1, "a1"), ("B", 3, "b3"), ("C", 2, "c2")]
+
+
+def test_keyed_sink_puts_a_key_in_one_bucket(spark):
+    from emporia.session import scratch_path
+    from emporia.sources import sinks as SK
+    path = scratch_path(spark, "t-keyed")
+    rows = [("HOT", i) for i in range(300)] + [(f"k{i}", i) for i in range(50)]
+    SK.write_keyed(spark.createDataFrame(rows, "sku string, n long"), "sku", path, buckets=8)
+    back = SK.read_keyed(spark, path)
+    per_key = back.groupBy("sku").agg(F.countDistinct("bucket").alias("b"), F.count(F.lit(1)).alias("c"))
+    assert per_key.filter("b != 1").count() == 0
+    assert back.count() == 350 and per_key.filter("sku = 'HOT'").first().c == 300
+
+
+def test_payment_sees_status_before_it_at_equal_time(spark):
+    log_rows = [("o1", "PAID", T0 + dt.timedelta(hours=5)), ("o1", "VALIDATED", T0 + dt.timedelta(hours=5)),
+                ("o2", "PAID", T0), ("X9", "PAID", T0 + dt.timedelta(hours=1))]
+    log = spark.createDataFrame(log_rows, "order_number string, kind string, ts timestamp_ntz")
+    placed = spark.createDataFrame([("o1", T0), ("o2", T0)], "order_number string, ts timestamp_ntz")
+    trans = S.transitions(S.status_summary(log, placed))
+    got = sorted((r.order_number, r.status_at_arrival)
+                 for r in S.payment_gate(log.filter("kind = 'PAID'"), trans).collect())
+    # o1: VALIDATED and PAID at the same instant -> the payment sees PENDING (placed);
+    # o2: paid at placement time -> nothing strictly before it -> dropped; X9 unknown -> dropped
+    assert got == [("o1", "PENDING")]
