@@ -211,3 +211,44 @@ def test_payment_sees_status_before_it_at_equal_time(spark):
     # o1: VALIDATED and PAID at the same instant -> the payment sees PENDING (placed);
     # o2: paid at placement time -> nothing strictly before it -> dropped; X9 unknown -> dropped
     assert got == [("o1", "PENDING")]
+
+
+def test_failed_order_keeps_taken_stock_and_same_sku_twice(spark):
+    """Quirks 2 and 15: a line refused later does not give back what earlier
+    lines took (only a payment failure restocks); the same SKU on two lines
+    of one order is two independent requests."""
+    opening = spark.createDataFrame([("A", 5), ("B", 0)], "sku string, stock long")
+    rows = [("o1", "A", 3, T0, 1, 1, 1, 1), ("o1", "A", 1, T0, 1, 2, 1, 1), ("o1", "B", 2, T0, 1, 3, 2, 1)]
+    lines = spark.createDataFrame(rows, "order_number string, sku string, qty int, ts timestamp_ntz, l_orderkey long, "
+                                        "l_linenumber int, l_partkey long, l_suppkey long")
+    res = R.reserve(lines, opening=opening).orderBy("l_linenumber").collect()
+    assert [(r.sku, r.success, r.stock_after) for r in res] == [("A", True, 2), ("A", True, 1), ("B", False, 0)]
+    log = spark.createDataFrame([("o1", "FAILED", T0 + dt.timedelta(hours=1))],
+                                "order_number string, kind string, ts timestamp_ntz")
+    placed = spark.createDataFrame([("o1", T0)], "order_number string, ts timestamp_ntz")
+    trans = S.transitions(S.status_summary(log, placed))
+    assert S.restock_compensation(trans, lines).count() == 0
+    log2 = spark.createDataFrame([("o1", "PAY_FAILED", T0 + dt.timedelta(hours=1))],
+                                 "order_number string, kind string, ts timestamp_ntz")
+    comp = S.restock_compensation(S.transitions(S.status_summary(log2, placed)), lines).collect()
+    assert sorted((r.sku, r.adjustment_quantity) for r in comp) == [("A", 1), ("A", 3), ("B", 2)]
+    assert comp[0].reason == "COMPENSATION: Payment Failed for Order o1"
+
+
+def test_cart_price_is_dropped_and_rejected_order_still_notified(spark):
+    """Quirks 7, 1 and 8: the order request carries no cart price; an order
+    rejected for an unknown SKU is not saved but its PENDING notice is sent;
+    an order without lines stays PENDING."""
+    ck = spark.createDataFrame([(1, 10, [("A", 2, "9.99")])],
+                               "user_id long, checkout_id long, items array<struct<sku:string,qty:int,price:string>>")
+    req = O.checkout_to_order(ck).first()
+    assert [tuple(i) for i in req.items] == [("A", 2)] and len(req.order_number) == 64
+    placed = spark.createDataFrame([("o1", T0), ("o2", T0)], "order_number string, ts timestamp_ntz")
+    log = spark.createDataFrame([], "order_number string, kind string, ts timestamp_ntz")
+    outcomes = spark.createDataFrame([], "order_number string, outcome string, reason string")
+    feed = {(r.order_number, r.status) for r in S.notification_feed(placed, log, outcomes).collect()}
+    assert feed == {("o1", "PENDING"), ("o2", "PENDING")}
+    items = spark.createDataFrame([("o2", 0)], "order_number string, total_items long")
+    empty = spark.createDataFrame([], "order_number string, sku string, success boolean, reason string, "
+                                      "l_linenumber int, l_partkey long, l_suppkey long, qty int")
+    assert O.order_outcome(empty, items).first().outcome == "PENDING"
