@@ -88,6 +88,23 @@ def catalog_feed(product: DataFrame, variant: DataFrame, initial_quantity: int =
     return cache.unionByName(created)
 
 
+def create_feed(product: DataFrame, requested: DataFrame) -> DataFrame:
+    """I2 at product creation: per requested variant a cache row and a
+    stock-created row with the requested initial quantity. Unlike warm-up and
+    update, the cache row carries the variant's own image with no fallback to
+    the product image (the price still falls back to the base price)."""
+    p = product.select("product_id", "name", "base_price")
+    j = requested.join(p, "product_id")
+    cache = j.select(F.lit("cache").alias("feed"), "sku", "name",
+                     price_fallback(F.col("price"), F.col("base_price")).alias("price"),
+                     F.col("image_url"), "color", "size", F.lit(None).cast("int").alias("initial_quantity"))
+    created = j.select(F.lit("created").alias("feed"), "sku", F.lit(None).cast("string").alias("name"),
+                       F.lit(None).cast(MONEY).alias("price"), F.lit(None).cast("string").alias("image_url"),
+                       F.lit(None).cast("string").alias("color"), F.lit(None).cast("string").alias("size"),
+                       F.col("initial_quantity").cast("int").alias("initial_quantity"))
+    return cache.unionByName(created)
+
+
 def merge_feed(merged: DataFrame, product: DataFrame) -> DataFrame:
     """I2 after a D7 merge: the product's variants after the save each send a
     cache row and a stock-created row with 0 (which *adds* 0, despite the

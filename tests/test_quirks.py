@@ -252,3 +252,27 @@ def test_cart_price_is_dropped_and_rejected_order_still_notified(spark):
     empty = spark.createDataFrame([], "order_number string, sku string, success boolean, reason string, "
                                       "l_linenumber int, l_partkey long, l_suppkey long, qty int")
     assert O.order_outcome(empty, items).first().outcome == "PENDING"
+
+
+def test_create_feed_has_no_image_fallback(spark):
+    """Quirk 4: create sends the variant image as given (no product fallback);
+    the requested initial quantity, floored at 0 by the ledger, is sent."""
+    from emporia.operators import catalog as K
+    product = spark.createDataFrame([(1, "p", "2.00", "img/p1")],
+                                    "product_id long, name string, base_price string, image_url string") \
+        .withColumn("base_price", F.col("base_price").cast("decimal(18,2)"))
+    req = spark.createDataFrame([(1, "S1", "c", "m", None, None, 7), (1, "S2", "c", "l", "3.50", "v2", -4)],
+                                "product_id long, sku string, color string, size string, price string, "
+                                "image_url string, initial_quantity int") \
+        .withColumn("price", F.col("price").cast("decimal(18,2)"))
+    feed = K.create_feed(product, req)
+    cache = {r.sku: (str(r.price), r.image_url) for r in feed.filter("feed = 'cache'").collect()}
+    assert cache == {"S1": ("2.00", None), "S2": ("3.50", "v2")}
+    created = feed.filter("feed = 'created'").select(
+        "sku", F.col("initial_quantity").alias("initial_quantity"), F.lit(T0).cast("timestamp_ntz").alias("ts"),
+        F.lit(0).cast("bigint").alias("l_orderkey"), F.lit(0).alias("l_linenumber"),
+        F.lit(0).cast("bigint").alias("l_suppkey"))
+    no_adj = created.select("sku", F.lit(0).cast("bigint").alias("adjustment_quantity"), "ts", "l_orderkey",
+                            "l_linenumber", "l_suppkey").limit(0)
+    stock = {r.sku: r.stock for r in ST.stock_level(ST.stock_changes(created, no_adj)).collect()}
+    assert stock == {"S1": 7, "S2": 0}
