@@ -99,11 +99,12 @@ def order_outcome(results: DataFrame, order_items: DataFrame, order_cols=("l_lin
 
     Any failure -> FAILED with the reason of the first failing result (in the
     result order); else received == expected items (>= 1) -> VALIDATED; else
-    PENDING. Repeated deliveries are dropped first (same order and line key).
-    Single aggregate with partial aggregation, then one join with the saga
-    record on the order number.
+    PENDING. A repeated delivery (an identical result record) is dropped
+    first; two different results for one line both count, as they would in
+    the reference. Single aggregate with partial aggregation, then one join
+    with the saga record on the order number.
     """
-    key = ["order_number", *order_cols]
+    key = ["order_number", "sku", "success", "reason", *order_cols]
     dedup = results.dropDuplicates(key)
     seq = F.struct(*[F.col(c) for c in order_cols])
     agg = dedup.groupBy("order_number").agg(

@@ -31,6 +31,11 @@ def _result_key(r):
     return (r.l_linenumber, r.l_partkey, r.l_suppkey, r.qty)
 
 
+def _result_record(r):
+    """Identity of a delivered result: a repeat of the same record is counted once."""
+    return (r.l_linenumber, r.l_partkey, r.l_suppkey, r.qty, r.sku, r.success, r.reason)
+
+
 STOCK_OUT = "sku string, stock long"
 
 
@@ -96,8 +101,8 @@ class Gather(StatefulProcessor):
     With ``expire_ms`` the saga record expires that long (processing time)
     after it is created (a processing-time timer; timeMode "ProcessingTime"):
     the state is cleared and nothing is emitted, so the order simply stays
-    PENDING, as in the reference. A repeated result (same line key) is
-    counted once (ListState of seen line keys).
+    PENDING, as in the reference. A repeated delivery of the same result
+    record is counted once (ListState of the records seen).
     """
 
     def __init__(self, expire_ms: int | None = SAGA_TTL_MS):
@@ -106,7 +111,8 @@ class Gather(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.saga = handle.getValueState("saga", "received long, total long, failed boolean, reason string")
-        self.seen = handle.getListState("seen", "l_linenumber int, l_partkey long, l_suppkey long, qty int")
+        self.seen = handle.getListState("seen", "l_linenumber int, l_partkey long, l_suppkey long, qty int, "
+                                                "sku string, success boolean, reason string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         cur = self.saga.get()
@@ -120,7 +126,7 @@ class Gather(StatefulProcessor):
             seen = {tuple(x) for x in self.seen.get()}
         fresh = []
         for r in sorted(rows, key=_result_key):
-            k = _result_key(r)
+            k = _result_record(r)
             if k in seen:
                 continue
             seen.add(k)
