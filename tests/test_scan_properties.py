@@ -68,3 +68,38 @@ def test_gap_sessions_equal_sequential_sessionizer(spark, gaps, parts):
         if cur:
             exp.append(tuple(cur))
     assert got == sorted(exp)
+
+
+@SETTINGS
+@given(ops=st.lists(st.tuples(st.sampled_from(["A", "A", "A", "B", "C"]), st.booleans(), st.integers(-5, 40)),
+                    max_size=60),
+       parts=st.integers(1, 5))
+def test_reservation_equals_sequential_fold(spark, ops, parts):
+    """F1 interleaved: per SKU in (ts, kind) order a change clamps into
+    [0, 2^31-1], a request is granted iff stock >= qty (negative qty raises)."""
+    from emporia.functions.scalars import INT_MAX
+    from emporia.operators import reservation as R
+    t0 = dt.datetime(2024, 1, 1)
+    changes, requests = [], []
+    for i, (sku, is_change, v) in enumerate(ops):
+        ts = t0 + dt.timedelta(minutes=i)
+        if is_change:
+            changes.append((sku, v, ts, i, 0, 0))
+        else:
+            requests.append((f"o{i}", sku, v, ts, i, 1, 1, 1))
+    ch = spark.createDataFrame(changes, "sku string, chg long, ts timestamp_ntz, l_orderkey long, "
+                                        "l_linenumber int, l_suppkey long")
+    rq = spark.createDataFrame(requests, "order_number string, sku string, qty int, ts timestamp_ntz, "
+                                         "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+    got = {r.order_number: (r.success, r.stock_after)
+           for r in R.reserve(rq, changes=ch, partitions=parts).collect()}
+    stock, exp = {}, {}
+    for i, (sku, is_change, v) in enumerate(ops):
+        s = stock.get(sku, 0)
+        if is_change:
+            stock[sku] = min(INT_MAX, max(0, s + v))
+        else:
+            ok = s >= v
+            stock[sku] = s - v if ok else s
+            exp[f"o{i}"] = (ok, stock[sku])
+    assert got == exp
