@@ -90,3 +90,28 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         for old in (cur, low, large, low2):
             discard(old)
         cur = nxt
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of at most ``rows`` rows for this session, so that a
+    Python worker holds few whole texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
+
+
+def stable(df: DataFrame, name: str) -> DataFrame:
+    """``df`` itself when it is a plain file scan (the same rows in the same
+    order whenever a task is run again), else a written copy."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    scan_only = "FileScan" in plan and not any(x in plan for x in ("Exchange", "Join", "Aggregate", "RDD", "Sort", "Python",
+                                                                   "Arrow", "Window", "Union", "InMemory", "Generate"))
+    return df if scan_only else materialize(df, name)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has (in any letter case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

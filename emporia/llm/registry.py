@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, tokens
 
 QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_token_counts": tokens.op9_token_counts,
 }
 
 ORACLES = {
