@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality, tokens
+from . import bpe, quality, tokens
 
 QUERIES = {
+    "op6_bpe": bpe.op6_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_counts": tokens.op9_token_counts,
 }
