@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, tokens
+from . import bpe, quality, simhash, tokens
 
 QUERIES = {
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op6_bpe": bpe.op6_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_counts": tokens.op9_token_counts,
