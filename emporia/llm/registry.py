@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, simhash, tokens
+from . import bpe, langid, quality, simhash, tokens
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op4_language_id": langid.op4_language_id,
     "op6_bpe": bpe.op6_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_counts": tokens.op9_token_counts,
