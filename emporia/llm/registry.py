@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, quality, simhash, tokens
+from . import bpe, langid, quality, simhash, tokens, urls
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op4_language_id": langid.op4_language_id,
+    "op5_url_filters": urls.op5_url_filters,
     "op6_bpe": bpe.op6_bpe,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_counts": tokens.op9_token_counts,
 }
 
 ORACLES = {
+    "op5_url_filters": urls.SQL,
     "op8_quality_rules": quality.SQL,
 }
