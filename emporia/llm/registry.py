@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, quality, simhash, tokens, urls
+from . import bpe, chat, langid, quality, simhash, tokens, urls
 
 QUERIES = {
+    "op1_quotation_links": chat.op1_quotation_links,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op4_language_id": langid.op4_language_id,
     "op5_url_filters": urls.op5_url_filters,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_quotation_links": chat.SQL,
     "op5_url_filters": urls.SQL,
     "op8_quality_rules": quality.SQL,
 }
