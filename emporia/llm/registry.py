@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, quality, simhash, tokens, urls
+from . import bpe, chat, decontam, langid, quality, simhash, tokens, urls
 
 QUERIES = {
     "op1_quotation_links": chat.op1_quotation_links,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_template_decontamination": decontam.op3_template_decontamination,
     "op4_language_id": langid.op4_language_id,
     "op5_url_filters": urls.op5_url_filters,
     "op6_bpe": bpe.op6_bpe,
