@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, langid, quality, simhash, tokens, urls
+from . import bpe, chat, decontam, langid, lines, quality, simhash, tokens, urls
 
 QUERIES = {
     "op1_quotation_links": chat.op1_quotation_links,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op5_url_filters": urls.op5_url_filters,
     "op6_bpe": bpe.op6_bpe,
+    "op7_fuzzy_line_dedup": lines.op7_fuzzy_line_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_counts": tokens.op9_token_counts,
 }
