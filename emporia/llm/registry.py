@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, langid, lines, quality, simhash, tokens, urls
+from . import bpe, chat, decontam, langid, lines, quality, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op1_quotation_links": chat.op1_quotation_links,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_fuzzy_line_dedup": lines.op7_fuzzy_line_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_counts": tokens.op9_token_counts,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {
