@@ -72,8 +72,8 @@ def patch(new: Column, old: Column) -> Column:
 
 
 def floor_zero(q: Column) -> Column:
-    """Initial quantity floored at 0."""
-    return F.greatest(F.lit(0).cast("bigint"), q.cast("bigint"))
+    """Initial quantity floored at 0; a missing quantity stays missing."""
+    return F.when(q.isNotNull(), F.greatest(F.lit(0).cast("bigint"), q.cast("bigint")))
 
 
 def clamp_stock(x: Column) -> Column:

@@ -28,12 +28,15 @@ PAY_KINDS = ("PAID", "PAY_FAILED")
 def status_summary(log: DataFrame, placed: DataFrame) -> DataFrame:
     """Per placed order: placement time, first validation, terminal status and time."""
     kind, ts = F.col("kind"), F.col("ts")
-    agg = log.groupBy("order_number").agg(
+    placed = placed.select("order_number", F.col("ts").alias("placed_ts"))
+    # an order that is not placed yet is not found: its earlier events are ignored
+    known = placed.join(log, "order_number").where(ts >= F.col("placed_ts"))
+    agg = known.groupBy("order_number").agg(
         F.min(F.when(kind == "VALIDATED", ts)).alias("v_ts"),
         F.min(F.when(kind == "FAILED", ts)).alias("f_ts"),
         F.min(F.when(kind.isin(*PAY_KINDS), ts)).alias("p_ts"),
         F.min_by(kind, F.when(kind.isin(*PAY_KINDS), F.struct(ts, kind))).alias("p_kind"))
-    j = placed.select("order_number", F.col("ts").alias("placed_ts")).join(agg, "order_number", "left")
+    j = placed.join(agg, "order_number", "left")
     v, f, p = F.col("v_ts"), F.col("f_ts"), F.col("p_ts")
     fail_wins = f.isNotNull() & (v.isNull() | (f <= v)) & (p.isNull() | (f <= p))
     term_status = (F.when(fail_wins, F.lit(STATUS_FAILED))
@@ -87,7 +90,9 @@ def payment_gate(payments: DataFrame, trans: DataFrame) -> DataFrame:
     p = payments.select("order_number", F.col("ts").alias("pay_ts"))
     t = trans.select("order_number", F.col("ts").alias("t_ts"), "status")
     j = p.join(t, "order_number").filter(F.col("t_ts") < F.col("pay_ts"))
-    at = j.groupBy("order_number", "pay_ts").agg(F.max_by("status", "t_ts").alias("status_at_arrival"))
+    # transitions of one instant follow the machine's order
+    rank = F.when(F.col("status") == STATUS_PENDING, 0).when(F.col("status") == STATUS_VALIDATED, 1).otherwise(2)
+    at = j.groupBy("order_number", "pay_ts").agg(F.max_by("status", F.struct("t_ts", rank)).alias("status_at_arrival"))
     return (at.filter(F.col("status_at_arrival").isin(STATUS_PENDING, STATUS_VALIDATED))
             .select("order_number", fmt_ts(F.col("pay_ts")).alias("paid_at"), "status_at_arrival"))
 

@@ -28,15 +28,27 @@ def stock_changes(created: DataFrame, adjustments: DataFrame) -> DataFrame:
     return c.unionByName(a)
 
 
+def foldable(changes: DataFrame) -> DataFrame:
+    """Changes that a fold may see. A change without SKU or quantity says
+    nothing about any stock; :func:`unfoldable` has the rest (A4)."""
+    return changes.where(F.col("sku").isNotNull() & F.col("chg").isNotNull())
+
+
+def unfoldable(changes: DataFrame) -> DataFrame:
+    """A4: the changes kept out of the folds, with the reason."""
+    return changes.where(F.col("sku").isNull() | F.col("chg").isNull()).withColumn(
+        "error", F.when(F.col("sku").isNull(), F.lit(ERR_SKU_REQUIRED)).otherwise(F.lit(ERR_QTY_REQUIRED)))
+
+
 def stock_running(changes: DataFrame, order=CHANGE_ORDER) -> DataFrame:
     """stock after every change (the fold's per-step log)."""
-    return clamped_running(changes, ["sku"], list(order), "chg", 0, INT_MAX, out_col="stock")
+    return clamped_running(foldable(changes), ["sku"], list(order), "chg", 0, INT_MAX, out_col="stock")
 
 
 def stock_level(changes: DataFrame, order=CHANGE_ORDER) -> DataFrame:
     """Final stock per SKU: one range-partitioned pass composing each
     SKU's clamp steps (no per-row output, no join)."""
-    f = clamped_final(changes, ["sku"], list(order), "chg", 0, INT_MAX, out_col="stock")
+    f = clamped_final(foldable(changes), ["sku"], list(order), "chg", 0, INT_MAX, out_col="stock")
     return f.select("sku", F.col("stock").cast("bigint").alias("stock"), F.col("n").alias("n_changes"))
 
 

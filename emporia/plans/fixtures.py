@@ -104,6 +104,11 @@ def line_items(spark: SparkSession, sf: str) -> DataFrame:
 LINE_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "qty"]
 
 
+def change_sign():
+    """Every line moves stock: returns add, the rest takes away once or twice."""
+    return F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", -2).otherwise(-1)
+
+
 def changes(spark: SparkSession, sf: str) -> DataFrame:
     """Stock changes: created (floored) + adjustments; per-SKU order CHANGE_ORDER."""
     p = table(spark, sf, "part")
@@ -113,10 +118,10 @@ def changes(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("1970-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
         F.lit(0).cast("bigint").alias("l_orderkey"), F.lit(0).cast("int").alias("l_linenumber"),
         F.lit(0).cast("bigint").alias("l_suppkey"), F.lit("created").alias("source"))
-    li = table(spark, sf, "lineitem").filter(F.col("l_returnflag").isin("R", "A"))
+    li = table(spark, sf, "lineitem")
     adjust = li.select(
         sku_of(F.col("l_partkey")).alias("sku"),
-        (F.when(F.col("l_returnflag") == "R", 1).otherwise(-2) * F.col("l_quantity")).cast("bigint").alias("chg"),
+        (change_sign() * F.col("l_quantity")).cast("bigint").alias("chg"),
         F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber", "l_suppkey",
         F.lit("adjustment").alias("source"))
     return created.unionByName(adjust)
@@ -184,7 +189,7 @@ def cart_ev(spark: SparkSession, sf: str) -> DataFrame:
     """Cart events; per-user order (ts, event_id)."""
     e = table(spark, sf, "events")
     t, i = F.col("event_type"), F.col("event_id")
-    e = e.filter(t.isin("click", "error") | ((t == "purchase") & (i % 10 == 0)))
+    e = e.filter(t.isin("click", "error", "purchase"))
     return e.select(
         "user_id", "ts", "event_id",
         F.when(t == "click", "add").when(t == "error", "remove").otherwise("checkout").alias("kind"),
@@ -195,10 +200,10 @@ def user_patch(spark: SparkSession, sf: str) -> DataFrame:
     """User register / patch / disable / delete events; per-user order (ts, event_id)."""
     e = table(spark, sf, "events")
     t, i = F.col("event_type"), F.col("event_id")
-    e = e.filter((t != "purchase") | (i % 20 == 0))
+    delete = (t == "purchase") & (i % 20 == 0)   # other purchases patch the phone
     return e.select(
-        "user_id", "ts", "event_id", (t == "signup").alias("is_register"), (t == "purchase").alias("is_delete"),
-        F.when(t == "click", F.concat(F.lit("+84-"), i.cast("string"))).alias("phone"),
+        "user_id", "ts", "event_id", (t == "signup").alias("is_register"), delete.alias("is_delete"),
+        F.when((t == "click") | ((t == "purchase") & ~delete), F.concat(F.lit("+84-"), i.cast("string"))).alias("phone"),
         F.when(t == "view", F.concat(F.lit("addr-"), i.cast("string"))).alias("address"),
         F.when(t == "signup", F.lit(True)).when(t == "error", F.lit(False)).alias("enabled"))
 

@@ -33,9 +33,9 @@ CTES: dict[str, str] = {
     "changes": """SELECT 'SKU-'||p_partkey AS sku, greatest(0, p_size*20-100)::BIGINT AS chg,
         TIMESTAMP '1970-01-01' AS ts, 0::BIGINT AS l_orderkey, 0::INT AS l_linenumber, 0::BIGINT AS l_suppkey,
         'created' AS source FROM part
-        UNION ALL SELECT 'SKU-'||l_partkey, (CASE l_returnflag WHEN 'R' THEN 1 ELSE -2 END*l_quantity)::BIGINT,
+        UNION ALL SELECT 'SKU-'||l_partkey, (CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN -2 ELSE -1 END*l_quantity)::BIGINT,
         l_shipdate, l_orderkey, l_linenumber, l_suppkey, 'adjustment'
-        FROM lineitem WHERE l_returnflag IN ('R','A')""",
+        FROM lineitem""",
     "opening": """SELECT 'SKU-'||p_partkey AS sku, (p_size*20)::BIGINT AS stock FROM part WHERE p_partkey%50<>7""",
     "results": """SELECT l_orderkey::VARCHAR AS order_number, 'SKU-'||l_partkey AS sku, l_quantity<=45 AS success,
         CASE WHEN l_quantity>45 THEN 'Not enough stock for SKU-'||l_partkey END AS reason,
@@ -54,12 +54,12 @@ CTES: dict[str, str] = {
     "cart_ev": """SELECT user_id, ts, event_id,
         CASE event_type WHEN 'click' THEN 'add' WHEN 'error' THEN 'remove' ELSE 'checkout' END AS kind,
         'SKU-'||(event_id%5) AS sku, (1+event_id%3)::INT AS qty
-        FROM events WHERE event_type IN ('click','error') OR (event_type='purchase' AND event_id%10=0)""",
-    "user_patch": """SELECT user_id, ts, event_id, event_type='signup' AS is_register, event_type='purchase' AS is_delete,
-        CASE event_type WHEN 'click' THEN '+84-'||event_id END AS phone,
+        FROM events WHERE event_type IN ('click','error','purchase')""",
+    "user_patch": """SELECT user_id, ts, event_id, event_type='signup' AS is_register, (event_type='purchase' AND event_id%20=0) AS is_delete,
+        CASE WHEN event_type='click' OR (event_type='purchase' AND event_id%20<>0) THEN '+84-'||event_id END AS phone,
         CASE event_type WHEN 'view' THEN 'addr-'||event_id END AS address,
         CASE event_type WHEN 'signup' THEN true WHEN 'error' THEN false END AS enabled
-        FROM events WHERE event_type<>'purchase' OR event_id%20=0""",
+        FROM events""",
     "adjust_raw": """SELECT event_id, CASE event_id%10 WHEN 0 THEN '{"adjustmentQuantity":5}'
         WHEN 1 THEN '{"skuCode":"SKU-'||event_id%2000||'"}'
         WHEN 2 THEN '{"skuCode":"SKU-1","adjustmentQuantity":"abc"}'
@@ -86,7 +86,8 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
         min(ts) FILTER (WHERE kind='FAILED') AS f_ts,
         min(ts) FILTER (WHERE kind IN ('PAID','PAY_FAILED')) AS p_ts,
         arg_min(kind, ts) FILTER (WHERE kind IN ('PAID','PAY_FAILED')) AS p_kind
-        FROM status_log GROUP BY order_number""", ("status_log",)),
+        FROM (SELECT l.order_number, l.kind, l.ts FROM status_log l JOIN placed p ON p.order_number = l.order_number AND l.ts >= p.ts)
+        GROUP BY order_number""", ("status_log", "placed")),
     "status_final": ("""SELECT p.order_number, p.ts AS placed_ts, a.v_ts,
         CASE WHEN a.f_ts IS NOT NULL AND (a.v_ts IS NULL OR a.f_ts <= a.v_ts)
                   AND (a.p_ts IS NULL OR a.f_ts <= a.p_ts) THEN 'FAILED'

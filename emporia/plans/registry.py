@@ -246,9 +246,9 @@ def _created_events(spark, sf):
 
 
 def _adjust_events(spark, sf):
-    li = FX.table(spark, sf, "lineitem").filter(F.col("l_returnflag").isin("R", "A"))
+    li = FX.table(spark, sf, "lineitem")
     return li.select(FX.sku_of(F.col("l_partkey")).alias("sku"),
-                     (F.when(F.col("l_returnflag") == "R", 1).otherwise(-2) * F.col("l_quantity")).cast("bigint")
+                     (FX.change_sign() * F.col("l_quantity")).cast("bigint")
                      .alias("adjustment_quantity"),
                      F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber", "l_suppkey")
 

@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 
 
 def read_topics(spark: SparkSession, bootstrap_servers: str, topics: list[str],
-                max_offsets_per_trigger: int = 1000, starting_offsets: str = "earliest") -> DataFrame:
-    """A1: topics read from the earliest offset in bounded polls (the
-    reference's consumers poll at most 1000 records)."""
-    raw = (spark.readStream.format("kafka")
+                max_offsets_per_trigger: int | None = None, starting_offsets: str = "earliest") -> DataFrame:
+    """A1: topics read from the earliest offset; the caller sizes its
+    micro-batches, there is no cap by default."""
+    source = spark.readStream.format("kafka")
+    if max_offsets_per_trigger is not None:
+        source = source.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
+    raw = (source
            .option("kafka.bootstrap.servers", bootstrap_servers)
            .option("subscribe", ",".join(topics))
            .option("startingOffsets", starting_offsets)
-           .option("maxOffsetsPerTrigger", max_offsets_per_trigger)
            .option("failOnDataLoss", "true")
            .load())
     return raw.select("topic", F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),

@@ -18,7 +18,6 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..session import scratch_path
 
@@ -83,11 +82,13 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", checkpoint:
 
 
 def read_output(spark: SparkSession, out: str, schema) -> DataFrame:
-    try:
-        return spark.read.parquet(out)
-    except AnalysisException:
+    """The batches written so far; empty only if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not fs.listStatus(path):
         empty = spark.createDataFrame([], schema)
         return empty.withColumn("batch_id", F.lit(None).cast("bigint"))
+    return spark.read.parquet(out)
 
 
 def latest_per_key(table: DataFrame, keys: list[str]) -> DataFrame:

@@ -48,7 +48,7 @@ class StockFold(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         cur = self.stock.get()
         s = cur[0] if cur is not None else 0
-        for r in sorted(rows, key=_change_key):
+        for r in sorted((r for r in rows if r.chg is not None), key=_change_key):
             s = min(INT_MAX, max(0, s + r.chg))
         self.stock.update((s,))
         yield Row(sku=key[0], stock=s)
