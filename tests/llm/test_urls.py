@@ -69,9 +69,10 @@ def test_extra_columns_do_not_clash(spark, tmp_path):
 
 def test_more_rules_than_the_query(spark):
     rules = spark.createDataFrame([("block", "b.a.example", "/"), ("allow", "a.example", "/x/y")], "verdict string, host string, path string")
-    pages = spark.createDataFrame([(1, "h://c.b.a.example/x/y", None), (2, "h://a.example/x/yz", None), (3, "h://ba.example/x/y", None)],
+    pages = spark.createDataFrame([(1, "h://c.b.a.example/x/y", None), (2, "h://a.example/x/yz", None), (3, "h://ba.example/x/y", None),
+                                   (4, "h://b.a.example/x", None)],
                                   SCHEMA)
-    assert {r.page_id: r.rule for r in U.judge_urls(pages, rules).collect()} == {1: "b.a.example/", 2: "a.example/x/y", 3: None}
+    assert {r.page_id: r.rule for r in U.judge_urls(pages, rules).collect()} == {1: "a.example/x/y", 2: "a.example/x/y", 3: None, 4: "b.a.example/"}
 
 
 SCHEMA = "page_id long, url string, html string"
