@@ -60,14 +60,17 @@ def _chars(text: str) -> np.ndarray:
     return np.where(letter, c, np.uint32(32))[keep]
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(code points with room for the last n-grams, start of each piece, its
-    row): texts laid end to end, cut where a slice is full."""
-    parts, starts, rows, held = [], [], [], 0
+def _slices(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(code points, which positions begin n-grams, first n-gram of each piece,
+    its row): texts laid end to end, each followed by what its last n-grams
+    need, and cut where a slice is full."""
+    parts, counts, rows, held = [], [], [], 0
     pad = np.full(MAX_N - 1, 32, np.uint32)
 
     def close():
-        return np.concatenate([*parts, pad]), np.array(starts), np.array(rows)
+        n = np.array(counts)
+        valid = np.repeat(np.tile([True, False], len(n)), np.column_stack([n, np.full(len(n), MAX_N - 1)]).ravel())
+        return np.concatenate(parts), valid[:len(valid) - MAX_N + 1], np.cumsum(n) - n, np.array(rows)
 
     for i, text in enumerate(texts):
         if text is None:
@@ -76,27 +79,26 @@ def _slices(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         if not (c != 32).any():
             continue
         for at in range(0, len(c), SLICE):
-            piece = np.concatenate([c[at:at + SLICE], c[at + SLICE:at + SLICE + MAX_N - 1], pad])
-            piece = piece[:min(SLICE, len(c) - at) + MAX_N - 1]
-            starts.append(held)
+            n = min(SLICE, len(c) - at)
+            parts.append(np.concatenate([c[at:at + n + MAX_N - 1], pad])[:n + MAX_N - 1])
+            counts.append(n)
             rows.append(i)
-            parts.append(piece)
-            held += len(piece)
+            held += n
             if held >= SLICE:
                 yield close()
-                parts, starts, rows, held = [], [], [], 0
+                parts, counts, rows, held = [], [], [], 0
     if parts:
         yield close()
 
 
-def _buckets(chars: np.ndarray) -> Iterator[np.ndarray]:
-    """For each length, the bucket of the n-gram at each position."""
+def _buckets(chars: np.ndarray, valid: np.ndarray) -> Iterator[np.ndarray]:
+    """For each length, the buckets of the n-grams that begin at valid positions."""
     n = len(chars) - MAX_N + 1
     h = np.zeros(n, np.uint32)
     for k in range(MAX_N):
         h = (h + chars[k:k + n] + np.uint32(k + 1)) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
-        yield (h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKET_BITS)
+        yield ((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKET_BITS))[valid]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,8 +108,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = b.column("t").to_pylist()
         for lang in dict.fromkeys(langs.tolist()):
             total = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for chars, _, _ in _slices([texts[i] for i in np.flatnonzero(langs == lang)]):
-                for bucket in _buckets(chars):
+            for chars, valid, _, _ in _slices([texts[i] for i in np.flatnonzero(langs == lang)]):
+                for bucket in _buckets(chars, valid):
                     total += np.bincount(bucket, minlength=BUCKETS)
     for lang, total in counts.items():
         at = np.flatnonzero(total)
@@ -142,9 +144,9 @@ def score(texts: list[str | None], langs: list[str], logs: np.ndarray) -> tuple[
     """Best language and its posterior probability, per text."""
     sums = np.tile(logs[BUCKETS].astype(np.float64), (len(texts), 1))
     seen = np.zeros(len(texts), bool)
-    for chars, starts, rows in _slices(texts):
+    for chars, valid, starts, rows in _slices(texts):
         seen[rows] = True
-        for bucket in _buckets(chars):
+        for bucket in _buckets(chars, valid):
             np.add.at(sums, rows, np.add.reduceat(logs[bucket], starts, axis=0, dtype=np.float64))
     if not langs:
         return ["und"] * len(texts), [0.0] * len(texts)
