@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,7 +95,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of at most ``rows`` rows for this session, so that a
-    Python worker holds few whole texts at a time."""
+    Python worker holds few whole texts at a time; and workers that find this
+    library where the driver does, also when it is not installed."""
+    env, home = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")
+    if home not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join([home, known]) if known else home
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
@@ -105,7 +111,7 @@ def stable(df: DataFrame, name: str) -> DataFrame:
     order whenever a task is run again), else a written copy."""
     plan = df._jdf.queryExecution().sparkPlan().toString()
     scan_only = "FileScan" in plan and not any(x in plan for x in ("Exchange", "Join", "Aggregate", "RDD", "Sort", "Python",
-                                                                   "Arrow", "Window", "Union", "InMemory", "Generate"))
+                                                                   "Arrow", "Window", "Union", "InMemoryTableScan", "Generate"))
     return df if scan_only else materialize(df, name)
 
 
