@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD_SPLIT, let, materialize, table, words
+from .common import SPACES, WORD_SPLIT, fresh, let, materialize, table, words
 
 SYMBOLS = "[#*$%&|<>]"
 RATIO_GRID = (0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.7)
@@ -196,9 +196,9 @@ def method_rejects(cuts: str = "cuts", p: str = "", names: tuple[str, ...] = tup
     return out
 
 
-def _with_cuts(rows: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
-    cut = cutoffs.select(F.col("stratum").alias("_stratum"), F.col("cuts").alias("_cuts"))
-    return rows.join(cut, F.coalesce(F.col(stratum), F.lit("")) == F.col("_stratum"), "left")
+def _with_cuts(rows: DataFrame, cutoffs: DataFrame, stratum: str, names: tuple[str, str] = ("_stratum", "_cuts")) -> DataFrame:
+    cut = cutoffs.select(F.col("stratum").alias(names[0]), F.col("cuts").alias(names[1]))
+    return rows.join(cut, F.coalesce(F.col(stratum), F.lit("")) == F.col(names[0]), "left")
 
 
 def verdicts(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -218,8 +218,9 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     from a narrow table of counts; the verdicts are computed in the pass that
     returns the rows, so no text is shuffled."""
     cutoffs = materialize(fit_cutoffs(document_stats(docs), labels, **options), "quality-cutoffs")
-    out = with_stats(docs).withColumn("_q", F.struct(*flat_stats()))
-    return (_with_cuts(out, cutoffs, "lang").where(~base_failed("_q.") & ~method_rejects("_cuts", "_q."))
+    raw, q, s, c = (fresh(x, docs) for x in ("_stats", "_q", "_stratum", "_cuts"))
+    out = with_stats(docs, into=raw).withColumn(q, F.struct(*flat_stats(raw)))
+    return (_with_cuts(out, cutoffs, "lang", (s, c)).where(~base_failed(f"{q}.") & ~method_rejects(c, f"{q}."))
             .select(*docs.columns))
 
 

@@ -79,10 +79,10 @@ def apply_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
     """(host, path, rule, rule_verdict) of the places (distinct host, path) that
     a rule fits: its host or a subdomain, a path that starts with the rule's;
     the longest rule wins. ``rules`` has verdict, host and path."""
-    labels = rules.agg(F.max(F.size(F.split("host", "\\.")))).first()[0] or 0
+    labels = rules.agg(F.max(F.size(F.split("host", "\\.")))).first()[0] or 1
     parts = F.split("host", "\\.")
     # only suffixes as long as some rule's host
-    tails = let(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - labels + 1), F.lit(max(labels, 1))), lambda p: F.transform(
+    tails = let(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - labels + 1), F.lit(labels)), lambda p: F.transform(
         F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), ".")))
     r = rules.select(F.col("host").alias("rhost"), F.col("path").alias("rpath"), F.col("verdict").alias("rverdict"))
     fits = (places.select("host", "path", F.explode(tails).alias("rhost")).join(r, "rhost")
