@@ -159,7 +159,7 @@ class Kernel:
 
     def features(self, words: list[str]) -> np.ndarray:
         """(words, landmarks); zero for words shorter than the order."""
-        out = np.zeros((len(words), len(self.landmarks)))
+        out = np.zeros((len(words), len(self.landmarks)), np.float32)
         by_size: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             if len(w) >= ORDER:
@@ -257,8 +257,9 @@ def fit(texts: list[str], toxic: list[bool]) -> Model | None:
     vocab = sorted({w for d in docs for s in d for w in s})
     where = {w: i for i, w in enumerate(vocab)}
     parts = [_windows(bare(w)) for w in vocab]
-    flat = Kernel(landmarks).features([p for x in parts for p in x])
-    words = np.maximum.reduceat(flat, np.cumsum([0, *(len(x) for x in parts)])[:-1], axis=0)
+    words = Kernel(landmarks).features([p for x in parts for p in x])
+    if len(words) > len(vocab):
+        words = np.maximum.reduceat(words, np.cumsum([0, *(len(x) for x in parts)])[:-1], axis=0)
     gram = Kernel(landmarks).features(landmarks).astype(np.float64)
     val, vec = np.linalg.eigh((gram + gram.T) / 2)
     root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-3))) @ vec.T     # Nystroem map
