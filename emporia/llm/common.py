@@ -41,6 +41,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     lineage, survives lost executors, and gives joins a plain scan (which
     adaptive execution can split when a key is hot)."""
     spark = df.sparkSession
+    # once the table is written nothing needs the shuffle files behind it
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
