@@ -2,12 +2,12 @@
 
 Encode: Spark splits every text into words with the tokenizer's own pattern.
 Documents are gathered into blocks of about ``BLOCK_WORDS`` words; inside a
-block a text is a list of positions in the block's list of distinct words.
-Those lists are dealt out by word, so that each distinct word of the corpus
-meets in one place and is encoded once; its ids go back to the blocks by
-(block, position) and the positions are replaced by them. Only positions,
-distinct words and their ids are shuffled, never texts, and no key is hot: a
-word occurs once in a block, however often a text repeats it.
+block a text is a list of codes, the places of its words in the block's table
+of distinct words. Those tables are dealt out by word, so that each distinct
+word of the corpus meets in one place and is encoded once; its ids go back to
+the blocks and replace the codes by position. Only codes, distinct words and
+their ids are shuffled (compressed), never texts, and no key is hot: a word
+occurs once in a block, however often a text repeats it.
 
 Decode: the id-to-piece table has one row per vocabulary entry (a fixed size)
 and is joined by id inside Arrow batches.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stable, table
 
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
+ENCODE = 4096          # words handed to the library at a time
 _SPACE = "\\t-\\r\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 #: The byte-level pattern of the public tokenizers, white space spelled out (fixed value).
 PATTERN = (f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{_SPACE}\\p{{L}}\\p{{N}}]+"
@@ -54,8 +56,13 @@ def special_strings(path: str) -> list[str]:
     return sorted((t["content"] for t in added), key=lambda s: (-len(s), s))
 
 
+#: Code points that Java's Unicode tables do not have yet: it cannot class them.
+NEWER = "\\p{Cn}"
+
+
 def split_words(text: Column, specials: list[str]) -> Column:
-    """Words of a text in order; their concatenation is the text."""
+    """Words of a text in order; their concatenation is the text. Texts with
+    code points of :data:`NEWER` are left to :func:`library_words`."""
     def split(t: Column) -> Column:
         return F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))
 
@@ -68,8 +75,17 @@ def split_words(text: Column, specials: list[str]) -> Column:
     return F.when(text.rlike(marks), F.flatten(parts)).otherwise(split(text))
 
 
+def library_words(text: str, tok, specials: list[str]) -> list[str]:
+    """The same split by the tokenizers library itself, for single texts."""
+    parts = re.split("(" + "|".join(map(re.escape, specials)) + ")", text) if specials else [text]
+    out = []
+    for p in parts:
+        out += [p] if p in specials else [p[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(p)]
+    return out
+
+
 def _pack(codes: np.ndarray) -> bytes:
-    """Positions as compressed byte planes."""
+    """Whole numbers as compressed byte planes."""
     planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
@@ -79,56 +95,87 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int, pa.Array, np.ndarray, pa.DictionaryArray]]:
-    """(block, keys, words per text, words coded by position) of a partition."""
-    part, seq = TaskContext.get().partitionId(), 0
-    keys, counts, flat, held = [], [], [], 0
+class _Block:
+    """Texts of a block: their keys, words per text, and each word as a code.
 
-    def close():
-        coded = pa.chunked_array(flat, pa.string()).combine_chunks().dictionary_encode()
-        return (part << 32) | seq, pa.chunked_array(keys).combine_chunks(), np.concatenate(counts), coded
+    The distinct words are dealt to buckets by hash. In a bucket the more
+    frequent come first, and the ``j``-th word of bucket ``b`` has the code
+    ``j * buckets + b``: codes of common words are small, and a bucket's words
+    in their order name their codes."""
 
+    def __init__(self, number: int, keys: list, counts: list, flat: list, buckets: int):
+        coded = pa.chunked_array(flat, pa.string()).combine_chunks().dictionary_encode()
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        words = coded.dictionary
+        self.number, self.keys, self.counts = number, pa.chunked_array(keys).combine_chunks(), np.concatenate(counts)
+        to = (pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) % buckets).astype(np.int64)
+        order = np.lexsort((-np.bincount(index, minlength=len(words)), to))
+        self.words = words.take(pa.array(order))
+        self.sizes = np.bincount(to, minlength=buckets)
+        starts = np.cumsum(self.sizes) - self.sizes
+        code = np.empty(len(words), np.int64)
+        code[order] = (np.arange(len(words)) - np.repeat(starts, self.sizes)) * buckets + to[order]
+        self.codes = code[index] if len(index) else index
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], words: int, buckets: int, path: str) -> Iterator[_Block]:
+    part, seq, tok = TaskContext.get().partitionId(), 0, None
+    keys, counts, flat, held = [], [], [], 0
     for b in batches:
         w = b.column("w")
+        if w.null_count:
+            if tok is None:
+                from tokenizers import Tokenizer
+
+                tok, specials = Tokenizer.from_file(path), special_strings(path)
+            w = pa.array([x if x is not None else library_words(t, tok, specials)
+                          for x, t in zip(w.to_pylist(), b.column("t").to_pylist())], pa.list_(pa.string()))
         n = pc.list_value_length(w).to_numpy(zero_copy_only=False).astype(np.int32)
         keys.append(b.column("k"))
         counts.append(n)
         flat.append(w.flatten().cast(pa.string()))
         held += int(n.sum())
         if held >= words:
-            yield close()
+            block = _Block((part << 32) | seq, keys, counts, flat, buckets)
             seq, keys, counts, flat, held = seq + 1, [], [], [], 0
+            yield block
+            del block       # not held while the next one fills
     if keys:
-        yield close()
+        yield _Block((part << 32) | seq, keys, counts, flat, buckets)
 
 
-def _dealt_words(words: int, buckets: int):
+def _dealt_words(words: int, buckets: int, path: str):
+    """(bucket, block, lengths, letters): the distinct words of a block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, coded in _blocks(batches, words):
-            d = coded.dictionary
-            to = (pd.util.hash_array(d.to_numpy(zero_copy_only=False), categorize=False) % buckets).astype(np.int32)
-            order = np.argsort(to, kind="stable")
-            cuts = np.flatnonzero(np.diff(to[order], prepend=-1)) if len(order) else np.empty(0, np.int64)
-            ends = np.append(cuts[1:], len(order))
-            pos = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(order)).astype(np.int32)),
-                                           pa.array(order.astype(np.int32)))
-            ws = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(order)).astype(np.int32)), d.take(pa.array(order)))
-            if len(ends):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(to[order][cuts]), pa.array(np.full(len(cuts), block, np.int64)), pos, ws],
-                    ["bucket", "block", "pos", "words"])
+        zip_ = zstandard.ZstdCompressor(level=3).compress
+        for block in _blocks(batches, words, buckets, path):
+            if not len(block.words):
+                continue
+            size = pc.binary_length(block.words).to_numpy(zero_copy_only=False)
+            letters = block.words.cast(pa.binary())
+            cuts = np.append(0, np.cumsum(block.sizes))
+            full = np.flatnonzero(block.sizes)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), block.number, np.int64)),
+                 pa.array([_pack(size[cuts[b]:cuts[b + 1]]) for b in full], pa.binary()),
+                 pa.array([zip_(b"".join(letters.slice(cuts[b], block.sizes[b]).to_pylist())) for b in full], pa.binary())],
+                ["bucket", "block", "lengths", "letters"])
+            del block, letters
+            pa.default_memory_pool().release_unused()
     return run
 
 
-def _coded_texts(words: int):
+def _coded_texts(words: int, buckets: int, path: str):
+    """(block, keys, counts, codes): one row per block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, keys, counts, coded in _blocks(batches, words):
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            offsets = pa.array([0, len(keys)], pa.int32())
+        for block in _blocks(batches, words, buckets, path):
+            offsets = pa.array([0, len(block.keys)], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.ListArray.from_arrays(offsets, keys),
-                 pa.ListArray.from_arrays(offsets, pa.array(counts)), pa.array([_pack(codes)], pa.binary())],
+                [pa.array([block.number], pa.int64()), pa.ListArray.from_arrays(offsets, block.keys),
+                 pa.ListArray.from_arrays(offsets, pa.array(block.counts)), pa.array([_pack(block.codes)], pa.binary())],
                 ["block", "keys", "counts", "codes"])
+            del block
+            pa.default_memory_pool().release_unused()
     return run
 
 
@@ -142,37 +189,33 @@ def _encoder(path: str):
     return tok
 
 
+def _read_words(lengths: bytes, letters: bytes) -> list[str]:
+    ends = np.cumsum(_unpack(lengths)).tolist()
+    raw = zstandard.ZstdDecompressor().decompressobj().decompress(letters)
+    return [raw[s:e].decode() for s, e in zip([0, *ends], ends)]
+
+
 def _encode_words(path: str):
     """Rows sorted by bucket: each distinct word of a bucket is encoded once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, known, last = _encoder(path), {}, None
         for b in batches:
-            buckets = b.column("bucket").to_numpy()
-            starts = np.flatnonzero(np.diff(buckets, prepend=buckets[0] - 1)) if len(buckets) else []
-            for s, e in zip(starts, [*starts[1:], len(buckets)]):
-                if buckets[s] != last:
-                    known, last = {}, buckets[s]
-                rows = b.slice(s, e - s)
-                coded = rows.column("words").flatten().cast(pa.string()).dictionary_encode()
-                words = coded.dictionary.to_pylist()
+            sizes, ids = [], []
+            for bucket, lengths, letters in zip(*(b.column(c).to_pylist() for c in ("bucket", "lengths", "letters"))):
+                if bucket != last:
+                    known, last = {}, bucket
+                words = _read_words(lengths, letters)
                 new = [w for w in words if w not in known]
-                for w, enc in zip(new, tok.encode_batch(new, add_special_tokens=False)):
-                    known[w] = np.array(enc.ids, "<u4")
-                ids = [known[w] for w in words]
-                size = np.array([len(x) for x in ids], np.int64)
-                at = np.cumsum(size) - size
-                codes = coded.indices.to_numpy(zero_copy_only=False)
-                gathered, per = _gather(np.concatenate(ids), at, size, codes)
-                n = pc.list_value_length(rows.column("words")).to_numpy()
-                word_ends = np.cumsum(n)
-                id_ends = np.append(0, np.cumsum(per))[word_ends]
-                pos = rows.column("pos").flatten().to_numpy().astype("<u4")
-                cut = lambda a, ends: [x.tobytes() for x in np.split(a, ends[:-1])]
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("block"), pa.array(cut(pos, word_ends), pa.binary()),
-                     pa.array(cut(per.astype("<u4"), word_ends), pa.binary()),
-                     pa.array(cut(gathered.astype("<u4"), id_ends), pa.binary())],
-                    ["block", "pos", "sizes", "ids"])
+                for at in range(0, len(new), ENCODE):
+                    part = new[at:at + ENCODE]
+                    for w, enc in zip(part, tok.encode_batch(part, add_special_tokens=False)):
+                        known[w] = enc.ids
+                found = [known[w] for w in words]
+                sizes.append(_pack(np.array([len(x) for x in found])))
+                ids.append(_pack(np.array([i for x in found for i in x])))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("block"), b.column("bucket"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())],
+                ["block", "bucket", "sizes", "ids"])
     return run
 
 
@@ -185,40 +228,55 @@ def _gather(values: np.ndarray, at: np.ndarray, size: np.ndarray, codes: np.ndar
     return values[idx], per
 
 
-def _join_back(left: pa.Table, right: pa.Table) -> pa.Table:
-    """One block: positions of its texts replaced by the ids of their words."""
-    keys = left.column("keys").combine_chunks().flatten()
-    counts = left.column("counts").combine_chunks().flatten().to_numpy()
-    raw = left.column("codes")[0].as_py()
-    codes = _unpack(raw) if len(counts) and counts.sum() else np.empty(0, np.int64)
-    read = lambda c: np.concatenate([np.frombuffer(x, "<u4") for x in right.column(c).to_pylist()] or
-                                    [np.empty(0, "<u4")])
-    pos, sizes, values = read("pos"), read("sizes").astype(np.int64), read("ids")
-    at, size = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.int64)
-    at[pos], size[pos] = np.cumsum(sizes) - sizes, sizes
-    ids, per = _gather(values, at, size, codes)
-    ends = np.append(0, np.cumsum(per))[np.append(0, np.cumsum(counts))]
+def _ids(keys: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Table:
     return pa.table({"key": keys, "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)),
                                                                  pa.array(ids.astype(np.int32)))})
 
 
+def _join_back(buckets: int, finish):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        """One block: the codes of its texts replaced by the ids of their words."""
+        keys = left.column("keys").combine_chunks().flatten()
+        counts = left.column("counts").combine_chunks().flatten().to_numpy()
+        codes = _unpack(left.column("codes")[0].as_py()).astype(np.int64)
+        sizes = [_unpack(x).astype(np.int64) for x in right.column("sizes").to_pylist()]
+        values = np.concatenate([_unpack(x) for x in right.column("ids").to_pylist()] or [np.empty(0, "<u4")])
+        at = np.zeros(int(codes.max()) + 1 if len(codes) else 0, np.int64)
+        size = np.zeros_like(at)
+        start = 0
+        for bucket, n in zip(right.column("bucket").to_pylist(), sizes):
+            ends = start + np.cumsum(n)
+            at[bucket::buckets][:len(n)] = ends - n
+            size[bucket::buckets][:len(n)] = n
+            start = ends[-1]
+        ids, per = _gather(values, at, size, codes)
+        ends = np.append(0, np.cumsum(per))[np.append(0, np.cumsum(counts))]
+        del codes, at, size, per, values, sizes
+        out = finish(keys, ids, ends)
+        pa.default_memory_pool().release_unused()
+        return out
+    return run
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
-           block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(key, ids): the token ids of every whole text."""
+           block_words: int = BLOCK_WORDS, finish=_ids, schema: str = "ids array<int>") -> DataFrame:
+    """(key, ids): the token ids of every whole text; or what ``finish`` makes
+    of a block's keys, ids and the places where each text's ids end."""
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
+    t = F.coalesce(F.col("t"), F.lit(""))
     rows = stable(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "bpe-in").select(
-        "k", split_words(F.coalesce(F.col("t"), F.lit("")), special_strings(path)).alias("w"))
+        "k", F.when(~t.rlike(NEWER), split_words(t, special_strings(path))).alias("w"), F.when(t.rlike(NEWER), t).alias("t"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.mapInArrow(_dealt_words(block_words, 8 * parts),
-                            "bucket int, block long, pos array<int>, words array<string>")
-    coded = rows.mapInArrow(_coded_texts(block_words),
+    buckets = 4 * parts
+    dealt = rows.mapInArrow(_dealt_words(block_words, buckets, path), "bucket int, block long, lengths binary, letters binary")
+    coded = rows.mapInArrow(_coded_texts(block_words, buckets, path),
                             f"block long, keys array<{kind}>, counts array<int>, codes binary")
     encoded = (dealt.repartition(parts, "bucket").sortWithinPartitions("bucket")
-               .mapInArrow(_encode_words(path), "block long, pos binary, sizes binary, ids binary"))
+               .mapInArrow(_encode_words(path), "block long, bucket int, sizes binary, ids binary"))
     out = (coded.groupBy("block").cogroup(encoded.groupBy("block"))
-           .applyInArrow(_join_back, f"key {kind}, ids array<int>"))
+           .applyInArrow(_join_back(buckets, finish), f"key {kind}, {schema}"))
     return out.withColumnRenamed("key", key)
 
 
@@ -242,20 +300,15 @@ def _pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _PIECES[path]
 
 
-def _decoded(ids: pa.Array, path: str) -> Iterator[tuple[np.ndarray, bytes]]:
-    values, at, size = _pieces(path)
-    for x in ids:
-        i = x.values.to_numpy(zero_copy_only=False) if x.values is not None else np.empty(0, np.int32)
-        yield i, _gather(values, at, size, i)[0].tobytes()
-
-
 def decode(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, text): ids joined with their pieces; malformed bytes are replaced."""
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, at, size = _pieces(path)
         for b in batches:
-            texts = [t.decode("utf-8", "replace") for _, t in _decoded(b.column("ids"), path)]
+            ids = [np.array(x if x is not None else [], np.int64) for x in b.column("ids").to_pylist()]
+            texts = [_gather(values, at, size, i)[0].tobytes().decode("utf-8", "replace") for i in ids]
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(texts, pa.string())], ["k", "text"])
 
     return (rows.select(F.col(key).alias("k"), F.col(ids).alias("ids"))
@@ -265,23 +318,19 @@ def decode(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") ->
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                block_words: int = BLOCK_WORDS) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and
-    decoded again."""
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, ids_hash, text_hash = [], [], []
-            for i, t in _decoded(b.column("ids"), path):
-                n.append(len(i))
-                ids_hash.append(hashlib.sha256(i.astype("<u4").tobytes()).hexdigest())
-                text_hash.append(hashlib.sha256(t.decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("k"), pa.array(n, pa.int64()), pa.array(ids_hash), pa.array(text_hash)],
-                ["k", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return (encode(docs, path, key, text, block_words).select(F.col(key).alias("k"), "ids")
-            .mapInArrow(run, f"k {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-            .withColumnRenamed("k", key))
+    decoded again (in the worker that joined the ids, so they are not sent on)."""
+    def digests(keys: pa.Array, ids: np.ndarray, ends: np.ndarray) -> pa.Table:
+        values, at, size = _pieces(path)
+        ids_hash, text_hash = [], []
+        for s, e in zip(ends[:-1], ends[1:]):
+            i = ids[s:e]
+            ids_hash.append(hashlib.sha256(i.astype("<u4").tobytes()).hexdigest())
+            t = _gather(values, at, size, i)[0].tobytes()
+            text_hash.append(hashlib.sha256(t.decode("utf-8", "replace").encode()).hexdigest())
+        return pa.table({"key": keys, "n_tokens": pa.array(np.diff(ends).astype(np.int64)),
+                         "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())})
+
+    return encode(docs, path, key, text, block_words, digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
