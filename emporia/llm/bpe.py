@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -180,6 +181,7 @@ def _coded_texts(words: int, buckets: int, path: str):
 
 
 def _encoder(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"     # one task, one core; threads would each keep memory
     from tokenizers import Tokenizer, pre_tokenizers
 
     tok = Tokenizer.from_file(path)
