@@ -15,6 +15,12 @@ SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 UPPER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_AZ = "abcdefghijklmnopqrstuvwxyz"
+#: Code points of scripts written without spaces between words (first, last):
+#: Thai, Lao, Myanmar, Khmer, Tai, Han, kana.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF),
+            (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3038, 0x303C), (0x3040, 0x30FF), (0x31F0, 0x31FF),
+            (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F),
+            (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
