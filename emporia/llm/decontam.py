@@ -6,17 +6,22 @@ words are lower-cased. A number is a run of digits, with points or commas
 between digits, or a number word; a unit is a listed word after a number; a
 name is a capitalised word that does not begin a sentence. Windows of
 ``WINDOW`` words with at least ``LITERALS`` literal ones are hashed and joined
-to the windows of the benchmark items by hash, in Spark. The scan over the
+to the windows of the benchmark items by hash, in Spark. A window with names is
+hashed a second time with the names as lower-case literals, so a copy in
+another letter case, where no name shows, has equal hashes too. The scan over the
 documents passes only windows that a bit table of fixed size may know, so
 little is shuffled; the table is a filter, the join decides.
 
 A matching pair of windows lines an item's slots (placeholders) up with a
 document's. Per item, document and alignment a slot value must stand for one
 document value throughout (the most frequent, the smallest on a tie); windows
-that contradict it do not count. A document contains an item if its windows
-cover ``SHARE`` of the item's, or ``RUN`` of the item's windows in a row (a
-passage of RUN + WINDOW - 1 words), so re-parameterised questions and long
-excerpts are found too.
+that contradict it do not count. An item's positions have levels: those with
+a window that has names as placeholders, and those with a window of either kind
+(each holds the one before; a match by either hash counts at both). A document
+contains an item if its windows cover ``SHARE`` of the item's at one level, or
+``RUN`` of the level's windows in a row (a passage of RUN + WINDOW - 1 words;
+positions of other levels do not end it), so re-parameterised questions and
+long excerpts are found too. The level with the largest share is reported.
 
 Defined results: null and empty texts, and items or documents with fewer words
 than a window, match nothing; repeated rows match alike and are reported once;
@@ -42,6 +47,7 @@ SHARE = 0.8
 RUN = 9
 TABLE_BITS = 26                  # bits of the filter table: 8 MB, whatever the benchmark
 BATCH_BYTES = 1 << 20
+LEVELS = (3, 2)                  # highest type that is a placeholder: with names, without them
 
 #: Words read as numbers and as units (fixed values).
 NUMBER_WORDS = ("two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
@@ -118,25 +124,48 @@ class Tokens:
         unit = after & np.isin(h, _hashes(UNITS))
         name = title & ~opens & ~number & ~unit
         self.slot = np.select([number, unit, name], [1, 2, 3], 0)
-        self.h = np.where(self.slot > 0, self.slot.astype(np.uint64), h)
+        self.word = h
 
-    def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of the windows inside one text."""
-        n = len(self.h) - size + 1
+    def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, level, hash) of the windows inside one text; one that
+        holds a name may be there once at each level of ``LEVELS``."""
+        n = len(self.word) - size + 1
         if n < 1:
-            return np.empty(0, np.int64), np.empty(0, np.uint64)
-        out = np.zeros(n, np.uint64)
-        literal = np.zeros(n, np.int64)
-        for k in range(size):
-            out = _mix(out * _BASE + self.h[k:k + n])
-            literal += self.slot[k:k + n] == 0
-        at = np.flatnonzero((self.doc[:n] == self.doc[size - 1:]) & (literal >= literals))
-        return at, out[at]
-
-    def slots(self, at: int, size: int) -> list[str]:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        inside = self.doc[:n] == self.doc[size - 1:]
+        found = []
+        for level, highest in enumerate(LEVELS):
+            slot = (self.slot > 0) & (self.slot <= highest)
+            word = np.where(slot, self.slot.astype(np.uint64), self.word)
+            out = np.zeros(n, np.uint64)
+            literal = np.zeros(n, np.int64)
+            named = np.zeros(n, bool)
+            for k in range(size):
+                out = _mix(out * _BASE + word[k:k + n])
+                literal += ~slot[k:k + n]
+                named |= self.slot[k:k + n] == 3
+            # without a name the second level would repeat the first
+            at = np.flatnonzero(inside & (literal >= literals) & (named | (level == 0)))
+            found.append((at, np.full(len(at), level), out[at]))
+        at, level, h = (np.concatenate(x) for x in zip(*found))
+        return at, level, h
+
+    def slots(self, at: int, size: int, level: int = 0) -> list[str]:
         """Type and lower-cased value of each placeholder of a window."""
         return [f"{self.slot[i]}:{self.raw[self.s[i]:self.e[i]].decode('utf-8', 'replace').lower()}"
-                for i in range(at, at + size) if self.slot[i]]
+                for i in range(at, at + size) if 0 < self.slot[i] <= LEVELS[level]]
+
+    def ranks(self, at: np.ndarray, level: np.ndarray) -> list[list[int]]:
+        """Per window and level, the place of its position among those of its
+        text that have a window of that level or a lower one; -1 if it has none."""
+        least = np.full(len(self.word), len(LEVELS))
+        np.minimum.at(least, at, level)
+        first = np.searchsorted(self.doc, self.doc[at])
+        out = []
+        for k in range(len(LEVELS)):
+            before = np.append(0, np.cumsum(least <= k))
+            out.append(np.where(least[at] <= k, before[at] - before[first], -1))
+        return np.column_stack(out).tolist() if len(at) else []
 
 
 _KNOWN: dict[tuple[str, ...], np.ndarray] = {}
@@ -166,18 +195,21 @@ def _scan(size: int, literals: int, bits):
 
         def search(keys: list, texts: list[str]) -> pa.RecordBatch:
             t = Tokens(texts)
-            at, h = t.windows(size, literals)
+            at, level, h = t.windows(size, literals)
+            ranks = t.ranks(at, level) if known is None else [None] * len(at)
             if known is not None and len(h):
                 b = h & np.uint64((1 << TABLE_BITS) - 1)
                 hit = (known[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                at, h = at[hit], h[hit]
+                at, level, h = at[hit], level[hit], h[hit]
+                ranks = [None] * len(at)
             first = np.searchsorted(t.doc, np.arange(len(texts)))
             doc = t.doc[at] if len(at) else np.empty(0, np.int64)
             ids, hashes = zip(*[keys[i] for i in doc.tolist()]) if len(at) else ((), ())
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(h.view(np.int64)),
                  pa.array((at - first[doc]).astype(np.int32) if len(at) else [], pa.int32()),
-                 pa.array([t.slots(i, size) for i in at.tolist()], pa.list_(pa.string()))], ["k", "row", "h", "pos", "slots"])
+                 pa.array([t.slots(i, size, v) for i, v in zip(at.tolist(), level.tolist())], pa.list_(pa.string())),
+                 pa.array(ranks, pa.list_(pa.int32()))], ["k", "row", "h", "pos", "slots", "ranks"])
 
         keys, texts, held = [], [], 0
         for b in batches:
@@ -200,11 +232,12 @@ def _row(text: Column) -> Column:
 
 def template_windows(rows: DataFrame, key: str, text: str = "text", bits=None, size: int = WINDOW,
                      literals: int = LITERALS) -> DataFrame:
-    """(k, row, h, pos, slots): template windows of the texts; ``row`` is a hash
-    of the text that tells rows of one key apart."""
+    """(k, row, h, pos, slots, ranks): template windows of the texts; ``row`` is
+    a hash of the text that tells rows of one key apart, ``ranks`` (null with a
+    filter) the place of the window among those of each level, or -1."""
     small_batches(rows.sparkSession)
     return rows.select(F.col(key).cast("long").alias("k"), _row(F.col(text)).alias("row"), F.col(text).alias("t")).mapInArrow(
-        _scan(size, literals, bits), "k long, row long, h long, pos int, slots array<string>")
+        _scan(size, literals, bits), "k long, row long, h long, pos int, slots array<string>, ranks array<int>")
 
 
 def _bit_table(windows: DataFrame) -> bytes:
@@ -225,15 +258,17 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     contained item of each distinct document."""
     spark = docs.sparkSession
     items = materialize(template_windows(benchmark, "item_id").distinct(), "decon-items")
-    total = items.groupBy("k", "row").agg(F.countDistinct("pos").alias("n_windows"))
+    levels = lambda df: df.select("*", F.posexplode("ranks").alias("level", "rank")).where("rank >= 0")
+    total = levels(items).groupBy("k", "row", "level").agg(F.countDistinct("rank").alias("n_windows"))
     bits = spark.sparkContext.broadcast(_bit_table(items))
-    hits = materialize(template_windows(docs, key, text, bits), "decon-hits")
+    hits = materialize(template_windows(docs, key, text, bits).drop("ranks"), "decon-hits")
     there = items.select(F.col("k").alias("item"), F.col("row").alias("irow"), "h", F.col("pos").alias("ipos"),
-                         F.col("slots").alias("islots"))
+                         F.col("slots").alias("islots"), "ranks")
     pair = ["k", "row", "item", "irow", "off"]
     met = materialize(hits.join(there, "h").withColumn("off", F.col("pos") - F.col("ipos")).distinct(), "decon-met")
-    # the value that each slot value of the item stands for, per alignment
-    each = met.select(*pair, F.explode(F.arrays_zip("islots", "slots")).alias("s")).select(*pair, "s.islots", "s.slots")
+    # the value that each slot value of the item stands for, per alignment; a position has one vote at all levels
+    each = (met.select(*pair, "ipos", F.explode(F.arrays_zip("islots", "slots")).alias("s"))
+            .select(*pair, "ipos", "s.islots", "s.slots").distinct())
     votes = each.groupBy(*pair, "islots", "slots").agg(F.count(F.lit(1)).alias("n"))
     meant = votes.groupBy(*pair, "islots").agg(F.min(F.struct(-F.col("n"), F.col("slots").alias("v")))["v"].alias("v"))
     table_ = meant.groupBy(*pair).agg(F.map_from_entries(F.collect_list(F.struct("islots", "v"))).alias("meant"))
@@ -244,18 +279,21 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         on = on & same(c, f"m_{c}")
     agrees = F.forall(F.arrays_zip("islots", "slots"), lambda s: F.coalesce(F.col("meant")[s["islots"]] == s["slots"], F.lit(False)))
     good = met.join(ours, on, "left").where((F.size("slots") == 0) | agrees)
-    # runs of consecutive windows along an alignment
-    runs = (good.groupBy(*pair).agg(F.array_sort(F.collect_set("ipos")).alias("at"))
-            .select(*pair, "at", F.explode(F.transform("at", lambda p, i: p - i)).alias("g")).groupBy(*pair, "g")
-            .agg(F.count(F.lit(1)).alias("len")).groupBy("k", "row", "item", "irow").agg(F.max("len").alias("longest")))
-    seen = good.groupBy("k", "row", "item", "irow").agg(F.countDistinct("ipos").alias("matched"))
+    # runs of consecutive windows of a level along an alignment
+    at = levels(good).select(*pair, "level", "rank")
     pair4 = ["k", "row", "item", "irow"]
+    runs = (at.groupBy(*pair, "level").agg(F.array_sort(F.collect_set("rank")).alias("at"))
+            .select(*pair, "level", "at", F.explode(F.transform("at", lambda p, i: p - i)).alias("g")).groupBy(*pair, "level", "g")
+            .agg(F.count(F.lit(1)).alias("len")).groupBy(*pair4).agg(F.max("len").alias("longest")))
+    seen = at.groupBy(*pair4, "level").agg(F.countDistinct("rank").alias("matched"))
+    t = total.select(F.col("k").alias("t_k"), F.col("row").alias("t_row"), F.col("level").alias("t_level"), "n_windows")
+    # of the levels, the one that covers most
+    seen = (seen.join(t, same("item", "t_k") & same("irow", "t_row") & same("level", "t_level"))
+            .withColumn("share", F.col("matched") / F.col("n_windows"))
+            .groupBy(*pair4).agg(F.max(F.struct("share", "n_windows", "matched")).alias("best")).select(*pair4, "best.*"))
     r = runs.select(*[F.col(c).alias(f"r_{c}") for c in pair4], "longest")
     on = same("k", "r_k") & same("row", "r_row") & same("item", "r_item") & same("irow", "r_irow")
-    t = total.select(F.col("k").alias("t_k"), F.col("row").alias("t_row"), "n_windows")
-    out = (seen.join(r, on).join(t, same("item", "t_k") & same("irow", "t_row"))
-           .withColumn("share", F.col("matched") / F.col("n_windows"))
-           .where((F.col("share") >= share) | (F.col("longest") >= run))
+    out = (seen.join(r, on).where((F.col("share") >= share) | (F.col("longest") >= run))
            .select("k", "row", F.col("item").alias("item_id"), "n_windows", "matched", "longest", "share"))
     done = materialize(out, "decon-found")
     discard(hits)

@@ -79,3 +79,14 @@ def test_given_tables_hold_every_verbatim_item(spark):
     truth = {(d, i) for d, t in docs for i, x in items if x in t}
     got = {(r.doc_id, r.item_id) for r in D.op3_template_decontamination(spark, sf).collect()}
     assert truth and truth <= got and len(got - truth) <= len(truth) // 20
+
+
+def test_copies_in_another_letter_case(spark, tmp_path):
+    items = [(0, "When did Anna Berg tell Carl Dorn and Eva Frank that Gustav Holm had sold Ida Juhl a boat in Kiel"),
+             (1, "Der alte Mann trug am Morgen den Korb mit Brot und Käse über die Brücke zum Markt der Stadt, wo Frau Groß und Herr Öz auf ihn warteten")]
+    texts = [f(t) for _, t in items for f in (str, str.lower, str.upper)] + [prose(1, 50).upper()]
+    got = _found(spark, tmp_path, texts, items)
+    assert set(got) == {(d, i) for i in range(2) for d in range(3 * i, 3 * i + 3)}
+    assert all(got[d, 0].share == 1.0 for d in range(3))
+    back = _found(spark, tmp_path / "b", [t for _, t in items], [(i, t.lower()) for i, t in items])
+    assert set(back) == {(0, 0), (1, 1)}
