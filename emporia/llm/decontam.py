@@ -1,7 +1,8 @@
 """Operator 3: benchmark decontamination by templates.
 
-Words of a text (runs of letters or digits; marks between them are ignored)
-are made canonical: numbers, names and units become typed placeholders, other
+Words of a text (runs of letters or of digits, by Unicode category; whatever is
+between them is ignored; each letter of a script written without spaces is a
+word) are made canonical: numbers, names and units become typed placeholders, other
 words are lower-cased. A number is a run of digits, with points or commas
 between digits, or a number word; a unit is a listed word after a number; a
 name is a capitalised word that does not begin a sentence. Windows of
@@ -32,14 +33,16 @@ texts are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, materialize, small_batches, table
+from .common import UNSPACED, discard, fresh, materialize, small_batches, table
 
 WINDOW = 5
 LITERALS = 3
@@ -59,16 +62,42 @@ UNITS = ("mm cm m km inch inches foot feet yard yards mile miles mg g kg gram gr
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
-_SEP, _LETTER, _DIGIT = 0, 1, 2
-_CLASS = np.zeros(256, np.uint8)
-_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
-_CLASS[[*range(48, 58)]] = _DIGIT
+_SEP, _LETTER, _DIGIT, _ALONE, _MARK = 0, 1, 2, 3, 4   # letters and marks of scripts without spaces are the last two
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:\n"]] = True
+_LEAD_BYTE = (np.arange(256) & 0xC0) != 0x80
 _LEAD = np.ones(256, np.int64)   # bytes of the character that a byte begins
 _LEAD[0xC0:0xE0], _LEAD[0xE0:0xF0], _LEAD[0xF0:] = 2, 3, 4
 
 
+@cache
+def _classes() -> np.ndarray:
+    """Kind of each code point."""
+    out = np.array([{"L": _LETTER, "M": _LETTER, "N": _DIGIT}.get(unicodedata.category(chr(c))[0], _SEP)
+                    for c in range(0x110000)], np.uint8)
+    for a, b in UNSPACED:
+        part = out[a:b + 1]
+        part[part == _LETTER] = [_ALONE if unicodedata.category(chr(c))[0] == "L" else _MARK
+                                 for c in range(a, b + 1) if out[c] == _LETTER]
+    return out
+
+
+@cache
+def _lowered() -> np.ndarray:
+    """Lower case of each code point, where it is one of the same length."""
+    out = np.arange(0x110000, dtype=np.uint32)
+    for c in range(0x20000):
+        x = chr(c).lower() if not 0xD800 <= c < 0xE000 else ""
+        if len(x) == 1 and len(x.encode()) == len(chr(c).encode()):
+            out[c] = ord(x)
+    return out
+
+
+def _one_case(text: str) -> str:
+    """``text`` without the letters whose upper case is longer or shared."""
+    return text.replace("ß", "ss").replace("ẞ", "SS").replace("ς", "σ")
+
+
 def _inverse(x: int) -> int:
     return pow(x, -1, 1 << 64)
 
@@ -83,20 +112,29 @@ class Tokens:
     """Canonical words of several texts laid end to end."""
 
     def __init__(self, texts: list[str]):
-        whole = [t.encode() for t in texts]
-        low = [t.lower().encode() for t in texts]
-        low = [x if len(x) == len(o) else o.lower() for x, o in zip(low, whole)]   # rare letters change length
-        self.raw = b"\n\n".join(whole) + b"\n"
+        texts = [_one_case(t) for t in texts]
+        whole = "\n\n".join(texts) + "\n"
+        self.raw = whole.encode()
         orig = np.frombuffer(self.raw, np.uint8)
-        lower = np.frombuffer(b"\n\n".join(low) + b"\n", np.uint8)
         n = len(orig)
-        ends_of = np.cumsum([len(x) + 2 for x in whole])
-        kind = _CLASS[lower]
+        ends_of = np.cumsum([len(x.encode()) + 2 for x in texts])
+        if whole.isascii():
+            lower = np.frombuffer(self.raw.lower(), np.uint8)
+            kind = _classes()[lower]
+        else:
+            code = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+            lower = np.frombuffer(_lowered()[code].tobytes().decode("utf-32-le").encode(), np.uint8)
+            kind = np.repeat(_classes()[code], 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF).astype(np.int64))
         mark = (lower == 46) | (lower == 44)
         inner = np.zeros(n, bool)
         inner[1:-1] = mark[1:-1] & (kind[:-2] == _DIGIT) & (kind[2:] == _DIGIT)
         kind[inner] = _DIGIT
-        change = np.flatnonzero(np.diff(kind, prepend=_SEP, append=_SEP))
+        # a letter of a script without spaces is a word, with the marks that follow it
+        alone = (kind == _ALONE) & (_LEAD_BYTE[lower])
+        kind[kind == _MARK] = _ALONE
+        edge = np.append(np.diff(kind, prepend=_SEP) != 0, kind[-1:] != _SEP)
+        edge[:-1] |= alone
+        change = np.flatnonzero(edge)
         starts, stops = change[:-1], change[1:]
         word = kind[starts] != _SEP if len(starts) else np.empty(0, bool)
         self.s, self.e = starts[word], stops[word]

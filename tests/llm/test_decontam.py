@@ -90,3 +90,21 @@ def test_copies_in_another_letter_case(spark, tmp_path):
     assert all(got[d, 0].share == 1.0 for d in range(3))
     back = _found(spark, tmp_path / "b", [t for _, t in items], [(i, t.lower()) for i, t in items])
     assert set(back) == {(0, 0), (1, 1)}
+
+
+def test_words_by_code_point():
+    words = lambda x: [t.raw[s:e].decode() for t in [D.Tokens([x])] for s, e in zip(t.s, t.e)]
+    assert words("asked—twice—quietly… “it’s”\u00a0Ça, e\u0301t\u00e9 ٣٤ x²") == ["asked", "twice", "quietly", "it", "s", "Ça", "e\u0301t\u00e9", "٣٤", "x", "²"]
+    assert words("問題A：最大のAI、第3章。") == ["問", "題", "A", "最", "大", "の", "AI", "第", "3", "章"]
+    assert words("ก็ที่") == ["ก็", "ที่"] and words("か\u3099 \U00020000漢") == ["か\u3099", "\U00020000", "漢"]
+    both = [D.Tokens([x]).word.tolist() for x in ("Straße ΟΔΟΣ İ ÉTÉ", "STRASSE οδος İ été")]
+    assert both[0] == both[1]
+
+
+def test_other_scripts_and_marks(spark, tmp_path):
+    items = [(0, "下列哪一项不是太阳系的行星？甲、水星。乙、月亮。丙、火星。丁、木星。"),
+             (1, "ข้อใดต่อไปนี้ไม่ใช่ดาวเคราะห์ในระบบสุริยะ"),
+             (2, 'she asked - twice - "quietly" and then - "loudly" - why it\'s "not" so - "ever" - here')]
+    texts = ["前文" + items[0][1] + "后文", items[0][1].replace("、", " ").replace("。", "\n"), "ก่อน " + items[1][1],
+             "she asked—twice—“quietly” and then—“loudly”—why it’s “not” so—“ever”—here", "今天天气很好我们去公园散步然后回家吃饭看电视睡觉"]
+    assert set(_found(spark, tmp_path, texts, items)) == {(0, 0), (1, 0), (2, 1), (3, 2)}
