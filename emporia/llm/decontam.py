@@ -9,7 +9,9 @@ name is a capitalised word that does not begin a sentence. Windows of
 ``WINDOW`` words with at least ``LITERALS`` literal ones are hashed and joined
 to the windows of the benchmark items by hash, in Spark. A window with names is
 hashed a second time with the names as lower-case literals, so a copy in
-another letter case, where no name shows, has equal hashes too. The scan over the
+another letter case, where no name shows, has equal hashes too. Windows with
+too few literal words even so are hashed as they are, in lower case, and match
+equal words only; an item shorter than a window is one window of that kind. The scan over the
 documents passes only windows that a bit table of fixed size may know, so
 little is shuffled; the table is a filter, the join decides.
 
@@ -17,15 +19,15 @@ A matching pair of windows lines an item's slots (placeholders) up with a
 document's. Per item, document and alignment a slot value must stand for one
 document value throughout (the most frequent, the smallest on a tie); windows
 that contradict it do not count. An item's positions have levels: those with
-a window that has names as placeholders, and those with a window of either kind
-(each holds the one before; a match by either hash counts at both). A document
+a window that has names as placeholders, those with a window of either kind,
+and all (each holds the one before; a match by either hash counts at both). A document
 contains an item if its windows cover ``SHARE`` of the item's at one level, or
 ``RUN`` of the level's windows in a row (a passage of RUN + WINDOW - 1 words;
 positions of other levels do not end it), so re-parameterised questions and
 long excerpts are found too. The level with the largest share is reported.
 
-Defined results: null and empty texts, and items or documents with fewer words
-than a window, match nothing; repeated rows match alike and are reported once;
+Defined results: null texts and texts without a word match nothing; an item
+shorter than a window is in every document that has its words in a row; repeated rows match alike and are reported once;
 rows with a null id are matched and reported with a null id (and removed by
 :func:`clean`); items with equal templates are all reported. Only ids and
 texts are read, so other columns cannot clash.
@@ -50,7 +52,7 @@ SHARE = 0.8
 RUN = 9
 TABLE_BITS = 26                  # bits of the filter table: 8 MB, whatever the benchmark
 BATCH_BYTES = 1 << 20
-LEVELS = (3, 2)                  # highest type that is a placeholder: with names, without them
+LEVELS = (3, 2, 0)               # highest type that is a placeholder: with names, without them, none
 
 #: Words read as numbers and as units (fixed values).
 NUMBER_WORDS = ("two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen "
@@ -166,32 +168,44 @@ class Tokens:
 
     def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word, level, hash) of the windows inside one text; one that
-        holds a name may be there once at each level of ``LEVELS``."""
+        holds a name may be there at each of the first two levels, the last
+        has those that are in none of them."""
         n = len(self.word) - size + 1
         if n < 1:
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
         inside = self.doc[:n] == self.doc[size - 1:]
+        count = lambda x: (c := np.append(0, np.cumsum(x)))[size:] - c[:-size]
+        named = count(self.slot == 3) > 0     # without a name the second level would repeat the first
+        plain = [size - count((self.slot > 0) & (self.slot <= highest)) >= literals for highest in LEVELS[:2]]
         found = []
-        for level, highest in enumerate(LEVELS):
-            slot = (self.slot > 0) & (self.slot <= highest)
-            word = np.where(slot, self.slot.astype(np.uint64), self.word)
-            out = np.zeros(n, np.uint64)
-            literal = np.zeros(n, np.int64)
-            named = np.zeros(n, bool)
-            for k in range(size):
-                out = _mix(out * _BASE + word[k:k + n])
-                literal += ~slot[k:k + n]
-                named |= self.slot[k:k + n] == 3
-            # without a name the second level would repeat the first
-            at = np.flatnonzero(inside & (literal >= literals) & (named | (level == 0)))
-            found.append((at, np.full(len(at), level), out[at]))
+        for level, there in enumerate((plain[0], plain[1] & named, ~plain[1])):
+            at = np.flatnonzero(inside & there)
+            found.append((at, np.full(len(at), level), self._hash(at, size, LEVELS[level])))
         at, level, h = (np.concatenate(x) for x in zip(*found))
         return at, level, h
 
+    def _hash(self, at: np.ndarray, size: int, highest: int) -> np.ndarray:
+        word = np.where((self.slot > 0) & (self.slot <= highest), self.slot.astype(np.uint64), self.word)
+        out = np.zeros(len(at), np.uint64)
+        for k in range(size):
+            out = _mix(out * _BASE + word[at + k])
+        return out
+
+    def exact(self, size: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of that many words of one text as they are, or
+        only of texts that have no other words."""
+        at = np.arange(max(len(self.word) - size + 1, 0))
+        keep = self.doc[at] == self.doc[at + size - 1]
+        if whole:
+            first = np.searchsorted(self.doc, self.doc[at])
+            keep &= (at == first) & (np.searchsorted(self.doc, self.doc[at], side="right") - first == size)
+        at = at[keep]
+        return at, self._hash(at, size, 0)
+
     def slots(self, at: int, size: int, level: int = 0) -> list[str]:
         """Type and lower-cased value of each placeholder of a window."""
         return [f"{self.slot[i]}:{self.raw[self.s[i]:self.e[i]].decode('utf-8', 'replace').lower()}"
-                for i in range(at, at + size) if 0 < self.slot[i] <= LEVELS[level]]
+                for i in range(at, at + size if LEVELS[level] else at) if 0 < self.slot[i] <= LEVELS[level]]
 
     def ranks(self, at: np.ndarray, level: np.ndarray) -> list[list[int]]:
         """Per window and level, the place of its position among those of its
@@ -227,19 +241,30 @@ def _plain_hashes(words: list[str]) -> np.ndarray:
     return _mix(np.array(out, np.uint64))
 
 
-def _scan(size: int, literals: int, bits):
+def _scan(size: int, literals: int, bits, short: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = None if bits is None else np.frombuffer(bits.value, np.uint8)
 
+        def filtered(h: np.ndarray) -> np.ndarray:
+            b = h & np.uint64((1 << TABLE_BITS) - 1)
+            return np.flatnonzero((known[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1)
+
         def search(keys: list, texts: list[str]) -> pa.RecordBatch:
             t = Tokens(texts)
             at, level, h = t.windows(size, literals)
+            words = np.full(len(at), size)
+            if known is not None:
+                hit = filtered(h)
+                at, level, h, words = at[hit], level[hit], h[hit], words[hit]
+            for n in short if known is not None else range(1, size):
+                at2, h2 = t.exact(n, known is None)
+                if known is not None:     # once in a text is enough
+                    hit = filtered(h2)
+                    hit = hit[np.sort(np.unique(np.stack([t.doc[at2[hit]].astype(np.uint64), h2[hit]]), axis=1, return_index=True)[1])]
+                    at2, h2 = at2[hit], h2[hit]
+                at, h = np.append(at, at2), np.append(h, h2)
+                level, words = np.append(level, np.full(len(at2), len(LEVELS) - 1)), np.append(words, np.full(len(at2), n))
             ranks = t.ranks(at, level) if known is None else [None] * len(at)
-            if known is not None and len(h):
-                b = h & np.uint64((1 << TABLE_BITS) - 1)
-                hit = (known[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                at, level, h = at[hit], level[hit], h[hit]
-                ranks = [None] * len(at)
             first = np.searchsorted(t.doc, np.arange(len(texts)))
             doc = t.doc[at] if len(at) else np.empty(0, np.int64)
             ids, hashes = zip(*[keys[i] for i in doc.tolist()]) if len(at) else ((), ())
@@ -247,7 +272,8 @@ def _scan(size: int, literals: int, bits):
                 [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(h.view(np.int64)),
                  pa.array((at - first[doc]).astype(np.int32) if len(at) else [], pa.int32()),
                  pa.array([t.slots(i, size, v) for i, v in zip(at.tolist(), level.tolist())], pa.list_(pa.string())),
-                 pa.array(ranks, pa.list_(pa.int32()))], ["k", "row", "h", "pos", "slots", "ranks"])
+                 pa.array(ranks, pa.list_(pa.int32())), pa.array(words, pa.int32())],
+                ["k", "row", "h", "pos", "slots", "ranks", "words"])
 
         keys, texts, held = [], [], 0
         for b in batches:
@@ -269,13 +295,15 @@ def _row(text: Column) -> Column:
 
 
 def template_windows(rows: DataFrame, key: str, text: str = "text", bits=None, size: int = WINDOW,
-                     literals: int = LITERALS) -> DataFrame:
-    """(k, row, h, pos, slots, ranks): template windows of the texts; ``row`` is
+                     literals: int = LITERALS, short: list[int] | None = None) -> DataFrame:
+    """(k, row, h, pos, slots, ranks, words): windows of the texts; ``row`` is
     a hash of the text that tells rows of one key apart, ``ranks`` (null with a
-    filter) the place of the window among those of each level, or -1."""
+    filter) the place of the window among those of each level, or -1. Texts
+    that are shorter than a window are one; with a filter, all texts have
+    windows of the ``short`` sizes instead."""
     small_batches(rows.sparkSession)
     return rows.select(F.col(key).cast("long").alias("k"), _row(F.col(text)).alias("row"), F.col(text).alias("t")).mapInArrow(
-        _scan(size, literals, bits), "k long, row long, h long, pos int, slots array<string>, ranks array<int>")
+        _scan(size, literals, bits, short or []), "k long, row long, h long, pos int, slots array<string>, ranks array<int>, words int")
 
 
 def _bit_table(windows: DataFrame) -> bytes:
@@ -299,7 +327,8 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     levels = lambda df: df.select("*", F.posexplode("ranks").alias("level", "rank")).where("rank >= 0")
     total = levels(items).groupBy("k", "row", "level").agg(F.countDistinct("rank").alias("n_windows"))
     bits = spark.sparkContext.broadcast(_bit_table(items))
-    hits = materialize(template_windows(docs, key, text, bits).drop("ranks"), "decon-hits")
+    short = [r["words"] for r in items.where(F.col("words") < WINDOW).select("words").distinct().collect()]   # sizes below WINDOW
+    hits = materialize(template_windows(docs, key, text, bits, short=short).drop("ranks", "words"), "decon-hits")
     there = items.select(F.col("k").alias("item"), F.col("row").alias("irow"), "h", F.col("pos").alias("ipos"),
                          F.col("slots").alias("islots"), "ranks")
     pair = ["k", "row", "item", "irow", "off"]

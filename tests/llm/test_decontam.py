@@ -108,3 +108,15 @@ def test_other_scripts_and_marks(spark, tmp_path):
     texts = ["前文" + items[0][1] + "后文", items[0][1].replace("、", " ").replace("。", "\n"), "ก่อน " + items[1][1],
              "she asked—twice—“quietly” and then—“loudly”—why it’s “not” so—“ever”—here", "今天天气很好我们去公园散步然后回家吃饭看电视睡觉"]
     assert set(_found(spark, tmp_path, texts, items)) == {(0, 0), (1, 0), (2, 1), (3, 2)}
+
+
+def test_dense_and_short_items_are_found_exactly(spark, tmp_path):
+    items = [(0, "Compute 12 + 7 - 3 * 45 / 9"), (1, "Solve 3x = 12"), (2, "12"), (3, "..."),
+             (4, "In the table 4 5 6 7 8 9 10 the first row of values is 11 12 13 14 15 16 and the last row is 21 22 23 24 25 26 27 28 as shown"),
+             (5, "the value of a is 10 20 30 40 50 60 70 and the value of b is 11 21 31 41 51 61 71 while c has none")]
+    texts = ["Now compute 12 + 7 - 3 * 45 / 9, please", "Compute 11 + 7 - 3 * 45 / 9", prose(1, 30) + " solve 3X = 12", "solve 3 x 13",
+             "first row of values is 11 12 13 14 15 16 and the last one",      # an excerpt of 14 words
+             items[5][1].replace("0", "5").replace("1 ", "9 ")]                # other values in all places
+    got = _found(spark, tmp_path, texts, items)
+    assert set(got) == {(0, 0), (0, 2), (2, 1), (2, 2), (4, 2), (4, 4), (5, 5)}
+    assert got[4, 4].longest == 10 and got[5, 5].share == 1.0 and got[0, 0].n_windows == 2
