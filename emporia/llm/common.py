@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +102,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         cur = nxt
 
 
+@contextmanager
+def session_conf(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings for the actions inside; the caller's own are put back after.
+    Workers also find this library where the driver does."""
+    env, home = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = env.get("PYTHONPATH")
+    path = known or os.environ.get("PYTHONPATH", "")
+    if home not in path.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join([home, path]) if path else home
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of at most ``rows`` rows for this session, so that a
     Python worker holds few whole texts at a time; and workers that find this

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontam, langid, lines, quality, simhash, tokens, toxicity, urls
+from . import bpe, centroids, chat, decontam, langid, lines, quality, resample, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op1_quotation_links": chat.op1_quotation_links,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_counts": tokens.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_importance_resampling": resample.op11_importance_resampling,
+    "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
 
 ORACLES = {
     "op1_quotation_links": chat.SQL,
     "op5_url_filters": urls.SQL,
     "op8_quality_rules": quality.SQL,
+    "op11_importance_resampling": resample.SQL,
+    "op13_centroid_clustering": centroids.SQL,
 }

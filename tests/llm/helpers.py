@@ -13,6 +13,7 @@ SCHEMAS = {
     "pages": "page_id long, url string, html string",
     "conversations": "conv_id long, turn long, role string, text string",
     "benchmark": "item_id long, text string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
 }
 
 
