@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, centroids, chat, decontam, langid, lines, quality, resample, simhash, tokens, toxicity, urls
+from . import bpe, centroids, chat, decontam, langid, lines, ngrams, quality, resample, simhash, tokens, toxicity, urls
 
 QUERIES = {
     "op1_quotation_links": chat.op1_quotation_links,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": tokens.op9_token_counts,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_importance_resampling": resample.op11_importance_resampling,
+    "op12_ngram_jaccard_join": ngrams.op12_ngram_jaccard_join,
     "op13_centroid_clustering": centroids.op13_centroid_clustering,
 }
 
@@ -24,5 +25,6 @@ ORACLES = {
     "op5_url_filters": urls.SQL,
     "op8_quality_rules": quality.SQL,
     "op11_importance_resampling": resample.SQL,
+    "op12_ngram_jaccard_join": ngrams.SQL,
     "op13_centroid_clustering": centroids.SQL,
 }
