@@ -9,9 +9,9 @@ no run is ever spelled out. A run's bucket is its CRC modulo the number of
 buckets; buckets are written per document once, counted over all documents and
 all target texts, and summed up as gains.
 
-The dictionary is broadcast, so it is bounded: the ``DICTIONARY`` most frequent
-distinct words of at most ``LONGEST`` bytes, counted over the whole corpus and
-the whole target. Every other word shows as a gap between two payloads and has
+The dictionary is broadcast, so it is bounded: up to ``DICTIONARY`` distinct
+words of at most ``LONGEST`` bytes, the most frequent ones, counted over the
+whole corpus and the whole target. Every other word shows as a gap between two payloads and has
 its payload computed from its own bytes there, so the dictionary's size decides
 speed only, never a result.
 
@@ -37,14 +37,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az, materialize, session_conf, table
+from .common import discard, lower_az, materialize, session_conf, table
 
 NGRAMS = 1
 BUCKETS = 10_000
 PERCENT = 10
 LEAST_WORDS = 20
 SEED = 2024
-DICTIONARY = 100_000    # words of the automaton
+DICTIONARY = 65_536     # words of the automaton
 LONGEST = 64            # bytes of a word of the automaton
 SEGMENT = 1 << 20       # bytes scanned at a time
 BATCH = 256             # texts handed to a Python worker at a time
@@ -147,16 +147,25 @@ def run_hashes(crc: np.ndarray, length: np.ndarray, ngrams: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(lower_az(F.coalesce(text, F.lit(""))), DELIMITERS), lambda w: w != "")
-
-
 def dictionary(texts: DataFrame, text: str = "text", most: int = DICTIONARY, longest: int = LONGEST) -> list[str]:
-    """The most frequent distinct words of all texts; at most ``most`` of
-    ``longest`` bytes each, so it may be collected and broadcast."""
-    found = texts.select(F.explode(words(F.col(text))).alias("w")).where(F.octet_length("w") <= longest)
-    top = found.groupBy("w").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "w").limit(most)
-    return [r.w for r in top.select("w").collect()]
+    """Frequent distinct words of all texts: all above a count that at most
+    ``most`` of them reach, and of ``longest`` bytes at most, so they may be
+    collected and broadcast. The count is found by a histogram, so no task and
+    no driver holds more words than those."""
+    split = F.split(lower_az(F.coalesce(F.col(text), F.lit(""))), DELIMITERS)
+    found = texts.select(F.explode(split).alias("w")).where((F.col("w") != "") & (F.octet_length("w") <= longest))
+    level = F.floor(F.log2("c") * 16)
+    counted = materialize(found.groupBy("w").agg(F.count(F.lit(1)).alias("c")).select("w", level.alias("level")), "resample-words")
+    sizes = sorted(counted.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)     # 16 a doubling
+    total, lowest = 0, None
+    for at, n in sizes:
+        total += n
+        if total > most:
+            break
+        lowest = at
+    out = [] if lowest is None else sorted(r.w for r in counted.where(F.col("level") >= lowest).select("w").collect())
+    discard(counted)
+    return out
 
 
 def _scan(known, ngrams: int, buckets: int):
