@@ -3,7 +3,7 @@
 Shuffles are on the business keys (SKU for the price lookup, order number for
 everything per order). Per-order results use aggregates, not windows, so
 Spark's partial aggregation pre-combines a hot order map-side; per-row ranks
-use the range-partitioned scan in ``plans.scan``.
+use the running values of ``plans.running``, which cut hot keys into pieces.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import (MONEY, STATUS_FAILED, STATUS_PENDING, STATUS_VALIDATED, fmt_ts,
                                  line_amount, replay_safe_id)
-from ..plans.scan import keyed_running
+from ..plans.running import running
+from ..plans.skew import asof_join, split_join, validity
 
 
 def product_latest(feed: DataFrame) -> DataFrame:
@@ -27,17 +28,35 @@ def product_latest(feed: DataFrame) -> DataFrame:
     return latest.select("sku", "r.*")
 
 
-def price_lines(lines: DataFrame, latest: DataFrame) -> DataFrame:
-    """Lines joined with the latest product row (left; ``found`` says whether it matched).
+def first_seen(feed: DataFrame) -> DataFrame:
+    """(sku, known_from): since when a product is in the cache; it never leaves it."""
+    return feed.groupBy("sku").agg(F.min("ts").alias("known_from"))
 
-    No broadcast hint: the catalogue grows with the data, so the strategy is
-    left to AQE, which switches to a broadcast join only when the measured
-    size of the latest-product stage is under the broadcast threshold, and
-    splits skewed SKU partitions otherwise.
+
+def unsaved_orders(lines: DataFrame, feed: DataFrame, heavy: dict[str, int] | None = None) -> DataFrame:
+    """Numbers of the orders with a line whose SKU was not in the cache
+    when the order was placed. They are never saved, so whatever refers to
+    them later finds no order."""
+    j = split_join(lines.select("order_number", "sku", "ts", "l_linenumber"), first_seen(feed), "sku", heavy or {})
+    return j.where(F.col("known_from").isNull() | (F.col("known_from") > F.col("ts"))).select("order_number").distinct()
+
+
+def saved_orders(placed: DataFrame, lines: DataFrame, feed: DataFrame, heavy: dict[str, int] | None = None) -> DataFrame:
+    """The placed orders that are in the order table."""
+    return placed.join(unsaved_orders(lines, feed, heavy), "order_number", "left_anti")
+
+
+def price_lines(lines: DataFrame, feed: DataFrame, heavy: dict[str, int] | None = None) -> DataFrame:
+    """Lines joined with the product row that the cache held when the order was
+    placed (left; ``found`` says whether there was one).
+
+    No broadcast hint: the catalogue grows with the data, so adaptive execution
+    decides by measured size; the lines of a hot SKU (``heavy``) are dealt over
+    salts and its few product rows repeated.
     """
-    snap = latest.select("sku", F.col("price"), F.col("name").alias("product_name"), "color", "size",
-                         F.lit(True).alias("found"))
-    return (lines.join(snap, "sku", "left")
+    held = validity(feed, "sku", "ts", ["seq"]).select(
+        "sku", F.col("price"), F.col("name").alias("product_name"), "color", "size", F.lit(True).alias("found"), "_since", "_until")
+    return (asof_join(lines, held, "sku", "ts", heavy or {}, spread=["l_orderkey", "l_linenumber"])
             .withColumn("found", F.coalesce(F.col("found"), F.lit(False))))
 
 
@@ -58,14 +77,13 @@ def rejected_orders(priced: DataFrame) -> DataFrame:
             .select("order_number", "missing_lines", "first_missing_sku"))
 
 
-def accepted_lines(priced: DataFrame) -> DataFrame:
+def accepted_lines(priced: DataFrame, unsaved: DataFrame) -> DataFrame:
     """Lines of orders whose every SKU is known (all-or-nothing per order).
 
-    An anti join against the reject list; the list is small relative to the
-    lines and AQE broadcasts it when its measured size allows.
+    An anti join against the unsaved orders, which come from the lines and the
+    products' first appearance, so the priced lines are computed once.
     """
-    bad = priced.filter(~F.col("found")).select("order_number")
-    return (priced.join(bad, "order_number", "left_anti")
+    return (priced.join(unsaved, "order_number", "left_anti")
             .withColumn("line_amount", line_amount(F.col("price"), F.col("qty"))))
 
 
@@ -85,9 +103,9 @@ def order_totals(orders_placed: DataFrame, priced: DataFrame) -> DataFrame:
                     F.coalesce(F.col("total"), F.lit(0)).cast(MONEY).alias("total_price")))
 
 
-def enriched_lines(priced: DataFrame) -> DataFrame:
+def enriched_lines(priced: DataFrame, unsaved: DataFrame) -> DataFrame:
     """D2 output rows: the saved line items with their cached product data."""
-    return accepted_lines(priced).select(
+    return accepted_lines(priced, unsaved).select(
         "order_number", "sku", "qty", "l_linenumber", "l_partkey", "l_suppkey",
         F.col("price").cast(MONEY).alias("price"), "product_name", "color", "size",
         F.col("line_amount").cast(MONEY).alias("line_amount"))
@@ -126,15 +144,13 @@ def gather_progress(results: DataFrame, order_items: DataFrame,
                     order_cols=("l_linenumber", "l_partkey", "l_suppkey", "qty")) -> DataFrame:
     """progress n / total per result, n = arrival rank within the order.
 
-    The rank comes from the skew-safe range scan, so an order with a huge
-    number of results is split over many tasks.
+    The rank is a running count, so an order with a huge number of results is
+    cut into pieces that lie in many tasks.
     """
-    ranked = keyed_running(results.select("order_number", "sku", "success", *order_cols),
-                           ["order_number"], list(order_cols))
+    ranked = running(results.select("order_number", "sku", "success", *order_cols), "order_number", list(order_cols),
+                     sums={"received_n": F.lit(1).cast("bigint")})
     return (ranked.join(order_items, "order_number", "left")
-            .select("order_number", "sku", *order_cols,
-                    F.col("row_number").cast("bigint").alias("received_n"),
-                    F.col("total_items").cast("bigint").alias("total_items")))
+            .select("order_number", "sku", *order_cols, "received_n", F.col("total_items").cast("bigint").alias("total_items")))
 
 
 def first_failure(results: DataFrame, order_cols=("l_linenumber", "l_partkey", "l_suppkey", "qty")) -> DataFrame:

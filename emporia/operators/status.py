@@ -87,14 +87,15 @@ def payment_gate(payments: DataFrame, trans: DataFrame) -> DataFrame:
     emits at most three rows per payment: a proven bound, not a pair
     explosion; AQE splits a skewed order's partition.
     """
-    p = payments.select("order_number", F.col("ts").alias("pay_ts"))
+    p = payments.select("order_number", "payment_id", F.col("ts").alias("pay_ts"))
     t = trans.select("order_number", F.col("ts").alias("t_ts"), "status")
     j = p.join(t, "order_number").filter(F.col("t_ts") < F.col("pay_ts"))
     # transitions of one instant follow the machine's order
     rank = F.when(F.col("status") == STATUS_PENDING, 0).when(F.col("status") == STATUS_VALIDATED, 1).otherwise(2)
-    at = j.groupBy("order_number", "pay_ts").agg(F.max_by("status", F.struct("t_ts", rank)).alias("status_at_arrival"))
+    at = (j.groupBy("order_number", "payment_id", "pay_ts")      # a payment is told apart by its id, not by its time
+          .agg(F.max_by("status", F.struct("t_ts", rank)).alias("status_at_arrival")))
     return (at.filter(F.col("status_at_arrival").isin(STATUS_PENDING, STATUS_VALIDATED))
-            .select("order_number", fmt_ts(F.col("pay_ts")).alias("paid_at"), "status_at_arrival"))
+            .select("order_number", "payment_id", fmt_ts(F.col("pay_ts")).alias("paid_at"), "status_at_arrival"))
 
 
 def restock_compensation(trans: DataFrame, lines: DataFrame) -> DataFrame:

@@ -67,16 +67,22 @@ def variant_req(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def product_feed(spark: SparkSession, sf: str) -> DataFrame:
-    """Product cache events; the latest ``seq`` per SKU wins."""
+    """Product cache events; the latest ``seq`` per SKU wins, and ``ts`` says
+    from when a row is in the cache. Some products appear late, so early
+    orders and carts do not find them."""
     k = F.col("p_partkey")
     p = table(spark, sf, "part").filter(k % 100 != 99)
-    v1 = p.select(F.lit(1).cast("bigint").alias("seq"), "*")
-    v2 = p.filter(k % 2 == 0).select(F.lit(2).cast("bigint").alias("seq"), "*")
+    late = k % 500 == 4      # not before January 2024
+    day = lambda text, days: F.lit(text).cast("timestamp_ntz") + F.make_dt_interval(days.cast("int"))
+    first = (F.when(late, F.lit("2024-01-12")).when(k % 10 == 3, F.lit("1996-03-01")).otherwise(F.lit("1990-01-01"))).cast("timestamp_ntz")
+    v1 = p.select(F.lit(1).cast("bigint").alias("seq"), first.alias("ts"), "*")
+    v2 = p.filter((k % 2 == 0) & ~late).select(F.lit(2).cast("bigint").alias("seq"), day("1998-06-01", k % 30).alias("ts"), "*")
+    v3 = p.filter(k % 7 < 5).select(F.lit(3).cast("bigint").alias("seq"), day("2024-01-08", k % 5 * 5).alias("ts"), "*")
     base = _money(F.col("p_retailprice"))
-    return v1.unionByName(v2).select(
-        "seq", sku_of(k).alias("sku"), F.col("p_name").alias("name"),
-        F.when(F.col("seq") == 1, base.cast(MONEY))
-         .otherwise((base * F.lit(1.1).cast("decimal(2,1)")).cast(MONEY)).alias("price"),
+    raised = lambda by: (base * F.lit(by).cast("decimal(2,1)")).cast(MONEY)
+    return v1.unionByName(v2).unionByName(v3).select(
+        "seq", "ts", sku_of(k).alias("sku"), F.col("p_name").alias("name"),
+        F.when(F.col("seq") == 1, base.cast(MONEY)).when(F.col("seq") == 2, raised(1.1)).otherwise(raised(1.2)).alias("price"),
         F.col("p_brand").alias("color"), F.col("p_size").cast("string").alias("size"),
         F.when(k % 3 != 0, F.concat(F.lit("img/v"), k.cast("string"))).alias("image_url"))
 
@@ -92,15 +98,6 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-def line_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Order lines without the order date: lineitem only, for jobs that end in
-    a join with the orders anyway (no lineitem x orders join up front)."""
-    li = table(spark, sf, "lineitem")
-    return li.select(
-        F.col("l_orderkey").cast("string").alias("order_number"), sku_of(F.col("l_partkey")).alias("sku"),
-        F.col("l_quantity").cast("int").alias("qty"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-
-
 LINE_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "qty"]
 
 
@@ -127,6 +124,21 @@ def changes(spark: SparkSession, sf: str) -> DataFrame:
     return created.unionByName(adjust)
 
 
+def flow_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Stock changes of the order flow: what a SKU starts with, and for every
+    line a receipt or a loss on its ship date, so that stock is scarce at times."""
+    p = table(spark, sf, "part")
+    created = p.select(
+        sku_of(F.col("p_partkey")).alias("sku"), (F.col("p_size") * 6).cast("bigint").alias("chg"),
+        F.lit("1970-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), F.lit(0).cast("bigint").alias("l_orderkey"),
+        F.lit(0).cast("int").alias("l_linenumber"), F.lit(0).cast("bigint").alias("l_suppkey"))
+    li = table(spark, sf, "lineitem")
+    sign = F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", -1).otherwise(1)
+    adjust = li.select(sku_of(F.col("l_partkey")).alias("sku"), (sign * F.col("l_quantity")).cast("bigint").alias("chg"),
+                       F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber", "l_suppkey")
+    return created.unionByName(adjust)
+
+
 CHANGE_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_suppkey", "chg"]
 
 

@@ -21,12 +21,19 @@ CTES: dict[str, str] = {
         p_size::VARCHAR AS size,
         CASE WHEN p_partkey%2=0 THEN (p_retailprice::DECIMAL(12,2)*1.1)::DECIMAL(18,2) END AS price
         FROM part WHERE p_partkey%4<>1 AND (p_partkey//4)%10<>0""",
-    "product_feed": """SELECT v AS seq, 'SKU-'||p_partkey AS sku, p_name AS name,
-        (CASE WHEN v=1 THEN p_retailprice::DECIMAL(12,2)::DECIMAL(18,2)
-              ELSE (p_retailprice::DECIMAL(12,2)*1.1)::DECIMAL(18,2) END)::DECIMAL(18,2) AS price,
+    "product_feed": """SELECT v AS seq,
+        CASE WHEN v=1 THEN CASE WHEN p_partkey%500=4 THEN TIMESTAMP '2024-01-12' WHEN p_partkey%10=3 THEN TIMESTAMP '1996-03-01'
+                                ELSE TIMESTAMP '1990-01-01' END
+             WHEN v=2 THEN TIMESTAMP '1998-06-01' + to_days((p_partkey%30)::INT)
+             ELSE TIMESTAMP '2024-01-08' + to_days((p_partkey%5*5)::INT) END AS ts,
+        'SKU-'||p_partkey AS sku, p_name AS name,
+        (CASE v WHEN 1 THEN p_retailprice::DECIMAL(12,2)::DECIMAL(18,2)
+                WHEN 2 THEN (p_retailprice::DECIMAL(12,2)*1.1)::DECIMAL(18,2)
+                ELSE (p_retailprice::DECIMAL(12,2)*1.2)::DECIMAL(18,2) END)::DECIMAL(18,2) AS price,
         p_brand AS color, p_size::VARCHAR AS size,
         CASE WHEN p_partkey%3<>0 THEN 'img/v'||p_partkey END AS image_url
-        FROM part, range(1,3) t(v) WHERE p_partkey%100<>99 AND (v=1 OR p_partkey%2=0)""",
+        FROM part, range(1,4) t(v) WHERE p_partkey%100<>99
+          AND (v=1 OR (v=2 AND p_partkey%2=0 AND p_partkey%500<>4) OR (v=3 AND p_partkey%7<5))""",
     "lines": """SELECT l_orderkey::VARCHAR AS order_number, 'SKU-'||l_partkey AS sku, l_quantity::INT AS qty,
         o_orderdate AS ts, l_orderkey, l_linenumber, l_partkey, l_suppkey
         FROM lineitem JOIN orders ON l_orderkey=o_orderkey""",
@@ -36,6 +43,10 @@ CTES: dict[str, str] = {
         UNION ALL SELECT 'SKU-'||l_partkey, (CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN -2 ELSE -1 END*l_quantity)::BIGINT,
         l_shipdate, l_orderkey, l_linenumber, l_suppkey, 'adjustment'
         FROM lineitem""",
+    "flow_changes": """SELECT 'SKU-'||p_partkey AS sku, (p_size*6)::BIGINT AS chg, TIMESTAMP '1970-01-01' AS ts,
+        0::BIGINT AS l_orderkey, 0::INT AS l_linenumber, 0::BIGINT AS l_suppkey FROM part
+        UNION ALL SELECT 'SKU-'||l_partkey, (CASE l_returnflag WHEN 'A' THEN -1 ELSE 1 END*l_quantity)::BIGINT, l_shipdate,
+        l_orderkey, l_linenumber, l_suppkey FROM lineitem""",
     "opening": """SELECT 'SKU-'||p_partkey AS sku, (p_size*20)::BIGINT AS stock FROM part WHERE p_partkey%50<>7""",
     "results": """SELECT l_orderkey::VARCHAR AS order_number, 'SKU-'||l_partkey AS sku, l_quantity<=45 AS success,
         CASE WHEN l_quantity>45 THEN 'Not enough stock for SKU-'||l_partkey END AS reason,
@@ -76,18 +87,30 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
     "product_latest": ("""SELECT sku, max(seq) AS seq, arg_max(name, seq) AS name, arg_max(price, seq) AS price,
         arg_max(color, seq) AS color, arg_max(size, seq) AS size, arg_max(image_url, seq) AS image_url
         FROM product_feed GROUP BY sku""", ("product_feed",)),
+    "product_span": ("""SELECT *, lead(ts) OVER (PARTITION BY sku ORDER BY ts, seq) AS until FROM product_feed""",
+                     ("product_feed",)),
     "priced": ("""SELECT l.*, pl.price, pl.name AS product_name, pl.color, pl.size, pl.sku IS NOT NULL AS found
-        FROM lines l LEFT JOIN product_latest pl ON l.sku = pl.sku""", ("lines", "product_latest")),
+        FROM lines l LEFT JOIN product_span pl ON l.sku = pl.sku AND pl.ts <= l.ts AND (pl.until IS NULL OR l.ts < pl.until)""",
+               ("lines", "product_span")),
+    "saved": ("""SELECT * FROM placed WHERE order_number NOT IN (SELECT order_number FROM rejected)""",
+              ("placed", "rejected")),
     "rejected": ("""SELECT DISTINCT order_number FROM priced WHERE NOT found""", ("priced",)),
     "accepted_lines": ("""SELECT * FROM priced WHERE order_number NOT IN (SELECT order_number FROM rejected)""",
                        ("priced", "rejected")),
+    "flow_requests": ("""SELECT * FROM lines WHERE order_number NOT IN (SELECT order_number FROM rejected)""", ("lines", "rejected")),
+    "flow_payments": ("""SELECT order_number, min(ts) AS ts, arg_min(kind, (ts, kind)) AS kind
+        FROM (SELECT l.* FROM status_log l JOIN saved p ON p.order_number = l.order_number AND l.ts >= p.ts
+              WHERE l.kind IN ('PAID', 'PAY_FAILED')) GROUP BY order_number""", ("status_log", "saved")),
+    "flow_restocks": ("""SELECT r.order_number, r.sku, r.qty::BIGINT AS chg, p.ts, r.l_orderkey, r.l_linenumber, r.l_suppkey
+        FROM flow_requests r JOIN flow_payments p USING (order_number) WHERE p.kind = 'PAY_FAILED'""",
+                      ("flow_requests", "flow_payments")),
     "status_agg": ("""SELECT order_number,
         min(ts) FILTER (WHERE kind='VALIDATED') AS v_ts,
         min(ts) FILTER (WHERE kind='FAILED') AS f_ts,
         min(ts) FILTER (WHERE kind IN ('PAID','PAY_FAILED')) AS p_ts,
         arg_min(kind, ts) FILTER (WHERE kind IN ('PAID','PAY_FAILED')) AS p_kind
-        FROM (SELECT l.order_number, l.kind, l.ts FROM status_log l JOIN placed p ON p.order_number = l.order_number AND l.ts >= p.ts)
-        GROUP BY order_number""", ("status_log", "placed")),
+        FROM (SELECT l.order_number, l.kind, l.ts FROM status_log l JOIN saved p ON p.order_number = l.order_number AND l.ts >= p.ts)
+        GROUP BY order_number""", ("status_log", "saved")),
     "status_final": ("""SELECT p.order_number, p.ts AS placed_ts, a.v_ts,
         CASE WHEN a.f_ts IS NOT NULL AND (a.v_ts IS NULL OR a.f_ts <= a.v_ts)
                   AND (a.p_ts IS NULL OR a.f_ts <= a.p_ts) THEN 'FAILED'
@@ -96,7 +119,7 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
         CASE WHEN a.f_ts IS NOT NULL AND (a.v_ts IS NULL OR a.f_ts <= a.v_ts)
                   AND (a.p_ts IS NULL OR a.f_ts <= a.p_ts) THEN a.f_ts
              ELSE a.p_ts END AS term_ts
-        FROM placed p LEFT JOIN status_agg a ON p.order_number = a.order_number""", ("placed", "status_agg")),
+        FROM saved p LEFT JOIN status_agg a ON p.order_number = a.order_number""", ("saved", "status_agg")),
     "transitions": ("""SELECT order_number, 'PENDING' AS status, placed_ts AS ts FROM status_final
         UNION ALL SELECT order_number, 'VALIDATED', v_ts FROM status_final
           WHERE v_ts IS NOT NULL AND (term_ts IS NULL OR v_ts < term_ts)
@@ -113,16 +136,6 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
           CASE WHEN coalesce(agg.any_failed, false) THEN agg.first_reason END AS reason,
           coalesce(agg.received, 0)::BIGINT AS received, oi.total_items::BIGINT AS total_items
         FROM order_items oi LEFT JOIN agg ON oi.order_number = agg.order_number""", ("results", "order_items")),
-    "cart_last_checkout": ("""SELECT user_id, max((ts, event_id)) AS chk FROM cart_ev WHERE kind='checkout'
-        GROUP BY user_id""", ("cart_ev",)),
-    "cart_last_remove": ("""SELECT user_id, sku, max((ts, event_id)) AS rm FROM cart_ev WHERE kind='remove'
-        GROUP BY user_id, sku""", ("cart_ev",)),
-    "cart": ("""SELECT a.user_id, a.sku, sum(a.qty)::BIGINT AS qty FROM cart_ev a
-        LEFT JOIN cart_last_checkout c ON a.user_id = c.user_id
-        LEFT JOIN cart_last_remove r ON a.user_id = r.user_id AND a.sku = r.sku
-        WHERE a.kind='add' AND (c.chk IS NULL OR (a.ts, a.event_id) > c.chk)
-          AND (r.rm IS NULL OR (a.ts, a.event_id) > r.rm)
-        GROUP BY a.user_id, a.sku""", ("cart_ev", "cart_last_checkout", "cart_last_remove")),
 }
 
 

@@ -13,19 +13,21 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fmt_ts
+from ..functions.scalars import fmt_ts, replay_safe_id
 from ..operators import cart as C
 from ..operators import catalog as K
+from ..operators import flow as W
 from ..operators import orders as O
 from ..operators import reservation as R
 from ..operators import status as S
 from ..operators import stock as ST
 from ..operators import users as U
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources import events as EV
 from ..sources import sinks as SK
 from . import fixtures as FX
 from .fixtures_sql import DERIVED, with_ctes
+from .skew import heavy_keys
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,18 +71,29 @@ DERIVED.update({
                        THEN TRY_CAST(trim(json_extract_string(j, '$.adjustmentQuantity')) AS INTEGER) END AS d
                 FROM (SELECT event_id, CASE WHEN json_valid(body) THEN body END AS j FROM adjust_raw)))""",
                       ("adjust_raw",)),
-    "cart_epochs": ("""SELECT *, (sum(CASE WHEN kind='checkout' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id
-        ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - CASE WHEN kind='checkout' THEN 1 ELSE 0 END) AS epoch
-        FROM cart_ev""", ("cart_ev",)),
-    "checkout_lines": ("""SELECT ck.user_id, ck.checkout_id, ad.sku, ad.qty,
-          coalesce(pl.price, 0)::DECIMAL(18,2) AS price
-        FROM (SELECT user_id, epoch, event_id AS checkout_id FROM cart_epochs WHERE kind='checkout') ck
-        JOIN (SELECT e.user_id, e.epoch, e.sku, sum(e.qty)::BIGINT AS qty FROM cart_epochs e
-              LEFT JOIN (SELECT user_id, epoch, sku, max({'ts': ts, 'event_id': event_id}) AS rm FROM cart_epochs
-                         WHERE kind='remove' GROUP BY ALL) r USING (user_id, epoch, sku)
-              WHERE e.kind='add' AND (r.rm IS NULL OR {'ts': e.ts, 'event_id': e.event_id} > r.rm)
-              GROUP BY ALL) ad USING (user_id, epoch)
-        LEFT JOIN product_latest pl ON pl.sku = ad.sku""", ("cart_epochs", "product_latest")),
+    "cart_accepted": ("""SELECT e.*, f.name, f.price, f.image_url FROM cart_ev e
+        LEFT JOIN product_span f ON f.sku = e.sku AND f.ts <= e.ts AND (f.until IS NULL OR e.ts < f.until)
+        WHERE e.kind <> 'add' OR f.sku IS NOT NULL""", ("cart_ev", "product_span")),
+    "cart_epochs": ("""SELECT *, coalesce(ts - last_add <= INTERVAL 24 HOUR, false) AS live,
+          sum(is_checkout) OVER w - is_checkout + sum(gap) OVER w AS epoch FROM (
+        SELECT *, (kind='checkout')::INT AS is_checkout,
+            CASE WHEN kind='add' AND ts - last_add > INTERVAL 24 HOUR THEN 1 ELSE 0 END AS gap FROM (
+          SELECT *, max(CASE WHEN kind='add' THEN ts END) OVER (PARTITION BY user_id ORDER BY ts, event_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_add FROM cart_accepted))
+        WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""", ("cart_accepted",)),
+    "cart_lines": ("""SELECT e.user_id, e.epoch, e.sku, sum(e.qty)::BIGINT AS qty, arg_max({'n': e.name, 'p': e.price, 'i': e.image_url},
+          {'ts': e.ts, 'event_id': e.event_id}) AS snap
+        FROM cart_epochs e LEFT JOIN (SELECT user_id, epoch, sku, max({'ts': ts, 'event_id': event_id}) AS rm FROM cart_epochs
+                                      WHERE kind='remove' GROUP BY ALL) r USING (user_id, epoch, sku)
+        WHERE e.kind='add' AND (r.rm IS NULL OR {'ts': e.ts, 'event_id': e.event_id} > r.rm)
+        GROUP BY ALL""", ("cart_epochs",)),
+    "cart": ("""SELECT l.user_id, l.sku, l.qty, l.snap.n AS name, l.snap.p AS price, l.snap.i AS image_url FROM cart_lines l
+        JOIN (SELECT user_id, max(epoch + is_checkout) AS epoch, max(ts) FILTER (WHERE kind='add') AS last_add
+              FROM cart_epochs GROUP BY user_id) u USING (user_id, epoch)
+        WHERE u.last_add + INTERVAL 24 HOUR >= (SELECT max(ts) FROM cart_ev)""", ("cart_lines",)),
+    "checkout_lines": ("""SELECT ck.user_id, ck.event_id AS checkout_id, l.sku, l.qty, coalesce(l.snap.p, 0)::DECIMAL(18,2) AS price
+        FROM cart_epochs ck JOIN cart_lines l USING (user_id, epoch) WHERE ck.kind='checkout' AND ck.live""",
+                       ("cart_epochs", "cart_lines")),
     "checkouts_q": ("""SELECT user_id, checkout_id, count(*)::BIGINT AS n_items, sum(qty)::BIGINT AS total_qty,
         string_agg(sku||':'||qty||':'||price, ';' ORDER BY sku) AS items,
         string_agg(sku||':'||qty, ';' ORDER BY sku) AS items_noprice
@@ -131,34 +144,40 @@ def _ctes_sql(sql: str, *names: str) -> str:
 # Orders
 # ---------------------------------------------------------------------------
 
+def _heavy(spark, sf):
+    """SKUs that hold far more order lines than others."""
+    return heavy_keys(FX.table(spark, sf, "lineitem").select(FX.sku_of(F.col("l_partkey")).alias("sku")), "sku")
+
+
 def _priced(spark, sf):
-    return O.price_lines(FX.lines(spark, sf), O.product_latest(FX.product_feed(spark, sf)))
+    return O.price_lines(FX.lines(spark, sf), FX.product_feed(spark, sf), _heavy(spark, sf))
+
 
+def _unsaved(spark, sf):
+    return O.unsaved_orders(FX.lines(spark, sf), FX.product_feed(spark, sf), _heavy(spark, sf))
 
-def _priced_items(spark, sf):
-    """Priced lines without the order date. Totals end in a left join from
-    the placed orders, so joining lineitem with orders up front (only for a
-    date the totals never use) would be a second large join for nothing."""
-    return O.price_lines(FX.line_items(spark, sf), O.product_latest(FX.product_feed(spark, sf)))
+
+def _saved(spark, sf):
+    return O.saved_orders(FX.placed(spark, sf), FX.lines(spark, sf), FX.product_feed(spark, sf), _heavy(spark, sf))
 
 
 @register("order_totals", with_ctes("SELECT * FROM order_totals_q", "order_totals_q"))
 def q_order_totals(spark, sf):
     """E1 + D2 + C1 (the flagship)."""
-    return O.order_totals(FX.placed(spark, sf), _priced_items(spark, sf))
+    return O.order_totals(FX.placed(spark, sf), _priced(spark, sf))
 
 
 @register("product_latest", with_ctes(
     "SELECT sku, seq::BIGINT AS seq, name, price, color, size, image_url FROM product_latest", "product_latest"))
 def q_product_latest(spark, sf):
-    return O.product_latest(FX.product_feed(spark, sf))
+    return O.product_latest(FX.product_feed(spark, sf).drop("ts"))
 
 
 @register("order_enrich", with_ctes("""SELECT order_number, sku, qty, l_linenumber, l_partkey, l_suppkey,
     price::DECIMAL(18,2) AS price, product_name, color, size, (price*qty)::DECIMAL(18,2) AS line_amount
     FROM accepted_lines""", "accepted_lines"))
 def q_order_enrich(spark, sf):
-    return O.enriched_lines(_priced(spark, sf))
+    return O.enriched_lines(_priced(spark, sf), _unsaved(spark, sf))
 
 
 @register("order_missing_sku", with_ctes("""SELECT order_number, count(*)::BIGINT AS missing_lines,
@@ -226,11 +245,11 @@ def q_line_quality(spark, sf):
     LEFT JOIN accepted_lines a USING (order_number)""", "order_totals_q", "placed", "final_status",
                                       "accepted_lines"))
 def q_order_document(spark, sf):
-    priced = _priced(spark, sf)
+    priced = written(_priced(spark, sf), "priced-lines")     # read for the totals and for the items
     placed = FX.placed(spark, sf)
-    totals = O.order_totals(placed, _priced_items(spark, sf))
-    fs = S.final_status(S.status_summary(FX.status_log(spark, sf), placed))
-    return O.order_document(totals, placed, fs, O.enriched_lines(priced))
+    unsaved = written(_unsaved(spark, sf), "unsaved-orders")
+    fs = S.final_status(S.status_summary(FX.status_log(spark, sf), placed.join(unsaved, "order_number", "left_anti")))
+    return O.order_document(O.order_totals(placed, priced), placed, fs, O.enriched_lines(priced, unsaved))
 
 
 # ---------------------------------------------------------------------------
@@ -329,12 +348,69 @@ def q_stock_lookup(spark, sf):
     return ST.stock_lookup(spark, path, skus)
 
 
+# ---------------------------------------------------------------------------
+# The order flow
+# ---------------------------------------------------------------------------
+
+FLOW_ROUNDS = 12     # of the oracle; more than the test tables need
+
+
+def _flow_sql(select: str, *names: str) -> str:
+    """The flow's fixed point by repeated walks over whole SKUs (oracle only):
+    each round takes the orders that failed in the round before."""
+    rounds = ["failed_0 AS MATERIALIZED (SELECT order_number FROM flow_requests WHERE false)"]
+    for i in range(1, FLOW_ROUNDS + 1):
+        rounds.append(f"""q_{i} AS MATERIALIZED (
+      SELECT *, row_number() OVER (PARTITION BY sku ORDER BY ts, kind, l_orderkey, l_linenumber, l_suppkey, amount) AS rn FROM (
+        SELECT order_number, sku, ts, 1 AS kind, l_orderkey, l_linenumber, l_suppkey, qty::BIGINT AS amount FROM flow_requests
+        UNION ALL SELECT NULL, sku, ts, 0, l_orderkey, l_linenumber, l_suppkey, chg FROM flow_changes
+        UNION ALL SELECT NULL, sku, ts, 0, l_orderkey, l_linenumber, l_suppkey, chg FROM flow_restocks
+          WHERE order_number NOT IN (SELECT order_number FROM failed_{i - 1}))),
+    w_{i} AS (
+      SELECT sku, rn, 0::BIGINT AS before, CASE WHEN kind = 0 THEN greatest(0, least(amount, 2147483647))
+        WHEN 0 >= amount THEN 0 - amount ELSE 0 END::BIGINT AS after, (kind = 0 OR 0 >= amount) AS ok FROM q_{i} WHERE rn = 1
+      UNION ALL
+      SELECT q.sku, q.rn, w.after, CASE WHEN q.kind = 0 THEN greatest(0, least(w.after + q.amount, 2147483647))
+        WHEN w.after >= q.amount THEN w.after - q.amount ELSE w.after END::BIGINT, (q.kind = 0 OR w.after >= q.amount)
+      FROM w_{i} w JOIN q_{i} q ON q.sku = w.sku AND q.rn = w.rn + 1),
+    failed_{i} AS MATERIALIZED (SELECT DISTINCT order_number FROM q_{i} JOIN w_{i} USING (sku, rn) WHERE kind = 1 AND NOT ok)""")
+    last = FLOW_ROUNDS
+    rounds.append(f"""checks AS MATERIALIZED (SELECT order_number, count(*)::BIGINT AS received,
+      arg_min('Not enough stock for '||sku||' (need '||amount||', have '||before||')', (l_linenumber, sku, l_suppkey, amount))
+        FILTER (WHERE NOT ok) AS reason
+      FROM q_{last} JOIN w_{last} USING (sku, rn) WHERE kind = 1 GROUP BY order_number)""")
+    rounds.append(f"flow_stock AS (SELECT sku, arg_max(after, rn) AS stock FROM w_{last} GROUP BY sku)")
+    return _ctes_sql("WITH RECURSIVE " + ",\n".join(rounds) + "\n" + select, "flow_requests", "flow_changes", "flow_restocks", *names)
+
+
+def _flow(spark, sf):
+    payments = FX.status_log(spark, sf).where(F.col("kind").isin("PAID", "PAY_FAILED"))
+    return W.order_flow(FX.placed(spark, sf), FX.lines(spark, sf), FX.product_feed(spark, sf), FX.flow_changes(spark, sf),
+                        payments, _heavy(spark, sf))
+
+
+@register("order_flow", _flow_sql("""SELECT t.order_number,
+    CASE WHEN c.reason IS NOT NULL THEN 'FAILED' WHEN p.kind = 'PAID' THEN 'COMPLETED'
+         WHEN p.kind = 'PAY_FAILED' THEN 'PAYMENT_FAILED' WHEN c.received > 0 THEN 'VALIDATED' ELSE 'PENDING' END AS status,
+    c.reason, coalesce(c.received, 0) AS line_count, t.total_price
+    FROM order_totals_q t LEFT JOIN checks c USING (order_number) LEFT JOIN flow_payments p USING (order_number)""",
+                                  "order_totals_q", "flow_payments"))
+def q_order_flow(spark, sf):
+    """D2 -> I1 -> F1 -> E3 -> F3 -> I3 -> E2, refusals and restocks flowing back."""
+    return _flow(spark, sf)[0]
+
+
+@register("order_flow_stock", _flow_sql("SELECT sku, stock FROM flow_stock"))
+def q_order_flow_stock(spark, sf):
+    return W.final_stock(_flow(spark, sf)[1])
+
+
 # ---------------------------------------------------------------------------
 # Status
 # ---------------------------------------------------------------------------
 
 def _summary(spark, sf):
-    return S.status_summary(FX.status_log(spark, sf), FX.placed(spark, sf))
+    return S.status_summary(FX.status_log(spark, sf), _saved(spark, sf))
 
 
 @register("order_status", with_ctes("SELECT order_number, status FROM final_status", "final_status"))
@@ -356,14 +432,25 @@ def q_orders_processed(spark, sf):
     return S.orders_processed(S.transitions(_summary(spark, sf)))
 
 
-@register("payment_gate", with_ctes(f"""SELECT p.order_number, strftime(p.ts, {TS}) AS paid_at,
+def _payments(spark, sf):
+    """Payment attempts: every payment event, and a second one of every ninth
+    order at the same instant, with an id of its own."""
+    paid = FX.status_log(spark, sf).filter(F.col("kind") == "PAID").select("order_number", "ts")
+    once = paid.select("order_number", "ts", replay_safe_id(F.lit("pay"), F.col("order_number")).alias("payment_id"))
+    again = (paid.where(F.col("order_number").try_cast("bigint") % 9 == 0)
+             .select("order_number", "ts", replay_safe_id(F.lit("again"), F.col("order_number")).alias("payment_id")))
+    return once.unionByName(again)
+
+
+@register("payment_gate", with_ctes(f"""SELECT p.order_number, p.payment_id, strftime(p.ts, {TS}) AS paid_at,
     t.status AS status_at_arrival
-    FROM (SELECT order_number, ts FROM status_log WHERE kind = 'PAID') p
+    FROM (SELECT order_number, ts, sha256('pay|'||order_number) AS payment_id FROM status_log WHERE kind = 'PAID'
+          UNION ALL SELECT order_number, ts, sha256('again|'||order_number) FROM status_log
+          WHERE kind = 'PAID' AND TRY_CAST(order_number AS BIGINT) % 9 = 0) p
     ASOF JOIN transitions t ON p.order_number = t.order_number AND p.ts > t.ts
     WHERE t.status IN ('PENDING', 'VALIDATED')""", "status_log", "transitions"))
 def q_payment_gate(spark, sf):
-    log = FX.status_log(spark, sf)
-    return S.payment_gate(log.filter(F.col("kind") == "PAID"), S.transitions(_summary(spark, sf)))
+    return S.payment_gate(_payments(spark, sf), S.transitions(_summary(spark, sf)))
 
 
 @register("restock_compensation", with_ctes("""SELECT order_number, sku, qty AS adjustment_quantity,
@@ -375,9 +462,9 @@ def q_restock_compensation(spark, sf):
 
 
 @register("orphan_events", with_ctes(f"""SELECT order_number, kind, strftime(ts, {TS}) AS ts FROM status_log
-    WHERE order_number NOT IN (SELECT order_number FROM placed)""", "status_log", "placed"))
+    WHERE order_number NOT IN (SELECT order_number FROM saved)""", "status_log", "saved"))
 def q_orphan_events(spark, sf):
-    return S.orphan_events(FX.status_log(spark, sf), FX.placed(spark, sf))
+    return S.orphan_events(FX.status_log(spark, sf), _saved(spark, sf))
 
 
 NOTIFY_SQL = """SELECT order_number, 'PENDING' AS status, 'Đơn hàng đã được tiếp nhận!' AS message FROM placed
@@ -401,18 +488,17 @@ def q_notification_feed(spark, sf):
 
 @register("cart_replay", with_ctes("SELECT user_id, sku, qty FROM cart", "cart"))
 def q_cart_replay(spark, sf):
-    return C.cart_replay(FX.cart_ev(spark, sf))
+    return C.cart_replay(FX.cart_ev(spark, sf), FX.product_feed(spark, sf)).select("user_id", "sku", "qty")
 
 
-@register("cart_view", with_ctes("""SELECT c.user_id, c.sku, c.qty, coalesce(pl.name, 'Sản phẩm không rõ')
-    AS product_name, coalesce(pl.price, 0)::DECIMAL(18,2) AS price, pl.image_url
-    FROM cart c LEFT JOIN product_latest pl USING (sku)""", "cart", "product_latest"))
+@register("cart_view", with_ctes("""SELECT user_id, sku, qty, coalesce(name, 'Sản phẩm không rõ') AS product_name,
+    coalesce(price, 0)::DECIMAL(18,2) AS price, image_url FROM cart""", "cart"))
 def q_cart_view(spark, sf):
-    return C.cart_view(C.cart_replay(FX.cart_ev(spark, sf)), O.product_latest(FX.product_feed(spark, sf)))
+    return C.cart_view(C.cart_replay(FX.cart_ev(spark, sf), FX.product_feed(spark, sf)))
 
 
 def _checkouts(spark, sf):
-    return C.cart_checkout(FX.cart_ev(spark, sf), O.product_latest(FX.product_feed(spark, sf)))
+    return C.cart_checkout(FX.cart_ev(spark, sf), FX.product_feed(spark, sf))
 
 
 @register("cart_checkout", with_ctes("SELECT user_id, checkout_id, n_items, total_qty, items FROM checkouts_q",
@@ -438,17 +524,16 @@ def q_check_requests(spark, sf):
     return O.check_requests(O.checkout_to_order(_checkouts(spark, sf)))
 
 
-CART_SESSIONS_SQL = f"""SELECT user_id, strftime(min(ts), {TS}) AS session_start,
-    strftime(max(ts) + INTERVAL 24 HOUR, {TS}) AS session_end, count(*)::BIGINT AS n_adds, sum(qty)::BIGINT AS qty
-    FROM (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid
-          FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 24 HOUR THEN 1 ELSE 0
-                END AS brk FROM cart_ev WHERE kind = 'add' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))
-    GROUP BY user_id, sid"""
+CART_SESSIONS_SQL = with_ctes(f"""SELECT user_id, strftime(min(ts) FILTER (WHERE kind='add'), {TS}) AS session_start,
+    strftime(coalesce(min(ts) FILTER (WHERE kind='checkout' AND live), max(ts) FILTER (WHERE kind='add') + INTERVAL 24 HOUR), {TS})
+      AS session_end, bool_or(kind='checkout' AND live) AS checked_out,
+    count(*) FILTER (WHERE kind='add')::BIGINT AS n_adds, (sum(qty) FILTER (WHERE kind='add'))::BIGINT AS qty
+    FROM cart_epochs WHERE kind <> 'remove' GROUP BY user_id, epoch HAVING count(*) FILTER (WHERE kind='add') > 0""", "cart_epochs")
 
 
-@register("cart_sessions", with_ctes(CART_SESSIONS_SQL, "cart_ev"))
+@register("cart_sessions", CART_SESSIONS_SQL)
 def q_cart_sessions(spark, sf):
-    return C.cart_sessions(FX.cart_ev(spark, sf))
+    return C.cart_sessions(FX.cart_ev(spark, sf), FX.product_feed(spark, sf))
 
 
 # ---------------------------------------------------------------------------

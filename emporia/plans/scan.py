@@ -1,27 +1,21 @@
-"""Skew-safe ordered scans per key.
+"""Clamped folds per key, skew-safe.
 
 Spark windows ``partitionBy(key).orderBy(seq)`` put every row of a key in one
-task, so one hot key (say a third of all rows) becomes one straggler. Here a
-scan runs over a *range* partitioning of ``(key, seq)`` instead: the range
-partitioner samples the data, so a hot key is split into contiguous pieces
-across many tasks. Each task computes running values of the runs (maximal
-blocks of one key) it holds, in one vectorised pass over Arrow batches with
-constant memory. Only keys that cross a partition boundary need a carry from
-earlier partitions; at most two runs per partition can do so, so the carry
-table has at most ``2 x partitions`` rows. That bound is what lets us
-broadcast it.
-
-Local values (within a key's run inside one partition) per row:
-``_cnt`` running count, ``_sum_c`` running sum of c, ``_min_c`` / ``_max_c``
-running min / max of that running sum, ``_lag_c`` previous value of c.
-``_first`` marks the first row of a run in its partition, ``_edge`` the last
-row of the partition's first run and the partition's final row (the only rows
-whose key may continue into, or come from, another partition).
+task, so one hot key (say a third of all rows) becomes one straggler, and a
+fold with two clamps is no window function anyway. Here it runs over a *range*
+partitioning of ``(key, seq)``: the range partitioner samples the data, so a
+hot key is split into contiguous pieces across many tasks. Each task composes
+the steps of the runs (maximal blocks of one key) it holds, in one vectorised
+pass over Arrow batches with constant memory. Only keys that cross a partition
+boundary need a carry from earlier partitions; at most two runs per partition
+can do so, so the carry table has at most ``2 x partitions`` rows. That bound
+is what lets us broadcast it. Running sums and last values, which are window
+functions, are in ``plans.running``.
 """
 
 from __future__ import annotations
 
-from typing import Iterable, Iterator, Sequence
+from typing import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -31,96 +25,6 @@ from pyspark.sql import types as T
 
 
 
-def _kernel(keys: Sequence[str], sums: Sequence[str], extrema: Sequence[str], lags: Sequence[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        ctx = TaskContext.get()
-        part = ctx.partitionId() if ctx is not None else 0
-        prev_key = None          # key of the open run at the end of the last batch
-        c_cnt = 0
-        c_sum = {c: 0 for c in sums}
-        c_min = {c: None for c in extrema}
-        c_max = {c: None for c in extrema}
-        c_last = {c: None for c in lags}
-        runs_seen = 0
-        pending: pd.DataFrame | None = None
-
-        def flush(pdf: pd.DataFrame, run_closed_at_end: bool, final: bool) -> pd.DataFrame:
-            last_of_run = pdf["__new_next"].to_numpy().copy()
-            last_of_run[-1] = run_closed_at_end
-            edge = last_of_run & (pdf["__run_no"].to_numpy() == 0)
-            if final:
-                edge[-1] = True
-            pdf["_edge"] = edge
-            return pdf.drop(columns=["__new_next", "__run_no"])
-
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            new = np.zeros(n, dtype=bool)
-            for k in keys:
-                arr = pdf[k].to_numpy()
-                if n > 1:
-                    new[1:] |= arr[1:] != arr[:-1]
-            if prev_key is None:
-                new[0] = True
-            else:
-                new[0] = any(pdf[k].iat[0] != pv for k, pv in zip(keys, prev_key))
-            g = np.cumsum(new)                      # 0 = run continued from the previous batch
-            cont = g == 0
-            grp = pd.Series(g, index=pdf.index)
-            out = pdf.copy()
-            cnt = grp.groupby(g).cumcount().to_numpy() + 1
-            cnt[cont] += c_cnt
-            out["_cnt"] = cnt.astype("int64")
-            for c in sums:
-                s = pdf[c].astype("float64" if pdf[c].dtype.kind == "f" else "int64")
-                cs = s.groupby(g).cumsum().to_numpy()
-                cs[cont] += c_sum[c]
-                out[f"_sum_{c}"] = cs
-                if c in extrema:
-                    series = pd.Series(cs, index=pdf.index)
-                    mn = series.groupby(g).cummin().to_numpy()
-                    mx = series.groupby(g).cummax().to_numpy()
-                    if cont.any() and c_min[c] is not None:
-                        mn[cont] = np.minimum(mn[cont], c_min[c])
-                        mx[cont] = np.maximum(mx[cont], c_max[c])
-                    out[f"_min_{c}"] = mn
-                    out[f"_max_{c}"] = mx
-            for c in lags:
-                lag = pdf[c].groupby(g).shift(1)
-                if cont.any() and c_last[c] is not None:
-                    lag = lag.astype(object) if lag.dtype.kind not in "Mmf" else lag
-                    lag.iloc[0] = c_last[c]
-                out[f"_lag_{c}"] = lag
-            out["_first"] = new
-            out["_part"] = part
-            out["__run_no"] = runs_seen - 1 + g
-            nn = np.zeros(n, dtype=bool)
-            nn[:-1] = new[1:]
-            out["__new_next"] = nn
-            # carry to the next batch
-            prev_key = tuple(pdf[k].iat[-1] for k in keys)
-            c_cnt = int(out["_cnt"].iat[-1])
-            for c in sums:
-                c_sum[c] = out[f"_sum_{c}"].iat[-1]
-                if c in extrema:
-                    c_min[c] = out[f"_min_{c}"].iat[-1]
-                    c_max[c] = out[f"_max_{c}"].iat[-1]
-            for c in lags:
-                c_last[c] = pdf[c].iat[-1]
-            runs_seen = runs_seen + int(g[-1])
-            if pending is not None:
-                yield flush(pending, bool(new[0]), False)
-            pending = out
-        if pending is not None:
-            yield flush(pending, True, True)
-
-    return run
-
-
 def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions: int | None) -> DataFrame:
     """Range partitioning by (keys, order), sorted inside each partition.
 
@@ -134,59 +38,6 @@ def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], partitions
     return ranged.sortWithinPartitions(*keys, *order)
 
 
-def local_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Iterable[str] = (),
-               extrema: Iterable[str] = (), lags: Iterable[str] = (), partitions: int | None = None) -> DataFrame:
-    """Range-partition by (keys, order) and add the local running columns."""
-    sums, extrema, lags = list(sums), list(extrema), list(lags)
-    ranged = _ranged(df, keys, order, partitions)
-    fields = list(df.schema.fields)
-    fields.append(T.StructField("_cnt", T.LongType()))
-    for c in sums:
-        t = T.DoubleType() if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else T.LongType()
-        fields.append(T.StructField(f"_sum_{c}", t))
-        if c in extrema:
-            fields.append(T.StructField(f"_min_{c}", t))
-            fields.append(T.StructField(f"_max_{c}", t))
-    for c in lags:
-        fields.append(T.StructField(f"_lag_{c}", df.schema[c].dataType))
-    fields += [T.StructField("_first", T.BooleanType()), T.StructField("_part", T.IntegerType()),
-               T.StructField("_edge", T.BooleanType())]
-    return ranged.mapInPandas(_kernel(keys, sums, extrema, lags), T.StructType(fields))
-
-
-def edge_carry(scanned: DataFrame, keys: Sequence[str], sums: Iterable[str] = (), lags: Iterable[str] = ()) -> DataFrame:
-    """Carry into each (key, partition) from the key's runs in earlier partitions.
-
-    Built from the ``_edge`` rows only (at most two per partition), so the
-    result is bounded by twice the partition count.
-    """
-    sums, lags = list(sums), list(lags)
-    e = scanned.filter(F.col("_edge")).select(*keys, "_part", "_cnt", *[f"_sum_{c}" for c in sums], *lags)
-    w = Window.partitionBy(*keys).orderBy("_part")
-    prev = w.rowsBetween(Window.unboundedPreceding, -1)
-    cols = [*keys, "_part", F.sum("_cnt").over(prev).alias("_c_cnt")]
-    cols += [F.sum(f"_sum_{c}").over(prev).alias(f"_c_sum_{c}") for c in sums]
-    cols += [F.lag(c, 1).over(w).alias(f"_c_last_{c}") for c in lags]
-    return e.select(*cols).filter(F.col("_c_cnt").isNotNull())
-
-
-def keyed_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Iterable[str] = (),
-                  lags: Iterable[str] = (), partitions: int | None = None) -> DataFrame:
-    """Global running count ``row_number``, running sums ``run_<c>`` and lags
-    ``prev_<c>`` per key in ``order``; skew-safe (see module doc)."""
-    sums, lags = list(sums), list(lags)
-    # one computation feeds both the rows and the carry table (same partitioning)
-    scanned = materialize(local_scan(df, keys, order, sums=sums, lags=lags, partitions=partitions))
-    carry = edge_carry(scanned, keys, sums, lags)
-    j = scanned.join(F.broadcast(carry), [*keys, "_part"], "left")
-    out = [F.col(c) for c in df.columns]
-    out.append((F.col("_cnt") + F.coalesce(F.col("_c_cnt"), F.lit(0))).alias("row_number"))
-    out += [(F.col(f"_sum_{c}") + F.coalesce(F.col(f"_c_sum_{c}"), F.lit(0))).alias(f"run_{c}") for c in sums]
-    out += [F.when(F.col("_first"), F.col(f"_c_last_{c}")).otherwise(F.col(f"_lag_{c}")).alias(f"prev_{c}")
-            for c in lags]
-    return j.select(*out)
-
-
 # ---------------------------------------------------------------------------
 # Clamped fold  s <- min(hi, max(lo, s + c))  per key, skew-safe.
 #
@@ -355,7 +206,11 @@ def clamped_running(df: DataFrame, keys: Sequence[str], order: Sequence[str], co
     carry = (edges.select(*keys, "_part", F.collect_list("f").over(prev).alias("fs"))
              .filter(F.size("fs") > 0)
              .select(*keys, "_part", _compose("fs", F.lit(0).cast("bigint")).alias("_x")))
-    j = scanned.join(F.broadcast(carry), [*keys, "_part"], "left")
+    at = carry.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_k_part"), "_x")
+    on = F.col("_part") == F.col("_k_part")
+    for k in keys:      # rows without a key are a key of their own
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    j = scanned.join(F.broadcast(at), on, "left")
     x = F.coalesce(F.col("_x"), F.lit(0).cast("bigint"))
     value = F.least(F.col("_H"), F.greatest(F.col("_L"), x + F.col("_S")))
     return j.select(*[F.col(c) for c in df.columns], value.alias(out_col))
@@ -368,103 +223,3 @@ def materialize(df: DataFrame) -> DataFrame:
 
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-# ---------------------------------------------------------------------------
-# Gap sessions per key, skew-safe: a new session starts when the time since
-# the key's previous row exceeds ``gap``. Each partition emits the sessions of
-# its runs; only a session touching the first or last row of a run in its
-# partition can continue into a neighbour (at most two per partition), so the
-# stitching works on a table bounded by twice the partition count.
-# ---------------------------------------------------------------------------
-
-def _session_kernel(key: str, ts: str, gap_us: int, sums: Sequence[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        ctx = TaskContext.get()
-        part = ctx.partitionId() if ctx is not None else 0
-        open_s = None          # the last session seen, maybe continued by the next batch
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            k = pdf[key].to_numpy()
-            t = pdf[ts].to_numpy().astype("datetime64[us]").astype("int64")
-            new_run = np.zeros(n, dtype=bool)
-            new_run[1:] = k[1:] != k[:-1]
-            brk = np.zeros(n, dtype=bool)
-            brk[1:] = (t[1:] - t[:-1]) > gap_us
-            if open_s is None:
-                new_run[0] = True
-            else:
-                new_run[0] = k[0] != open_s["k"]
-                brk[0] = (not new_run[0]) and (t[0] - open_s["end"]) > gap_us
-            new_s = new_run | brk
-            sid = np.cumsum(new_s)                       # 0 = continues the open session
-            grp = pd.DataFrame({"sid": sid, "t": t, **{c: pdf[c].to_numpy() for c in sums}}).groupby("sid")
-            agg = grp.agg(start=("t", "min"), end=("t", "max"), n=("t", "size"),
-                          **{c: (c, "sum") for c in sums})
-            firsts = np.flatnonzero(new_s)
-            sess_keys = list(k[firsts]) if len(firsts) else []
-            first_in_run = list(new_run[firsts]) if len(firsts) else []
-            rows = []
-            ids = list(agg.index)
-            for pos, s_id in enumerate(ids):
-                a = agg.loc[s_id]
-                if s_id == 0:
-                    open_s["end"] = int(a["end"])
-                    open_s["n"] += int(a["n"])
-                    for c in sums:
-                        open_s[c] += a[c]
-                    continue
-                j = s_id - 1                              # index into firsts
-                cur = {"k": sess_keys[j], "start": int(a["start"]), "end": int(a["end"]), "n": int(a["n"]),
-                       "first": bool(first_in_run[j]), **{c: a[c] for c in sums}}
-                if open_s is not None:
-                    open_s["last"] = bool(new_run[firsts[j]])
-                    rows.append(open_s)
-                open_s = cur
-            if rows:
-                yield _sessions_frame(rows, key, ts, sums, part)
-        if open_s is not None:
-            open_s["last"] = True
-            yield _sessions_frame([open_s], key, ts, sums, part)
-
-    return run
-
-
-def _sessions_frame(rows, key, ts, sums, part) -> pd.DataFrame:
-    return pd.DataFrame({
-        key: [r["k"] for r in rows], "_part": part,
-        "start": pd.to_datetime([r["start"] for r in rows], unit="us"),
-        "end": pd.to_datetime([r["end"] for r in rows], unit="us"),
-        "n": [r["n"] for r in rows], **{c: [r[c] for r in rows] for c in sums},
-        "_first": [r["first"] for r in rows], "_last": [r["last"] for r in rows]})
-
-
-def gap_sessions(df: DataFrame, key: str, ts: str, tiebreak: Sequence[str], gap_seconds: int,
-                 sums: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
-    """Sessions per ``key``: (key, start, end = last row's ts, n, sum of each
-    ``sums`` column). Rows are ordered by (ts, *tiebreak); a gap of exactly
-    ``gap_seconds`` continues the session."""
-    sums = list(sums)
-    ranged = _ranged(df, [key], [ts, *tiebreak], partitions)
-    tstype = df.schema[ts].dataType
-    schema = T.StructType([df.schema[key], T.StructField("_part", T.IntegerType()),
-                           T.StructField("start", tstype), T.StructField("end", tstype),
-                           T.StructField("n", T.LongType())]
-                          + [T.StructField(c, T.LongType()) for c in sums]
-                          + [T.StructField("_first", T.BooleanType()), T.StructField("_last", T.BooleanType())])
-    sess = materialize(ranged.select(key, ts, *tiebreak, *sums)
-                       .mapInPandas(_session_kernel(key, ts, gap_seconds * 1_000_000, sums), schema))
-    inner = sess.filter(~F.col("_first") & ~F.col("_last")).select(key, "start", "end", "n", *sums)
-    edge = sess.filter(F.col("_first") | F.col("_last"))
-    w = Window.partitionBy(key).orderBy("_part", "start")
-    cont = (F.lag("_last").over(w) & F.col("_first") & (F.lag("_part").over(w) < F.col("_part"))
-            & (F.col("start") <= F.lag("end").over(w) + F.expr(f"INTERVAL {gap_seconds} SECONDS")))
-    marked = edge.withColumn("_new", F.when(F.coalesce(cont, F.lit(False)), 0).otherwise(1))
-    marked = marked.withColumn("_sid", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    stitched = marked.groupBy(key, "_sid").agg(F.min("start").alias("start"), F.max("end").alias("end"),
-                                               F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums])
-    return inner.unionByName(stitched.select(key, "start", "end", "n", *sums))

@@ -5,7 +5,7 @@ from collections import defaultdict
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from emporia.plans.scan import clamped_final, clamped_running, gap_sessions, keyed_running
+from emporia.plans.scan import clamped_final, clamped_running
 
 LO, HI = 0, 1000   # a small upper bound so both clamps are hit often
 
@@ -18,56 +18,27 @@ def _fold(rows):
     by = defaultdict(list)
     for seq, (k, c) in enumerate(rows):
         by[k].append((seq, c))
-    clamp, count, final = {}, {}, {}
+    clamp, final = {}, {}
     for k, rs in by.items():
         v = 0
-        for n, (seq, c) in enumerate(rs, 1):
+        for seq, c in rs:
             v = min(HI, max(LO, v + c))
-            clamp[seq], count[seq] = v, n
+            clamp[seq] = v
         final[k] = (v, len(rs))
-    return clamp, count, final
+    return clamp, final
 
 
 @SETTINGS
 @given(rows=rows_st, parts=parts_st)
 def test_clamped_scans_equal_sequential_fold(spark, rows, parts):
     df = spark.createDataFrame([(k, i, c) for i, (k, c) in enumerate(rows)], "k string, seq long, c long")
-    clamp, count, final = _fold(rows)
+    clamp, final = _fold(rows)
     got = {r.seq: r.v for r in clamped_running(df, ["k"], ["seq"], "c", LO, HI, out_col="v",
                                                 partitions=parts).collect()}
     assert got == clamp
     got_f = {r.k: (r.v, r.n) for r in clamped_final(df, ["k"], ["seq"], "c", LO, HI, out_col="v",
                                                       partitions=parts).collect()}
     assert got_f == final
-    got_n = {r.seq: r.row_number for r in keyed_running(df, ["k"], ["seq"], partitions=parts).collect()}
-    assert got_n == count
-
-
-@SETTINGS
-@given(gaps=st.lists(st.tuples(st.sampled_from([1, 2]), st.sampled_from([0, 10, 60, 61, 500])), max_size=50),
-       parts=parts_st)
-def test_gap_sessions_equal_sequential_sessionizer(spark, gaps, parts):
-    t0 = dt.datetime(2024, 1, 1)
-    clock, rows = {}, []
-    for i, (u, g) in enumerate(gaps):
-        clock[u] = clock.get(u, 0) + g
-        rows.append((u, t0 + dt.timedelta(seconds=clock[u]), i, 1))
-    df = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, event_id long, qty long")
-    got = sorted((r.user_id, r.start, r.end, r.n, r.qty)
-                 for r in gap_sessions(df, "user_id", "ts", ["event_id"], 60, sums=["qty"], partitions=parts).collect())
-    exp = []
-    for u in sorted(clock):
-        cur = None
-        for _, ts, _, q in sorted((r for r in rows if r[0] == u), key=lambda r: (r[1], r[2])):
-            if cur and (ts - cur[2]).total_seconds() <= 60:
-                cur = [u, cur[1], ts, cur[3] + 1, cur[4] + q]
-            else:
-                if cur:
-                    exp.append(tuple(cur))
-                cur = [u, ts, ts, 1, q]
-        if cur:
-            exp.append(tuple(cur))
-    assert got == sorted(exp)
 
 
 @SETTINGS
