@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import (MONEY, STATUS_FAILED, STATUS_PENDING, STATUS_VALIDATED, fmt_ts,
                                  line_amount, replay_safe_id)
 from ..plans.running import running
-from ..plans.skew import asof_join, split_join, validity
+from ..plans.skew import asof_join, heavy_keys, split_join, validity
 
 
 def product_latest(feed: DataFrame) -> DataFrame:
@@ -111,55 +111,82 @@ def enriched_lines(priced: DataFrame, unsaved: DataFrame) -> DataFrame:
         F.col("line_amount").cast(MONEY).alias("line_amount"))
 
 
-def order_outcome(results: DataFrame, order_items: DataFrame, order_cols=("l_linenumber", "l_partkey",
-                                                                          "l_suppkey", "qty")) -> DataFrame:
+ARRIVAL = ["ts", "l_linenumber", "l_partkey", "l_suppkey", "qty"]
+SAGA_TTL_SECONDS = 600
+
+
+def _ttl_end(ttl: int) -> F.Column:
+    return F.col("created") + F.make_dt_interval(secs=F.lit(ttl))
+
+
+def distinct_results(results: DataFrame) -> DataFrame:
+    """Every result once, as it first arrived: a repeated delivery is the same
+    line with the same answer. Only that identity is shuffled, pre-aggregated."""
+    same = ["order_number", "sku", "success", *ARRIVAL[1:]]
+    return results.groupBy(*same).agg(F.min(F.struct("ts", "reason")).alias("r")).select(*same, "r.*")
+
+
+def arrivals(results: DataFrame, saga: DataFrame, ttl: int = SAGA_TTL_SECONDS, heavy: dict | None = None) -> DataFrame:
+    """Distinct results with ``n`` (how many of the order have arrived) and what
+    the order's saga record says then: ``total_items`` and ``alive`` (it exists
+    from placement for ``ttl`` seconds)."""
+    heavy = heavy_keys(results, "order_number") if heavy is None else heavy
+    ranked = running(distinct_results(results), "order_number", ARRIVAL, sums={"n": F.lit(1).cast("bigint")}, heavy=heavy)
+    record = saga.select("order_number", "total_items", "created")
+    return (split_join(ranked, record, "order_number", heavy, spread=["n"])
+            .withColumn("alive", F.coalesce(F.col("ts") <= _ttl_end(ttl), F.lit(False))))
+
+
+def order_outcome(results: DataFrame, saga: DataFrame, ttl: int = SAGA_TTL_SECONDS) -> DataFrame:
     """E3 (+E6, D6): n line results -> one outcome per order.
 
-    Any failure -> FAILED with the reason of the first failing result (in the
-    result order); else received == expected items (>= 1) -> VALIDATED; else
-    PENDING. A repeated delivery (an identical result record) is dropped
-    first; two different results for one line both count, as they would in
-    the reference. Single aggregate with partial aggregation, then one join
-    with the saga record on the order number.
+    VALIDATED when the count *reaches* the expected items while the saga record
+    is alive and no result has failed till then; else FAILED with the reason of
+    the first failing result, if one fails; else PENDING. ``received`` is the
+    record's counter: results before it expired or was cleared on completion.
     """
-    key = ["order_number", "sku", "success", "reason", *order_cols]
-    dedup = results.dropDuplicates(key)
-    seq = F.struct(*[F.col(c) for c in order_cols])
-    agg = dedup.groupBy("order_number").agg(
-        F.count(F.lit(1)).alias("received"),
-        F.bool_or(~F.col("success")).alias("any_failed"),
-        F.min_by(F.col("reason"), F.when(~F.col("success"), seq)).alias("first_reason"))
-    j = order_items.join(agg, "order_number", "left")
-    failed = F.coalesce(F.col("any_failed"), F.lit(False))
-    received = F.coalesce(F.col("received"), F.lit(0)).cast("bigint")
-    outcome = (F.when(failed, F.lit(STATUS_FAILED))
-               .when((received >= 1) & (received == F.col("total_items")), F.lit(STATUS_VALIDATED))
-               .otherwise(F.lit(STATUS_PENDING)))
-    return j.select("order_number", outcome.alias("outcome"),
-                    F.when(failed, F.col("first_reason")).alias("reason"),
-                    received.alias("received"), F.col("total_items").cast("bigint").alias("total_items"))
-
-
-def gather_progress(results: DataFrame, order_items: DataFrame,
-                    order_cols=("l_linenumber", "l_partkey", "l_suppkey", "qty")) -> DataFrame:
-    """progress n / total per result, n = arrival rank within the order.
+    a = arrivals(results, saga, ttl)
+    failed = ~F.col("success")
+    agg = a.groupBy("order_number").agg(
+        F.sum(F.col("alive").cast("bigint")).alias("within"), F.min(F.when(failed, F.col("n"))).alias("failed_at"),
+        F.min_by("reason", F.when(failed, F.col("n"))).alias("first_reason"))
+    j = saga.join(agg, "order_number", "left")
+    total, within = F.col("total_items"), F.coalesce("within", F.lit(0))
+    validated = (total >= 1) & (within >= total) & (F.col("failed_at").isNull() | (F.col("failed_at") > total))
+    lost = ~validated & F.col("failed_at").isNotNull()
+    outcome = F.when(validated, F.lit(STATUS_VALIDATED)).when(lost, F.lit(STATUS_FAILED)).otherwise(F.lit(STATUS_PENDING))
+    return j.select("order_number", outcome.alias("outcome"), F.when(lost, F.col("first_reason")).alias("reason"),
+                    F.when(validated, total).otherwise(within).cast("bigint").alias("received"), total.cast("bigint").alias("total_items"))
+
+
+def failure_events(results: DataFrame, saga: DataFrame, ttl: int = SAGA_TTL_SECONDS) -> DataFrame:
+    """Failed-order events of the gather: the first failing result of an order,
+    and the first one after its saga record has expired, as the record's failed
+    mark is gone then."""
+    bad = arrivals(results, saga, ttl).where(~F.col("success"))
+    return (bad.groupBy("order_number", "alive").agg(F.min_by(F.struct("reason", "ts"), "n").alias("e"))
+            .select("order_number", "e.reason", "e.ts"))
+
+
+def gather_progress(results: DataFrame, saga: DataFrame, ttl: int = SAGA_TTL_SECONDS) -> DataFrame:
+    """progress n / total per result, n = arrival rank within the order; no
+    total once the saga record has expired.
 
     The rank is a running count, so an order with a huge number of results is
     cut into pieces that lie in many tasks.
     """
-    ranked = running(results.select("order_number", "sku", "success", *order_cols), "order_number", list(order_cols),
-                     sums={"received_n": F.lit(1).cast("bigint")})
-    return (ranked.join(order_items, "order_number", "left")
-            .select("order_number", "sku", *order_cols, "received_n", F.col("total_items").cast("bigint").alias("total_items")))
+    a = arrivals(results, saga, ttl)
+    return a.select("order_number", "sku", *ARRIVAL[1:], F.col("n").alias("received_n"),
+                    F.when(F.col("alive"), F.col("total_items")).cast("bigint").alias("total_items"))
 
 
-def first_failure(results: DataFrame, order_cols=("l_linenumber", "l_partkey", "l_suppkey", "qty")) -> DataFrame:
+def first_failure(results: DataFrame) -> DataFrame:
     """the first failing result per order wins; later ones are ignored."""
-    seq = F.struct(*[F.col(c) for c in order_cols])
     f = results.filter(~F.col("success"))
-    agg = f.groupBy("order_number").agg(F.min_by(F.struct("sku", "reason", *order_cols), seq).alias("r"),
+    rest = ARRIVAL[1:]
+    agg = f.groupBy("order_number").agg(F.min_by(F.struct("sku", "reason", *rest), F.struct(*ARRIVAL)).alias("r"),
                                         F.count(F.lit(1)).alias("failures"))
-    return agg.select("order_number", "r.sku", "r.reason", *[F.col(f"r.{c}") for c in order_cols],
+    return agg.select("order_number", "r.sku", "r.reason", *[F.col(f"r.{c}") for c in rest],
                       F.col("failures").cast("bigint").alias("failures"))
 
 

@@ -112,19 +112,18 @@ def orphan_events(log: DataFrame, placed: DataFrame) -> DataFrame:
             .select("order_number", "kind", fmt_ts(F.col("ts")).alias("ts")))
 
 
-def notification_feed(placed: DataFrame, log: DataFrame, outcomes: DataFrame) -> DataFrame:
+def notification_feed(placed: DataFrame, log: DataFrame, failures: DataFrame) -> DataFrame:
     """Four topics -> one (order, status, message) feed.
 
     order placed -> PENDING; payment processed -> COMPLETED; order failed
-    (from the gather outcome, with its reason) -> FAILED; payment failed ->
+    (the gather's events, with their reason) -> FAILED; payment failed ->
     PAYMENT_FAILED. The listener does not look the order up, so events of
     unknown orders are notified too.
     """
     a = placed.select("order_number", F.lit(STATUS_PENDING).alias("status"), F.lit(None).cast("string").alias("r"))
     b = log.filter(F.col("kind") == "PAID").select("order_number", F.lit(STATUS_COMPLETED).alias("status"),
                                                    F.lit(None).cast("string").alias("r"))
-    c = outcomes.filter(F.col("outcome") == STATUS_FAILED).select(
-        "order_number", F.lit(STATUS_FAILED).alias("status"), F.col("reason").alias("r"))
+    c = failures.select("order_number", F.lit(STATUS_FAILED).alias("status"), F.col("reason").alias("r"))
     d = log.filter(F.col("kind") == "PAY_FAILED").select(
         "order_number", F.lit(STATUS_PAYMENT_FAILED).alias("status"), F.lit(PAYMENT_DECLINED_REASON).alias("r"))
     u = a.unionByName(b).unionByName(c).unionByName(d)

@@ -148,27 +148,27 @@ def opening(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
-    """Stock check results; per-order order RESULT_ORDER."""
-    li = table(spark, sf, "lineitem")
-    q = F.col("l_quantity")
-    return li.select(
-        F.col("l_orderkey").cast("string").alias("order_number"), sku_of(F.col("l_partkey")).alias("sku"),
-        (q <= 45).alias("success"),
-        F.when(q > 45, F.concat(F.lit("Not enough stock for SKU-"), F.col("l_partkey").cast("string"))).alias("reason"),
-        "l_linenumber", "l_partkey", "l_suppkey", q.cast("int").alias("qty"))
+    """Stock check results, arriving up to eleven minutes after placement;
+    per-order order RESULT_ORDER."""
+    q, delay = F.col("qty"), (F.col("l_linenumber") * 211 + F.col("l_partkey")) % 640
+    return lines(spark, sf).select(
+        "order_number", "sku", (q <= 45).alias("success"),
+        F.when(q > 45, F.concat(F.lit("Not enough stock for "), F.col("sku"))).alias("reason"),
+        (F.col("ts") + F.make_dt_interval(secs=delay)).alias("ts"), "l_linenumber", "l_partkey", "l_suppkey", "qty")
 
 
-RESULT_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "qty"]
+RESULT_ORDER = ["ts", "l_linenumber", "l_partkey", "l_suppkey", "qty"]
 
 
 def order_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Saga record: items expected per order (one extra for every tenth order)."""
-    o = table(spark, sf, "orders").select("o_orderkey")
+    """Saga record: when it is created, and the items expected (one extra for
+    every tenth order)."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     per_order = (table(spark, sf, "lineitem").groupBy("l_orderkey")
                  .agg(F.count(F.lit(1)).alias("n")))
     j = o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
     return j.select(
-        F.col("o_orderkey").cast("string").alias("order_number"),
+        F.col("o_orderkey").cast("string").alias("order_number"), F.col("o_orderdate").alias("created"),
         (F.coalesce(F.col("n"), F.lit(0)) + (F.col("o_orderkey") % 10 == 0).cast("bigint")).alias("total_items"))
 
 

@@ -48,12 +48,14 @@ CTES: dict[str, str] = {
         UNION ALL SELECT 'SKU-'||l_partkey, (CASE l_returnflag WHEN 'A' THEN -1 ELSE 1 END*l_quantity)::BIGINT, l_shipdate,
         l_orderkey, l_linenumber, l_suppkey FROM lineitem""",
     "opening": """SELECT 'SKU-'||p_partkey AS sku, (p_size*20)::BIGINT AS stock FROM part WHERE p_partkey%50<>7""",
-    "results": """SELECT l_orderkey::VARCHAR AS order_number, 'SKU-'||l_partkey AS sku, l_quantity<=45 AS success,
-        CASE WHEN l_quantity>45 THEN 'Not enough stock for SKU-'||l_partkey END AS reason,
-        l_linenumber, l_partkey, l_suppkey, l_quantity::INT AS qty FROM lineitem""",
-    "order_items": """SELECT o_orderkey::VARCHAR AS order_number,
+    "results": """SELECT order_number, sku, qty<=45 AS success,
+        CASE WHEN qty>45 THEN 'Not enough stock for '||sku END AS reason,
+        ts + to_seconds((l_linenumber*211 + l_partkey)%640) AS ts, l_linenumber, l_partkey, l_suppkey, qty
+        FROM (SELECT l_orderkey::VARCHAR AS order_number, 'SKU-'||l_partkey AS sku, l_quantity::INT AS qty, o_orderdate AS ts,
+              l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey=o_orderkey)""",
+    "order_items": """SELECT o_orderkey::VARCHAR AS order_number, o_orderdate AS created,
         (count(l_orderkey) + (o_orderkey%10=0)::INT)::BIGINT AS total_items
-        FROM orders LEFT JOIN lineitem ON l_orderkey=o_orderkey GROUP BY o_orderkey""",
+        FROM orders LEFT JOIN lineitem ON l_orderkey=o_orderkey GROUP BY o_orderkey, o_orderdate""",
     "status_log": """SELECT o_orderkey::VARCHAR AS order_number, 'VALIDATED' AS kind, o_orderdate + INTERVAL 24 HOUR AS ts
         FROM orders WHERE o_orderkey%3<>0
         UNION ALL SELECT o_orderkey::VARCHAR, 'FAILED', o_orderdate + INTERVAL 36 HOUR FROM orders WHERE o_orderkey%5=0
@@ -125,17 +127,21 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
           WHERE v_ts IS NOT NULL AND (term_ts IS NULL OR v_ts < term_ts)
         UNION ALL SELECT order_number, term_status, term_ts FROM status_final WHERE term_status IS NOT NULL""",
                     ("status_final",)),
-    "outcome": ("""WITH agg AS (SELECT order_number, count(*) AS received,
-            bool_or(NOT success) AS any_failed,
-            arg_min(reason, (l_linenumber, l_partkey, l_suppkey, qty)) FILTER (WHERE NOT success) AS first_reason
-          FROM results GROUP BY order_number)
-        SELECT oi.order_number,
-          CASE WHEN coalesce(agg.any_failed, false) THEN 'FAILED'
-               WHEN coalesce(agg.received, 0) >= 1 AND agg.received = oi.total_items THEN 'VALIDATED'
-               ELSE 'PENDING' END AS outcome,
-          CASE WHEN coalesce(agg.any_failed, false) THEN agg.first_reason END AS reason,
-          coalesce(agg.received, 0)::BIGINT AS received, oi.total_items::BIGINT AS total_items
-        FROM order_items oi LEFT JOIN agg ON oi.order_number = agg.order_number""", ("results", "order_items")),
+    "arrivals": ("""SELECT r.*, o.total_items, coalesce(r.ts <= o.created + INTERVAL 600 SECOND, false) AS alive,
+          row_number() OVER (PARTITION BY r.order_number ORDER BY r.ts, l_linenumber, l_partkey, l_suppkey, qty) AS n
+        FROM (SELECT order_number, sku, success, l_linenumber, l_partkey, l_suppkey, qty, min(ts) AS ts, min(reason) AS reason
+              FROM results GROUP BY ALL) r LEFT JOIN order_items o USING (order_number)""", ("results", "order_items")),
+    "outcome": ("""SELECT order_number, CASE WHEN ok THEN 'VALIDATED' WHEN failed_at IS NOT NULL THEN 'FAILED' ELSE 'PENDING' END AS outcome,
+          CASE WHEN NOT ok AND failed_at IS NOT NULL THEN first_reason END AS reason,
+          (CASE WHEN ok THEN total_items ELSE within END)::BIGINT AS received, total_items::BIGINT AS total_items
+        FROM (SELECT *, total_items >= 1 AND within >= total_items AND coalesce(failed_at > total_items, true) AS ok
+              FROM (SELECT oi.order_number, oi.total_items, coalesce(a.within, 0) AS within, a.failed_at, a.first_reason
+                    FROM order_items oi LEFT JOIN (
+                      SELECT order_number, count(*) FILTER (WHERE alive) AS within, min(n) FILTER (WHERE NOT success) AS failed_at,
+                        arg_min(reason, n) FILTER (WHERE NOT success) AS first_reason
+                      FROM arrivals GROUP BY order_number) a USING (order_number)))""", ("arrivals", "order_items")),
+    "failure_events": ("""SELECT order_number, arg_min(reason, n) AS reason, min(ts) AS ts FROM arrivals WHERE NOT success
+        GROUP BY order_number, alive""", ("arrivals",)),
 }
 
 

@@ -192,16 +192,14 @@ def q_order_outcome(spark, sf):
     return O.order_outcome(FX.results(spark, sf), FX.order_items(spark, sf))
 
 
-@register("gather_progress", with_ctes("""SELECT r.order_number, r.sku, r.l_linenumber, r.l_partkey, r.l_suppkey,
-    r.qty, row_number() OVER (PARTITION BY r.order_number ORDER BY r.l_linenumber, r.l_partkey, r.l_suppkey,
-    r.qty)::BIGINT AS received_n, oi.total_items::BIGINT AS total_items
-    FROM results r LEFT JOIN order_items oi USING (order_number)""", "results", "order_items"))
+@register("gather_progress", with_ctes("""SELECT order_number, sku, l_linenumber, l_partkey, l_suppkey, qty,
+    n::BIGINT AS received_n, CASE WHEN alive THEN total_items END::BIGINT AS total_items FROM arrivals""", "arrivals"))
 def q_gather_progress(spark, sf):
     return O.gather_progress(FX.results(spark, sf), FX.order_items(spark, sf))
 
 
 @register("first_failure", with_ctes("""SELECT order_number, sku, reason, l_linenumber, l_partkey, l_suppkey, qty,
-    failures FROM (SELECT *, row_number() OVER (PARTITION BY order_number ORDER BY l_linenumber, l_partkey,
+    failures FROM (SELECT *, row_number() OVER (PARTITION BY order_number ORDER BY ts, l_linenumber, l_partkey,
     l_suppkey, qty) AS rn, count(*) OVER (PARTITION BY order_number)::BIGINT AS failures
     FROM results WHERE NOT success) WHERE rn = 1""", "results"))
 def q_first_failure(spark, sf):
@@ -470,16 +468,15 @@ def q_orphan_events(spark, sf):
 NOTIFY_SQL = """SELECT order_number, 'PENDING' AS status, 'Đơn hàng đã được tiếp nhận!' AS message FROM placed
     UNION ALL SELECT order_number, 'COMPLETED', 'Thanh toán thành công! Đơn hàng hoàn tất.' FROM status_log
       WHERE kind = 'PAID'
-    UNION ALL SELECT order_number, 'FAILED', 'Hết hàng: '||coalesce(reason, 'null') FROM outcome
-      WHERE outcome = 'FAILED'
+    UNION ALL SELECT order_number, 'FAILED', 'Hết hàng: '||coalesce(reason, 'null') FROM failure_events
     UNION ALL SELECT order_number, 'PAYMENT_FAILED', 'Thanh toán lỗi: Payment gateway declined.' FROM status_log
       WHERE kind = 'PAY_FAILED'"""
 
 
-@register("notification_feed", with_ctes(NOTIFY_SQL, "placed", "status_log", "outcome"))
+@register("notification_feed", with_ctes(NOTIFY_SQL, "placed", "status_log", "failure_events"))
 def q_notification_feed(spark, sf):
-    out = O.order_outcome(FX.results(spark, sf), FX.order_items(spark, sf))
-    return S.notification_feed(FX.placed(spark, sf), FX.status_log(spark, sf), out)
+    failed = O.failure_events(FX.results(spark, sf), FX.order_items(spark, sf))
+    return S.notification_feed(FX.placed(spark, sf), FX.status_log(spark, sf), failed)
 
 
 # ---------------------------------------------------------------------------

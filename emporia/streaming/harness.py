@@ -2,10 +2,11 @@
 
 Production source is a keyed topic (``readStream.format("kafka")``, per-key
 order = offset order). No Kafka connector jar exists here, so the same jobs
-read a Parquet file stream: the input is staged as time slices, one file per
-slice written in order, and read with ``maxFilesPerTrigger=1`` so micro-batches
-follow event order (a fold's result depends on it). ``Trigger.AvailableNow``
-drains what exists and stops.
+read a Parquet file stream: the input is written once, by all tasks in
+parallel, into one folder per time slice. A slice is published to the source
+by renaming its folder, and one ``Trigger.AvailableNow`` run on the stream's
+checkpoint drains it before the next one is published, so micro-batches follow
+event order (a fold's result depends on it) however many files a slice has.
 
 Sink: ``foreachBatch`` writing each micro-batch to ``batch_id=<n>`` with
 overwrite, so a batch replayed after a failure replaces its own output
@@ -15,40 +16,46 @@ session's shared folder (``spark.checkpoint.dir``).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
 
-def stage_ordered(df: DataFrame, path: str, ts_col: str = "ts", slices: int = 4) -> None:
-    """Write ``df`` as ``slices`` files in ``ts_col`` order (equal ts share a slice)."""
-    dtype = dict(df.dtypes)[ts_col]
-    num = (F.unix_micros(F.col(ts_col).cast("timestamp")) if dtype.startswith("timestamp")
-           else F.col(ts_col).cast("bigint"))
-    # the slices are written one after another; keep the derived input for
-    # the duration of the staging instead of deriving it once per slice
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        probs = [i / slices for i in range(1, slices)]
-        qs = df.select(num.alias("n")).approxQuantile("n", probs, 0.001) if probs else []
-        bounds = sorted({int(q) for q in qs})
-        edges = [None, *bounds, None]
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            cond = F.lit(True)
-            if lo is not None:
-                cond = cond & (num >= lo)
-            if hi is not None:
-                cond = cond & (num < hi)
-            # one file per slice: the file source orders files by modification time
-            df.filter(cond).repartition(1).write.mode("append").parquet(path)
-    finally:
-        df.unpersist()
+def _number(df: DataFrame, col: str) -> Column:
+    kind = dict(df.dtypes)[col]
+    return F.unix_micros(F.col(col).cast("timestamp")) if kind.startswith("timestamp") else F.col(col).cast("bigint")
+
 
+class Staged:
+    """A table dealt into time slices that a file stream reads one by one."""
 
-def read_staged(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    def __init__(self, df: DataFrame, name: str, col: str = "ts", slices: int = 4):
+        """Rows with equal ``col`` share a slice; a later slice has later rows."""
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = scratch_path(self.spark, f"{name}-in")
+        at = _number(df, col)
+        probs = [i / slices for i in range(1, slices)]
+        bounds = df.agg(F.percentile_approx(at, probs, 1000)).first()[0] if probs else []
+        slice_of = sum((F.when(at > F.lit(b), 1).otherwise(0) for b in sorted(set(bounds or []))), F.lit(0))
+        df.withColumn("_slice", slice_of.cast("int")).write.partitionBy("_slice").parquet(f"{self.path}/waiting")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        self._path, self._fs = path, path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(path(f"{self.path}/ready"))
+        self.waiting = sorted(p.getPath().getName() for p in self._fs.listStatus(path(f"{self.path}/waiting")) if p.isDirectory())
+
+    def publish(self) -> bool:
+        """Hand the next slice to the source; False when there is none left."""
+        if not self.waiting:
+            return False
+        name = self.waiting.pop(0)
+        self._fs.rename(self._path(f"{self.path}/waiting/{name}"), self._path(f"{self.path}/ready/{name.replace('=', '')}"))
+        return True
+
+    def stream(self) -> DataFrame:
+        return self.spark.readStream.schema(self.schema).parquet(f"{self.path}/ready/*")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -63,22 +70,35 @@ def ensure_rocksdb(spark: SparkSession) -> None:
         spark.conf.set(key, ROCKSDB)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None,
-                 out: str | None = None) -> DataFrame:
-    """Drain ``stream`` with AvailableNow into an idempotent per-batch table."""
-    spark = stream.sparkSession
-    ensure_rocksdb(spark)
-    out = out or scratch_path(spark, f"{name}-out")
-    ckpt = checkpoint or scratch_path(spark, f"{name}-ckpt")
+def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append",
+             on_written: Callable[[int], None] | None = None) -> None:
+    """Drain what the source has into the table of batches at ``out``;
+    ``on_written`` is called after a batch is written, before it is committed."""
+    ensure_rocksdb(stream.sparkSession)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")) \
-             .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        if on_written is not None:
+            on_written(batch_id)
 
     q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return read_output(spark, out, stream.schema)
+
+
+def drain(staged: Staged | list[Staged], transform: Callable[..., DataFrame], name: str, mode: str = "append",
+          checkpoint: str | None = None, out: str | None = None, on_written: Callable[[int], None] | None = None) -> DataFrame:
+    """Run ``transform`` of the staged stream(s) to the end, one run per slice
+    on one checkpoint; the sink's table."""
+    sources = staged if isinstance(staged, list) else [staged]
+    spark = sources[0].spark
+    out, checkpoint = out or scratch_path(spark, f"{name}-out"), checkpoint or scratch_path(spark, f"{name}-ckpt")
+    schema = None
+    while any([s.publish() for s in sources]) or schema is None:
+        stream = transform(*[s.stream() for s in sources])
+        schema = stream.schema
+        run_once(stream, out, checkpoint, mode, on_written)
+    return read_output(spark, out, schema)
 
 
 def read_output(spark: SparkSession, out: str, schema) -> DataFrame:

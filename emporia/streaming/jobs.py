@@ -1,33 +1,39 @@
-"""Streaming jobs (J1-J9, A1), registered next to the batch jobs.
+"""Streaming jobs (J1-J9, A1, G4), registered next to the batch jobs.
 
 Each job is ``transform(streaming DataFrame) -> streaming DataFrame``; the
-registered query stages its input from the driver tables, drains the stream
-with ``AvailableNow`` and returns the sink table, so its result can be
-compared with the batch form and the oracle.
+registered query stages the raw events of the driver tables, drains the stream
+slice by slice and returns the sink table, so its result can be compared with
+the batch form and the oracle. No batch result is staged as an input.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import STATUS_COMPLETED, STATUS_FAILED, STATUS_PAYMENT_FAILED, STATUS_PENDING, \
-    PAYMENT_DECLINED_REASON, fmt_ts, not_enough_stock_reason, status_message
+from ..functions.scalars import (PAYMENT_DECLINED_REASON, STATUS_COMPLETED, STATUS_FAILED, STATUS_PAYMENT_FAILED, STATUS_PENDING, fmt_ts,
+                                 not_enough_stock_reason, status_message)
 from ..operators import orders as O
 from ..operators import reservation as R
-from ..operators import status as S
 from ..plans import fixtures as FX
 from ..plans.fixtures_sql import with_ctes
-from ..plans.registry import (CART_SESSIONS_SQL, NOTIFY_SQL, ORACLES, TS, _changes, _ctes_sql, _CHANGES, _REQ,
-                              _walk_sql, register)
+from ..plans.registry import (CART_SESSIONS_SQL, NOTIFY_SQL, ORACLES, _changes, _ctes_sql, _CHANGES, _payments, _placed_with_replays,
+                              _REQ, _walk_sql, register)
+from ..plans.skew import asof_join, validity
 from ..session import scratch_path
 from ..sources.tables import table
 from . import processors as P
-from .harness import latest_per_key, read_staged, run_to_table, stage_ordered
+from .harness import Staged, drain, latest_per_key
 
 
 # --- transforms (streaming DataFrame -> streaming DataFrame) -----------------
 
+def _event_time(events: DataFrame, ts: str = "ts") -> DataFrame:
+    """``at`` (the event's wall-clock time, for the processors) and a watermark
+    on the same instant, which must be a zoned timestamp."""
+    return events.withColumn("at", F.col(ts)).withColumn("event_time", F.col(ts).cast("timestamp")).withWatermark("event_time", "0 seconds")
+
+
 def stream_stock(changes: DataFrame) -> DataFrame:
     """Clamped stock per SKU, re-keyed by SKU (the groupBy is the shuffle)."""
     return changes.groupBy("sku").transformWithState(P.StockFold(), P.STOCK_OUT, "Update", "None")
@@ -38,96 +44,139 @@ def stream_reservation(unified: DataFrame) -> DataFrame:
     return unified.groupBy("sku").transformWithState(P.ReserveFold(), P.RESERVE_OUT, "Append", "None")
 
 
-def stream_outcome(results: DataFrame, order_items: DataFrame, expire_ms: int | None = P.SAGA_TTL_MS) -> DataFrame:
-    """Results joined with the saga record (stream-static), gathered per
-    order; the record expires ``expire_ms`` after creation (None: never, for
-    a bounded replay, where a pending processing-time timer would keep the
-    run from finishing)."""
-    j = results.join(order_items, "order_number", "left")
-    mode = "None" if expire_ms is None else "ProcessingTime"
-    return j.groupBy("order_number").transformWithState(P.Gather(expire_ms), P.GATHER_OUT, "Update", mode)
+def stream_outcome(events: DataFrame) -> DataFrame:
+    """Placements (side 0) and line results (side 1) gathered per order; a
+    saga record expires in event time."""
+    return _event_time(events).groupBy("order_number").transformWithState(P.Gather(), P.GATHER_OUT, "Append", "EventTime")
 
 
 def stream_payment_gate(events: DataFrame) -> DataFrame:
-    """Payments (side 0) and status changes (side 1) of one order."""
-    return events.groupBy("order_number").transformWithState(P.PaymentGate(), P.GATE_OUT, "Append", "None")
+    """Payments against the status that the order's own events give."""
+    return events.withColumn("at", F.col("ts")).groupBy("order_number").transformWithState(P.PaymentGate(), P.GATE_OUT, "Append", "None")
 
 
 def stream_status(events: DataFrame) -> DataFrame:
     """Status machine, one output row per accepted transition."""
-    return events.groupBy("order_number").transformWithState(P.StatusMachine(), P.MACHINE_OUT, "Append", "None")
+    return events.withColumn("at", F.col("ts")).groupBy("order_number").transformWithState(P.StatusMachine(), P.MACHINE_OUT, "Append", "None")
 
 
-def stream_cart_sessions(adds: DataFrame, gap: str = "24 hours") -> DataFrame:
-    """Idle-expiry sessions; the watermark bounds the session state.
-    Event time must be a zoned timestamp for a watermark, so a wall-clock
-    ``ts`` is read in the session time zone."""
-    if dict(adds.dtypes)["ts"] == "timestamp_ntz":
-        adds = adds.withColumn("ts", F.col("ts").cast("timestamp"))
-    return (adds.withWatermark("ts", gap)
-            .groupBy("user_id", F.session_window("ts", gap).alias("w"))
-            .agg(F.count(F.lit(1)).cast("bigint").alias("n_adds"), F.sum("qty").cast("bigint").alias("qty")))
+def stream_cart_sessions(ev: DataFrame, feed: DataFrame) -> DataFrame:
+    """Carts per user; adds look their product up in the cache as of their
+    time (stream-static join) and are refused if it has none."""
+    held = validity(feed, "sku", "ts", ["seq"]).select("sku", F.lit(True).alias("_found"), "_since", "_until")
+    adds = asof_join(ev.where(F.col("kind") == "add"), held, "sku", "ts", {}, how="inner").drop("_found")
+    both = adds.unionByName(ev.where(F.col("kind") == "checkout"))
+    return _event_time(both).groupBy("user_id").transformWithState(P.CartSessions(), P.SESSION_OUT, "Update", "EventTime")
 
 
-def stream_dedup_first(placed: DataFrame, key: str = "order_number", delay: str = "2 hours") -> DataFrame:
-    """G4 streaming: a replayed event (same unique key) is dropped. Keys are
-    kept in state only until the watermark passes ``delay``, which bounds the
-    state; a replay arriving later than that is late data and dropped too."""
-    if dict(placed.dtypes)["ts"] == "timestamp_ntz":
-        placed = placed.withColumn("ts", F.col("ts").cast("timestamp"))
-    return placed.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
+def stream_dedup_first(placed: DataFrame) -> DataFrame:
+    """G4 streaming: the first event of a unique key wins, however late a replay comes."""
+    out = ", ".join(f"{n} {t}" for n, t in placed.dtypes)
+    return placed.groupBy("order_number").transformWithState(P.FirstWins(), out, "Append", "None")
 
 
-# --- registered runs ---------------------------------------------------------
+def stream_notifications(placed: DataFrame, log: DataFrame, gather: DataFrame) -> DataFrame:
+    """Four topics fanned into one feed; the failed topic is the output of
+    the gather in the same query."""
+    none = F.lit(None).cast("string")
+    row = lambda df, status, r=none: df.select("order_number", F.lit(status).alias("status"), r.alias("r"))
+    failed = stream_outcome(gather).where(F.col("outcome") == STATUS_FAILED)
+    u = (row(placed, STATUS_PENDING).unionByName(row(log.where("kind = 'PAID'"), STATUS_COMPLETED))
+         .unionByName(row(failed, STATUS_FAILED, F.col("reason")))
+         .unionByName(row(log.where("kind = 'PAY_FAILED'"), STATUS_PAYMENT_FAILED, F.lit(PAYMENT_DECLINED_REASON))))
+    return u.select("order_number", "status", status_message(F.col("status"), F.col("r")).alias("message"))
+
+
+# --- events of the driver tables ----------------------------------------------
 
-def _stage(spark: SparkSession, df: DataFrame, name: str, col: str = "ts", slices: int = 4) -> DataFrame:
-    path = scratch_path(spark, f"{name}-in")
-    stage_ordered(df, path, col, slices)
-    return read_staged(spark, path, df.schema)
+def _gather_events(spark, sf) -> DataFrame:
+    """Placements (side 0) and line results (side 1)."""
+    res = FX.results(spark, sf).select("order_number", "ts", F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("total_items"),
+                                       "l_linenumber", "l_partkey", "l_suppkey", "qty", "sku", "success", "reason")
+    none = [F.lit(None).cast(res.schema[c].dataType).alias(c) for c in res.columns[4:]]
+    saga = FX.order_items(spark, sf).select("order_number", F.col("created").alias("ts"), F.lit(0).alias("side"), "total_items", *none)
+    return saga.unionByName(res)
 
 
+def _order_events(spark, sf) -> DataFrame:
+    """Raw events of the orders: lines, placements, results' and payments' topics."""
+    def rows(df: DataFrame, kind: Column, rank: int, sku: Column | None = None) -> DataFrame:
+        return df.select("order_number", kind.alias("kind"), "ts", F.lit(rank).alias("rank"),
+                         (sku if sku is not None else F.lit(None).cast("string")).alias("sku"))
+    return (rows(FX.lines(spark, sf), F.lit("LINE"), P.LINE, F.col("sku")).unionByName(rows(FX.placed(spark, sf), F.lit("PLACED"), P.PLACED))
+            .unionByName(rows(FX.status_log(spark, sf), F.col("kind"), P.EVENT)))
+
+
+def _known(events: DataFrame, feed: DataFrame) -> DataFrame:
+    """D2 on the stream: whether the cache holds a line's product at that time."""
+    seen = O.first_seen(feed)
+    return (events.join(seen, "sku", "left")
+            .withColumn("known", F.coalesce(F.col("known_from") <= F.col("ts"), F.lit(False))).drop("known_from", "sku"))
+
+
+# --- registered runs ---------------------------------------------------------
+
 @register("stream_events_scan", "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
 def q_stream_events_scan(spark, sf):
     """A1: topic scan from the earliest offset in bounded polls: the events
-    arrive as ordered slices and each trigger takes one, so the running count
-    is carried in state across micro-batches."""
-    src = _stage(spark, table(spark, sf, "events"), "events", slices=4)
-    agg = src.groupBy("event_type").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    return latest_per_key(run_to_table(agg, "events_scan", "update"), ["event_type"])
+    arrive as ordered slices and each run takes one, so the running count is
+    carried in state from run to run."""
+    count = lambda src: src.groupBy("event_type").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    return latest_per_key(drain(Staged(table(spark, sf, "events"), "events"), count, "events_scan", "update"), ["event_type"])
 
 
 @register("stream_dedup_orders", ORACLES["dedup_orders"])
 def q_stream_dedup_orders(spark, sf):
-    """G4 streaming: originals arrive first (in time slices), replays after."""
-    from ..plans.registry import _placed_with_replays
-    ev = _placed_with_replays(spark, sf)
-    path = scratch_path(spark, "placed-in")
-    stage_ordered(ev.filter(F.col("attempt") == 0), path, slices=3)
-    stage_ordered(ev.filter(F.col("attempt") > 0), path, slices=2)
-    out = run_to_table(stream_dedup_first(read_staged(spark, path, ev.schema)), "dedup", "append")
-    return out.select("order_number", "user_id", fmt_ts(F.col("ts").cast("timestamp_ntz")).alias("ts"), "attempt")
+    """G4 streaming: replays arrive between originals."""
+    out = drain(Staged(_placed_with_replays(spark, sf), "placed", slices=3), stream_dedup_first, "dedup")
+    return out.select("order_number", "user_id", fmt_ts(F.col("ts")).alias("ts"), "attempt")
 
 
 @register("stream_stock", with_ctes("SELECT sku, stock FROM stock_final", "stock_final"))
 def q_stream_stock(spark, sf):
-    src = _stage(spark, _changes(spark, sf), "changes")
-    return latest_per_key(run_to_table(stream_stock(src), "stream_stock", "update"), ["sku"])
+    return latest_per_key(drain(Staged(_changes(spark, sf), "changes"), stream_stock, "stream_stock", "update"), ["sku"])
 
 
 @register("stream_stock_lookup", with_ctes("SELECT sku, stock AS quantity FROM stock_final", "stock_final"))
 def q_stream_stock_lookup(spark, sf):
     """Read the current stock straight from the stream's state store."""
-    src = _stage(spark, _changes(spark, sf), "changes")
     ckpt = scratch_path(spark, "stream_stock-ckpt")
-    run_to_table(stream_stock(src), "stream_stock", "update", checkpoint=ckpt)
+    drain(Staged(_changes(spark, sf), "changes"), stream_stock, "stream_stock", "update", checkpoint=ckpt)
     st = spark.read.format("statestore").option("stateVarName", "stock").load(ckpt)
     return st.select(F.col("key.sku").alias("sku"), F.col("value.stock").cast("bigint").alias("quantity"))
 
 
+class Interrupted(RuntimeError):
+    """The failure that ``stream_restart`` injects."""
+
+
+@register("stream_restart", with_ctes("SELECT sku, stock FROM stock_final", "stock_final"))
+def q_stream_restart(spark, sf):
+    """The stream fails after a batch has reached the sink and before it is
+    committed, is started again from its checkpoint, and ends as if nothing had
+    been: the batch is replayed under its number and replaces its own rows."""
+    out, ckpt = scratch_path(spark, "restart-out"), scratch_path(spark, "restart-ckpt")
+    staged, failed = Staged(_changes(spark, sf), "changes", slices=3), []
+
+    def fail_once(batch_id: int) -> None:
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise Interrupted("between sink and commit")
+
+    while True:
+        try:
+            done = drain(staged, stream_stock, "restart", "update", checkpoint=ckpt, out=out, on_written=fail_once)
+        except Exception as e:
+            if "between sink and commit" not in str(e):
+                raise
+            continue      # the slice is published: the next run replays it
+        return latest_per_key(done, ["sku"])
+
+
 @register("stream_reservation", _ctes_sql(_walk_sql(f"{_REQ} UNION ALL {_CHANGES}"), "lines", "changes"))
 def q_stream_reservation(spark, sf):
     u = R._unified(_changes(spark, sf), None, FX.lines(spark, sf))
-    out = run_to_table(stream_reservation(_stage(spark, u, "reserve")), "stream_reservation", "append")
+    out = drain(Staged(u, "reserve"), stream_reservation, "stream_reservation")
     return out.select("order_number", "sku", "qty", fmt_ts(F.col("ts")).alias("ts"), "l_orderkey", "l_linenumber",
                       "l_suppkey", "success",
                       F.when(~F.col("success"), not_enough_stock_reason(F.col("sku"), F.col("qty"),
@@ -135,72 +184,44 @@ def q_stream_reservation(spark, sf):
                       "stock_after")
 
 
-@register("stream_outcome", with_ctes("""SELECT * FROM outcome
-    WHERE order_number IN (SELECT order_number FROM results)""", "outcome", "results"))
+@register("stream_outcome", with_ctes("SELECT order_number, outcome, reason FROM outcome", "outcome"))
 def q_stream_outcome(spark, sf):
-    res = FX.results(spark, sf)
-    src = _stage(spark, res, "results", col="l_linenumber", slices=4)
-    out = run_to_table(stream_outcome(src, FX.order_items(spark, sf), expire_ms=None), "stream_outcome", "update")
-    return latest_per_key(out, ["order_number"])
+    """The decisive event of every order, from the gather's events."""
+    out = drain(Staged(_gather_events(spark, sf), "gather"), stream_outcome, "stream_outcome")
+    decided = F.struct((F.col("outcome") == STATUS_PENDING).alias("open"), "ts", "outcome")
+    return (out.groupBy("order_number").agg(F.min_by(F.struct("outcome", "reason"), decided).alias("r"))
+            .select("order_number", "r.*"))
 
 
 @register("stream_payment_gate", ORACLES["payment_gate"])
 def q_stream_payment_gate(spark, sf):
-    log = FX.status_log(spark, sf)
-    trans = S.transitions(S.status_summary(log, FX.placed(spark, sf)))
-    pay = log.filter(F.col("kind") == "PAID").select("order_number", "ts", F.lit(0).alias("side"),
-                                                    F.lit(None).cast("string").alias("status"))
-    st = trans.select("order_number", "ts", F.lit(1).alias("side"), "status")
-    out = run_to_table(stream_payment_gate(_stage(spark, pay.unionByName(st), "gate")), "stream_gate", "append")
-    return out.select("order_number", fmt_ts(F.col("pay_ts")).alias("paid_at"), "status_at_arrival")
+    events, feed = _order_events(spark, sf).withColumn("payment_id", F.lit(None).cast("string")), FX.product_feed(spark, sf)
+    pay = _payments(spark, sf).select("order_number", F.lit("PAYMENT").alias("kind"), "ts", F.lit(P.PAYMENT).alias("rank"),
+                                      F.lit(None).cast("string").alias("sku"), "payment_id")
+    out = drain(Staged(events.unionByName(pay), "gate"), lambda s: stream_payment_gate(_known(s, feed)), "stream_gate")
+    return out.select("order_number", "payment_id", fmt_ts(F.col("pay_ts")).alias("paid_at"), "status_at_arrival")
 
 
 @register("stream_status", ORACLES["status_transitions"])
 def q_stream_status(spark, sf):
-    placed = FX.placed(spark, sf).select("order_number", F.lit("PLACED").alias("kind"), "ts", F.lit(0).alias("rank"))
-    log = FX.status_log(spark, sf).select("order_number", "kind", "ts", F.lit(1).alias("rank"))
-    out = run_to_table(stream_status(_stage(spark, placed.unionByName(log), "status")), "stream_status", "append")
+    feed = FX.product_feed(spark, sf)
+    out = drain(Staged(_order_events(spark, sf), "status"), lambda s: stream_status(_known(s, feed)), "stream_status")
     return out.select("order_number", "status", fmt_ts(F.col("ts")).alias("ts"))
 
 
-STREAM_SESSIONS_SQL = with_ctes(f"""SELECT * FROM ({CART_SESSIONS_SQL.replace(
-    "strftime(max(ts) + INTERVAL 24 HOUR, ", "strftime(max(ts) + INTERVAL 24 HOUR, ", 1)}) s
-    WHERE strptime(s.session_end, '%Y-%m-%d %H:%M:%S') <= (SELECT max(ts) - INTERVAL 24 HOUR FROM cart_ev
-                                                          WHERE kind = 'add')""", "cart_ev")
-
-
-@register("stream_cart_sessions", STREAM_SESSIONS_SQL)
+@register("stream_cart_sessions", CART_SESSIONS_SQL)
 def q_stream_cart_sessions(spark, sf):
-    """J5 streaming: a session is emitted (append) once it has expired, i.e.
-    when the watermark (latest add - 24 h) has passed its end; sessions
-    still open when the input ends are not emitted yet."""
-    adds = FX.cart_ev(spark, sf).filter(F.col("kind") == "add").select("user_id", "ts", "event_id", "qty")
-    out = run_to_table(stream_cart_sessions(_stage(spark, adds, "adds")), "stream_sessions", "append")
-    return out.select("user_id", fmt_ts(F.col("w.start").cast("timestamp_ntz")).alias("session_start"),
-                      fmt_ts(F.col("w.end").cast("timestamp_ntz")).alias("session_end"), "n_adds", "qty")
+    """J5 streaming: every cart with the end it has, open ones included."""
+    ev, feed = FX.cart_ev(spark, sf), FX.product_feed(spark, sf)
+    out = drain(Staged(ev.where(F.col("kind") != "remove"), "cart"), lambda s: stream_cart_sessions(s, feed), "stream_sessions", "update")
+    return latest_per_key(out, ["user_id", "cart_no"]).select(
+        "user_id", fmt_ts(F.col("session_start")).alias("session_start"), fmt_ts(F.col("session_end")).alias("session_end"),
+        "checked_out", "n_adds", "qty")
 
 
-@register("stream_notification_feed", with_ctes(NOTIFY_SQL, "placed", "status_log", "outcome"))
+@register("stream_notification_feed", with_ctes(NOTIFY_SQL, "placed", "status_log", "failure_events"))
 def q_stream_notification_feed(spark, sf):
     """Four topic streams fanned into one (order, status, message) feed."""
-    log = FX.status_log(spark, sf)
-    outcome = O.order_outcome(FX.results(spark, sf), FX.order_items(spark, sf))
-    none = F.lit(None).cast("string")
-    sources = [
-        (FX.placed(spark, sf).select("order_number", "ts", F.lit(STATUS_PENDING).alias("status"), none.alias("r")),
-         "placed"),
-        (log.filter(F.col("kind") == "PAID").select("order_number", "ts", F.lit(STATUS_COMPLETED).alias("status"),
-                                                   none.alias("r")), "paid"),
-        (outcome.filter(F.col("outcome") == STATUS_FAILED).select(
-            "order_number", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
-            F.lit(STATUS_FAILED).alias("status"), F.col("reason").alias("r")), "failed"),
-        (log.filter(F.col("kind") == "PAY_FAILED").select(
-            "order_number", "ts", F.lit(STATUS_PAYMENT_FAILED).alias("status"),
-            F.lit(PAYMENT_DECLINED_REASON).alias("r")), "payfailed"),
-    ]
-    streams = [_stage(spark, df, name, slices=2) for df, name in sources]
-    u = streams[0]
-    for s in streams[1:]:
-        u = u.unionByName(s)
-    feed = u.select("order_number", "status", status_message(F.col("status"), F.col("r")).alias("message"))
-    return run_to_table(feed, "notify", "append").select("order_number", "status", "message")
+    staged = [Staged(FX.placed(spark, sf), "placed", slices=2), Staged(FX.status_log(spark, sf), "log", slices=2),
+              Staged(_gather_events(spark, sf), "gather", slices=2)]
+    return drain(staged, stream_notifications, "notify").select("order_number", "status", "message")

@@ -3,20 +3,27 @@
 Spark calls ``handleInputRows`` with the rows of one key in one micro-batch
 (bounded by the trigger size) and the key's state variables. Rows are sorted
 by the job's total order inside the batch; batches arrive in order (see
-``harness``). State is a ``ValueState`` per key, kept in the RocksDB state
-store and partitioned by the grouping key, so it scales out with the key
-space and survives executor loss through the checkpoint.
+``harness``). State is kept per key in the RocksDB state store and partitioned
+by the grouping key, so it scales out with the key space and survives executor
+loss through the checkpoint. Records that expire have event-time timers.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from typing import Iterator
 
+import numpy as np
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scalars import (INT_MAX, STATUS_COMPLETED, STATUS_FAILED, STATUS_PAYMENT_FAILED, STATUS_PENDING,
                                  STATUS_VALIDATED)
+from ..operators.cart import CART_TTL_SECONDS
+from ..operators.orders import SAGA_TTL_SECONDS
+from ..operators.reservation import walk
+
+_EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 
 
 def _change_key(r):
@@ -27,15 +34,6 @@ def _unified_key(r):
     return (r.ts, r.kind, r.l_orderkey, r.l_linenumber, r.l_suppkey, r.amount)
 
 
-def _result_key(r):
-    return (r.l_linenumber, r.l_partkey, r.l_suppkey, r.qty)
-
-
-def _result_record(r):
-    """Identity of a delivered result: a repeat of the same record is counted once."""
-    return (r.l_linenumber, r.l_partkey, r.l_suppkey, r.qty, r.sku, r.success, r.reason)
-
-
 STOCK_OUT = "sku string, stock long"
 
 
@@ -48,10 +46,12 @@ class StockFold(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         cur = self.stock.get()
         s = cur[0] if cur is not None else 0
-        for r in sorted((r for r in rows if r.chg is not None), key=_change_key):
+        rows = sorted((r for r in rows if r.sku is not None and r.chg is not None), key=_change_key)
+        for r in rows:
             s = min(INT_MAX, max(0, s + r.chg))
-        self.stock.update((s,))
-        yield Row(sku=key[0], stock=s)
+        if rows:
+            self.stock.update((s,))
+            yield Row(sku=key[0], stock=s)
 
     def close(self) -> None:
         pass
@@ -71,111 +71,147 @@ class ReserveFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         cur = self.stock.get()
-        s = cur[0] if cur is not None else 0
-        out = []
-        for r in sorted(rows, key=_unified_key):
-            a, before = r.amount, s
-            if r.kind == 0:
-                s = min(INT_MAX, max(0, s + a))
-                continue
-            ok = s >= a
-            if ok:
-                s -= a
-            out.append(Row(order_number=r.order_number, sku=r.sku, qty=int(a), ts=r.ts, l_orderkey=r.l_orderkey,
-                           l_linenumber=r.l_linenumber, l_suppkey=r.l_suppkey, success=ok, stock_before=before,
-                           stock_after=s))
-        self.stock.update((s,))
-        return iter(out)
+        rows = sorted((r for r in rows if r.sku is not None and r.amount is not None), key=_unified_key)
+        if not rows:
+            return iter([])
+        kind = np.array([r.kind for r in rows], np.int8)
+        amount = np.array([r.amount for r in rows], np.int64)
+        first = np.zeros(len(rows), bool)
+        first[0] = True
+        before, left = walk(kind, amount, first, np.array([cur[0] if cur is not None else 0]))
+        self.stock.update((int(left[0]),))
+        return iter([Row(order_number=r.order_number, sku=r.sku, qty=int(r.amount), ts=r.ts, l_orderkey=r.l_orderkey,
+                         l_linenumber=r.l_linenumber, l_suppkey=r.l_suppkey, success=s >= r.amount, stock_before=s,
+                         stock_after=s - r.amount if s >= r.amount else s)
+                     for r, s in zip(rows, before.tolist()) if r.kind == 1])
 
     def close(self) -> None:
         pass
 
 
-GATHER_OUT = "order_number string, outcome string, reason string, received long, total_items long"
-SAGA_TTL_MS = 10 * 60 * 1000
+GATHER_OUT = "order_number string, outcome string, reason string, ts timestamp_ntz"
 
 
-class Gather(StatefulProcessor):
-    """Gather line results into one order outcome.
+def _millis(ts: dt.datetime) -> int:
+    return (ts.replace(tzinfo=dt.timezone.utc) - _EPOCH) // dt.timedelta(milliseconds=1)
 
-    With ``expire_ms`` the saga record expires that long (processing time)
-    after it is created (a processing-time timer; timeMode "ProcessingTime"):
-    the state is cleared and nothing is emitted, so the order simply stays
-    PENDING, as in the reference. A repeated delivery of the same result
-    record is counted once (ListState of the records seen).
+
+class Gather(StatefulProcessor):
+    """Gather line results into order outcomes, as events.
+
+    The saga record is created by the placement event (side 0, with the number
+    of items) and lives ``ttl`` from there in event time. A repeated delivery
+    of a result is counted once (MapState of the results seen, cleared with the
+    record). The order is VALIDATED when the count reaches the items, which
+    clears the record; a first failing result makes it FAILED. A failing result
+    that finds no live record fails the order too; such a mark lives ``ttl``
+    as well. When the watermark passes a record's end its state is freed.
     """
 
-    def __init__(self, expire_ms: int | None = SAGA_TTL_MS):
-        self.expire_ms = expire_ms
+    def __init__(self, ttl: dt.timedelta = dt.timedelta(seconds=SAGA_TTL_SECONDS)):
+        self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.saga = handle.getValueState("saga", "received long, total long, failed boolean, reason string")
-        self.seen = handle.getListState("seen", "l_linenumber int, l_partkey long, l_suppkey long, qty int, "
-                                                "sku string, success boolean, reason string")
+        self.saga = handle.getValueState("saga", "end timestamp_ntz, total long, received long, failed boolean")
+        self.seen = handle.getMapState("seen", "l_linenumber int, l_partkey long, l_suppkey long, qty int, sku string, success boolean",
+                                       "at timestamp_ntz")
+
+    def _clear(self) -> None:
+        self.saga.clear()
+        self.seen.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        cur = self.saga.get()
-        if cur is None:
-            received, total, failed, reason = 0, None, False, None
-            seen = set()
-            if self.expire_ms is not None:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.expire_ms)
-        else:
-            received, total, failed, reason = cur
-            seen = {tuple(x) for x in self.seen.get()}
-        fresh = []
-        for r in sorted(rows, key=_result_key):
-            k = _result_record(r)
-            if k in seen:
+        state = self.saga.get()
+        end, total, received, failed = state if state is not None else (None, None, 0, False)
+        out, known = [], state is not None
+        for r in sorted(rows, key=lambda r: (r.at, r.side) + ((r.l_linenumber, r.l_partkey, r.l_suppkey, r.qty) if r.side else ())):
+            if known and r.at > end:      # expired, whether or not the timer has told
+                known = False
+                self._clear()
+            if r.side == 0:
+                if not known:
+                    end, total, received, failed, known = r.at + self.ttl, r.total_items, 0, False, True
+                    self.handle.registerTimer(_millis(end))
+                    out.append(Row(order_number=key[0], outcome=STATUS_PENDING, reason=None, ts=r.at))
+                continue
+            result = (r.l_linenumber, r.l_partkey, r.l_suppkey, r.qty, r.sku, r.success)
+            if self.seen.containsKey(result):
                 continue
-            seen.add(k)
-            fresh.append(k)
+            if not known:
+                if r.success:
+                    continue              # nothing to count it for
+                end, total, received, failed, known = r.at + self.ttl, None, 0, False, True
+                self.handle.registerTimer(_millis(end))
+            self.seen.updateValue(result, (r.at,))
             received += 1
-            total = r.total_items
-            if not failed and not r.success:
-                failed, reason = True, r.reason
-        if fresh:
-            self.seen.appendList(fresh)
-        self.saga.update((received, total, failed, reason))
-        if failed:
-            outcome = STATUS_FAILED
-        elif received >= 1 and received == total:
-            outcome = STATUS_VALIDATED
-        else:
-            outcome = STATUS_PENDING
-        yield Row(order_number=key[0], outcome=outcome, reason=reason if failed else None, received=received,
-                  total_items=total)
+            if failed:
+                continue
+            if not r.success:
+                failed = True
+                out.append(Row(order_number=key[0], outcome=STATUS_FAILED, reason=r.reason, ts=r.at))
+            elif received == total:
+                out.append(Row(order_number=key[0], outcome=STATUS_VALIDATED, reason=None, ts=r.at))
+                known = False
+                self._clear()
+        if known:
+            self.saga.update((end, total, received, failed))
+        return iter(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.saga.clear()
-        self.seen.clear()
+        state = self.saga.get()
+        # a record that was created anew has a later end and a timer of its own
+        if state is not None and _millis(state[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self._clear()
         return iter([])
 
     def close(self) -> None:
         pass
 
 
-GATE_OUT = "order_number string, pay_ts timestamp_ntz, status_at_arrival string"
+_NEXT = {
+    ("PLACED", None): STATUS_PENDING,
+    ("VALIDATED", STATUS_PENDING): STATUS_VALIDATED,
+    ("FAILED", STATUS_PENDING): STATUS_FAILED,
+    ("PAID", STATUS_PENDING): STATUS_COMPLETED,
+    ("PAID", STATUS_VALIDATED): STATUS_COMPLETED,
+    ("PAY_FAILED", STATUS_PENDING): STATUS_PAYMENT_FAILED,
+    ("PAY_FAILED", STATUS_VALIDATED): STATUS_PAYMENT_FAILED,
+}
+# rank of events of one instant: a payment sees the status before it; an
+# order's lines say whether it can be saved before it is placed
+PAYMENT, LINE, PLACED, EVENT = 0, 1, 2, 3
 
 
-class PaymentGate(StatefulProcessor):
-    """Stream-table join; the table side (latest status) is this key's
-    ValueState. At equal time a payment sees the status *before* it."""
+class _Orders(StatefulProcessor):
+    """Status machine per order over its raw events. The placement saves the
+    order if all its lines (events of the same instant) have a known product;
+    events of an order that is not saved are ignored (not found)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.status = handle.getValueState("status", "status string")
 
+    def payment(self, key, row, status) -> Iterator[Row]:
+        return iter([])
+
+    def transition(self, key, row, status) -> Iterator[Row]:
+        return iter([])
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         cur = self.status.get()
-        status = cur[0] if cur is not None else None
-        out = []
-        for r in sorted(rows, key=lambda r: (r.ts, r.side)):
-            if r.side == 1:
-                status = r.status
-            elif status in (STATUS_PENDING, STATUS_VALIDATED):
-                out.append(Row(order_number=key[0], pay_ts=r.ts, status_at_arrival=status))
-        if status is not None:
+        status, missing = cur[0] if cur is not None else None, None      # time of a line without product
+        out, old = [], status
+        for r in sorted(rows, key=lambda r: (r.at, r.rank, r.kind)):
+            if r.rank == PAYMENT:
+                out.extend(self.payment(key, r, status))
+            elif r.rank == LINE:
+                missing = missing if r.known else r.at
+            elif not (r.rank == PLACED and missing == r.at):
+                nxt = _NEXT.get((r.kind, status))
+                if nxt is not None:
+                    status = nxt
+                    out.extend(self.transition(key, r, status))
+        if status != old:
             self.status.update((status,))
         return iter(out)
 
@@ -183,37 +219,94 @@ class PaymentGate(StatefulProcessor):
         pass
 
 
+GATE_OUT = "order_number string, payment_id string, pay_ts timestamp_ntz, status_at_arrival string"
+
+
+class PaymentGate(_Orders):
+    """Stream-table join of payments with the order's status, which the
+    same operator derives from the order's events."""
+
+    def payment(self, key, row, status) -> Iterator[Row]:
+        if status in (STATUS_PENDING, STATUS_VALIDATED):
+            yield Row(order_number=key[0], payment_id=row.payment_id, pay_ts=row.at, status_at_arrival=status)
+
+
 MACHINE_OUT = "order_number string, status string, ts timestamp_ntz"
-_NEXT = {
-    ("PLACED", None): STATUS_PENDING,
-    ("VALIDATED", STATUS_PENDING): STATUS_VALIDATED,
-    ("FAILED", STATUS_PENDING): STATUS_FAILED,
-    ("PAID", STATUS_PENDING): STATUS_COMPLETED,
-    ("PAID", STATUS_VALIDATED): STATUS_COMPLETED,
-    ("PAY_FAILED", STATUS_PENDING): STATUS_PAYMENT_FAILED,
-    ("PAY_FAILED", STATUS_VALIDATED): STATUS_PAYMENT_FAILED,
-}
 
 
-class StatusMachine(StatefulProcessor):
-    """Order status machine; one output row per accepted transition.
-    Events of an order that was never placed are ignored (not found)."""
+class StatusMachine(_Orders):
+    """One output row per accepted transition."""
+
+    def transition(self, key, row, status) -> Iterator[Row]:
+        yield Row(order_number=key[0], status=status, ts=row.at)
+
+
+class FirstWins(StatefulProcessor):
+    """The first event of a key passes; later ones, however late, do not.
+    The mark is kept as long as the unique key that it stands for."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.status = handle.getValueState("status", "status string")
+        self.mark = handle.getValueState("mark", "seen boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        cur = self.status.get()
-        status = cur[0] if cur is not None else None
-        out = []
-        for r in sorted(rows, key=lambda r: (r.ts, r.rank, r.kind)):
-            nxt = _NEXT.get((r.kind, status))
-            if nxt is not None:
-                status = nxt
-                out.append(Row(order_number=key[0], status=nxt, ts=r.ts))
-        if status is not None:
-            self.status.update((status,))
-        return iter(out)
+        if self.mark.exists():
+            return iter([])
+        self.mark.update((True,))
+        return iter([min(rows, key=lambda r: (r.ts, r.attempt))])
+
+    def close(self) -> None:
+        pass
+
+
+SESSION_OUT = ("user_id long, cart_no long, session_start timestamp_ntz, session_end timestamp_ntz, checked_out boolean, "
+               "n_adds long, qty long")
+
+
+class CartSessions(StatefulProcessor):
+    """One cart per user, from its first add until its checkout or ``ttl``
+    after its last add; open carts are given out with the end they have so far
+    (update mode). A timer at that end frees the cart's state."""
+
+    def __init__(self, ttl: dt.timedelta = dt.timedelta(seconds=CART_TTL_SECONDS)):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.cart = handle.getValueState("cart", "start timestamp_ntz, last timestamp_ntz, n long, qty long")
+        self.carts = handle.getValueState("carts", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        numbered, cart = self.carts.get(), self.cart.get()
+        no, cart = numbered[0] if numbered is not None else 0, list(cart) if cart is not None else None
+        out = {}
+
+        def row(end, checked):
+            return Row(user_id=key[0], cart_no=no, session_start=cart[0], session_end=end, checked_out=checked, n_adds=cart[2], qty=cart[3])
+
+        for r in sorted(rows, key=lambda r: (r.at, r.event_id)):
+            if cart is not None and r.at > cart[1] + self.ttl:
+                out[no], cart = row(cart[1] + self.ttl, False), None
+            if r.kind == "checkout":
+                if cart is not None:
+                    out[no], cart = row(r.at, True), None
+            else:
+                if cart is None:
+                    no, cart = no + 1, [r.at, r.at, 0, 0]
+                cart = [cart[0], r.at, cart[2] + 1, cart[3] + r.qty]
+        self.carts.update((no,))
+        if cart is None:
+            self.cart.clear()
+        else:
+            self.cart.update(tuple(cart))
+            self.handle.registerTimer(_millis(cart[1] + self.ttl))
+            out[no] = row(cart[1] + self.ttl, False)
+        return iter(out.values())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        cart = self.cart.get()
+        if cart is not None and _millis(cart[1] + self.ttl) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.cart.clear()      # its row has been given out with this end
+        return iter([])
 
     def close(self) -> None:
         pass
