@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import (MONEY, UPDATE_INITIAL_QUANTITY, WARMUP_INITIAL_QUANTITY, active_default,
-                                 image_fallback, price_fallback)
+                                 image_fallback, patch, price_fallback)
 
 
 def catalog_document(product: DataFrame, variant: DataFrame, image: DataFrame) -> DataFrame:
@@ -21,44 +21,61 @@ def catalog_document(product: DataFrame, variant: DataFrame, image: DataFrame) -
                     "variant_price", "variant_image", "is_active", "gallery_url"))
 
 
+PATCHED = ["name", "category", "base_price", "image_url"]
+
+
+def product_patch(product: DataFrame, product_req: DataFrame) -> DataFrame:
+    """The product after an update: each field that the request carries
+    replaces the stored one, a missing field leaves it. Products without a
+    request stay as they are."""
+    req = product_req.select("product_id", *[F.col(c).alias(f"_{c}") for c in PATCHED])
+    return product.join(req, "product_id", "left").select(
+        "product_id", *[patch(F.col(f"_{c}"), F.col(c)).cast(product.schema[c].dataType).alias(c) for c in PATCHED])
+
+
+def galleries(image: DataFrame) -> DataFrame:
+    """(sku, gallery): a variant's image addresses in order; as many as the
+    variant has images."""
+    return image.groupBy("sku").agg(F.sort_array(F.collect_list("url")).alias("gallery"))
+
+
 def variant_merge(product: DataFrame, product_req: DataFrame, stored: DataFrame, req: DataFrame,
                   image: DataFrame) -> DataFrame:
-    """D7 (+G2, G3, I5, C2, C3, C5): three-way merge of a product's variants.
-
-    Per product that receives an update: a request with a *null* variant
-    list keeps every stored variant (KEEP); otherwise by SKU: in both ->
-    UPDATE, only requested -> INSERT, only stored -> DELETE. New values take
-    the request's fields with price falling back to the product's base
-    price, image to the product image, active to true; a null gallery keeps
-    the old one. One full outer join on (product, SKU).
+    """D7 (+G2, G3, I5, C2, C3, C5, C6): three-way merge of a product's variants.
+
+    The product's own fields are patched first. Then, per product that
+    receives an update: a request with a *null* variant list keeps every
+    stored variant (KEEP); otherwise by SKU: in both -> UPDATE, only requested
+    -> INSERT, only stored -> DELETE. New values take the request's fields with
+    price falling back to the product's (patched) base price, image to the
+    product's image, active to true. A gallery in the request replaces the
+    stored one, an empty one clears it, a null one keeps it. One full outer
+    join on (product, SKU).
     """
-    pr = product_req.join(product.select("product_id", "base_price", F.col("image_url").alias("p_image")),
-                          "product_id")
-    gallery = image.groupBy("sku").agg(F.count(F.lit(1)).cast("bigint").alias("old_gallery"))
-    s = (stored.join(pr.select("product_id"), "product_id", "left_semi")
-         .select("product_id", "sku", F.struct("color", "size", "price", "image_url", "is_active").alias("old")))
+    patched = product_patch(product, product_req).select("product_id", "base_price", F.col("image_url").alias("p_image"))
+    pr = product_req.select("product_id", "has_list").join(patched, "product_id")
+    s = (stored.join(galleries(image), "sku", "left").join(pr.select("product_id"), "product_id", "left_semi")
+         .select("product_id", "sku", F.struct("color", "size", "price", "image_url", "is_active", "gallery").alias("old")))
     r = (req.join(pr.select("product_id"), "product_id", "left_semi")
-         .select("product_id", "sku", F.struct("color", "size", "price").alias("new")))
-    j = (s.join(r, ["product_id", "sku"], "full_outer").join(pr, "product_id", "left")
-         .join(gallery, "sku", "left"))
-    keep = ~F.col("has_list")
-    action = (F.when(keep, F.lit("KEEP"))
+         .select("product_id", "sku", F.struct("color", "size", "price", "image_url", "is_active", "gallery").alias("new")))
+    j = s.join(r, ["product_id", "sku"], "full_outer").join(pr, "product_id", "left")
+    action = (F.when(~F.col("has_list"), F.lit("KEEP"))
               .when(F.col("old").isNotNull() & F.col("new").isNotNull(), F.lit("UPDATE"))
               .when(F.col("new").isNotNull(), F.lit("INSERT"))
               .otherwise(F.lit("DELETE")))
     write = F.col("action").isin("UPDATE", "INSERT")
-    new_gallery = F.lit(None).cast("bigint")   # requests here carry no gallery list
+    none = F.array().cast("array<string>")
+    gallery = F.when(write, F.coalesce("new.gallery", "old.gallery", none)).otherwise(F.coalesce("old.gallery", none))
     return j.withColumn("action", action).select(
         "product_id", "sku", "action",
         F.when(write, F.col("new.color")).otherwise(F.col("old.color")).alias("color"),
         F.when(write, F.col("new.size")).otherwise(F.col("old.size")).alias("size"),
         F.when(write, price_fallback(F.col("new.price"), F.col("base_price")))
          .otherwise(F.col("old.price").cast(MONEY)).alias("price"),
-        F.when(write, image_fallback(F.lit(None).cast("string"), F.col("p_image")))
+        F.when(write, image_fallback(F.col("new.image_url"), F.col("p_image")))
          .otherwise(F.col("old.image_url")).alias("image_url"),
-        F.when(write, active_default(F.lit(None).cast("boolean"))).otherwise(F.col("old.is_active")).alias("is_active"),
-        F.when(F.col("action") == "INSERT", F.coalesce(new_gallery, F.lit(0).cast("bigint")))
-         .otherwise(F.coalesce(new_gallery, F.col("old_gallery"), F.lit(0).cast("bigint"))).alias("gallery_size"))
+        F.when(write, active_default(F.col("new.is_active"))).otherwise(F.col("old.is_active")).alias("is_active"),
+        gallery.alias("gallery"))
 
 
 def duplicate_sku(variants: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import (ERR_INVALID_JSON, ERR_NEGATIVE, ERR_QTY_REQUIRED, ERR_SKU_REQUIRED, ERR_ZERO,
                                  INT_MAX, fmt_ts, floor_zero, tolerant_int)
 from ..plans.scan import clamped_final, clamped_running
+from ..plans.skew import split_join
 
 CHANGE_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_suppkey", "chg"]
 
@@ -65,20 +66,30 @@ def adjustment_validate(raw: DataFrame) -> DataFrame:
              .when(~F.array_contains(keys, "adjustmentQuantity"), F.lit(ERR_QTY_REQUIRED))
              .when(delta.isNull(), F.lit(ERR_INVALID_JSON))
              .when(delta == 0, F.lit(ERR_ZERO)))
-    out = raw.select("event_id", error.alias("error"), F.get_json_object(body, "$.skuCode").alias("sku_"),
+    out = raw.select("event_id", "body", error.alias("error"), F.get_json_object(body, "$.skuCode").alias("sku_"),
                      delta.alias("delta_"))
     ok = F.col("error").isNull()
-    return out.select("event_id", F.when(ok, F.col("sku_")).alias("sku"),
+    return out.select("event_id", "body", F.when(ok, F.col("sku_")).alias("sku"),
                       F.when(ok, F.col("delta_")).alias("delta"), "error")
 
 
-def adjustment_reject_negative(valid: DataFrame, stock: DataFrame) -> DataFrame:
+def requested_changes(raw: DataFrame) -> DataFrame:
+    """Adjustment bodies as stock changes, as far as they can be read: what is
+    missing stays null, for the folds to be kept out of (A4)."""
+    body = F.col("body")
+    return raw.select(F.get_json_object(body, "$.skuCode").alias("sku"),
+                      tolerant_int(F.get_json_object(body, "$.adjustmentQuantity")).cast("bigint").alias("chg"), "ts",
+                      F.col("event_id").alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.lit(0).cast("bigint").alias("l_suppkey"),
+                      F.lit("request").alias("source"))
+
+
+def adjustment_reject_negative(valid: DataFrame, stock: DataFrame, heavy: dict[str, int] | None = None) -> DataFrame:
     """Reject when current + delta < 0; a SKU with no stock row counts 0.
 
-    ``stock`` is one row per SKU (catalogue-sized); the join strategy is left
-    to AQE's measured-size decision.
+    ``stock`` is one row per SKU (catalogue-sized); the requests of a hot SKU
+    (``heavy``) are dealt over salts.
     """
-    j = valid.join(stock.select("sku", "stock"), "sku", "left")
+    j = split_join(valid, stock.select("sku", "stock"), "sku", heavy or {}, spread=["event_id"])
     current = F.coalesce(F.col("stock"), F.lit(0)).cast("bigint")
     accepted = current + F.col("delta") >= 0
     return j.select("event_id", "sku", F.col("delta").cast("int").alias("delta"), current.alias("current"),

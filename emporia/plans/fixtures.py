@@ -58,12 +58,30 @@ def image(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def variant_req(spark: SparkSession, sf: str) -> DataFrame:
+    """Requested variants; images, active flags and galleries come with some."""
     k = F.col("p_partkey")
     p = table(spark, sf, "part").filter((k % 4 != 1) & (_div("p_partkey", 4) % 10 != 0))
+    url = lambda i: F.concat(F.lit("n/"), k.cast("string"), F.lit(f"/{i}"))
     return p.select(
         _div("p_partkey", 4).alias("product_id"), sku_of(k).alias("sku"),
         F.concat(F.lit("new-"), F.col("p_brand")).alias("color"), F.col("p_size").cast("string").alias("size"),
-        F.when(k % 2 == 0, (_money(F.col("p_retailprice")) * F.lit(1.1).cast("decimal(2,1)")).cast(MONEY)).alias("price"))
+        F.when(k % 2 == 0, (_money(F.col("p_retailprice")) * F.lit(1.1).cast("decimal(2,1)")).cast(MONEY)).alias("price"),
+        F.when(k % 6 == 0, F.concat(F.lit("new-img/"), k.cast("string"))).alias("image_url"),
+        F.when(k % 7 < 2, k % 7 == 0).alias("is_active"),
+        F.when(k % 3 == 1, F.array().cast("array<string>")).when(k % 3 == 2, F.array(url(1), url(0))).alias("gallery"),
+        (k % 300 - 20).cast("int").alias("initial_quantity"))
+
+
+def product_req(spark: SparkSession, sf: str) -> DataFrame:
+    """Product updates: fields that are null are not in the request; every tenth
+    has no variant list."""
+    pid = F.col("product_id")
+    text = pid.cast("string")
+    return product(spark, sf).select(
+        "product_id", (pid % 10 != 0).alias("has_list"), F.when(pid % 4 == 0, F.concat(F.lit("renamed-"), text)).alias("name"),
+        F.lit(None).cast("string").alias("category"),
+        F.when(pid % 5 == 0, (F.col("base_price") * F.lit(2)).cast(MONEY)).alias("base_price"),
+        F.when(pid % 6 == 0, F.concat(F.lit("img/new"), text)).alias("image_url"))
 
 
 def product_feed(spark: SparkSession, sf: str) -> DataFrame:
@@ -197,6 +215,15 @@ def placed(spark: SparkSession, sf: str) -> DataFrame:
                     F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("ts"))
 
 
+def placed_with_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Order placed events as they are sent: with the order's own items."""
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("order_number")).agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", sku_of(F.col("l_partkey")).alias("sku"),
+                                             F.col("l_quantity").cast("int").alias("qty")))).alias("items"))
+    return placed(spark, sf).join(li, "order_number", "left").withColumn(
+        "items", F.coalesce("items", F.array().cast(li.schema["items"].dataType)))
+
+
 def cart_ev(spark: SparkSession, sf: str) -> DataFrame:
     """Cart events; per-user order (ts, event_id)."""
     e = table(spark, sf, "events")
@@ -215,6 +242,8 @@ def user_patch(spark: SparkSession, sf: str) -> DataFrame:
     delete = (t == "purchase") & (i % 20 == 0)   # other purchases patch the phone
     return e.select(
         "user_id", "ts", "event_id", (t == "signup").alias("is_register"), delete.alias("is_delete"),
+        F.when((t == "signup") | ((t == "view") & (i % 3 == 0)), F.concat(F.lit("user "), i.cast("string"))).alias("full_name"),
+        F.when((t == "signup") | ((t == "click") & (i % 4 == 0)), F.concat(F.lit("u"), i.cast("string"), F.lit("@example.com"))).alias("email"),
         F.when((t == "click") | ((t == "purchase") & ~delete), F.concat(F.lit("+84-"), i.cast("string"))).alias("phone"),
         F.when(t == "view", F.concat(F.lit("addr-"), i.cast("string"))).alias("address"),
         F.when(t == "signup", F.lit(True)).when(t == "error", F.lit(False)).alias("enabled"))
@@ -234,7 +263,7 @@ def adjust_raw(spark: SparkSession, sf: str) -> DataFrame:
             .when(m == 4, F.lit('{broken'))
             .otherwise(F.concat(F.lit('{"skuCode":"SKU-'), (i % 2000).cast("string"),
                                 F.lit('","adjustmentQuantity":'), q, F.lit("}"))))
-    return e.select("event_id", body.alias("body"))
+    return e.select("event_id", "ts", body.alias("body"))
 
 
 def payload_raw(spark: SparkSession, sf: str) -> DataFrame:

@@ -19,8 +19,17 @@ CTES: dict[str, str] = {
         FROM part, range(3) t(i) WHERE i < p_partkey%3""",
     "variant_req": """SELECT p_partkey//4 AS product_id, 'SKU-'||p_partkey AS sku, 'new-'||p_brand AS color,
         p_size::VARCHAR AS size,
-        CASE WHEN p_partkey%2=0 THEN (p_retailprice::DECIMAL(12,2)*1.1)::DECIMAL(18,2) END AS price
+        CASE WHEN p_partkey%2=0 THEN (p_retailprice::DECIMAL(12,2)*1.1)::DECIMAL(18,2) END AS price,
+        CASE WHEN p_partkey%6=0 THEN 'new-img/'||p_partkey END AS image_url,
+        CASE WHEN p_partkey%7<2 THEN p_partkey%7=0 END AS is_active,
+        CASE p_partkey%3 WHEN 1 THEN []::VARCHAR[] WHEN 2 THEN ['n/'||p_partkey||'/1', 'n/'||p_partkey||'/0'] END AS gallery,
+        (p_partkey%300 - 20)::INT AS initial_quantity
         FROM part WHERE p_partkey%4<>1 AND (p_partkey//4)%10<>0""",
+    "product_req": """SELECT p_partkey//4 AS product_id, (p_partkey//4)%10<>0 AS has_list,
+        CASE WHEN (p_partkey//4)%4=0 THEN 'renamed-'||(p_partkey//4) END AS name,
+        CASE WHEN (p_partkey//4)%5=0 THEN (p_retailprice::DECIMAL(12,2)*2)::DECIMAL(18,2) END AS base_price,
+        CASE WHEN (p_partkey//4)%6=0 THEN 'img/new'||(p_partkey//4) END AS image_url
+        FROM part WHERE p_partkey%4=0""",
     "product_feed": """SELECT v AS seq,
         CASE WHEN v=1 THEN CASE WHEN p_partkey%500=4 THEN TIMESTAMP '2024-01-12' WHEN p_partkey%10=3 THEN TIMESTAMP '1996-03-01'
                                 ELSE TIMESTAMP '1990-01-01' END
@@ -69,11 +78,13 @@ CTES: dict[str, str] = {
         'SKU-'||(event_id%5) AS sku, (1+event_id%3)::INT AS qty
         FROM events WHERE event_type IN ('click','error','purchase')""",
     "user_patch": """SELECT user_id, ts, event_id, event_type='signup' AS is_register, (event_type='purchase' AND event_id%20=0) AS is_delete,
+        CASE WHEN event_type='signup' OR (event_type='view' AND event_id%3=0) THEN 'user '||event_id END AS full_name,
+        CASE WHEN event_type='signup' OR (event_type='click' AND event_id%4=0) THEN 'u'||event_id||'@example.com' END AS email,
         CASE WHEN event_type='click' OR (event_type='purchase' AND event_id%20<>0) THEN '+84-'||event_id END AS phone,
         CASE event_type WHEN 'view' THEN 'addr-'||event_id END AS address,
         CASE event_type WHEN 'signup' THEN true WHEN 'error' THEN false END AS enabled
         FROM events""",
-    "adjust_raw": """SELECT event_id, CASE event_id%10 WHEN 0 THEN '{"adjustmentQuantity":5}'
+    "adjust_raw": """SELECT event_id, ts, CASE event_id%10 WHEN 0 THEN '{"adjustmentQuantity":5}'
         WHEN 1 THEN '{"skuCode":"SKU-'||event_id%2000||'"}'
         WHEN 2 THEN '{"skuCode":"SKU-1","adjustmentQuantity":"abc"}'
         WHEN 3 THEN '{"skuCode":"SKU-1","adjustmentQuantity":0}'

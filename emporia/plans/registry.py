@@ -13,7 +13,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fmt_ts, replay_safe_id
+from ..functions.scalars import ERR_QTY_REQUIRED, ERR_SKU_REQUIRED, PAYMENT_DECLINED_REASON, fmt_ts, replay_safe_id
 from ..operators import cart as C
 from ..operators import catalog as K
 from ..operators import flow as W
@@ -324,7 +324,7 @@ def q_stock_gauge(spark, sf):
 
 @register("adjustment_validate", with_ctes("SELECT * FROM adj_validated", "adj_validated"))
 def q_adjustment_validate(spark, sf):
-    return ST.adjustment_validate(FX.adjust_raw(spark, sf))
+    return ST.adjustment_validate(FX.adjust_raw(spark, sf)).drop("body")
 
 
 @register("adjustment_reject_negative", with_ctes("""SELECT v.event_id, v.sku, v.delta::INT AS delta,
@@ -333,8 +333,9 @@ def q_adjustment_validate(spark, sf):
     FROM adj_validated v LEFT JOIN stock_final st USING (sku) WHERE v.error IS NULL""", "adj_validated",
                                                   "stock_final"))
 def q_adjustment_reject_negative(spark, sf):
-    v = ST.adjustment_validate(FX.adjust_raw(spark, sf)).filter(F.col("error").isNull())
-    return ST.adjustment_reject_negative(v, ST.stock_level(_changes(spark, sf)))
+    # parsed once: read for the heavy SKUs and for the join
+    v = written(ST.adjustment_validate(FX.adjust_raw(spark, sf)).filter(F.col("error").isNull()).drop("body"), "valid-adjustments")
+    return ST.adjustment_reject_negative(v, ST.stock_level(_changes(spark, sf)), heavy_keys(v, "sku"))
 
 
 @register("stock_lookup", with_ctes("""SELECT 'SKU-'||p_partkey AS sku, coalesce(st.stock, 0)::BIGINT AS quantity
@@ -546,44 +547,63 @@ def q_catalog_document(spark, sf):
     return K.catalog_document(FX.product(spark, sf), FX.variant(spark, sf), FX.image(spark, sf))
 
 
-DERIVED["merged"] = ("SELECT * FROM (" + """WITH pr AS (SELECT product_id, product_id % 10 <> 0 AS has_list,
-      base_price, image_url AS p_image FROM product),
-    s AS (SELECT * FROM variant WHERE product_id IN (SELECT product_id FROM pr)),
+DERIVED["patched"] = ("""SELECT p.product_id, coalesce(r.name, p.name) AS name, p.category,
+    coalesce(r.base_price, p.base_price)::DECIMAL(18,2) AS base_price, coalesce(r.image_url, p.image_url) AS image_url
+    FROM product p LEFT JOIN product_req r USING (product_id)""", ("product", "product_req"))
+DERIVED["merged"] = ("SELECT * FROM (" + """WITH pr AS (SELECT q.product_id, q.has_list, p.base_price, p.image_url AS p_image
+      FROM product_req q JOIN patched p USING (product_id)),
+    g AS (SELECT sku, list(url ORDER BY url) AS gallery FROM image GROUP BY sku),
+    s AS (SELECT v.*, g.gallery FROM variant v LEFT JOIN g USING (sku) WHERE product_id IN (SELECT product_id FROM pr)),
     r AS (SELECT * FROM variant_req WHERE product_id IN (SELECT product_id FROM pr)),
-    g AS (SELECT sku, count(*)::BIGINT AS old_gallery FROM image GROUP BY sku),
     j AS (SELECT coalesce(s.product_id, r.product_id) AS product_id, coalesce(s.sku, r.sku) AS sku,
-            s.sku IS NOT NULL AS has_old, r.sku IS NOT NULL AS has_new,
-            s.color AS o_color, s.size AS o_size, s.price AS o_price, s.image_url AS o_image, s.is_active AS o_active,
-            r.color AS n_color, r.size AS n_size, r.price AS n_price
+            s.sku IS NOT NULL AS has_old, r.sku IS NOT NULL AS has_new, s AS o, r AS n
           FROM s FULL OUTER JOIN r ON s.product_id = r.product_id AND s.sku = r.sku),
-    k AS (SELECT j.*, pr.has_list, pr.base_price, pr.p_image, g.old_gallery,
+    k AS (SELECT j.*, pr.base_price, pr.p_image,
             CASE WHEN NOT pr.has_list THEN 'KEEP' WHEN has_old AND has_new THEN 'UPDATE' WHEN has_new THEN 'INSERT'
                  ELSE 'DELETE' END AS action
-          FROM j LEFT JOIN pr USING (product_id) LEFT JOIN g USING (sku))
-    SELECT product_id, sku, action,
-      CASE WHEN action IN ('UPDATE', 'INSERT') THEN n_color ELSE o_color END AS color,
-      CASE WHEN action IN ('UPDATE', 'INSERT') THEN n_size ELSE o_size END AS size,
-      (CASE WHEN action IN ('UPDATE', 'INSERT') THEN coalesce(n_price, base_price) ELSE o_price END)::DECIMAL(18,2)
-        AS price,
-      CASE WHEN action IN ('UPDATE', 'INSERT') THEN p_image ELSE o_image END AS image_url,
-      CASE WHEN action IN ('UPDATE', 'INSERT') THEN true ELSE o_active END AS is_active,
-      (CASE WHEN action = 'INSERT' THEN 0 ELSE coalesce(old_gallery, 0) END)::BIGINT AS gallery_size FROM k""" + ")", ("product", "variant", "variant_req", "image"))
-
-
-@register("variant_merge", with_ctes("SELECT * FROM merged", "merged"))
+          FROM j LEFT JOIN pr USING (product_id))
+    SELECT product_id, sku, action, CASE WHEN w THEN n.color ELSE o.color END AS color,
+      CASE WHEN w THEN n.size ELSE o.size END AS size,
+      (CASE WHEN w THEN coalesce(n.price, base_price) ELSE o.price END)::DECIMAL(18,2) AS price,
+      CASE WHEN w THEN coalesce(n.image_url, p_image) ELSE o.image_url END AS image_url,
+      CASE WHEN w THEN coalesce(n.is_active, true) ELSE o.is_active END AS is_active,
+      coalesce(CASE WHEN w THEN n.gallery END, o.gallery, []) AS gallery
+    FROM (SELECT *, action IN ('UPDATE', 'INSERT') AS w FROM k)""" + ")", ("patched", "product_req", "variant", "variant_req", "image"))
+
+
+@register("product_patch", with_ctes("SELECT product_id, name, category, base_price, image_url FROM patched", "patched"))
+def q_product_patch(spark, sf):
+    return K.product_patch(FX.product(spark, sf), FX.product_req(spark, sf))
+
+
+def _merged(spark, sf):
+    return K.variant_merge(FX.product(spark, sf), FX.product_req(spark, sf), FX.variant(spark, sf), FX.variant_req(spark, sf),
+                           FX.image(spark, sf))
+
+
+@register("variant_merge", with_ctes("""SELECT * EXCLUDE (gallery), array_to_string(gallery, ',') AS gallery,
+    len(gallery)::BIGINT AS gallery_size FROM merged""", "merged"))
 def q_variant_merge(spark, sf):
-    product = FX.product(spark, sf)
-    preq = product.select("product_id", (F.col("product_id") % 10 != 0).alias("has_list"))
-    return K.variant_merge(product, preq, FX.variant(spark, sf), FX.variant_req(spark, sf), FX.image(spark, sf))
+    return (_merged(spark, sf).withColumn("gallery_size", F.size("gallery").cast("bigint"))
+            .withColumn("gallery", F.array_join("gallery", ",")))
 
 
 @register("variant_merge_feed", with_ctes("""SELECT 'cache' AS feed, m.sku, p.name, m.price,
     coalesce(m.image_url, p.image_url) AS image_url, m.color, m.size, NULL::INTEGER AS initial_quantity
-    FROM merged m JOIN product p USING (product_id) WHERE m.action IN ('UPDATE', 'INSERT')
-    UNION ALL SELECT 'created', m.sku, NULL, NULL, NULL, NULL, NULL, 0 FROM merged m JOIN product p
-    USING (product_id) WHERE m.action IN ('UPDATE', 'INSERT')""", "merged", "product"))
+    FROM merged m JOIN patched p USING (product_id) WHERE m.action IN ('UPDATE', 'INSERT')
+    UNION ALL SELECT 'created', m.sku, NULL, NULL, NULL, NULL, NULL, 0 FROM merged m JOIN patched p
+    USING (product_id) WHERE m.action IN ('UPDATE', 'INSERT')""", "merged", "patched"))
 def q_variant_merge_feed(spark, sf):
-    return K.merge_feed(q_variant_merge(spark, sf), FX.product(spark, sf))
+    return K.merge_feed(_merged(spark, sf), q_product_patch(spark, sf))
+
+
+@register("catalog_create_feed", with_ctes("""SELECT 'cache' AS feed, v.sku, p.name,
+    coalesce(v.price, p.base_price)::DECIMAL(18,2) AS price, v.image_url, v.color, v.size, NULL::INTEGER AS initial_quantity
+    FROM variant_req v JOIN product p USING (product_id)
+    UNION ALL SELECT 'created', v.sku, NULL, NULL, NULL, NULL, NULL, v.initial_quantity FROM variant_req v JOIN product p
+    USING (product_id)""", "variant_req", "product"))
+def q_catalog_create_feed(spark, sf):
+    return K.create_feed(FX.product(spark, sf), FX.variant_req(spark, sf))
 
 
 @register("duplicate_sku", with_ctes("""SELECT product_id, sku, count(*)::BIGINT AS n FROM (
@@ -604,6 +624,8 @@ def q_catalog_feed(spark, sf):
 
 
 @register("user_dimension", with_ctes(f"""SELECT user_id,
+    arg_max(full_name, s) FILTER (WHERE full_name IS NOT NULL) AS full_name,
+    arg_max(email, s) FILTER (WHERE email IS NOT NULL) AS email,
     arg_max(phone, s) FILTER (WHERE phone IS NOT NULL) AS phone,
     arg_max(address, s) FILTER (WHERE address IS NOT NULL) AS address,
     coalesce(arg_max(enabled, s) FILTER (WHERE enabled IS NOT NULL), true) AS enabled,
@@ -636,27 +658,70 @@ def q_decode_payload(spark, sf):
     return EV.decode_payload(FX.payload_raw(spark, sf))
 
 
-@register("event_dispatch", with_ctes("""SELECT order_number, 'placement' AS handler, user_id::VARCHAR AS detail
-    FROM placed
-    UNION ALL SELECT order_number, 'failure', NULL FROM status_log WHERE kind = 'FAILED'
-    UNION ALL SELECT order_number, 'payment_success', sha256('pay|'||order_number) FROM status_log WHERE kind = 'PAID'
-    UNION ALL SELECT order_number, 'payment_failure', 'Payment gateway declined.' FROM status_log
-      WHERE kind = 'PAY_FAILED'""", "placed", "status_log"))
+def _topics(spark, sf):
+    """The order topics; every 97th order's payment events cannot be decoded."""
+    feed = EV.topic_feed(FX.placed_with_items(spark, sf), FX.status_log(spark, sf))
+    bad = (F.col("key").try_cast("bigint") % 97 == 0) & F.col("topic").startswith("payment")
+    return feed.withColumn("value", F.when(bad, F.concat(F.lit("{broken "), F.col("key"))).otherwise(F.col("value")))
+
+
+_PAYMENT_OK = "coalesce(TRY_CAST(order_number AS BIGINT) % 97 <> 0, true)"
+
+
+@register("event_dispatch", with_ctes(f"""SELECT order_number, 'placement' AS handler, user_id::VARCHAR AS detail,
+      coalesce(n, 0)::BIGINT AS n_items, coalesce(q, 0)::BIGINT AS total_qty
+    FROM placed LEFT JOIN (SELECT l_orderkey::VARCHAR AS order_number, count(*) AS n, sum(l_quantity::INT) AS q FROM lineitem GROUP BY 1)
+      USING (order_number)
+    UNION ALL SELECT order_number, 'failure', NULL, NULL, NULL FROM status_log WHERE kind = 'FAILED'
+    UNION ALL SELECT order_number, 'payment_success', sha256('pay|'||order_number), NULL, NULL FROM status_log
+      WHERE kind = 'PAID' AND {_PAYMENT_OK}
+    UNION ALL SELECT order_number, 'payment_failure', '{PAYMENT_DECLINED_REASON}', NULL, NULL FROM status_log
+      WHERE kind = 'PAY_FAILED' AND {_PAYMENT_OK}""", "placed", "status_log"))
 def q_event_dispatch(spark, sf):
-    return EV.event_dispatch(EV.topic_feed(FX.placed(spark, sf), FX.status_log(spark, sf)))
+    return EV.event_dispatch(_topics(spark, sf))
+
+
+@register("event_quarantine", with_ctes(f"""SELECT CASE kind WHEN 'PAID' THEN '{EV.PAID_TOPIC}' ELSE '{EV.DECLINED_TOPIC}' END AS topic,
+    order_number AS key, '{{broken '||order_number AS value, '{EV.ERR_UNDECODABLE}' AS error FROM status_log
+    WHERE kind IN ('PAID', 'PAY_FAILED') AND NOT {_PAYMENT_OK}""", "status_log"))
+def q_event_quarantine(spark, sf):
+    return EV.event_quarantine(_topics(spark, sf))
 
 
 @register("quarantine_split", with_ctes("""SELECT event_id, CASE WHEN error IS NULL THEN 'good' ELSE 'quarantine' END
     AS sink, error FROM adj_validated""", "adj_validated"))
 def q_quarantine_split(spark, sf):
-    raw = FX.adjust_raw(spark, sf)
-    good, bad = EV.quarantine_split(ST.adjustment_validate(raw), raw)
+    good, bad = EV.quarantine_split(ST.adjustment_validate(FX.adjust_raw(spark, sf)))
     g, b = EV.write_split(good, bad, scratch_path(spark, "adjust_split"))
     return (spark.read.parquet(g).select("event_id", F.lit("good").alias("sink"), F.lit(None).cast("string")
                                          .alias("error"))
             .unionByName(spark.read.parquet(b).select("event_id", F.lit("quarantine").alias("sink"), "error")))
 
 
+DERIVED["fold_input"] = ("""SELECT sku, chg, ts, l_orderkey, l_linenumber, l_suppkey FROM changes
+    UNION ALL SELECT json_extract_string(j, '$.skuCode'),
+      CASE WHEN regexp_full_match(trim(json_extract_string(j, '$.adjustmentQuantity')), '[+-]?[0-9]+')
+           THEN TRY_CAST(trim(json_extract_string(j, '$.adjustmentQuantity')) AS INTEGER) END::BIGINT, ts, event_id, 0, 0
+    FROM (SELECT *, CASE WHEN json_valid(body) THEN body END AS j FROM adjust_raw)""", ("changes", "adjust_raw"))
+
+
+@register("quarantine_folds", with_ctes(f"""SELECT 'good' AS sink, sku, list_reduce(list(chg ORDER BY ts, l_orderkey, l_linenumber, l_suppkey, chg),
+      lambda acc, x: greatest(0, least(acc + x, 2147483647)), 0::BIGINT)::BIGINT AS value, NULL::BIGINT AS event_id, NULL AS error
+    FROM fold_input WHERE sku IS NOT NULL AND chg IS NOT NULL GROUP BY sku
+    UNION ALL SELECT 'quarantine', sku, chg, l_orderkey, CASE WHEN sku IS NULL THEN '{ERR_SKU_REQUIRED}' ELSE '{ERR_QTY_REQUIRED}' END
+    FROM fold_input WHERE sku IS NULL OR chg IS NULL""", "fold_input"))
+def q_quarantine_folds(spark, sf):
+    """A4: what the stock fold cannot take is written aside with its reason."""
+    changes = _changes(spark, sf).unionByName(ST.requested_changes(FX.adjust_raw(spark, sf)))
+    g, b = EV.write_split(ST.stock_level(changes).select("sku", "stock"), ST.unfoldable(changes).drop("source"),
+                          scratch_path(spark, "fold_split"))
+    good, bad = spark.read.parquet(g), spark.read.parquet(b)
+    return (good.select(F.lit("good").alias("sink"), "sku", F.col("stock").alias("value"), F.lit(None).cast("bigint").alias("event_id"),
+                        F.lit(None).cast("string").alias("error"))
+            .unionByName(bad.select(F.lit("quarantine").alias("sink"), "sku", F.col("chg").alias("value"),
+                                    F.col("l_orderkey").alias("event_id"), "error")))
+
+
 @register("sink_keyed_roundtrip", with_ctes("""SELECT sku, count(*)::BIGINT AS n, sum(qty)::BIGINT AS qty
     FROM lines GROUP BY sku""", "lines"))
 def q_sink_keyed_roundtrip(spark, sf):
@@ -669,9 +734,10 @@ def q_sink_keyed_roundtrip(spark, sf):
 @register("upsert_latest", with_ctes("SELECT sku, seq::BIGINT AS seq, name, price FROM product_latest",
                                      "product_latest"))
 def q_upsert_latest(spark, sf):
+    """The newest rows first, then the older ones, which must not win."""
     feed = FX.product_feed(spark, sf).select("sku", "seq", "name", "price")
-    base = scratch_path(spark, "product_table_v1")
-    O.product_latest(feed.filter(F.col("seq") == 1)).select("sku", "seq", "name", "price") \
-        .write.mode("overwrite").parquet(base)
-    return SK.upsert_latest(spark, base, feed.filter(F.col("seq") > 1), "sku", "seq",
-                            scratch_path(spark, "product_table_v2"))
+    path = scratch_path(spark, "product_table")
+    SK.create_table(O.product_latest(feed.filter(F.col("seq") == 2)).select(*feed.columns), "sku", path)
+    SK.upsert_latest(spark, path, feed.filter(F.col("seq") != 2), "sku", "seq")
+    SK.upsert_latest(spark, path, feed.filter(F.col("seq") < 3), "sku", "seq")
+    return SK.read_table(spark, path)

@@ -11,14 +11,20 @@ from ..functions.scalars import PAYMENT_DECLINED_REASON, cut_to_brace, replay_sa
 # Topic names must equal the reference's. The topics the order
 # listener handles, and what each one triggers; any other topic is dropped.
 # ---------------------------------------------------------------------------
+PLACED_TOPIC, FAILED_TOPIC = "order-placed-topic", "order-failed-topic"
+PAID_TOPIC, DECLINED_TOPIC = "payment-processed-topic", "payment-failed-topic"
+VALIDATED_TOPIC = "order-validated-topic"
 HANDLED_TOPICS = {
-    "order-placed-topic": "placement",
-    "order-failed-topic": "failure",
-    "payment-processed-topic": "payment_success",
-    "payment-failed-topic": "payment_failure",
+    PLACED_TOPIC: "placement",
+    FAILED_TOPIC: "failure",
+    PAID_TOPIC: "payment_success",
+    DECLINED_TOPIC: "payment_failure",
 }
 # Union of the event fields the handled topics carry (unknown fields are ignored).
-EVENT_SCHEMA = "orderNumber STRING, userId BIGINT, reason STRING, paymentId STRING"
+EVENT_SCHEMA = ("orderNumber STRING, userId BIGINT, orderLineItemsDtoList ARRAY<STRUCT<skuCode: STRING, quantity: INT>>, "
+                "reason STRING, paymentId STRING")
+# ---------------------------------------------------------------------------
+ERR_UNDECODABLE = "undecodable event"
 
 
 def decode_payload(raw: DataFrame, schema: str = "k INT") -> DataFrame:
@@ -30,45 +36,55 @@ def decode_payload(raw: DataFrame, schema: str = "k INT") -> DataFrame:
 
 
 def topic_feed(placed: DataFrame, log: DataFrame) -> DataFrame:
-    """The order events as a keyed topic stream ``(topic, key, value)``.
+    """The order events as a keyed topic stream ``(topic, key, value)``;
+    ``placed`` has the items of each order.
 
     Payment ids are derived (C13) so a replay produces the same value.
     """
-    p = placed.select(F.lit("order-placed-topic").alias("topic"), F.col("order_number").alias("key"),
-                      F.to_json(F.struct(F.col("order_number").alias("orderNumber"),
-                                         F.col("user_id").alias("userId"))).alias("value"))
-    topic = (F.when(F.col("kind") == "FAILED", "order-failed-topic")
-             .when(F.col("kind") == "PAID", "payment-processed-topic")
-             .when(F.col("kind") == "PAY_FAILED", "payment-failed-topic")
-             .otherwise("order-validated-topic"))
-    body = (F.when(F.col("kind") == "PAID",
-                   F.to_json(F.struct(F.col("order_number").alias("orderNumber"),
-                                      replay_safe_id(F.lit("pay"), F.col("order_number")).alias("paymentId"))))
-            .when(F.col("kind") == "PAY_FAILED",
-                  F.to_json(F.struct(F.col("order_number").alias("orderNumber"),
-                                     F.lit(PAYMENT_DECLINED_REASON).alias("reason"))))
-            .otherwise(F.to_json(F.struct(F.col("order_number").alias("orderNumber")))))
+    items = F.transform("items", lambda x: F.struct(x["sku"].alias("skuCode"), x["qty"].alias("quantity")))
+    number = F.col("order_number").alias("orderNumber")
+    p = placed.select(F.lit(PLACED_TOPIC).alias("topic"), F.col("order_number").alias("key"),
+                      F.to_json(F.struct(number, F.col("user_id").alias("userId"), items.alias("orderLineItemsDtoList"))).alias("value"))
+    kind = F.col("kind")
+    topic = (F.when(kind == "FAILED", FAILED_TOPIC).when(kind == "PAID", PAID_TOPIC)
+             .when(kind == "PAY_FAILED", DECLINED_TOPIC).otherwise(VALIDATED_TOPIC))
+    body = (F.when(kind == "PAID", F.to_json(F.struct(number, replay_safe_id(F.lit("pay"), F.col("order_number")).alias("paymentId"))))
+            .when(kind == "PAY_FAILED", F.to_json(F.struct(number, F.lit(PAYMENT_DECLINED_REASON).alias("reason"))))
+            .otherwise(F.to_json(F.struct(number))))
     q = log.select(topic.alias("topic"), F.col("order_number").alias("key"), body.alias("value"))
     return p.unionByName(q)
 
 
+def _decoded(feed: DataFrame) -> DataFrame:
+    """Events of the handled topics; ``ok`` where the value is an event of an order."""
+    handler = F.create_map(*[x for kv in HANDLED_TOPICS.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    ev = F.from_json(cut_to_brace(F.col("value")), EVENT_SCHEMA, {"mode": "PERMISSIVE"})
+    return (feed.withColumn("handler", handler[F.col("topic")]).where(F.col("handler").isNotNull()).withColumn("e", ev)
+            .withColumn("ok", F.col("e.orderNumber").isNotNull()))
+
+
 def event_dispatch(feed: DataFrame) -> DataFrame:
     """A3: one fan-in of several topics, dispatched by topic name; a topic
-    nobody handles is dropped. Decode failures give null fields (A4)."""
-    handler = F.create_map(*[x for kv in HANDLED_TOPICS.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    h = handler[F.col("topic")]
-    ev = F.from_json(F.col("value"), EVENT_SCHEMA, {"mode": "PERMISSIVE"})
-    d = feed.select(h.alias("handler"), ev.alias("e")).filter(F.col("handler").isNotNull())
+    nobody handles is dropped, an event that cannot be decoded reaches no
+    handler (:func:`event_quarantine`)."""
     detail = F.coalesce(F.col("e.reason"), F.col("e.paymentId"), F.col("e.userId").cast("string"))
-    return d.select(F.col("e.orderNumber").alias("order_number"), "handler", detail.alias("detail"))
+    items = F.col("e.orderLineItemsDtoList")
+    return _decoded(feed).where("ok").select(
+        F.col("e.orderNumber").alias("order_number"), "handler", detail.alias("detail"),
+        F.when(items.isNotNull(), F.size(items)).cast("bigint").alias("n_items"),
+        F.aggregate(items, F.lit(0).cast("bigint"), lambda a, x: a + x["quantity"]).alias("total_qty"))
+
+
+def event_quarantine(feed: DataFrame) -> DataFrame:
+    """A4: the events of handled topics that cannot be decoded, as they came."""
+    return _decoded(feed).where("NOT ok").select("topic", "key", "value", F.lit(ERR_UNDECODABLE).alias("error"))
 
 
-def quarantine_split(validated: DataFrame, raw: DataFrame):
+def quarantine_split(validated: DataFrame):
     """A4: per-record failure isolation. Returns (good, quarantine); a bad
-    record is routed to the quarantine table and the batch goes on."""
-    j = validated.join(raw, "event_id")
-    good = j.filter(F.col("error").isNull()).select("event_id", "sku", "delta")
-    bad = j.filter(F.col("error").isNotNull()).select("event_id", "body", "error")
+    record is routed, as it came, to the quarantine table and the batch goes on."""
+    good = validated.filter(F.col("error").isNull()).select("event_id", "sku", "delta")
+    bad = validated.filter(F.col("error").isNotNull()).select("event_id", "body", "error")
     return good, bad
 
 

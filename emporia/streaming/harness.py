@@ -71,17 +71,18 @@ def ensure_rocksdb(spark: SparkSession) -> None:
 
 
 def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append",
-             on_written: Callable[[int], None] | None = None) -> None:
-    """Drain what the source has into the table of batches at ``out``;
-    ``on_written`` is called after a batch is written, before it is committed."""
+             on_written: Callable[[int], None] | None = None, sink: Callable[[DataFrame, int], None] | None = None) -> None:
+    """Drain what the source has into the table of batches at ``out`` (or into
+    ``sink``); ``on_written`` is called after a batch is written, before it is
+    committed."""
     ensure_rocksdb(stream.sparkSession)
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
+    def batches(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         if on_written is not None:
             on_written(batch_id)
 
-    q = (stream.writeStream.outputMode(mode).foreachBatch(sink)
+    q = (stream.writeStream.outputMode(mode).foreachBatch(sink or batches)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 

@@ -21,9 +21,10 @@ from ..plans.registry import (CART_SESSIONS_SQL, NOTIFY_SQL, ORACLES, _changes,
                               _REQ, _walk_sql, register)
 from ..plans.skew import asof_join, validity
 from ..session import scratch_path
+from ..sources.sinks import create_table, read_table, upsert_sink
 from ..sources.tables import table
 from . import processors as P
-from .harness import Staged, drain, latest_per_key
+from .harness import Staged, drain, latest_per_key, run_once
 
 
 # --- transforms (streaming DataFrame -> streaming DataFrame) -----------------
@@ -225,3 +226,15 @@ def q_stream_notification_feed(spark, sf):
     staged = [Staged(FX.placed(spark, sf), "placed", slices=2), Staged(FX.status_log(spark, sf), "log", slices=2),
               Staged(_gather_events(spark, sf), "gather", slices=2)]
     return drain(staged, stream_notifications, "notify").select("order_number", "status", "message")
+
+
+@register("stream_upsert", ORACLES["upsert_latest"])
+def q_stream_upsert(spark, sf):
+    """A7 as a stream sink: the newest rows arrive first, late old ones change nothing."""
+    feed = FX.product_feed(spark, sf).select("sku", "seq", "name", "price", (-F.col("seq")).alias("age"))
+    path, ckpt = scratch_path(spark, "stream_table"), scratch_path(spark, "stream_table-ckpt")
+    create_table(feed.limit(0).drop("age"), "sku", path)
+    staged = Staged(feed, "feed", "age", slices=3)
+    while staged.publish():
+        run_once(staged.stream().drop("age"), path, ckpt, sink=upsert_sink(path, "sku", "seq"))
+    return read_table(spark, path)

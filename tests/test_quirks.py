@@ -67,10 +67,11 @@ def test_unknown_sku_rejects_whole_order_and_empty_order_totals_zero(spark):
 
 
 def test_repeated_result_is_counted_once(spark):
-    res = spark.createDataFrame([("o1", "A", True, None, 1, 1, 1, 1)] * 2 + [("o1", "B", True, None, 2, 2, 1, 1)],
-                                "order_number string, sku string, success boolean, reason string, "
+    res = spark.createDataFrame([("o1", "A", True, None, T0 + dt.timedelta(minutes=m), 1, 1, 1, 1) for m in (0, 1)]
+                                + [("o1", "B", True, None, T0 + dt.timedelta(minutes=2), 2, 2, 1, 1)],
+                                "order_number string, sku string, success boolean, reason string, ts timestamp_ntz, "
                                 "l_linenumber int, l_partkey long, l_suppkey long, qty int")
-    items = spark.createDataFrame([("o1", 2)], "order_number string, total_items long")
+    items = spark.createDataFrame([("o1", T0, 2)], "order_number string, created timestamp_ntz, total_items long")
     r = O.order_outcome(res, items).first()
     assert (r.outcome, r.received) == ("VALIDATED", 2)
 
@@ -112,8 +113,14 @@ def test_unknown_topic_is_dropped_and_bad_payload_isolated(spark):
                                   ("some-other-topic", "k", '{"orderNumber":"2"}'),
                                   ("order-failed-topic", "k", "#junk{not json")],
                                  "topic string, key string, value string")
-    got = sorted((r.handler, r.order_number) for r in EV.event_dispatch(feed).collect())
-    assert got == [("failure", None), ("placement", "1")]
+    assert [(r.handler, r.order_number) for r in EV.event_dispatch(feed).collect()] == [("placement", "1")]
+    assert [(r.topic, r.value) for r in EV.event_quarantine(feed).collect()] == [("order-failed-topic", "#junk{not json")]
+
+
+def test_placed_event_carries_its_items(spark):
+    feed = spark.createDataFrame([("order-placed-topic", "k", '{"orderNumber":"1","userId":7,"orderLineItemsDtoList":'
+                                   '[{"skuCode":"A","quantity":2},{"skuCode":"B","quantity":3}]}')], "topic string, key string, value string")
+    assert [(r.n_items, r.total_qty) for r in EV.event_dispatch(feed).collect()] == [(2, 5)]
 
 
 def test_lenient_decode(spark):
@@ -154,17 +161,6 @@ def test_null_variant_list_sends_no_feed(spark):
     assert got == [("cache", "S2", None), ("cache", "S4", None), ("created", "S2", 0), ("created", "S4", 0)]
 
 
-def test_upsert_latest_replaces_keys_with_the_batch_latest(spark):
-    from emporia.session import scratch_path
-    from emporia.sources import sinks as SK
-    base = scratch_path(spark, "t-upsert-base")
-    spark.createDataFrame([("A", 1, "a1"), ("B", 1, "b1")], "sku string, seq long, name string") \
-        .write.parquet(base)
-    batch = spark.createDataFrame([("B", 3, "b3"), ("B", 2, "b2"), ("C", 2, "c2")], "sku string, seq long, name string")
-    out = SK.upsert_latest(spark, base, batch, "sku", "seq", scratch_path(spark, "t-upsert-v2"))
-    assert sorted(tuple(r) for r in out.collect()) == [("A", 1, "a1"), ("B", 3, "b3"), ("C", 2, "c2")]
-
-
 def test_keyed_sink_puts_a_key_in_one_bucket(spark):
     from emporia.session import scratch_path
     from emporia.sources import sinks as SK
@@ -224,11 +220,11 @@ def test_cart_price_is_dropped_and_rejected_order_still_notified(spark):
     assert [tuple(i) for i in req.items] == [("A", 2)] and len(req.order_number) == 64
     placed = spark.createDataFrame([("o1", T0), ("o2", T0)], "order_number string, ts timestamp_ntz")
     log = spark.createDataFrame([], "order_number string, kind string, ts timestamp_ntz")
-    outcomes = spark.createDataFrame([], "order_number string, outcome string, reason string")
-    feed = {(r.order_number, r.status) for r in S.notification_feed(placed, log, outcomes).collect()}
+    failures = spark.createDataFrame([], "order_number string, reason string, ts timestamp_ntz")
+    feed = {(r.order_number, r.status) for r in S.notification_feed(placed, log, failures).collect()}
     assert feed == {("o1", "PENDING"), ("o2", "PENDING")}
-    items = spark.createDataFrame([("o2", 0)], "order_number string, total_items long")
-    empty = spark.createDataFrame([], "order_number string, sku string, success boolean, reason string, "
+    items = spark.createDataFrame([("o2", T0, 0)], "order_number string, created timestamp_ntz, total_items long")
+    empty = spark.createDataFrame([], "order_number string, sku string, success boolean, reason string, ts timestamp_ntz, "
                                       "l_linenumber int, l_partkey long, l_suppkey long, qty int")
     assert O.order_outcome(empty, items).first().outcome == "PENDING"
 
