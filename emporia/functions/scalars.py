@@ -76,11 +76,6 @@ def floor_zero(q: Column) -> Column:
     return F.when(q.isNotNull(), F.greatest(F.lit(0).cast("bigint"), q.cast("bigint")))
 
 
-def clamp_stock(x: Column) -> Column:
-    """Clamp a long to [0, 2^31-1]."""
-    return F.greatest(F.lit(0).cast("bigint"), F.least(x.cast("bigint"), F.lit(INT_MAX).cast("bigint")))
-
-
 def not_enough_stock_reason(sku: Column, need: Column, have: Column) -> Column:
     """Refusal text of a reservation."""
     return F.format_string("Not enough stock for %s (need %d, have %d)", sku, need, have)

@@ -116,32 +116,11 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-LINE_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "qty"]
-
-
 def change_sign():
     """Every line moves stock: returns add, the rest takes away once or twice."""
     return F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", -2).otherwise(-1)
 
 
-def changes(spark: SparkSession, sf: str) -> DataFrame:
-    """Stock changes: created (floored) + adjustments; per-SKU order CHANGE_ORDER."""
-    p = table(spark, sf, "part")
-    created = p.select(
-        sku_of(F.col("p_partkey")).alias("sku"),
-        F.greatest(F.lit(0), F.col("p_size") * 20 - 100).cast("bigint").alias("chg"),
-        F.lit("1970-01-01 00:00:00").cast("timestamp_ntz").alias("ts"),
-        F.lit(0).cast("bigint").alias("l_orderkey"), F.lit(0).cast("int").alias("l_linenumber"),
-        F.lit(0).cast("bigint").alias("l_suppkey"), F.lit("created").alias("source"))
-    li = table(spark, sf, "lineitem")
-    adjust = li.select(
-        sku_of(F.col("l_partkey")).alias("sku"),
-        (change_sign() * F.col("l_quantity")).cast("bigint").alias("chg"),
-        F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber", "l_suppkey",
-        F.lit("adjustment").alias("source"))
-    return created.unionByName(adjust)
-
-
 def flow_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Stock changes of the order flow: what a SKU starts with, and for every
     line a receipt or a loss on its ship date, so that stock is scarce at times."""
@@ -157,9 +136,6 @@ def flow_changes(spark: SparkSession, sf: str) -> DataFrame:
     return created.unionByName(adjust)
 
 
-CHANGE_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_suppkey", "chg"]
-
-
 def opening(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").filter(F.col("p_partkey") % 50 != 7)
     return p.select(sku_of(F.col("p_partkey")).alias("sku"), (F.col("p_size") * 20).cast("bigint").alias("stock"))
@@ -167,7 +143,7 @@ def opening(spark: SparkSession, sf: str) -> DataFrame:
 
 def results(spark: SparkSession, sf: str) -> DataFrame:
     """Stock check results, arriving up to eleven minutes after placement;
-    per-order order RESULT_ORDER."""
+    per order in the order of (ts, l_linenumber, l_partkey, l_suppkey, qty)."""
     q, delay = F.col("qty"), (F.col("l_linenumber") * 211 + F.col("l_partkey")) % 640
     return lines(spark, sf).select(
         "order_number", "sku", (q <= 45).alias("success"),
@@ -175,9 +151,6 @@ def results(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("ts") + F.make_dt_interval(secs=delay)).alias("ts"), "l_linenumber", "l_partkey", "l_suppkey", "qty")
 
 
-RESULT_ORDER = ["ts", "l_linenumber", "l_partkey", "l_suppkey", "qty"]
-
-
 def order_items(spark: SparkSession, sf: str) -> DataFrame:
     """Saga record: when it is created, and the items expected (one extra for
     every tenth order)."""

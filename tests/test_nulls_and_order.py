@@ -10,6 +10,7 @@ from emporia.operators import reservation as R
 from emporia.operators import status as S
 from emporia.operators import stock as ST
 from emporia.plans import fixtures as FX
+from emporia.plans.registry import _changes
 from emporia.streaming.harness import read_output
 
 T0 = dt.datetime(2024, 1, 1)
@@ -54,7 +55,7 @@ def test_events_before_placement_are_ignored(spark):
 def test_transitions_of_one_instant_follow_the_machine(spark):
     trans = spark.createDataFrame([("1", "PENDING", _at(0)), ("1", "VALIDATED", _at(0)), ("1", "COMPLETED", _at(9))],
                                   "order_number string, status string, ts timestamp_ntz")
-    pay = spark.createDataFrame([("1", _at(3))], "order_number string, ts timestamp_ntz")
+    pay = spark.createDataFrame([("1", "p", _at(3))], "order_number string, payment_id string, ts timestamp_ntz")
     assert [r.status_at_arrival for r in S.payment_gate(pay, trans).collect()] == ["VALIDATED"]
 
 
@@ -62,7 +63,7 @@ def test_no_event_or_line_is_left_out(spark):
     n = FX.table(spark, SF001, "events").where("event_type in ('click', 'error', 'purchase')").count()
     assert FX.cart_ev(spark, SF001).count() == n
     assert FX.user_patch(spark, SF001).count() == FX.table(spark, SF001, "events").count()
-    assert FX.changes(spark, SF001).count() == FX.table(spark, SF001, "lineitem").count() + FX.table(spark, SF001, "part").count()
+    assert _changes(spark, SF001).count() == FX.table(spark, SF001, "lineitem").count() + FX.table(spark, SF001, "part").count()
 
 
 def test_only_a_missing_output_reads_as_empty(spark, tmp_path):
