@@ -280,7 +280,7 @@ def _search_tile(least: int):
     return run
 
 
-def _search_tiles(tiles: DataFrame, least: int, tile: int, queries: int, rounds: int) -> DataFrame:
+def search_tiles(tiles: DataFrame, least: int, tile: int, queries: int, rounds: int) -> DataFrame:
     """Links (a, b) of the blocks that are dealt out; ``tiles`` has (block, tile, gid, n, shingles)."""
     places = materialize(tiles.select("block", "tile").distinct(), "ngrams-places")
     state = materialize(tiles.select("block", "gid", F.lit(int(OPEN)).alias("s")), "ngrams-state")
@@ -322,7 +322,7 @@ def links(kept: DataFrame, of: DataFrame, least: int = LEAST, tile: int = TILE,
                                                                F.ceil(F.sum(F.size("shingles")) / tile_shingles)).alias("c")), "ngrams-sizes")
     placed = materialize(placed.join(sizes, "block").withColumn("tile", F.pmod(F.xxhash64("gid"), "c")), "ngrams-placed")
     out = placed.where("c = 1").groupBy("block").applyInArrow(_search_block(least), "a long, b long")
-    large = _search_tiles(placed.where("c > 1").drop("c"), least, tile, queries, rounds)
+    large = search_tiles(placed.where("c > 1").drop("c"), least, tile, queries, rounds)
     return out if large is None else out.unionByName(large)
 
 
