@@ -49,10 +49,18 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after(url), "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def place_of(host: Column, path: Column) -> tuple[Column, Column]:
+    """Host and path as addresses are compared: without a default port, and
+    with ``/`` for an empty path."""
+    return F.regexp_replace(host, ":(80|443)$", ""), F.when(path == "", "/").otherwise(path)
+
+
 def address(url: Column) -> Column:
-    """Host, path and query; null for a url without a host."""
-    rest = F.regexp_extract(_after(url), "^[^/?#]*([^#]*)", 1)
-    return F.when(host_of(url) != "", F.concat(host_of(url), rest))
+    """Host, path and query; null for a url without a host. Spellings of one
+    place (see :func:`place_of`) have one address."""
+    host, path = place_of(host_of(url), path_of(url))
+    query = F.regexp_extract(_after(url), r"^[^?#]*(\?[^#]*)", 1)
+    return F.when(host_of(url) != "", F.concat(host, path, query))
 
 
 def link_targets(html: Column) -> Column:
@@ -102,8 +110,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: st
     rows = materialize(rows.withColumn("targets", F.transform(
         "targets", lambda t: resolve(t, F.col("host"), F.col("path")))), "url-pages")
     out_links = rows.where("size(targets) > 0 and node is not null").select("node", F.explode("targets").alias("target"))
-    out_links = materialize(out_links.select("node", address(F.col("target")).alias("to"), host_of(F.col("target")).alias("host"),
-                                             path_of(F.col("target")).alias("path")).where("to is not null").distinct(), "url-links")
+    thost, tpath = place_of(host_of(F.col("target")), path_of(F.col("target")))
+    out_links = materialize(out_links.select("node", address(F.col("target")).alias("to"), thost.alias("host"), tpath.alias("path"))
+                            .where("to is not null").distinct(), "url-links")
     roots = materialize(connected_components(out_links, "node", "to"), "url-roots")
     places = rows.select("host", "path").unionByName(out_links.select("host", "path")).where("host <> ''").distinct()
     ruled = materialize(apply_rules(places, rules), "url-rules")
@@ -129,31 +138,34 @@ SQL = f"""
 WITH RECURSIVE rules(v, rhost, rpath) AS (VALUES {', '.join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)}),
 p0 AS (SELECT page_id, html, row_number() OVER () AS rid,
     CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
-p1 AS (SELECT page_id, rid, html,
+p1 AS (SELECT *, regexp_replace(host, ':(80|443)$', '') || CASE WHEN path = '' THEN '/' ELSE path END
+    || coalesce(regexp_extract(tail, '^[^?]*(\\?.*)', 1), '') AS address FROM (SELECT page_id, rid, html,
     coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
-    regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM p0),
-tags AS (SELECT rid, host, path, tail, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS t
+    regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM p0)),
+tags AS (SELECT rid, host, path, address, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS t
     FROM p1 WHERE html IS NOT NULL AND host <> ''),
-t1 AS (SELECT rid, host, path, tail, replace(trim(CASE
+t1 AS (SELECT rid, host, path, address, replace(trim(CASE
     WHEN regexp_matches(t, '(?is)^<link\\b.*\\brel\\s*=\\s*["'']?[^"''>]*\\bcanonical\\b')
     THEN trim(regexp_extract(t, '(?is)\\bhref\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s"''>]+)', 1), '"''')
     WHEN regexp_matches(t, '(?is)^<meta\\b.*\\bhttp-equiv\\s*=\\s*["'']?\\s*refresh\\b')
     THEN regexp_extract(t, '(?is)\\bcontent\\s*=\\s*["'']?[^>]*?\\burl\\s*=\\s*["'']?\\s*([^"''>\\s]+)', 1) END), '&amp;', '&') AS g FROM tags),
-t2 AS (SELECT host || tail AS node, CASE WHEN regexp_matches(g, '^(?i)https?://') THEN substr(g, strpos(g, '://') + 3)
+t2 AS (SELECT address AS node, CASE WHEN regexp_matches(g, '^(?i)https?://') THEN substr(g, strpos(g, '://') + 3)
     WHEN starts_with(g, '//') THEN substr(g, 3)
     WHEN regexp_matches(g, '^[A-Za-z][A-Za-z0-9+.-]*:') OR starts_with(g, '#') THEN NULL
     WHEN starts_with(g, '/') THEN host || g WHEN starts_with(g, '?') THEN host || path || g
     ELSE host || coalesce(nullif(regexp_extract(path, '^(.*/)', 1), ''), '/') || g END AS rest FROM t1 WHERE g <> ''),
-links AS (SELECT DISTINCT node, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS thost,
-    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS tpath, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS ttail FROM t2 WHERE rest IS NOT NULL),
+links AS (SELECT DISTINCT node, thost, tpath, CASE WHEN thost <> '' THEN thost || tpath || query END AS target FROM (
+    SELECT node, regexp_replace(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        ':(80|443)$', '') AS thost, coalesce(nullif(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), ''), '/') AS tpath,
+        coalesce(regexp_extract(rest, '^[^?#]*(\\?[^#]*)', 1), '') AS query FROM t2 WHERE rest IS NOT NULL)),
 places AS (SELECT DISTINCT host, path FROM p1 WHERE host <> '' UNION SELECT thost, tpath FROM links WHERE thost <> ''),
 ruled AS (SELECT host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(v, length(rhost || rpath)) AS v
     FROM places JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path),
-e AS (SELECT node AS a, thost || ttail AS b FROM links WHERE thost <> '' UNION SELECT thost || ttail, node FROM links WHERE thost <> ''),
-bad AS (SELECT DISTINCT host || tail AS node FROM p1 JOIN ruled USING (host, path) WHERE v = 'block'
-    UNION SELECT thost || ttail FROM links JOIN ruled ON host = thost AND path = tpath WHERE v = 'block'),
+e AS (SELECT node AS a, target AS b FROM links WHERE thost <> '' UNION SELECT target, node FROM links WHERE thost <> ''),
+bad AS (SELECT DISTINCT address AS node FROM p1 JOIN ruled USING (host, path) WHERE v = 'block'
+    UNION SELECT target FROM links JOIN ruled ON host = thost AND path = tpath WHERE v = 'block'),
 hit(node) AS (SELECT node FROM bad UNION SELECT e.b FROM hit JOIN e ON e.a = hit.node)
 SELECT page_id, p1.host, p1.path, rule, CASE WHEN v IS NOT NULL THEN v
-    WHEN p1.host <> '' AND p1.host || tail IN (SELECT node FROM hit) THEN 'block' ELSE 'allow' END AS verdict
+    WHEN p1.host <> '' AND p1.address IN (SELECT node FROM hit) THEN 'block' ELSE 'allow' END AS verdict
 FROM p1 LEFT JOIN ruled USING (host, path)"""

@@ -47,6 +47,25 @@ def test_given_table(spark):
     assert len(same(U.op5_url_filters, U.SQL, spark, SF001)) > 0
 
 
+def test_spellings_of_one_address_are_one_alias(spark, tmp_path):
+    """An empty path is ``/``, and default ports do not count; the reported host
+    and path, and the rules of the pages themselves, stay as they are."""
+    pages = [(1, "https://bad.net", _page()), (2, "https://a.edu/1", _page(canonical="https://bad.net")), (3, "https://a.edu/2", _page(canonical="https://bad.net/")),
+             (4, "https://a.edu/3", _page(canonical="https://BAD.net:443/p?q")), (5, "http://a.edu:80", _page(canonical="https://a.edu/1")),
+             (6, "http://a.edu/", None), (7, "http://a.edu:8080/", None), (8, "https://b.edu?x", _page(canonical="https://bad.net/")), (9, "https://b.edu/?x", None)]
+    got = same(U.op5_url_filters, U.SQL, spark, write(spark, tmp_path, "pages", pages))
+    assert {r[1]: r[4] for r in got} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "block", 7: "allow", 8: "block", 9: "block"}
+    assert {r[1]: (r[0], r[2]) for r in got}[5] == ("a.edu:80", "")
+
+
+def test_ties_between_rules_and_a_very_long_page(spark, tmp_path):
+    rules = spark.createDataFrame([("block", "a.edu", "/x"), ("block", "a.edu", "/x"), ("allow", "edu", "/x/yz")], "verdict string, host string, path string")
+    long = "<p>" + "word " * 400_000 + '</p><link rel="canonical" href="https://a.edu/x">'
+    pages = spark.createDataFrame([(1, "https://a.edu/x/yz", None), (2, "https://b.edu/", long), (2, "https://b.edu/", long)], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.rule, r.verdict) for r in U.judge_urls(pages, rules).fillna("").collect())
+    assert got == [(1, "edu/x/yz", "allow"), (2, "", "block"), (2, "", "block")]      # the longest rule; repeated rules count once
+
+
 def test_empty_table(spark, tmp_path):
     assert not same(U.op5_url_filters, U.SQL, spark, write(spark, tmp_path, "pages", []))
 
