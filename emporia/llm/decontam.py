@@ -337,7 +337,10 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     each = (met.select(*pair, "ipos", F.explode(F.arrays_zip("islots", "slots")).alias("s"))
             .select(*pair, "ipos", "s.islots", "s.slots").distinct())
     votes = each.groupBy(*pair, "islots", "slots").agg(F.count(F.lit(1)).alias("n"))
-    meant = votes.groupBy(*pair, "islots").agg(F.min(F.struct(-F.col("n"), F.col("slots").alias("v")))["v"].alias("v"))
+    meant = (votes.groupBy(*pair, "islots").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("slots").alias("v"))).alias("w"))
+             .select(*pair, "islots", "w.*"))
+    # and the other way round: of the item's values that would all read as one, the best attested keeps it
+    meant = meant.groupBy(*pair, "v").agg(F.min(F.struct("n", "islots"))["islots"].alias("islots"))
     table_ = meant.groupBy(*pair).agg(F.map_from_entries(F.collect_list(F.struct("islots", "v"))).alias("meant"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     ours = table_.select(*[F.col(c).alias(f"m_{c}") for c in pair], "meant")
