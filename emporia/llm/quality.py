@@ -113,26 +113,30 @@ def with_stats(docs: DataFrame, text: str = "text", into: str = "_stats") -> Dat
     return docs.withColumn(into, text_stats(F.col(text)))
 
 
-def flat_stats(s: str = "_stats") -> list[Column]:
-    return [F.col(f"{s}.n_words").alias("n_words"), F.col(f"{s}.word_chars").alias("word_chars"),
-            F.col(f"{s}.n_symbols").alias("n_symbols"),
-            (F.col(f"{s}.lc.n") - F.col(f"{s}.lc.d")).cast("long").alias("n_dup_lines"),
-            F.col(f"{s}.n_repeat_words").alias("n_repeat_words"),
-            F.col(f"{s}.n_shouts").alias("n_shouts"), F.col(f"{s}.lc.n").cast("long").alias("n_lines")]
+def flat_stats(s: str | Column = "_stats") -> list[Column]:
+    s = F.col(s) if isinstance(s, str) else s
+    return [s["n_words"].alias("n_words"), s["word_chars"].alias("word_chars"), s["n_symbols"].alias("n_symbols"),
+            (s["lc"]["n"] - s["lc"]["d"]).cast("long").alias("n_dup_lines"), s["n_repeat_words"].alias("n_repeat_words"),
+            s["n_shouts"].alias("n_shouts"), s["lc"]["n"].cast("long").alias("n_lines")]
 
 
-def base_failed(p: str = "") -> Column:
-    n, r = F.col(f"{p}n_words"), F.col(f"{p}n_repeat_words")
+def _count_of(of: Column | None, name: str) -> Column:
+    return F.col(name) if of is None else of[name]
+
+
+def base_failed(of: Column | None = None) -> Column:
+    """By the columns of that name, or the fields of a struct."""
+    n, r = _count_of(of, "n_words"), _count_of(of, "n_repeat_words")
     return (n < 50) | (100 * r > 50 * n)
 
 
-def metrics(p: str = "") -> dict[str, Column]:
+def metrics(of: Column | None = None) -> dict[str, Column]:
     """Metric columns; null where the divisor is zero (never rejected)."""
-    n = F.when(F.col(f"{p}n_words") > 0, F.col(f"{p}n_words").cast("double"))
-    lines = F.when(F.col(f"{p}n_lines") > 0, F.col(f"{p}n_lines").cast("double"))
-    return {"symbols": F.col(f"{p}n_symbols") / n, "shouts": F.col(f"{p}n_shouts") / n,
-            "dup_lines": F.col(f"{p}n_dup_lines") / lines, "repeats": F.col(f"{p}n_repeat_words") / n,
-            "long_words": F.col(f"{p}word_chars") / n, "short_words": -(F.col(f"{p}word_chars") / n)}
+    c = lambda name: _count_of(of, name)
+    n = F.when(c("n_words") > 0, c("n_words").cast("double"))
+    lines = F.when(c("n_lines") > 0, c("n_lines").cast("double"))
+    return {"symbols": c("n_symbols") / n, "shouts": c("n_shouts") / n, "dup_lines": c("n_dup_lines") / lines,
+            "repeats": c("n_repeat_words") / n, "long_words": c("word_chars") / n, "short_words": -(c("word_chars") / n)}
 
 
 def binomial_tail(k: Column, n: Column, p: Column) -> Column:
@@ -188,9 +192,9 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, limit: float = LIMIT, delta
     return best.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("metric", "cut"))).alias("cuts"))
 
 
-def method_rejects(cuts: str = "cuts", p: str = "", names: tuple[str, ...] = tuple(GRIDS)) -> Column:
+def method_rejects(cuts: str = "cuts", of: Column | None = None, names: tuple[str, ...] = tuple(GRIDS)) -> Column:
     out = F.lit(False)
-    for m, x in metrics(p).items():
+    for m, x in metrics(of).items():
         if m in names:
             out = out | F.coalesce(x > F.col(cuts)[m], F.lit(False))
     return out
@@ -218,10 +222,10 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     from a narrow table of counts; the verdicts are computed in the pass that
     returns the rows, so no text is shuffled."""
     cutoffs = materialize(fit_cutoffs(document_stats(docs), labels, **options), "quality-cutoffs")
-    raw, q, s, c = (fresh(x, docs) for x in ("_stats", "_q", "_stratum", "_cuts"))
-    out = with_stats(docs, into=raw).withColumn(q, F.struct(*flat_stats(raw)))
-    return (_with_cuts(out, cutoffs, "lang", (s, c)).where(~base_failed(f"{q}.") & ~method_rejects(c, f"{q}."))
-            .select(*docs.columns))
+    s, c = (fresh(x, docs) for x in ("_stratum", "_cuts"))
+    # the counts are a value of their own, found once per row
+    keep = let(text_stats(F.col("text")), lambda raw: let(F.struct(*flat_stats(raw)), lambda q: ~base_failed(q) & ~method_rejects(c, q)))
+    return _with_cuts(docs, cutoffs, "lang", (s, c)).where(keep).select(*docs.columns)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
