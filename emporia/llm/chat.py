@@ -131,7 +131,7 @@ def threads(links: DataFrame) -> DataFrame:
 
 def rebuild(messages: DataFrame) -> DataFrame:
     """Messages in reply order without their quotes."""
-    parsed = parse(messages)
+    parsed = materialize(parse(messages), "chat-parsed")      # read for the quotes, for what is said, and for the result
     links = materialize(link(parsed), "chat-links")
     tied = materialize(links.join(threads(links), ["conv_id", "turn"]), "chat-tied")
     out = parsed.select("conv_id", "turn", "role", "clean", "n_quotes", "max_level").join(tied, ["conv_id", "turn"], "left")
