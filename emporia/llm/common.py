@@ -48,10 +48,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     lineage, survives lost executors, and gives joins a plain scan (which
     adaptive execution can split when a key is hot)."""
     spark = df.sparkSession
-    # once the table is written nothing needs the shuffle files behind it
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    # once the table is written nothing needs the shuffle files behind it
+    with session_conf(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -135,12 +135,19 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 
 
 def stable(df: DataFrame, name: str) -> DataFrame:
-    """``df`` itself when it is a plain file scan (the same rows in the same
-    order whenever a task is run again), else a written copy."""
-    plan = df._jdf.queryExecution().sparkPlan().toString()
-    scan_only = "FileScan" in plan and not any(x in plan for x in ("Exchange", "Join", "Aggregate", "RDD", "Sort", "Python",
-                                                                   "Arrow", "Window", "Union", "InMemoryTableScan", "Generate"))
-    return df if scan_only else materialize(df, name)
+    """``df`` itself when it only selects, filters and renames what one file
+    scan reads (the same rows in the same order whenever a task is run again),
+    else a written copy."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() in ("Project", "Filter"):
+            if not all(node.expressions().apply(i).deterministic() for i in range(node.expressions().size())):
+                return materialize(df, name)
+            todo.append(node.child())
+        elif not node.nodeName().startswith("LogicalRelation") and not node.nodeName().startswith("Relation"):
+            return materialize(df, name)
+    return df
 
 
 def fresh(name: str, *frames: DataFrame) -> str:
