@@ -24,6 +24,7 @@ from ..session import scratch_path
 from ..sources.sinks import create_table, read_table, upsert_sink
 from ..sources.tables import table
 from . import processors as P
+from .grouped import per_key
 from .harness import Staged, drain, latest_per_key, run_once
 
 
@@ -36,29 +37,35 @@ def _event_time(events: DataFrame, ts: str = "ts") -> DataFrame:
 
 
 def stream_stock(changes: DataFrame) -> DataFrame:
-    """Clamped stock per SKU, re-keyed by SKU (the groupBy is the shuffle)."""
-    return changes.groupBy("sku").transformWithState(P.StockFold(), P.STOCK_OUT, "Update", "None")
+    """Clamped stock per SKU, re-keyed by SKU."""
+    return per_key(changes, "sku", P.StockFold(), P.STOCK_OUT, "Update")
 
 
 def stream_reservation(unified: DataFrame) -> DataFrame:
     """Reservation sharing the stock state with the change fold."""
-    return unified.groupBy("sku").transformWithState(P.ReserveFold(), P.RESERVE_OUT, "Append", "None")
+    return per_key(unified, "sku", P.ReserveFold(), P.RESERVE_OUT)
 
 
 def stream_outcome(events: DataFrame) -> DataFrame:
     """Placements (side 0) and line results (side 1) gathered per order; a
     saga record expires in event time."""
-    return _event_time(events).groupBy("order_number").transformWithState(P.Gather(), P.GATHER_OUT, "Append", "EventTime")
+    return per_key(_event_time(events), "order_number", P.Gather(), P.GATHER_OUT, event_time=True)
+
+
+def _decisive(events: DataFrame) -> DataFrame:
+    """The events that the status machine acts on, with ``at``: a line whose
+    product is known changes nothing and is not sent to it."""
+    return events.where(~F.coalesce((F.col("rank") == P.LINE) & F.col("known"), F.lit(False))).withColumn("at", F.col("ts"))
 
 
 def stream_payment_gate(events: DataFrame) -> DataFrame:
     """Payments against the status that the order's own events give."""
-    return events.withColumn("at", F.col("ts")).groupBy("order_number").transformWithState(P.PaymentGate(), P.GATE_OUT, "Append", "None")
+    return per_key(_decisive(events), "order_number", P.PaymentGate(), P.GATE_OUT)
 
 
 def stream_status(events: DataFrame) -> DataFrame:
     """Status machine, one output row per accepted transition."""
-    return events.withColumn("at", F.col("ts")).groupBy("order_number").transformWithState(P.StatusMachine(), P.MACHINE_OUT, "Append", "None")
+    return per_key(_decisive(events), "order_number", P.StatusMachine(), P.MACHINE_OUT)
 
 
 def stream_cart_sessions(ev: DataFrame, feed: DataFrame) -> DataFrame:
@@ -67,13 +74,13 @@ def stream_cart_sessions(ev: DataFrame, feed: DataFrame) -> DataFrame:
     held = validity(feed, "sku", "ts", ["seq"]).select("sku", F.lit(True).alias("_found"), "_since", "_until")
     adds = asof_join(ev.where(F.col("kind") == "add"), held, "sku", "ts", {}, how="inner").drop("_found")
     both = adds.unionByName(ev.where(F.col("kind") == "checkout"))
-    return _event_time(both).groupBy("user_id").transformWithState(P.CartSessions(), P.SESSION_OUT, "Update", "EventTime")
+    return per_key(_event_time(both), "user_id", P.CartSessions(), P.SESSION_OUT, "Update", event_time=True)
 
 
 def stream_dedup_first(placed: DataFrame) -> DataFrame:
     """G4 streaming: the first event of a unique key wins, however late a replay comes."""
     out = ", ".join(f"{n} {t}" for n, t in placed.dtypes)
-    return placed.groupBy("order_number").transformWithState(P.FirstWins(), out, "Append", "None")
+    return per_key(placed, "order_number", P.FirstWins(), out)
 
 
 def stream_notifications(placed: DataFrame, log: DataFrame, gather: DataFrame) -> DataFrame:
@@ -143,8 +150,9 @@ def q_stream_stock_lookup(spark, sf):
     """Read the current stock straight from the stream's state store."""
     ckpt = scratch_path(spark, "stream_stock-ckpt")
     drain(Staged(_changes(spark, sf), "changes"), stream_stock, "stream_stock", "update", checkpoint=ckpt)
-    st = spark.read.format("statestore").option("stateVarName", "stock").load(ckpt)
-    return st.select(F.col("key.sku").alias("sku"), F.col("value.stock").cast("bigint").alias("quantity"))
+    group = F.col("value.groupState") if "groupState" in (st := spark.read.format("statestore").load(ckpt)).schema["value"].dataType.names else F.col("value")
+    kept = st.select(F.explode(F.arrays_zip(group["stock_at"].alias("at"), group["stock_stock"].alias("stock"))).alias("s"), group["keys"].alias("keys"))
+    return kept.select(F.col("keys")[F.col("s.at")].alias("sku"), F.col("s.stock").cast("bigint").alias("quantity"))
 
 
 class Interrupted(RuntimeError):
