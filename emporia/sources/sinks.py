@@ -14,15 +14,13 @@ from ..session import default_partitions, written
 def write_keyed(df: DataFrame, key: str, path: str, buckets: int | None = None) -> None:
     """Keyed sink; the key decides the partition (as a topic partitioner
     would): each key's rows land in the directory of its hash bucket, so a
-    reader of one key scans one bucket. Writers are range-partitioned by
-    (bucket, key), so a hot bucket or key is written by several tasks into
-    the same directory instead of one task holding it all."""
+    reader of one key scans one bucket. Rows are rebalanced by bucket: adaptive
+    execution joins small buckets and splits a large one, whatever key fills
+    it, so a hot key is written by several tasks into one directory. No pass
+    over the rows samples bounds first."""
     n = buckets or default_partitions(df.sparkSession)
     b = F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
-    # a deterministic row hash breaks ties, so even one hot key spreads over tasks
-    tie = F.xxhash64(*[F.col(c) for c in df.columns])
-    (df.withColumn("bucket", b).withColumn("_tie", tie)
-     .repartitionByRange("bucket", key, "_tie").sortWithinPartitions("bucket", key).drop("_tie")
+    (df.withColumn("bucket", b).hint("rebalance", "bucket").sortWithinPartitions("bucket", key)
      .write.mode("overwrite").partitionBy("bucket").parquet(path))
 
 
