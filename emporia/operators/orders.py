@@ -41,6 +41,14 @@ def unsaved_orders(lines: DataFrame, feed: DataFrame, heavy: dict[str, int] | No
     return j.where(F.col("known_from").isNull() | (F.col("known_from") > F.col("ts"))).select("order_number").distinct()
 
 
+def unsaved_from(priced: DataFrame, lines: DataFrame, feed: DataFrame) -> DataFrame:
+    """:func:`unsaved_orders` of lines that are priced already: from its first
+    appearance on some version of a product holds, so a line is without one
+    before it only. Lines without a time hold no version and are looked up."""
+    timed = priced.where(~F.col("found") & F.col("ts").isNotNull()).select("order_number")
+    return timed.unionByName(unsaved_orders(lines.where("ts IS NULL"), feed)).distinct()
+
+
 def saved_orders(placed: DataFrame, lines: DataFrame, feed: DataFrame, heavy: dict[str, int] | None = None) -> DataFrame:
     """The placed orders that are in the order table."""
     return placed.join(unsaved_orders(lines, feed, heavy), "order_number", "left_anti")
@@ -56,7 +64,8 @@ def price_lines(lines: DataFrame, feed: DataFrame, heavy: dict[str, int] | None
     """
     held = validity(feed, "sku", "ts", ["seq"]).select(
         "sku", F.col("price"), F.col("name").alias("product_name"), "color", "size", F.lit(True).alias("found"), "_since", "_until")
-    return (asof_join(lines, held, "sku", "ts", heavy or {}, spread=["l_orderkey", "l_linenumber"])
+    spread = [c for c in ("l_orderkey", "l_linenumber") if c in lines.columns]
+    return (asof_join(lines, held, "sku", "ts", heavy or {}, spread=spread)
             .withColumn("found", F.coalesce(F.col("found"), F.lit(False))))
 
 
@@ -104,9 +113,11 @@ def order_totals(orders_placed: DataFrame, priced: DataFrame) -> DataFrame:
 
 
 def enriched_lines(priced: DataFrame, unsaved: DataFrame) -> DataFrame:
-    """D2 output rows: the saved line items with their cached product data."""
+    """D2 output rows: the saved line items with their cached product data, and
+    with the line's keys that ``priced`` has."""
+    keys = [c for c in ("l_linenumber", "l_partkey", "l_suppkey") if c in priced.columns]
     return accepted_lines(priced, unsaved).select(
-        "order_number", "sku", "qty", "l_linenumber", "l_partkey", "l_suppkey",
+        "order_number", "sku", "qty", *keys,
         F.col("price").cast(MONEY).alias("price"), "product_name", "color", "size",
         F.col("line_amount").cast(MONEY).alias("line_amount"))
 
