@@ -214,6 +214,42 @@ def _decoded(pdf: pd.DataFrame, fields: list[T.StructField]) -> list[list]:
     return out
 
 
+class Rows:
+    """The rows of a group in one micro-batch, column by column, for processors
+    that take all keys at once (``handleKeys``)."""
+
+    def __init__(self, pdf: pd.DataFrame, fields: list[T.StructField]):
+        self.pdf, self.fields = pdf, fields
+
+    def null(self, col: str) -> np.ndarray:
+        return (self.pdf["_nulls"].to_numpy() >> [f.name for f in self.fields].index(col) & 1).astype(bool)
+
+    def numbers(self, col: str) -> np.ndarray:
+        return self.pdf[col].to_numpy(dtype="int64")
+
+    def where(self, mask: np.ndarray) -> Rows:
+        return Rows(self.pdf[mask], self.fields)
+
+    def sorted(self, key: str, order: list[str]) -> tuple[Rows, np.ndarray, list]:
+        """(rows by key and order, nulls first; where a key begins; the keys)."""
+        code, keys = pd.factorize(self.pdf[key])
+        by = [code]
+        for c in order:
+            by += [~self.null(c), self.numbers(c)]
+        at = np.lexsort(by[::-1])
+        code = code[at]
+        first = np.append(True, code[1:] != code[:-1])
+        return Rows(self.pdf.iloc[at], self.fields), first, [keys[c] for c in code[first]]
+
+    def values(self, col: str) -> np.ndarray | list:
+        """A column as it was before it was sent; an array where nothing is null."""
+        i = [f.name for f in self.fields].index(col)
+        f = self.fields[i]
+        if isinstance(f.dataType, T.StringType) or self.null(col).any():
+            return _decoded(self.pdf, self.fields)[i] if self.null(col).any() else self.pdf[col].to_numpy()
+        return self.numbers(col).astype("datetime64[us]") if isinstance(f.dataType, _TIMES) else self.numbers(col)
+
+
 def _cells(row, names: list[str]) -> tuple | list:
     of = row.__fields__ if isinstance(row, Row) else row._fields
     return row if list(of) == names else [getattr(row, n) for n in names]
@@ -251,6 +287,11 @@ def per_key(stream: DataFrame, key: str, processor: StatefulProcessor, out: str,
                     if k in kept:
                         kept[k].get(None, set()).discard(ms)
                         call(k, lambda: processor.handleExpiredTimer((k,), None, _Expired(ms)))
+        elif hasattr(processor, "handleKeys"):
+            whole = Rows(pd.concat(list(pdfs), ignore_index=True), fields)
+            columns = processor.handleKeys(whole, kept)
+            if columns and len(columns[0]):
+                yield pd.DataFrame({n: pd.Series(c, dtype=None if isinstance(c, np.ndarray) else object) for n, c in zip(names, columns)})
         else:
             row = namedtuple("row", record)._make
             for pdf in pdfs:

@@ -37,6 +37,21 @@ def _unified_key(r):
 STOCK_OUT = "sku string, stock long"
 
 
+def _walk_keys(rows, amount: str, order: list[str], kind: str | None, kept: dict):
+    """(rows by SKU and order, stock before each, SKUs, stock each is left with):
+    the SKUs of a group walked side by side from the stock they have."""
+    rows = rows.where(rows.pdf["sku"].notna().to_numpy() & ~rows.null(amount))
+    if not len(rows.pdf):
+        return None
+    rows, first, skus = rows.sorted("sku", order)
+    kinds = np.zeros(len(first), np.int8) if kind is None else rows.numbers(kind).astype(np.int8)
+    entry = np.array([kept[k]["stock"][0] if k in kept else 0 for k in skus], np.int64)
+    before, left = walk(kinds, rows.numbers(amount), first, entry)
+    for k, s in zip(skus, left.tolist()):
+        kept[k] = {"stock": (s,)}
+    return rows, before, skus, left.tolist()
+
+
 class StockFold(StatefulProcessor):
     """Clamped stock per SKU; ValueState = current stock."""
 
@@ -53,6 +68,11 @@ class StockFold(StatefulProcessor):
             self.stock.update((s,))
             yield Row(sku=key[0], stock=s)
 
+    def handleKeys(self, rows, kept: dict) -> list:
+        """``handleInputRows`` for all keys of a group in one pass."""
+        done = _walk_keys(rows, "chg", ["ts", "l_orderkey", "l_linenumber", "l_suppkey", "chg"], None, kept)
+        return [] if done is None else [done[2], done[3]]
+
     def close(self) -> None:
         pass
 
@@ -85,6 +105,18 @@ class ReserveFold(StatefulProcessor):
                          stock_after=s - r.amount if s >= r.amount else s)
                      for r, s in zip(rows, before.tolist()) if r.kind == 1])
 
+    def handleKeys(self, rows, kept: dict) -> list:
+        """``handleInputRows`` for all keys of a group in one pass."""
+        done = _walk_keys(rows, "amount", ["ts", "kind", "l_orderkey", "l_linenumber", "l_suppkey", "amount"], "kind", kept)
+        if done is None:
+            return []
+        rows, before = done[0], done[1]
+        asked = rows.numbers("kind") == 1
+        rows, before = rows.where(asked), before[asked]
+        need = rows.numbers("amount")
+        return [*[rows.values(c) for c in ("order_number", "sku", "amount", "ts", "l_orderkey", "l_linenumber", "l_suppkey")],
+                before >= need, before, np.where(before >= need, before - need, before)]
+
     def close(self) -> None:
         pass
 
