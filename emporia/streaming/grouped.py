@@ -12,7 +12,9 @@ micro-batch are in one task, as a key's are anyhow.
 What a group keeps is one array per field: ``keys``; for every state variable
 ``<name>_at`` (positions of the keys that have it) and a column per field,
 aligned; timers as ``timer_at`` and ``timer_ms``. Timestamps are kept and sent as
-microseconds, integers never as floating point.
+microseconds, integers never as floating point. A processor that takes all keys
+of a group at once (``handleGroup``) has these arrays kept as one Arrow batch:
+Spark hands other values over element by element, which costs more than the work.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor
 
-GROUPS = 4_096     # fixed for the life of a checkpoint; more for key spaces of billions
+GROUPS = 1_024     # fixed for the life of a checkpoint; more for key spaces of billions. A call costs some 20 ms whatever it holds
 
 _EPOCH = dt.datetime(1970, 1, 1)
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -169,6 +173,27 @@ def _pack(kept: dict, h: _Handle) -> tuple:
     return (*out, [i for i, _ in timers], [ms for _, ms in timers])
 
 
+def _to_batch(kept: list, schema: pa.Schema) -> bytes:
+    batch = pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(kept, schema)], schema=schema)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _of_batch(data: bytes) -> list[list]:
+    with pa.ipc.open_stream(data) as batches:
+        return [c.values.to_pylist() for c in batches.read_next_batch().columns]
+
+
+def _joined(kept: list, more: tuple, h: _Handle) -> list:
+    """The arrays of two sets of keys as one: positions of keys move by the
+    number of keys before them."""
+    sizes = [len(f) for f in h.values.values()] + [len(k) + len(v) for k, v in h.maps.values()] + [1]
+    positions = [False] + [first for n in sizes for first in [True] + [False] * n]
+    return [[*a, *([x + len(kept[0]) for x in b] if at else b)] for a, b, at in zip(kept, more, positions)]
+
+
 def _encoded(df: DataFrame, key: str, groups: int) -> tuple[DataFrame, list[T.StructField]]:
     """``df`` as it is sent: group, columns without nulls where pandas would turn
     numbers to floating point, and the nulls as bits."""
@@ -241,15 +266,37 @@ class Rows:
         first = np.append(True, code[1:] != code[:-1])
         return Rows(self.pdf.iloc[at], self.fields), first, [keys[c] for c in code[first]]
 
+    def take(self, at: np.ndarray) -> Rows:
+        return Rows(self.pdf.iloc[at], self.fields)
+
+    def objects(self, col: str) -> np.ndarray:
+        """A column of strings, None where null."""
+        values = self.pdf[col].to_numpy(dtype=object)
+        return np.where(pd.isna(values), None, values)
+
     def values(self, col: str) -> np.ndarray | list:
         """A column as it was before it was sent; an array where nothing is null."""
         i = [f.name for f in self.fields].index(col)
         f = self.fields[i]
-        if isinstance(f.dataType, T.StringType) or self.null(col).any():
-            return _decoded(self.pdf, self.fields)[i] if self.null(col).any() else self.pdf[col].to_numpy()
+        if isinstance(f.dataType, T.StringType):
+            return self.objects(col)
+        if self.null(col).any() or not isinstance(f.dataType, (*_INTEGERS, *_TIMES)):
+            return _decoded(Rows(self.pdf[[col, "_nulls"]].assign(_nulls=self.null(col).astype("int64")), [f]).pdf, [f])[0]
         return self.numbers(col).astype("datetime64[us]") if isinstance(f.dataType, _TIMES) else self.numbers(col)
 
 
+def codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a number per value, the values numbered); null is a value like any other."""
+    code, of = pd.factorize(values, use_na_sentinel=False)
+    return code, np.where(pd.isna(of), None, of).astype(object)
+
+
+def keyed(rows: Rows, key: str, kept: list) -> tuple[np.ndarray, np.ndarray]:
+    """(the row's position among the keys, the keys): those kept first, as they are."""
+    code, keys = codes(np.concatenate([np.array(kept, dtype=object), rows.objects(key)]))
+    return code[len(kept):], keys
+
+
 def _cells(row, names: list[str]) -> tuple | list:
     of = row.__fields__ if isinstance(row, Row) else row._fields
     return row if list(of) == names else [getattr(row, n) for n in names]
@@ -259,18 +306,57 @@ def per_key(stream: DataFrame, key: str, processor: StatefulProcessor, out: str,
             event_time: bool = False, groups: int = GROUPS) -> DataFrame:
     """``stream.groupBy(key).transformWithState(processor, out, mode, ...)``, with
     the state of a group of keys handed over at once. ``event_time``: the
-    processor sets timers and the stream has a watermark on ``event_time``."""
+    processor sets timers and the stream has a watermark on ``event_time``.
+
+    A processor with ``handleGroup`` takes the rows of all keys and the arrays
+    that the group keeps, and returns its output's columns, the arrays to keep,
+    and rows that it leaves to ``handleInputRows`` of their keys, which then
+    keep nothing in those arrays. A timer of such a group drops what
+    ``stillKept`` does not keep."""
     sent, fields = _encoded(stream, key, groups)
     key_at = [f.name for f in fields].index(key)
     parsed = {}
     processor.init(declared := _Handle(parsed))
     kept_schema = state_schema(declared, fields[key_at].dataType)
+    arrays = to_arrow_schema(kept_schema)
+    if hasattr(processor, "handleGroup"):
+        kept_schema = T.StructType().add("arrays", T.BinaryType())
     names = [f.name for f in _fields(out)]
     record = [f.name for f in fields]
 
+    def grouped(pdfs: Iterator[pd.DataFrame], state, h: _Handle) -> Iterator[pd.DataFrame]:
+        kept = _of_batch(state.get[0]) if state.exists else [[] for _ in arrays]
+        if state.hasTimedOut:
+            kept = processor.stillKept(kept, state.getCurrentWatermarkMs())
+        else:
+            columns, kept, rest = processor.handleGroup(Rows(pd.concat(list(pdfs), ignore_index=True), fields), kept)
+            if len(columns[0]):
+                yield pd.DataFrame({n: pd.Series(c, dtype=None if isinstance(c, np.ndarray) else object) for n, c in zip(names, columns)})
+            if rest is not None and len(rest.pdf):
+                row, mine, results, more = namedtuple("row", record)._make, {}, [], {}
+                for r in map(row, zip(*_decoded(rest.pdf, fields))):
+                    mine.setdefault(r[key_at], []).append(r)
+                for k, of in mine.items():
+                    h.load({})
+                    results.extend(processor.handleInputRows((k,), iter(of), None))
+                    if set(left := h.save()) - {None}:      # a timer with nothing to free is not kept
+                        more[k] = left
+                kept = _joined(kept, _pack(more, h), h)
+                if results:
+                    yield pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(names, zip(*[_cells(r, names) for r in results]))})
+        if len(kept[0]):
+            state.update((_to_batch(kept, arrays),))
+            if event_time and len(kept[-1]):
+                state.setTimeoutTimestamp(max(min(kept[-1]), state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+
     def run(group, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         h, rows, results = _Handle(parsed), {}, []
         processor.init(h)
+        if hasattr(processor, "handleGroup"):
+            yield from grouped(pdfs, state, h)
+            return
         kept = _unpack(state.get, h) if state.exists else {}
 
         def call(k, act) -> None:

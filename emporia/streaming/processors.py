@@ -14,6 +14,7 @@ import datetime as dt
 from typing import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -22,6 +23,7 @@ from ..functions.scalars import (INT_MAX, STATUS_COMPLETED, STATUS_FAILED, STATU
 from ..operators.cart import CART_TTL_SECONDS
 from ..operators.orders import SAGA_TTL_SECONDS
 from ..operators.reservation import walk
+from .grouped import Rows, codes, keyed
 
 _EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -124,6 +126,20 @@ class ReserveFold(StatefulProcessor):
 GATHER_OUT = "order_number string, outcome string, reason string, ts timestamp_ntz"
 
 
+RECORDS = 4      # saga records of a key in one micro-batch that are gathered with those of other keys
+_RESULT = ("l_linenumber", "l_partkey", "l_suppkey", "qty", "sku", "success")      # what tells results of an order apart
+
+
+def _listed(values) -> list:
+    return values.tolist() if isinstance(values, np.ndarray) else list(values)
+
+
+def _spans(begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All of begin..stop of every span, one after the other."""
+    size = stop - begin
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 def _millis(ts: dt.datetime) -> int:
     return (ts.replace(tzinfo=dt.timezone.utc) - _EPOCH) // dt.timedelta(milliseconds=1)
 
@@ -190,6 +206,142 @@ class Gather(StatefulProcessor):
             self.saga.update((end, total, received, failed))
         return iter(out)
 
+    def handleGroup(self, rows: Rows, kept: list) -> tuple[list, list, Rows | None]:
+        """``handleInputRows`` for all keys of a group, one saga record of every
+        key at a time; what comes after a key's first ``RECORDS`` records is left
+        to it. An event without a time creates no record and is in none."""
+        # a placement without a time is told, but nothing waits for its results
+        untimed = rows.where(rows.null("at") & (rows.numbers("side") == 0))
+        rows = rows.where(~rows.null("at"))
+        code, keys = keyed(rows, "order_number", kept[0])
+        same = self._results(rows, code, kept)
+        same, same_kept = same[:len(code)], same[len(code):]
+        side = rows.numbers("side")
+        order = np.lexsort([np.where(side == 0, 0, rows.numbers(c)) for c in ("qty", "l_suppkey", "l_partkey", "l_linenumber")]
+                           + [side, rows.numbers("at"), code])
+        rows, code, same, side = rows.take(order), code[order], same[order], side[order]
+        at, ttl, n = rows.numbers("at"), self.ttl // dt.timedelta(microseconds=1), len(code)
+        fails = (side != 0) & ~((rows.numbers("success") == 1) & ~rows.null("success"))
+        items = np.where(rows.null("total_items"), -1, rows.numbers("total_items"))      # -1: no number of items to reach
+        count = np.arange(len(keys))
+        begin, stop = np.searchsorted(code, count), np.searchsorted(code, count, "right")
+
+        known, end, total = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.full(len(keys), -1)
+        received, failed = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        saga = kept[1]
+        known[saga], end[saga], total[saga] = True, kept[2], [-1 if x is None else x for x in kept[3]]
+        received[saga], failed[saga] = kept[4], kept[5]
+        counted = np.zeros(1 + max(same.max(initial=-1), same_kept.max(initial=-1)), bool)
+        counted[same_kept] = True      # results that a live record has seen
+        seen = np.zeros(n, bool)       # rows that are kept with their record
+        ended = np.zeros(len(keys), bool)       # the record in the state has ended
+        creates, out = np.flatnonzero((side == 0) | fails), []
+        open_ = np.flatnonzero(begin < stop)
+        for _ in range(RECORDS):
+            # expired, whether or not the timer has told
+            over = open_[known[open_] & (at[begin[open_]] > end[open_])]
+            known[over], ended[over] = False, True
+            new = open_[~known[open_]]
+            first = np.append(creates, n)[np.searchsorted(creates, begin[new])]
+            none = first >= stop[new]
+            begin[new[none]] = stop[new[none]]      # nothing to count these results for
+            new, first = new[~none], first[~none]
+            placed = side[first] == 0
+            known[new], end[new], failed[new], received[new] = True, at[first] + ttl, False, 0
+            total[new] = np.where(placed, items[first], -1)
+            begin[new] = first + placed      # a failing result is the first one of its mark
+            out.append((first[placed], STATUS_PENDING))
+            open_ = open_[known[open_]]
+
+            row = _spans(begin[open_], stop[open_])
+            key = code[row]
+            within = at[row] <= end[key]
+            last = begin + np.bincount(key[within], minlength=len(keys))
+            row, key = row[within], key[within]
+            row, key = row[side[row] != 0], key[side[row] != 0]
+            new_to = ~(counted[same[row]] & ~ended[key])
+            row, key = row[new_to], key[new_to]
+            once = ~pd.Series(same[row]).duplicated().to_numpy()
+            row, key = row[once], key[once]
+            nth = np.arange(len(key)) - np.searchsorted(key, key) + received[key] + 1
+            bad = np.full(len(keys), n)
+            good = np.full(len(keys), n)
+            hits = row[fails[row]]
+            np.minimum.at(bad, code[hits], hits)
+            hits = row[(nth == total[key]) & ~fails[row]]
+            good[code[hits]] = hits
+            bad[failed] = good[failed] = n
+            done = good < bad
+            out += [(good[done], STATUS_VALIDATED), (bad[~done & (bad < n)], STATUS_FAILED)]
+
+            lives = open_[~done[open_] & (last[open_] >= stop[open_])]
+            received += np.bincount(key, minlength=len(keys))
+            failed |= ~done & (bad < n)
+            stays = np.zeros(len(keys), bool)
+            stays[lives] = True
+            seen[row[stays[key]]] = True
+            ends = open_[~stays[open_]]
+            known[ends], ended[ends] = False, True
+            begin[ends] = np.where(done[ends], good[ends] + 1, last[ends])
+            begin[lives] = stop[lives]
+            open_ = ends[begin[ends] < stop[ends]]
+            if not len(open_):
+                break
+        rest = rows.take(_spans(begin[open_], stop[open_])) if len(open_) else None
+        columns = self._columns(rows, untimed, out)
+        return columns, self._left(rows, code, keys, kept, known, ended, end, total, received, failed, np.flatnonzero(seen)), rest
+
+    @staticmethod
+    def _results(rows: Rows, code: np.ndarray, kept: list) -> np.ndarray:
+        """A number per result, equal for its repeated deliveries to one order:
+        of the rows, then of those that the group keeps."""
+        same = np.concatenate([code, np.array(kept[6], np.int64)])
+        for i, c in enumerate(_RESULT, 7):
+            if c == "sku":
+                value, _ = codes(np.concatenate([rows.objects(c), np.array(kept[i], object)]))
+            else:
+                value, _ = codes(np.concatenate([rows.numbers(c), np.array([0 if x is None else x for x in kept[i]], np.int64)]))
+                value = value * 2 + np.concatenate([rows.null(c), np.array([x is None for x in kept[i]], bool)])
+            same, _ = pd.factorize(same * (1 + value.max(initial=0)) + value)
+        return same
+
+    @staticmethod
+    def _columns(rows: Rows, untimed: Rows, out: list) -> list:
+        at = np.concatenate([w for w, _ in out])
+        outcome = np.repeat(np.array([s for _, s in out], object), [len(w) for w, _ in out])
+        told, n = rows.take(at), len(untimed.pdf)
+        reason = np.where(outcome == STATUS_FAILED, told.objects("reason"), None)
+        when = told.numbers("at").astype("datetime64[us]")
+        return [np.concatenate([told.objects("order_number"), untimed.objects("order_number")]),
+                np.append(outcome, np.full(n, STATUS_PENDING, object)), np.append(reason, np.full(n, None, object)),
+                np.append(when, np.full(n, "NaT", "datetime64[us]"))]
+
+    @staticmethod
+    def _left(rows, code, keys, kept, known, ended, end, total, received, failed, seen) -> list:
+        """The arrays of the records that live on, with one timer each."""
+        held = np.flatnonzero(known)
+        place = np.full(len(keys), -1)
+        place[held] = np.arange(len(held))
+        # results of a record in the state that still lives, then those counted now
+        old = [j for j, k in enumerate(kept[6]) if place[k] >= 0 and not ended[k]]
+        now = rows.take(seen)
+        values = [_listed(now.values(c)) for c in _RESULT]
+        values[-1] = [None if x is None else bool(x) for x in values[-1]]
+        results = [[kept[i][j] for j in old] + new for i, new in enumerate([*values, now.numbers("at").tolist()], 7)]
+        at = list(range(len(held)))
+        return [keys[held].tolist(), at, end[held].tolist(), [None if x < 0 else x for x in total[held].tolist()],
+                received[held].tolist(), failed[held].tolist(), [int(place[kept[6][j]]) for j in old] + place[code[seen]].tolist(), *results,
+                at, (end[held] // 1000).tolist()]
+
+    def stillKept(self, kept: list, passed: int) -> list:
+        """What a group keeps when the watermark has passed the end of records."""
+        live = [j for j, end in enumerate(kept[2]) if end // 1000 >= passed]
+        place = {kept[1][j]: i for i, j in enumerate(live)}
+        seen = [j for j, k in enumerate(kept[6]) if k in place]
+        return [[kept[0][kept[1][j]] for j in live], list(range(len(live))), *[[c[j] for j in live] for c in kept[2:6]],
+                [place[kept[6][j]] for j in seen], *[[c[j] for j in seen] for c in kept[7:-2]],
+                list(range(len(live))), [kept[2][j] // 1000 for j in live]]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         state = self.saga.get()
         # a record that was created anew has a later end and a timer of its own
