@@ -399,6 +399,47 @@ class _Orders(StatefulProcessor):
             self.status.update((status,))
         return iter(out)
 
+    def handleGroup(self, rows: Rows, kept: list) -> tuple[list, list, None]:
+        """``handleInputRows`` for all keys of a group in one pass: a status is
+        left once, so each is one search for the next event that it answers."""
+        code, keys = keyed(rows, "order_number", kept[0])
+        of, kinds = codes(rows.objects("kind"))
+        alphabet = np.empty(len(kinds), np.int64)
+        alphabet[sorted(range(len(kinds)), key=lambda i: (kinds[i] is not None, kinds[i]))] = np.arange(len(kinds))
+        order = np.lexsort([alphabet[of], rows.numbers("rank"), rows.numbers("at"), ~rows.null("at"), code])
+        rows, code, of = rows.take(order), code[order], of[order]
+        at, none, rank = rows.numbers("at"), rows.null("at"), rows.numbers("rank")
+        n, place = len(code), np.arange(len(code))
+        begin, end = np.searchsorted(code, np.arange(len(keys))), np.searchsorted(code, np.arange(len(keys)), "right")
+        unknown = (rank == LINE) & ~((rows.numbers("known") == 1) & ~rows.null("known"))
+        last = np.maximum.accumulate(np.where(unknown, place, -1)) if n else place
+        missing = last >= begin[code]
+        # an order without a time is not placed either
+        blocked = np.where(missing, (at == at[last]) & (none == none[last]), none)
+        acts = (rank != PAYMENT) & (rank != LINE) & ~((rank == PLACED) & blocked)
+
+        status = np.full(len(keys), None, object)
+        status[kept[1]] = kept[2]
+        entry, cursor, steps = status.copy(), begin.copy(), []
+        for now in (None, STATUS_PENDING, STATUS_VALIDATED):      # in the machine's order: it never goes back
+            to = np.array([_NEXT.get((k, now)) for k in kinds], object)
+            found = np.flatnonzero(acts & (to != None)[of]) if n else place  # noqa: E711
+            mine = np.flatnonzero(status == now)
+            i = np.searchsorted(found, cursor[mine])
+            next_at = np.append(found, n)[i]
+            mine, next_at = mine[next_at < end[mine]], next_at[next_at < end[mine]]
+            status[mine], cursor[mine] = to[of[next_at]], next_at + 1
+            steps.append((next_at, status[mine]))
+        where, what = np.concatenate([w for w, _ in steps]), np.concatenate([s for _, s in steps])
+        what, where = what[np.argsort(where)], np.sort(where)
+        held = np.flatnonzero(status != None)  # noqa: E711
+        left = [keys[held].tolist(), list(range(len(held))), status[held].tolist(), [], []]
+        return self.columns(rows, code, rank, begin, entry, where, what), left, None
+
+    def columns(self, rows, code, rank, begin, entry, where, what) -> list:
+        """Output of a group's rows in order: ``what`` its keys become at ``where``."""
+        raise NotImplementedError
+
     def close(self) -> None:
         pass
 
@@ -414,6 +455,15 @@ class PaymentGate(_Orders):
         if status in (STATUS_PENDING, STATUS_VALIDATED):
             yield Row(order_number=key[0], payment_id=row.payment_id, pay_ts=row.at, status_at_arrival=status)
 
+    def columns(self, rows, code, rank, begin, entry, where, what) -> list:
+        at = np.flatnonzero(rank == PAYMENT)
+        before = np.searchsorted(where, at) - 1
+        changed = np.append(where, -1)[before] >= begin[code[at]]      # -1 reads the -1 at the end
+        status = np.where(changed, np.append(what, None)[before], entry[code[at]])
+        live = np.isin(status.astype(str), [STATUS_PENDING, STATUS_VALIDATED])
+        paid = rows.take(at[live])
+        return [paid.objects("order_number"), paid.objects("payment_id"), paid.values("at"), status[live]]
+
 
 MACHINE_OUT = "order_number string, status string, ts timestamp_ntz"
 
@@ -424,6 +474,10 @@ class StatusMachine(_Orders):
     def transition(self, key, row, status) -> Iterator[Row]:
         yield Row(order_number=key[0], status=status, ts=row.at)
 
+    def columns(self, rows, code, rank, begin, entry, where, what) -> list:
+        moved = rows.take(where)
+        return [moved.objects("order_number"), what, moved.values("at")]
+
 
 class FirstWins(StatefulProcessor):
     """The first event of a key passes; later ones, however late, do not.

@@ -102,6 +102,25 @@ def test_gather_of_a_group_equals_its_keys_alone(seed):
     assert live(left) == live(kept) and all(len(v[None]) >= 1 for v in left.values())
 
 
+@pytest.mark.parametrize("processor", [P.StatusMachine])
+@pytest.mark.parametrize("seed", range(25))
+def test_orders_of_a_group_equal_orders_alone(processor, seed):
+    r, rows = random.Random(seed), []
+    for i in range(r.choice([1, 30, 300])):
+        rank = r.choice([P.PAYMENT, P.LINE, P.PLACED, P.EVENT, P.EVENT])
+        kind = {P.PAYMENT: "PAYMENT", P.LINE: "LINE", P.PLACED: "PLACED"}.get(rank) or r.choice(["VALIDATED", "FAILED", "PAID", "PAY_FAILED", "OTHER"])
+        rows.append((r.choice(KEYS), T0 + r.randrange(24) * 5 * MIN, kind, rank, r.choice([True, False, None]), f"p{i}" if rank == P.PAYMENT else None))
+    batches, _ = in_batches(rows)
+    got, left = group(processor(), ORDERS, batches)
+    want, kept = alone(processor(), ORDERS, batches)
+    assert got == want and left == {k: v for k, v in kept.items() if v}
+
+
+def test_an_order_without_a_time_is_not_placed():
+    rows = [("a", None, "PLACED", P.PLACED, None, None), ("a", None, "PAID", P.EVENT, None, None)]
+    assert group(P.StatusMachine(), ORDERS, [rows]) == alone(P.StatusMachine(), ORDERS, [rows])[:1] + ({},)
+
+
 def test_a_placement_without_a_time_is_told_and_ends_nothing():
     rows = [("a", None, 0, 1) + (None,) * 7, ("a", None, 1, None, 1, 1, 1, 1, "S", False, "no"), ("b", T0, 0, 1) + (None,) * 7]
     out, left = group(P.Gather(), GATHER, [rows])
