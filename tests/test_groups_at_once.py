@@ -102,7 +102,7 @@ def test_gather_of_a_group_equals_its_keys_alone(seed):
     assert live(left) == live(kept) and all(len(v[None]) >= 1 for v in left.values())
 
 
-@pytest.mark.parametrize("processor", [P.StatusMachine])
+@pytest.mark.parametrize("processor", [P.StatusMachine, P.PaymentGate])
 @pytest.mark.parametrize("seed", range(25))
 def test_orders_of_a_group_equal_orders_alone(processor, seed):
     r, rows = random.Random(seed), []
