@@ -492,6 +492,15 @@ class FirstWins(StatefulProcessor):
         self.mark.update((True,))
         return iter([min(rows, key=lambda r: (r.ts, r.attempt))])
 
+    def handleGroup(self, rows: Rows, kept: list) -> tuple[list, list, None]:
+        """``handleInputRows`` for all keys of a group in one pass."""
+        code, keys = keyed(rows, "order_number", kept[0])
+        new = np.flatnonzero(code >= len(kept[0]))
+        rows, code = rows.take(new), code[new]
+        at = np.lexsort([rows.numbers("attempt"), ~rows.null("attempt"), rows.numbers("ts"), ~rows.null("ts"), code])
+        first = rows.take(at[np.append(True, code[at][1:] != code[at][:-1])] if len(at) else at)
+        return [first.values(f.name) for f in rows.fields], [keys.tolist(), list(range(len(keys))), [True] * len(keys), [], []], None
+
     def close(self) -> None:
         pass
 

@@ -127,6 +127,18 @@ def test_a_placement_without_a_time_is_told_and_ends_nothing():
     assert out == [Counter([("a", "PENDING", None, None), ("b", "PENDING", None, T0)])] and list(left) == ["b"]
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_first_events_of_a_group_equal_those_of_its_keys(seed):
+    r, ddl = random.Random(seed), "order_number string, ts timestamp_ntz, attempt int, user_id long"
+    rows = [(r.choice(KEYS), T0 + r.randrange(24) * 5 * MIN, r.randint(0, 2), r.choice([None, 7])) for _ in range(40)]
+    rows = list({x[:3]: x for x in rows}.values())
+    batches, _ = in_batches(rows)
+    batches[0] += [("x", None, 1, 3), ("x", None, 2, 4)]
+    got, left = group(P.FirstWins(), ddl, batches)
+    want, kept = alone(P.FirstWins(), ddl, batches)
+    assert got == want and left == kept
+
+
 def test_a_hot_order_is_gathered_without_a_step_per_row():
     n = 200_000
     rows = [("hot", T0, 0, n) + (None,) * 7] + [("hot", T0, 1, None, i, i, 1, 1, "S", True, None) for i in range(n)]
