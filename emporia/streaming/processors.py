@@ -209,9 +209,9 @@ class Gather(StatefulProcessor):
     def handleGroup(self, rows: Rows, kept: list) -> tuple[list, list, Rows | None]:
         """``handleInputRows`` for all keys of a group, one saga record of every
         key at a time; what comes after a key's first ``RECORDS`` records is left
-        to it. An event without a time creates no record and is in none."""
-        # a placement without a time is told, but nothing waits for its results
-        untimed = rows.where(rows.null("at") & (rows.numbers("side") == 0))
+        to it. An event without a time creates no record and is in none: a
+        placement is told, a first failing result fails the order."""
+        untimed = self._untimed(rows.where(rows.null("at")))
         rows = rows.where(~rows.null("at"))
         code, keys = keyed(rows, "order_number", kept[0])
         same = self._results(rows, code, kept)
@@ -291,6 +291,14 @@ class Gather(StatefulProcessor):
         columns = self._columns(rows, untimed, out)
         return columns, self._left(rows, code, keys, kept, known, ended, end, total, received, failed, np.flatnonzero(seen)), rest
 
+    @staticmethod
+    def _untimed(rows: Rows) -> list[tuple[Rows, str]]:
+        late = rows.where((rows.numbers("side") != 0) & ((rows.numbers("success") != 1) | rows.null("success")))
+        code, _ = codes(late.objects("order_number"))
+        order = np.lexsort([x for c in ("qty", "l_suppkey", "l_partkey", "l_linenumber") for x in (late.numbers(c), ~late.null(c))] + [code])
+        first = order[np.append(True, code[order][1:] != code[order][:-1])] if len(code) else order
+        return [(rows.where(rows.numbers("side") == 0), STATUS_PENDING), (late.take(first), STATUS_FAILED)]
+
     @staticmethod
     def _results(rows: Rows, code: np.ndarray, kept: list) -> np.ndarray:
         """A number per result, equal for its repeated deliveries to one order:
@@ -306,15 +314,12 @@ class Gather(StatefulProcessor):
         return same
 
     @staticmethod
-    def _columns(rows: Rows, untimed: Rows, out: list) -> list:
-        at = np.concatenate([w for w, _ in out])
-        outcome = np.repeat(np.array([s for _, s in out], object), [len(w) for w, _ in out])
-        told, n = rows.take(at), len(untimed.pdf)
-        reason = np.where(outcome == STATUS_FAILED, told.objects("reason"), None)
-        when = told.numbers("at").astype("datetime64[us]")
-        return [np.concatenate([told.objects("order_number"), untimed.objects("order_number")]),
-                np.append(outcome, np.full(n, STATUS_PENDING, object)), np.append(reason, np.full(n, None, object)),
-                np.append(when, np.full(n, "NaT", "datetime64[us]"))]
+    def _columns(rows: Rows, untimed: list, out: list) -> list:
+        told = [(rows.take(at), status) for at, status in out] + untimed
+        time = [t.numbers("at").astype("datetime64[us]") for t, _ in told[:len(out)]] + [np.full(len(t.pdf), "NaT", "datetime64[us]") for t, _ in untimed]
+        return [np.concatenate([t.objects("order_number") for t, _ in told]), np.concatenate([np.full(len(t.pdf), s, object) for t, s in told]),
+                np.concatenate([t.objects("reason") if s == STATUS_FAILED else np.full(len(t.pdf), None, object) for t, s in told]),
+                np.concatenate(time)]
 
     @staticmethod
     def _left(rows, code, keys, kept, known, ended, end, total, received, failed, seen) -> list:

@@ -121,10 +121,11 @@ def test_an_order_without_a_time_is_not_placed():
     assert group(P.StatusMachine(), ORDERS, [rows]) == alone(P.StatusMachine(), ORDERS, [rows])[:1] + ({},)
 
 
-def test_a_placement_without_a_time_is_told_and_ends_nothing():
-    rows = [("a", None, 0, 1) + (None,) * 7, ("a", None, 1, None, 1, 1, 1, 1, "S", False, "no"), ("b", T0, 0, 1) + (None,) * 7]
+def test_events_without_a_time_are_told_and_kept_in_no_record():
+    rows = [("a", None, 0, 1) + (None,) * 7, ("a", None, 1, None, 2, 1, 1, 1, "S", False, "second"), ("a", None, 1, None, 1, 1, 1, 1, "S", False, "first"),
+            ("b", T0, 0, 1) + (None,) * 7, ("b", None, 1, None, 1, 1, 1, 1, "S", True, None)]
     out, left = group(P.Gather(), GATHER, [rows])
-    assert out == [Counter([("a", "PENDING", None, None), ("b", "PENDING", None, T0)])] and list(left) == ["b"]
+    assert out == [Counter([("a", "PENDING", None, None), ("a", "FAILED", "first", None), ("b", "PENDING", None, T0)])] and list(left) == ["b"]
 
 
 @pytest.mark.parametrize("seed", range(8))
