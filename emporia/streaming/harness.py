@@ -32,13 +32,17 @@ def _number(df: DataFrame, col: str) -> Column:
 class Staged:
     """A table dealt into time slices that a file stream reads one by one."""
 
-    def __init__(self, df: DataFrame, name: str, col: str = "ts", slices: int = 4):
-        """Rows with equal ``col`` share a slice; a later slice has later rows."""
+    def __init__(self, df: DataFrame, name: str, col: str = "ts", slices: int = 4, times: DataFrame | None = None):
+        """Rows with equal ``col`` share a slice; a later slice has later rows.
+        Where a slice begins is looked up in ``times`` (by default ``df``, which is
+        then computed twice): a cheaper table whose ``col`` is spread like that of
+        ``df``. How even the slices are depends on it, their order does not."""
         self.spark, self.schema = df.sparkSession, df.schema
         self.path = scratch_path(self.spark, f"{name}-in")
         at = _number(df, col)
         probs = [i / slices for i in range(1, slices)]
-        bounds = df.agg(F.percentile_approx(at, probs, 1000)).first()[0] if probs else []
+        times = df if times is None else times
+        bounds = times.agg(F.percentile_approx(_number(times, col), probs, 1000)).first()[0] if probs else []
         slice_of = sum((F.when(at > F.lit(b), 1).otherwise(0) for b in sorted(set(bounds or []))), F.lit(0))
         df.withColumn("_slice", slice_of.cast("int")).write.partitionBy("_slice").parquet(f"{self.path}/waiting")
         path = self.spark._jvm.org.apache.hadoop.fs.Path

@@ -116,10 +116,11 @@ def _order_events(spark, sf) -> DataFrame:
 
 
 def _known(events: DataFrame, feed: DataFrame) -> DataFrame:
-    """D2 on the stream: whether the cache holds a line's product at that time."""
-    seen = O.first_seen(feed)
-    return (events.join(seen, "sku", "left")
-            .withColumn("known", F.coalesce(F.col("known_from") <= F.col("ts"), F.lit(False))).drop("known_from", "sku"))
+    """D2 on the stream: whether the cache holds a line's product at that time.
+    Events without a SKU are not looked up: a join would send all of them to one task."""
+    looked_up = (events.where("sku IS NOT NULL").join(O.first_seen(feed), "sku", "left")
+                 .withColumn("known", F.coalesce(F.col("known_from") <= F.col("ts"), F.lit(False))).drop("known_from", "sku"))
+    return looked_up.unionByName(events.where("sku IS NULL").drop("sku").withColumn("known", F.lit(False)))
 
 
 # --- registered runs ---------------------------------------------------------
@@ -207,14 +208,16 @@ def q_stream_payment_gate(spark, sf):
     events, feed = _order_events(spark, sf).withColumn("payment_id", F.lit(None).cast("string")), FX.product_feed(spark, sf)
     pay = _payments(spark, sf).select("order_number", F.lit("PAYMENT").alias("kind"), "ts", F.lit(P.PAYMENT).alias("rank"),
                                       F.lit(None).cast("string").alias("sku"), "payment_id")
-    out = drain(Staged(events.unionByName(pay), "gate"), lambda s: stream_payment_gate(_known(s, feed)), "stream_gate")
+    staged = Staged(events.unionByName(pay), "gate", times=FX.placed(spark, sf))
+    out = drain(staged, lambda s: stream_payment_gate(_known(s, feed)), "stream_gate")
     return out.select("order_number", "payment_id", fmt_ts(F.col("pay_ts")).alias("paid_at"), "status_at_arrival")
 
 
 @register("stream_status", ORACLES["status_transitions"])
 def q_stream_status(spark, sf):
     feed = FX.product_feed(spark, sf)
-    out = drain(Staged(_order_events(spark, sf), "status"), lambda s: stream_status(_known(s, feed)), "stream_status")
+    staged = Staged(_order_events(spark, sf), "status", times=FX.placed(spark, sf))
+    out = drain(staged, lambda s: stream_status(_known(s, feed)), "stream_status")
     return out.select("order_number", "status", fmt_ts(F.col("ts")).alias("ts"))
 
 

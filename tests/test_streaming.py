@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SF001
 from emporia.operators import stock as ST
 from emporia.plans.registry import _changes
-from emporia.session import scratch_path
+from emporia.session import scratch_path, session_conf
 from emporia.streaming import jobs as J
 from emporia.streaming import processors as P
 from emporia.streaming.harness import Staged, drain, latest_per_key, read_output
@@ -50,6 +50,28 @@ def test_slices_are_written_by_several_tasks_in_time_order(spark):
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and min(s[2] for s in spans) > 800
 
 
+def test_slices_begin_where_another_table_says(spark):
+    """The rows are then computed once, for the write; their order holds all the same."""
+    at = lambda n: spark.range(n).select((F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("ts"))
+    staged = Staged(at(400), "times", slices=4, times=at(40))
+    spans = [spark.read.parquet(f"{staged.path}/waiting/{w}").agg(F.min("ts"), F.max("ts"), F.count("*")).first() for w in staged.waiting]
+    assert [s[2] for s in spans] == [spans[0][2], 10, 10, 400 - 20 - spans[0][2]] and spans[0][2] in (10, 11)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_events_without_a_sku_stay_where_they_are(spark):
+    """Half of an order's events have no SKU: looking them up would send all of them to one task."""
+    events = spark.range(4000, numPartitions=4).select(
+        F.col("id").cast("string").alias("order_number"), F.lit(P.LINE).alias("rank"), F.lit(T0).cast("timestamp_ntz").alias("ts"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("S"), (F.col("id") % 20).cast("string"))).alias("sku"))
+    feed = spark.createDataFrame([(f"S{i}", T0 + (i % 3 - 1) * MIN) for i in range(0, 18, 2)], "sku string, ts timestamp_ntz")
+    with session_conf(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        rows = J._known(events, feed).select("order_number", "known", F.spark_partition_id().alias("task")).collect()
+    assert {int(r.order_number): r.known for r in rows} == {i: i % 2 == 0 and i % 20 < 18 and i % 20 % 3 < 2 for i in range(4000)}
+    odd = [r.task for r in rows if int(r.order_number) % 2]
+    assert max(odd.count(t) for t in set(odd)) == 500
+
+
 class _State:
     """What a processor keeps, and the timers it sets."""
 
